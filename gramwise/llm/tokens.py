@@ -29,6 +29,8 @@ class Words(NamedTuple):
 
 def words(texts: pa.Array, lower: bool = False) -> Words:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if lower and len(texts):  # ascii_lower needs an array that starts its own buffers, which a slice doesn't
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     keep = pc.binary_length(flat).to_numpy() > 0

@@ -1,12 +1,14 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two models, learned from toxic and from ordinary texts, share what lies below them. A class's own bigrams are
-discounted and back off to bigrams of both classes pooled, which back off to the class's continuation counts, which
-back off to those pooled: a rare expression costs both classes about the same, and only evidence of a class parts
-them. The score is a logistic of the difference of log-likelihoods per token, fitted on rows kept from counting.
+Two models over the signs of each word, one learned from toxic and one from ordinary texts, share what lies below
+them: a class's counts at one order are discounted and back off to counts of both classes pooled at that order, which
+back off to the class at the next lower order, and at last to pooled continuation counts. A rare expression so costs
+both classes about the same, and only evidence of a class parts them. Signs rather than words catch insults with
+endings never met before. The score is a logistic of the log-likelihood ratio per word, fitted on rows kept from
+counting.
 
-Everything that is learned is bounded: at most `ROWS` labelled rows of each class, `WORDS` words and `BIGRAMS`
-bigrams, so the model can be sent to every executor. Scoring reads each text once and moves nothing.
+Everything that is learned is bounded: at most `ROWS` labelled rows of each class and `GRAMS` n-grams, so the model
+can be sent to every executor. Scoring reads each text once and moves nothing.
 """
 
 from __future__ import annotations
@@ -14,102 +16,178 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gramwise.llm.common import crc_mod, materialise, slices
-from gramwise.llm.mixing import WORD
 from gramwise.llm.tokens import words
 
 #: Labelled rows of each class to learn from, in the order of a hash of their ids.
 ROWS = 8_000
-#: Words that are told apart, by count; all others are one word, 0. Bigrams that are counted, by count.
-WORDS, BIGRAMS = 30_000, 600_000
+#: Signs of an n-gram; n-grams kept, by count, and the least count.
+ORDER, GRAMS, FLOOR = 5, 400_000, 5
+#: A word's log ratio counts from this size on, and to that at most: many words of no weight don't drown a few that have.
+EVIDENCE, MOST = 4.0, 9.0
+#: Signs that are told apart: the code points below this, 1 at least. All others are one sign.
+SIGNS = 254
+BEGIN, END = 254, 255
+MARKS = ".,;:!?\"'()[]|"
 FOLDS, CALIBRATION = 5, 4
 
 
+def spell(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The signs of each word between BEGIN and END, one after another, and where each word starts. Marks around a word go."""
+    flat = pc.utf8_trim(flat, characters=MARKS)
+    joined = "\n".join(flat.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    n = pc.utf8_length(flat).to_numpy().astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(n + 2)))
+    out = np.full(starts[-1], END, np.int64)
+    if len(flat):
+        out[starts[:-1]] = BEGIN
+        place = np.repeat(starts[:-1] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[place] = np.clip(points[points != 10], 1, SIGNS - 1)
+    return out, starts
+
+
+def grams(signs: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order 1 to ORDER: the positions that have so many signs of their word, and their n-grams as numbers."""
+    depth = np.arange(len(signs)) - np.repeat(starts[:-1], np.diff(starts))
+    out, at, key = [], np.arange(len(signs)), np.zeros(len(signs), np.int64)
+    for k in range(ORDER):
+        keep = depth[at] >= k
+        at, key = at[keep], key[keep] | (signs[at[keep] - k] << (8 * k))
+        out.append((at, key))
+    return out
+
+
 @dataclass
 class Model:
-    index: dict[str, int]
-    keys: np.ndarray  # bigrams of both classes, first * len(unigram) + second, sorted
-    first: np.ndarray  # log numerators, see `build`
-    gain: np.ndarray  # by bigram: log of P(toxic) / P(ordinary)
-    context: np.ndarray  # by first word: class, its backoff mass over its count
-    pooled: np.ndarray  # by first word: pooled backoff
-    unigram: np.ndarray  # class, word: P
+    keys: np.ndarray  # of the n-grams kept, mixed with the order, sorted
+    gain: np.ndarray  # log of P(toxic) / P(ordinary) of the last sign after the others
+    back: np.ndarray  # log of the ratio of the backoff masses after all its signs
+    base: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
-    def ratio(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The log-likelihood ratio of each text, per token; 0 for texts without tokens. Every text starts after word 1."""
-        n = np.diff(starts)
-        out = np.zeros(len(n))
-        if not len(ids):
-            return out
-        v = np.concatenate(([1], ids[:-1]))
-        v[starts[:-1][n > 0]] = 1
-        key = v * self.unigram.shape[1] + ids
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        seen = self.keys[at] == key
-        # Unseen bigrams: backoff of the class, then pooled backoff (which cancels), then the class's word.
-        log = np.log(self.context[0, v] / self.context[1, v] * (self.unigram[0, ids] / self.unigram[1, ids]))
-        log[seen] = self.gain[at[seen]]
-        sums = np.concatenate(([0.0], np.cumsum(log)))
-        return np.where(n > 0, (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(n, 1), 0.0)
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, flat: pa.Array) -> np.ndarray:
+        """The evidence of each word: its log-likelihood ratio, if large enough, within bounds."""
+        signs, starts = spell(flat)
+        if not len(flat):
+            return np.zeros(0)
+        total, below = np.full(len(signs), self.base), np.full(len(signs), -1, np.int64)
+        for k, (at, key) in enumerate(grams(signs, starts)):
+            # What the context of k signs adds if this n-gram isn't kept: the backoff of its class.
+            mixed = mix_order(key, k + 1)
+            i = np.minimum(np.searchsorted(self.keys, mixed), len(self.keys) - 1)
+            hit = self.keys[i] == mixed
+            context = below[at - 1] if k else np.full(len(at), -1)
+            lost = ~hit & (context >= 0)
+            total[at[lost]] += self.back[context[lost]]
+            total[at[hit]] = self.gain[i[hit]]
+            below = np.full(len(signs), -1, np.int64)
+            below[at[hit]] = i[hit]
+        total[starts[:-1]] = 0.0  # BEGIN is given
+        out = np.add.reduceat(total, starts[:-1])
+        return np.where(np.abs(out) > EVIDENCE, np.clip(out, -EVIDENCE, MOST), 0.0)
+
+    def ratio(self, texts: pa.Array) -> np.ndarray:
+        """The log-likelihood ratio of each text, per word; 0 for texts without words."""
         w = words(texts, lower=True)
+        n = np.diff(w.starts)
         coded = w.flat.dictionary_encode()
-        own = np.fromiter((self.index.get(x, 0) for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        return (own[coded.indices.to_numpy()] if len(w.flat) else np.zeros(0, np.int64)), w.starts
+        own = self.words(coded.dictionary)
+        sums = np.concatenate(([0.0], np.cumsum(own[coded.indices.to_numpy()]) if len(w.flat) else []))
+        return np.where(n > 0, (sums[w.starts[1:]] - sums[w.starts[:-1]]) / np.maximum(n, 1), 0.0)
+
+
+def mix_order(key: np.ndarray, order: int) -> np.ndarray:
+    """One number of an n-gram and its order: up to 7 signs of 8 bits, the order above them."""
+    return key | np.int64(order) << np.int64(56)
 
 
-def build(index: dict[str, int], bigrams: pd.DataFrame) -> Model:
-    """The two models from counts (first, second, toxic, ordinary) of bigrams."""
-    size = len(index) + 2  # 0: any other word, 1: the start of a text
-    a, b = bigrams["first"].to_numpy(np.int64), bigrams["second"].to_numpy(np.int64)
-    count = bigrams[["toxic", "ordinary"]].to_numpy(float).T
-    both = count.sum(0)
+def build(order: np.ndarray, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    """The two models from the counts of n-grams."""
 
     def discount(c: np.ndarray) -> float:
         ones, twos = (c == 1).sum(), (c == 2).sum()
-        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-
-    # Lowest: continuation counts of both classes over all words, one more for each.
-    types = np.bincount(b, minlength=size).astype(float)
-    base = (types + 1) / (types.sum() + size)
-    unigram, context, own = np.empty((2, size)), np.ones((2, size)), np.empty((2, len(a)))
-    d_all = discount(both)
-    total, kinds = np.bincount(a, both, size), np.bincount(a, minlength=size)
-    pooled = np.where(total > 0, d_all * kinds / np.maximum(total, 1), 1.0)
-    for c in range(2):
-        # Counts, not kinds, say how common a class's words are: with few words most kinds are seen in either class.
-        n = np.bincount(b, count[c], size)
-        d = discount(n)
-        unigram[c] = (np.maximum(n - d, 0) + d * (n > 0).sum() * base) / n.sum() if n.sum() else base
-        middle = np.maximum(both - d_all, 0) / np.maximum(total[a], 1) + pooled[a] * unigram[c, b]
-        d = discount(count[c])
-        sums, kinds_c = np.bincount(a, count[c], size), np.bincount(a, count[c] > 0, size)
-        context[c] = np.where(sums > 0, d * kinds_c / np.maximum(sums, 1), 1.0)
-        own[c] = np.maximum(count[c] - d, 0) / np.maximum(sums[a], 1) + context[c, a] * middle
-    keys = a * size + b
-    order = np.argsort(keys)
-    return Model(index, keys[order] if len(keys) else np.array([-1]), a[order], np.log(own[0] / own[1])[order] if len(keys) else np.zeros(1), context, pooled, unigram)
+        return min(0.95, max(0.3, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    raw = np.stack((toxic, ordinary)).astype(float)
+    raw = np.concatenate((raw, raw.sum(0)[None]))
+    # Below the highest order a gram counts by the signs seen before it, unless it begins a word and has none.
+    count = raw.copy()
+    for k in range(1, ORDER):
+        own, above = np.flatnonzero(order == k), np.flatnonzero(order == k + 1)
+        sort = np.argsort(key[own])
+        own = own[sort]
+        tail = key[above] & ((1 << (8 * k)) - 1)
+        i = np.minimum(np.searchsorted(key[own], tail), max(len(own) - 1, 0))
+        if not len(own):
+            continue
+        hit = key[own][i] == tail
+        inside = key[own] >> (8 * (k - 1)) != BEGIN
+        for j in range(3):
+            kinds = np.bincount(i[hit], raw[j, above[hit]] > 0, len(own))
+            count[j, own[inside]] = kinds[inside]
+    keys, gains, backs = [], [], []
+    lower_key, lower_p = np.zeros(0, np.int64), np.zeros((2, 0))
+    kinds = np.unique(key[order == 2] & 255, return_counts=True) if (order == 2).any() else (np.zeros(0, np.int64), np.zeros(0))
+    base = np.full(256, 1.0)
+    base[kinds[0]] += kinds[1]
+    base /= base.sum()
+    for k in range(1, ORDER + 1):
+        own = order == k
+        own_key, c = key[own], count[:, own]
+        sort = np.argsort(own_key)
+        own_key, c = own_key[sort], c[:, sort]
+        context = own_key >> 8
+        contexts, group = np.unique(context, return_inverse=True)
+        n = len(contexts)
+        all_c, c = c[2], c[:2]
+        total, types = np.bincount(group, all_c, n), np.bincount(group, minlength=n)
+        d_all = discount(all_c)
+        if k == 1:
+            below = np.broadcast_to(base[own_key & 255], (2, len(own_key)))
+        else:
+            tail = own_key & ((1 << (8 * (k - 1))) - 1)
+            i = np.minimum(np.searchsorted(lower_key, tail), max(len(lower_key) - 1, 0))
+            below = np.where(lower_key[i] == tail, lower_p[:, i], base[tail & 255]) if len(lower_key) else np.broadcast_to(base[tail & 255], (2, len(tail)))
+        p, mass = np.empty_like(c), np.ones((2, n))
+        for j in range(2):
+            pooled = (np.maximum(all_c - d_all, 0) + d_all * types[group] * below[j]) / np.maximum(total[group], 1)
+            sums, kinds_j = np.bincount(group, c[j], n), np.bincount(group, c[j] > 0, n)
+            d = discount(c[j])
+            mass[j] = np.where(sums > 0, d * kinds_j / np.maximum(sums, 1), 1.0)
+            p[j] = np.where(sums[group] > 0, np.maximum(c[j] - d, 0) / np.maximum(sums[group], 1), 0.0) + mass[j][group] * pooled
+        keys.append(mix_order(own_key, k))
+        gains.append(np.log(p[0] / p[1]))
+        backs.append(np.zeros(len(own_key)))
+        if k > 1:  # the backoff of a context stands at the n-gram that it is
+            i = np.minimum(np.searchsorted(lower_key, contexts), max(len(lower_key) - 1, 0))
+            if len(lower_key):
+                hit = lower_key[i] == contexts
+                backs[-2][i[hit]] = np.log(mass[0] / mass[1])[hit]
+        lower_key, lower_p = own_key, p
+    keys, gain, back = np.concatenate(keys), np.concatenate(gains), np.concatenate(backs)
+    if not len(keys):
+        return Model(np.array([-1]), np.zeros(1), np.zeros(1))
+    sort = np.argsort(keys)
+    return Model(keys[sort], gain[sort], back[sort])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic by Newton's method on standardised values, classes weighted alike."""
+    """Slope and shift of a logistic by Newton's method on standardised values."""
     if not len(x) or y.min() == y.max():
         return 1.0, 0.0
     mid, scale = x.mean(), max(x.std(), 1e-9)
     z = np.stack(((x - mid) / scale, np.ones(len(x))), 1)
-    weight = np.where(y == 1, 1.0, 1.0)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (weight * (y - p)) - 1e-3 * w
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        grad = z.T @ (y - p) - 1e-3 * w
+        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -128,28 +206,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.withColumn("_fold", crc_mod(F.col("_id"), FOLDS)).where("_fold != 0 and _toxic in (0, 1)")
     chosen = marked.where("_toxic = 1").orderBy(F.xxhash64("_id"), "_id").limit(ROWS).unionByName(marked.where("_toxic = 0").orderBy(F.xxhash64("_id"), "_id").limit(ROWS))
     chosen = materialise(chosen, "labelled")
-    # At most 2 * ROWS rows of three numbers: this may always be sent.
-    sample = materialise(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("_toxic", "_fold", "text"), "sample")
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    common = sample.where(F.col("_fold") != CALIBRATION).select(F.explode(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))).alias("w")).groupBy("w").count().where("count > 1")
-    index = {r["w"]: i for i, r in enumerate(common.orderBy(F.desc("count"), "w").limit(WORDS).collect(), 2)}
-    size, sent = len(index) + 2, spark.sparkContext.broadcast(index)
+    # At most 2 * ROWS rows of three numbers: this may always be sent. Of equal texts one counts.
+    sample = materialise(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("_toxic", "_fold", "text").dropDuplicates(["text"]), "sample")
 
     def count(batches):
-        empty = Model(sent.value, *[np.zeros(0)] * 6)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, starts = empty.ids(part.column(1))
-                v = np.concatenate(([1], ids[:-1])) if len(ids) else ids
-                v[starts[:-1][np.diff(starts) > 0]] = 1
-                toxic = np.repeat(part.column(0).to_numpy(zero_copy_only=False), np.diff(starts))
-                keys, n = np.unique((v * size + ids) * 2 + toxic, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    counted = sample.where(F.col("_fold") != CALIBRATION).select("_toxic", "text").mapInArrow(count, "key long, n long")
-    pairs = counted.groupBy(F.shiftright("key", 1).alias("pair")).agg(F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("key") % 2 == 0, F.col("n")).otherwise(0)).alias("ordinary"))
-    top = pairs.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "pair").limit(BIGRAMS).toPandas()
-    model = build(index, pd.DataFrame({"first": top["pair"] // size, "second": top["pair"] % size, "toxic": top["toxic"], "ordinary": top["ordinary"]}))
+                w = words(part.column(1), lower=True)
+                coded = w.flat.dictionary_encode()
+                size = len(coded.dictionary)
+                # A word counts once in a text, however often that repeats it.
+                once = np.unique(w.rows * size + coded.indices.to_numpy()) if size else np.zeros(0, np.int64)
+                toxic, which = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[once // max(size, 1)], once % max(size, 1)
+                times = np.stack((np.bincount(which[toxic], minlength=size), np.bincount(which[~toxic], minlength=size)))
+                signs, starts = spell(coded.dictionary)
+                word = np.repeat(np.arange(size), np.diff(starts))
+                for at, key in grams(signs, starts):
+                    own, back = np.unique(key, return_inverse=True)
+                    n = [np.bincount(back, times[j, word[at]], len(own)).astype(np.int64) for j in range(2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, n)], ["key", "toxic", "ordinary"])
+
+    # No sign is 0, so the order of an n-gram shows in its highest sign.
+    counted = sample.where(F.col("_fold") != CALIBRATION).select("_toxic", "text").mapInArrow(count, "key long, toxic long, ordinary long")
+    summed = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where(F.col("toxic") + F.col("ordinary") >= FLOOR)
+    top = summed.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "key").limit(GRAMS).toPandas()
+    keys = top["key"].to_numpy(np.int64)
+    order = sum((keys >> (8 * k) > 0).astype(int) for k in range(ORDER)) if len(keys) else np.zeros(0, int)
+    model = build(order, keys, top["toxic"].to_numpy(), top["ordinary"].to_numpy())
     held = ratios(sample.where(F.col("_fold") == CALIBRATION).select("_toxic", "text"), model, "_toxic").toPandas()  # two numbers of each of at most 2 * ROWS rows
     # The sample takes both classes alike; the shift is set back to how common they are among all labelled rows.
     model.slope, model.shift = fit_logistic(held["ratio"].to_numpy(float), held["_toxic"].to_numpy(float))
@@ -167,7 +250,7 @@ def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text") -
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.ratio(*sent.value.ids(part.column(1))))], [id_col, "ratio"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.ratio(part.column(1)))], [id_col, "ratio"])
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ratio double")
 
@@ -193,7 +276,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch, text_col):
                 m = sent.value
-                exponent = m.slope * m.ratio(*m.ids(part.column(names.index(text_col)))) + m.shift
+                exponent = m.slope * m.ratio(part.column(names.index(text_col))) + m.shift
                 yield part.filter(pa.array(exponent < 0))
 
     return docs.mapInArrow(run, docs.schema)
