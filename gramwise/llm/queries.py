@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramwise.llm import bpe, exact, mixing, simhash, toxicity
+from gramwise.llm import bpe, embeddings, exact, mixing, simhash, toxicity, warc
 from gramwise.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +15,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), RANKS, ids=False)
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit(read(spark, sf_dir, "pages"))
+
+
+def op5_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
 
@@ -31,11 +39,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_simhash, op8_exact_dedup, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op8_exact_dedup, op9_mixing, op10_toxicity)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op4_warc_fixity": r"""
+        WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS files FROM pages),
+        p AS (SELECT page_id, coalesce((page_id % files + files) % files, 0) AS file, coalesce(html, '') AS body,
+                     md5(concat_ws(chr(31), CAST(page_id AS VARCHAR), url)) AS u, coalesce(url, '') AS url, chr(13) || chr(10) AS nl,
+                     ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 6))::BIGINT % 1000 AS draw
+              FROM pages, n),
+        r AS (SELECT page_id, file, draw, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:'
+                     || concat_ws('-', substr(u, 1, 8), substr(u, 9, 4), substr(u, 13, 4), substr(u, 17, 4), substr(u, 21, 12)) || '>' || nl
+                     || 'WARC-Target-URI: ' || url || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'Content-Type: text/html' || nl
+                     || 'Content-Length: ' || CAST(octet_length(encode(body)) AS VARCHAR) || nl || nl || body || nl || nl AS warc
+              FROM p),
+        h AS (SELECT page_id, file, draw, sha256(warc) AS sha256, CAST(octet_length(encode(warc)) AS BIGINT) AS length,
+                     octet_length(encode(right(left(warc, length(warc) - 4), 1))) AS last, right(left(warc, length(warc) - 4), 1) AS sign
+              FROM r)
+        SELECT page_id, file, row_number() OVER w - 1 AS record_no,
+               CAST(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length AS offset, length, sha256,
+               CASE WHEN draw < 3 THEN 'missing' WHEN draw < 13 THEN CASE WHEN sign = '#' THEN 'ok' WHEN last > 1 THEN 'truncated' ELSE 'corrupt' END
+                    WHEN draw < 18 THEN 'truncated' ELSE 'ok' END AS status
+        FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256)""",
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

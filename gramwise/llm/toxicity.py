@@ -27,8 +27,9 @@ from gramwise.llm.tokens import words
 ROWS = 8_000
 #: Signs of an n-gram; n-grams kept, by count, and the least count.
 ORDER, GRAMS, FLOOR = 5, 400_000, 5
-#: A word's log ratio counts from this size on, and to that at most: many words of no weight don't drown a few that have.
-EVIDENCE, MOST = 4.0, 9.0
+#: A word's log ratio counts from a size on, and to MOST at most, so that many words of no weight don't drown a few that
+#: have. Of these sizes the one is taken that tells the calibration rows apart best.
+EVIDENCE, MOST = (0.5, 1.0, 2.0, 3.0, 4.0), 9.0
 #: Signs that are told apart: the code points below this, 1 at least. All others are one sign.
 SIGNS = 254
 BEGIN, END = 254, 255
@@ -68,11 +69,12 @@ class Model:
     gain: np.ndarray  # log of P(toxic) / P(ordinary) of the last sign after the others
     back: np.ndarray  # log of the ratio of the backoff masses after all its signs
     base: float = 0.0
+    evidence: float = EVIDENCE[-1]
     slope: float = 1.0
     shift: float = 0.0
 
     def words(self, flat: pa.Array) -> np.ndarray:
-        """The evidence of each word: its log-likelihood ratio, if large enough, within bounds."""
+        """The log-likelihood ratio of each word."""
         signs, starts = spell(flat)
         if not len(flat):
             return np.zeros(0)
@@ -89,17 +91,19 @@ class Model:
             below = np.full(len(signs), -1, np.int64)
             below[at[hit]] = i[hit]
         total[starts[:-1]] = 0.0  # BEGIN is given
-        out = np.add.reduceat(total, starts[:-1])
-        return np.where(np.abs(out) > EVIDENCE, np.clip(out, -EVIDENCE, MOST), 0.0)
+        return np.add.reduceat(total, starts[:-1])
 
-    def ratio(self, texts: pa.Array) -> np.ndarray:
-        """The log-likelihood ratio of each text, per word; 0 for texts without words."""
+    def ratio(self, texts: pa.Array, evidence: tuple[float, ...] = ()) -> np.ndarray:
+        """The log-likelihood ratio of each text, per word, for each size of evidence; 0 for texts without words."""
         w = words(texts, lower=True)
         n = np.diff(w.starts)
         coded = w.flat.dictionary_encode()
-        own = self.words(coded.dictionary)
-        sums = np.concatenate(([0.0], np.cumsum(own[coded.indices.to_numpy()]) if len(w.flat) else []))
-        return np.where(n > 0, (sums[w.starts[1:]] - sums[w.starts[:-1]]) / np.maximum(n, 1), 0.0)
+        own, out = self.words(coded.dictionary), []
+        for size in evidence or (self.evidence,):
+            counts = np.where(np.abs(own) > size, np.clip(own, -size, MOST), 0.0)
+            sums = np.concatenate(([0.0], np.cumsum(counts[coded.indices.to_numpy()]) if len(w.flat) else []))
+            out.append(np.where(n > 0, (sums[w.starts[1:]] - sums[w.starts[:-1]]) / np.maximum(n, 1), 0.0))
+        return np.stack(out) if evidence else out[0]
 
 
 def mix_order(key: np.ndarray, order: int) -> np.ndarray:
@@ -177,10 +181,10 @@ def build(order: np.ndarray, key: np.ndarray, toxic: np.ndarray, ordinary: np.nd
     return Model(keys[sort], gain[sort], back[sort])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic by Newton's method on standardised values."""
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(loss, slope, shift) of a logistic by Newton's method on standardised values."""
     if not len(x) or y.min() == y.max():
-        return 1.0, 0.0
+        return 0.0, 1.0, 0.0
     mid, scale = x.mean(), max(x.std(), 1e-9)
     z = np.stack(((x - mid) / scale, np.ones(len(x))), 1)
     w = np.zeros(2)
@@ -188,11 +192,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (y - p) - 1e-3 * w
         hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w += np.clip(step, -5, 5)
+        step = np.clip(np.linalg.solve(hess, grad), -5, 5)
+        w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w[0] / scale, w[1] - w[0] * mid / scale
+    margin = np.clip(z @ w, -30, 30)
+    loss = float(np.mean(np.log1p(np.exp(margin)) - y * margin))
+    return loss, w[0] / scale, w[1] - w[0] * mid / scale
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -233,9 +239,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys = top["key"].to_numpy(np.int64)
     order = sum((keys >> (8 * k) > 0).astype(int) for k in range(ORDER)) if len(keys) else np.zeros(0, int)
     model = build(order, keys, top["toxic"].to_numpy(), top["ordinary"].to_numpy())
-    held = ratios(sample.where(F.col("_fold") == CALIBRATION).select("_toxic", "text"), model, "_toxic").toPandas()  # two numbers of each of at most 2 * ROWS rows
+    held = ratios(sample.where(F.col("_fold") == CALIBRATION).select("_toxic", "text"), model, "_toxic", evidence=EVIDENCE).toPandas()  # a few numbers of each of at most 2 * ROWS rows
+    y = held["_toxic"].to_numpy(float)
+    fits = [(*fit_logistic(held[f"ratio{k}"].to_numpy(float), y), size) for k, size in enumerate(EVIDENCE)]
+    _, model.slope, model.shift, model.evidence = min(fits)
     # The sample takes both classes alike; the shift is set back to how common they are among all labelled rows.
-    model.slope, model.shift = fit_logistic(held["ratio"].to_numpy(float), held["_toxic"].to_numpy(float))
     share = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     took = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if len(share) == 2:
@@ -243,16 +251,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, ratio): the difference of the log-likelihoods per token."""
+def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text", evidence: tuple[float, ...] = ()) -> DataFrame:
+    """(id, ratio): the difference of the log-likelihoods per word; ratio0, ratio1.. for several sizes of evidence."""
     sent, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[id_col].dataType.simpleString()
+    names = [f"ratio{k}" for k in range(len(evidence))] or ["ratio"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.ratio(part.column(1)))], [id_col, "ratio"])
+                found = np.atleast_2d(sent.value.ratio(part.column(1), evidence))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], [id_col, *names])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ratio double")
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{n} double' for n in names)}")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
