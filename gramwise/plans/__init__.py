@@ -1,0 +1,3 @@
+from gramwise.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -1,0 +1,4 @@
+from gramwise.sources.listings import listings, ocr_lines, scan_events, scan_sizes, screen_nodes, table
+from gramwise.sources.screen import best_scrollable, drop_noise, node_candidates, ocr_candidates, ocr_context
+
+__all__ = ["best_scrollable", "drop_noise", "listings", "node_candidates", "ocr_candidates", "ocr_context", "ocr_lines", "scan_events", "scan_sizes", "screen_nodes", "table"]

@@ -1,0 +1,4 @@
+from gramwise.streaming.collect import collect_stream, ingest
+from gramwise.streaming.sessions import debounced, package_sessions, stop_of_scan_all
+
+__all__ = ["collect_stream", "debounced", "ingest", "package_sessions", "stop_of_scan_all"]
