@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramwise.llm import bpe, embeddings, exact, katz, mixing, simhash, substring, toxicity, warc
+from gramwise.llm import bpe, embeddings, exact, katz, mixing, simhash, substring, suffix_dedup, toxicity, warc
 from gramwise.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -15,6 +15,10 @@ def op1_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), RANKS, ids=False)
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_words, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
