@@ -31,7 +31,7 @@ BATCH_BYTES = 32
 #: Leading bits of a hash that index the vocabulary.
 BUCKET_BITS = 19
 #: The bytes of text worked on at a time.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 2 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 KNOWN = 0x3000
 

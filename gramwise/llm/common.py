@@ -73,14 +73,19 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Cut a batch into runs of rows whose column holds about `most` bytes; one long text makes a run of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+    """Cut a batch into runs of rows whose column holds about `most` bytes; one long text makes a run of its own.
+
+    Between runs Arrow gives back what it has freed: workers stay for later stages, and their memory counts there.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()
             start, total = i, 0
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
