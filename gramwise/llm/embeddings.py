@@ -27,57 +27,59 @@ def directions(tree: int, level: int, size: int) -> np.ndarray:
     return np.random.default_rng((SEED, tree, level)).standard_normal((SPLITS, size))
 
 
-def _project(rows: DataFrame, level: int) -> DataFrame:
-    """Adds p0, p1..: the projections of each row's unit vector for its tree."""
+def _units(column: pd.Series) -> np.ndarray:
+    """Vectors of one length as unit vectors in double precision; scaled by the largest part first, as squares may overflow or vanish."""
+    rows = np.stack(column.to_numpy()).astype(float)
+    rows /= np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+
+
+def _project(vectors: DataFrame, level: int) -> DataFrame:
+    """(vec, p): each vector's projections on the directions of all trees at a level."""
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            out = np.zeros((len(pdf), SPLITS))
-            vectors = np.stack(pdf["vector"].to_numpy())
-            for tree in pdf["tree"].unique():
-                own = (pdf["tree"] == tree).to_numpy()
-                out[own] = vectors[own] @ directions(int(tree), level, vectors.shape[1]).T
-            yield pdf.assign(**{f"p{k}": out[:, k] for k in range(SPLITS)})
+            for _, own in pdf.groupby(pdf["vector"].map(len)):
+                along = np.concatenate([directions(tree, level, len(own["vector"].iloc[0])) for tree in range(TREES)])
+                yield pd.DataFrame({"vec": own["vec"], "p": list(_units(own["vector"]) @ along.T)})
 
-    fields = ", ".join(f"p{k} double" for k in range(SPLITS))
-    return rows.mapInPandas(run, f"tree int, node string, vec long, vector array<double>, {fields}")
+    return vectors.select("vec", "vector").mapInPandas(run, "vec long, p array<double>")
 
 
 def forest(vectors: DataFrame) -> DataFrame:
-    """(leaf, vec): the leaves of all trees; a vector has one or more in each tree.
+    """(leaf, vec) of vectors (label, vec, vector): the leaves of all trees; a vector has one or more in each tree.
 
     Each round splits the nodes that are too large, all at once. Medians and the spill's borders are approximate
-    percentiles, summed up by node; a node's vectors never meet in one task before it is a leaf.
+    percentiles, summed up by node; a node's vectors never meet in one task before it is a leaf. Rows hold a number of
+    the tree and node; the vectors themselves stay where they are.
     """
-    now = vectors.select(F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"), F.col("label").cast("string").alias("node"), "vec", "vector")
+    now = vectors.select(F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"), "label", "vec")
+    now = now.select("tree", F.xxhash64("tree", "label").alias("node"), "vec")
     done: DataFrame | None = None
     for level in range(LEVELS + 1):
-        sizes = now.groupBy("tree", "node").count()
-        large = checkpoint(sizes.where(F.col("count") > LEAF).select("tree", "node"))
+        large = checkpoint(now.groupBy("node").count().where(F.col("count") > LEAF).select("node"))
         last = level == LEVELS or not large.take(1)
-        leaves = now if last else now.join(large, ["tree", "node"], "left_anti")
-        leaves = leaves.select(F.concat_ws("/", "tree", "node").alias("leaf"), "vec")
+        leaves = (now if last else now.join(large, "node", "left_anti")).select(F.col("node").alias("leaf"), "vec")
         done = leaves if done is None else done.unionByName(leaves)
         if last:
             return done
-        open_ = _project(now.join(large, ["tree", "node"], "left_semi").select("tree", "node", "vec", "vector"), level)
-        open_ = materialise(open_, f"level{level}")
-        at = [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2]
-        cuts = open_.groupBy("tree", "node").agg(*[F.percentile_approx(f"p{k}", at, 2000).alias(f"c{k}") for k in range(SPLITS)])
-        split = open_.join(cuts, ["tree", "node"])
+        at = F.col("tree") * SPLITS
+        open_ = now.join(large, "node", "left_semi").join(_project(vectors, level), "vec")
+        open_ = materialise(open_.select("tree", "node", "vec", *[F.get("p", at + k).alias(f"p{k}") for k in range(SPLITS)]), f"level{level}")
+        border = [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2]
+        cuts = open_.groupBy("node").agg(*[F.percentile_approx(f"p{k}", border, 2000).alias(f"c{k}") for k in range(SPLITS)])
+        split = open_.join(cuts, "node")
         for k in range(SPLITS):
             p, c = F.col(f"p{k}"), F.col(f"c{k}")
-            own = F.when((p >= c[0]) & (p < c[2]), F.array(F.lit("l"), F.lit("r"))).when(p < c[1], F.array(F.lit("l"))).otherwise(F.array(F.lit("r")))
-            split = split.withColumn("side", F.explode(own)).withColumn("node", F.concat("node", "side"))
-        now = materialise(split.select("tree", "node", "vec", "vector"), f"nodes{level}")
+            own = F.when((p >= c[0]) & (p < c[2]), F.array(F.lit(0), F.lit(1))).when(p < c[1], F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+            split = split.withColumn(f"s{k}", F.explode(own))
+        now = materialise(split.select("tree", F.xxhash64("node", *[f"s{k}" for k in range(SPLITS)]).alias("node"), "vec"), f"nodes{level}")
     raise AssertionError("not reached")
 
 
-def _pairs(vec: np.ndarray, vectors: np.ndarray, leaves: list[list[str]], leaf: str):
+def _pairs(vec: np.ndarray, vectors: np.ndarray, leaves: list[np.ndarray], leaf: int):
     """The links of one leaf, those counted at this leaf marked: blocks of rows against blocks of rows."""
-    sets = [frozenset(x) for x in leaves]
+    sets = [frozenset(x.tolist()) for x in leaves]
     for i in range(0, len(vec), BLOCK):
         for j in range(i, len(vec), BLOCK):
             a, b = np.nonzero(vectors[i : i + BLOCK] @ vectors[j : j + BLOCK].T >= COSINE - 1e-9)
@@ -95,9 +97,9 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """(vec, links, to): links counted at this leaf, and a star over the vectors that links join here."""
     pdf = pdf.sort_values("vec")
     vec, weight = pdf["vec"].to_numpy(), pdf["copies"].to_numpy()
-    vectors = np.stack(pdf["vector"].to_numpy())
+    vectors = _units(pdf["vector"])
     links, left, right = np.zeros(len(vec), np.int64), [vec[:0]], [vec[:0]]
-    for a, b, first in _pairs(vec, vectors, pdf["leaves"].tolist(), pdf["leaf"].iloc[0]):
+    for a, b, first in _pairs(vec, vectors, pdf["leaves"].tolist(), int(pdf["leaf"].iloc[0])):
         np.add.at(links, a[first], weight[b[first]])
         np.add.at(links, b[first], weight[a[first]])
         x, y = stars(vec[a], vec[b])
@@ -113,23 +115,17 @@ def near_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
     Rows link when labels are equal and not null and the cosine is 0.93 or more, of the pairs that share a leaf; none
     below it link. Vectors that are null, empty or zero or hold null or non-finite parts, and rows with a null label,
-    link with nothing, as do vectors of another length than most of their label. Rows with a null id count as links of
+    link with nothing; vectors of other lengths are compared apart. Rows with a null id count as links of
     others, have component_id of the smallest id they reach (null if none) and are kept if that is null. Rows that
     repeat an id are rows of their own: each has its links, and all with the smallest id of a component are kept.
     """
-    parts = F.col(vector_col).cast("array<double>")
+    parts = F.col(vector_col)
     good = F.col(label_col).isNotNull() & (F.size(parts) > 0) & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0)
     rows = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), parts.alias("vector"), F.coalesce(good, F.lit(False)).alias("good"))
-    # Scaled by the largest part before squares are summed, which else may overflow or vanish.
-    top = F.array_max(F.transform("vector", F.abs))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    # The row of each distinct vector is numbered once and written; the first pass may come in any order.
-    keyed = rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("vec", F.monotonically_increasing_id())
-    keyed = materialise(keyed, "distinct")
-    unit = keyed.select("vec", "label", "least", "copies", F.transform("vector", lambda x: x / top).alias("vector"))
-    unit = unit.withColumn("vector", F.transform("vector", lambda x: x / norm))
-    unit = materialise(unit.withColumn("node", F.concat_ws(":", "label", F.size("vector"), F.lit(""))), "units")
-    leaves = materialise(forest(unit.select(F.col("node").alias("label"), "vec", "vector")), "leaves")
+    keyed = rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    keyed = materialise(keyed.withColumn("vec", F.monotonically_increasing_id()), "distinct")  # numbered once, and written
+    unit = keyed.select("vec", "copies", "vector", F.concat_ws(":", "label", F.size("vector")).alias("label"))
+    leaves = materialise(forest(unit), "leaves")
     lists = leaves.groupBy("vec").agg(F.collect_set("leaf").alias("leaves"))  # at most a few for each tree
     known = unit.select("vec", "copies", "vector").join(lists, "vec")
     found = leaves.join(known, "vec").groupBy("leaf").applyInPandas(compare, "vec long, links long, to long")
