@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gramwise.functions import fixed
-from gramwise.functions.text import choose_price, found, item_name, normalize, number, prices
+from gramwise.functions.text import choose_price, found, item_name, let, normalize, number, prices
 
 PROMOTION = "struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>"
 
@@ -49,19 +49,26 @@ def _candidate(rank: int, confidence: float, place: Column, kind: str, amount: C
 def _measured(rows: Column, value, unit, display, confidence: float, base: int) -> Column:
     """Mass or volume candidates of matches; units without a factor give none."""
 
+    factors = _units(fixed.MASS | fixed.VOLUME)
+
     def one(x: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_replace(unit(x), r"\s+", " "))
-        mass, volume = F.try_element_at(_units(fixed.MASS), name), F.try_element_at(_units(fixed.VOLUME), name)
-        as_mass = _candidate(4, confidence, i + base, "MASS_G", value(x) * mass, display(x))
-        as_volume = _candidate(3, confidence, i + base, "VOLUME_ML", value(x) * volume, display(x))
-        return F.when(mass.isNotNull(), as_mass).when(volume.isNotNull(), as_volume)
+        def by_unit(name: Column) -> Column:
+            amount = value(x) * F.try_element_at(factors, name)
+            as_mass = _candidate(4, confidence, i + base, "MASS_G", amount, display(x))
+            as_volume = _candidate(3, confidence, i + base, "VOLUME_ML", amount, display(x))
+            return F.when(name.isin(*fixed.MASS), as_mass).when(name.isin(*fixed.VOLUME), as_volume)
+
+        return let(F.lower(F.regexp_replace(unit(x), r"\s+", " ")), by_unit)
 
     return F.filter(F.transform(rows, one), lambda c: c.isNotNull() & c["amount_base"].isNotNull())
 
 
 def quantity(text: Column) -> Column:
     """The best quantity of the normalised text: mass before volume, pizza and count, then the surest, then the first."""
-    t = F.lower(text)
+    return let(F.lower(text), _quantity)
+
+
+def _quantity(t: Column) -> Column:
     group = lambda p, k: lambda x: F.regexp_extract(x, p, k)
     packs = F.regexp_extract_all(t, F.lit(fixed.MULTIPACK), F.lit(0))
     p1, p2, p3 = (group(fixed.MULTIPACK, k) for k in (1, 2, 3))
@@ -80,7 +87,7 @@ def quantity(text: Column) -> Column:
     area = F.lit(math.pi) * F.pow(inch / 2.0, F.lit(2.0))
     pizza = F.when(t.rlike(fixed.PIZZA) & inch.between(5.0, 30.0), _candidate(2, 0.9, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
     best = F.array_max(F.concat(multi, ranges, single, F.filter(F.array(*counts, pizza), lambda c: c.isNotNull())))
-    return F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), best["amount_base"].alias("amount_base"), best["display"].alias("display"), best["confidence"].alias("confidence"), best["diameter_in"].alias("diameter_in")))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(*[b[c].alias(c) for c in ("kind", "amount_base", "display", "confidence", "diameter_in")])))
 
 
 def calories(text: Column) -> Column:
@@ -120,10 +127,12 @@ def analyze(listings: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """
     cheap = listings.where(F.col(text_col).rlike(fixed.PRICE)).withColumn("raw_text", normalize(F.col(text_col)))
     t = F.col("raw_text")
-    priced = cheap.withColumn("_prices", prices(t)).withColumn("_price", choose_price(t, F.col("_prices"))).where("_price is not null")
+    # A generator rather than a filter: it drops rows without a price, and the parse isn't pushed below and done again.
+    price = let(prices(t), lambda every: choose_price(t, every))
+    priced = cheap.select("*", F.explode(F.filter(F.array(price), lambda p: p.isNotNull())).alias("_price"))
     out = priced.withColumns({"price": F.col("_price.amount"), "currency": F.col("_price.currency"), "name": item_name(t), "quantity": quantity(t), "calories": calories(t), "portion": portion(t)})
     out = out.withColumn("promotion", promotion(t, F.col("price")))
     sure = F.lit(0.67) + F.coalesce(0.18 * F.col("quantity.confidence"), F.lit(0.0))
     sure = sure + F.when(F.col("calories").isNotNull(), 0.08).otherwise(0.0)
     sure = sure + F.when(F.col("promotion.type") != "none", 0.03).otherwise(0.0)
-    return out.withColumn("confidence", F.least(sure, F.lit(0.99))).drop("_prices", "_price")
+    return out.withColumn("confidence", F.least(sure, F.lit(0.99))).drop("_price")

@@ -9,6 +9,11 @@ from gramwise.functions import fixed
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end, by Unicode's reckoning (F.trim strips spaces only)."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gramwise.functions import analyze, calories, canonical_name, choose_price, item_name, normalize, portion, prices, promotion, quantity
-from gramwise.functions.text import fixed_point
+from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
 from gramwise.sources import best_scrollable, drop_noise, listings, node_candidates, ocr_candidates, ocr_context, ocr_lines, scan_events, scan_sizes, screen_nodes, table
 from gramwise.streaming import debounced, package_sessions, stop_of_scan_all
@@ -46,12 +46,12 @@ def extract_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def choose_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).withColumn("p", choose_price(F.col("t"), prices(F.col("t")))).select("seq", "p.amount", "p.currency")
+    return _texts(spark, sf_dir).withColumn("p", let(prices(F.col("t")), lambda every: choose_price(F.col("t"), every))).select("seq", "p.amount", "p.currency")
 
 
 @query
 def promotion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir).withColumn("price", choose_price(F.col("t"), prices(F.col("t")))["amount"])
+    rows = _texts(spark, sf_dir).withColumn("price", let(prices(F.col("t")), lambda every: choose_price(F.col("t"), every))["amount"])
     return rows.withColumn("p", promotion(F.col("t"), F.col("price"))).select("seq", "p.*")
 
 
