@@ -22,10 +22,11 @@ SIGNS = 256
 def classify(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one after it; the empty suffix is the smallest of all."""
     n = len(text)
-    turn = np.flatnonzero(text[1:] != text[:-1])
-    up = text[turn] < text[turn + 1]
-    at = np.searchsorted(turn, np.arange(n))  # the next place where the sign changes
-    return np.concatenate((up, [False]))[at]
+    turn = np.append(text[1:] != text[:-1], True)
+    up = np.append(text[:-1] < text[1:], False)
+    # A run of one sign is as its last sign is: the place of that, from the right.
+    last = np.minimum.accumulate(np.where(turn, np.arange(n), n)[::-1])[::-1]
+    return up[last]
 
 
 class _Induction:
@@ -78,9 +79,16 @@ class _Induction:
 
 def _order(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of names, by ranks doubled until all differ; those that differ already rest."""
-    n, step = len(names), 1
-    live = np.argsort(names, kind="stable")
-    key, rank, start = names[live], np.empty(n, np.int64), np.zeros(n, np.int64)
+    n = len(names)
+    # As many names as one number holds are compared at once to begin with.
+    bits = int(names.max() + 1).bit_length()
+    step = max(1, 62 // bits)
+    first_key = np.zeros(n, np.int64)
+    for k in range(step):
+        first_key <<= bits
+        first_key[: max(n - k, 0)] |= names[k:] + 1
+    live = np.argsort(first_key)
+    key, rank, start = first_key[live], np.empty(n, np.int64), np.zeros(n, np.int64)
     while len(live):
         # start: the place of the first with the same rank so far; the new rank is that of the first with the same key.
         new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -113,7 +121,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         first = first[is_lms[first]]
         # Substrings from one LMS suffix to the next, that one's sign included; the last reaches to the end.
         stop = np.concatenate((lms[1:] + 1, [n]))
-        place = np.searchsorted(lms, first)
+        place = np.empty(n, np.int64)
+        place[lms] = np.arange(len(lms))
+        place = place[first]
         length = (stop - lms)[place]
         own = Rolling(text.astype(U) + U(1), BASES[0]).at(first, length)
         new = (own[1:] != own[:-1]) | (length[1:] != length[:-1])
@@ -137,16 +147,17 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     same = (own > 0) & (before > 0) & (text[own - 1] == text[before - 1])
     todo = np.flatnonzero(~same & (before >= 0))
     out = np.zeros(n, np.int64)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    wide = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    wide = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n + 8,), (1,))
     a, b, got = todo, before[todo], 0
     while len(a):
-        x, y = a + got, b + got
-        eq = wide[np.minimum(x, n - 1)] == wide[np.minimum(y, n - 1)]
-        differ = np.where(eq.all(1), 8, np.argmin(eq, 1))
-        differ = np.minimum(differ, np.maximum(n - np.maximum(x, y), 0))
-        out[a] += differ
-        more = differ == 8
+        end = n - np.maximum(a, b) - got
+        differ = wide[np.minimum(a + got, n)] ^ wide[np.minimum(b + got, n)]
+        with np.errstate(over="ignore"):
+            low = (np.bitwise_count((differ & (~differ + U(1))) - U(1)) >> 3).astype(np.int64)  # equal low bytes; 8 if all are
+        low = np.minimum(low, np.maximum(end, 0))
+        out[a] += low
+        more = low == 8
         a, b, got = a[more], b[more], got + 8
     last = np.maximum.accumulate(np.where(same, -1, own))
     return np.clip(out[np.maximum(last, 0)] - (own - np.maximum(last, 0)), 0, most)
