@@ -82,13 +82,3 @@ def mix(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
         return h ^ (h >> U(31))
-
-
-def window_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of `width` values, by doubling."""
-    out, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
