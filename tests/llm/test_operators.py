@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -203,6 +204,28 @@ def test_forest_recall(spark, monkeypatch):
     assert all(got[i]["n_links"] <= want[i][0] for i in want)
 
 
+def test_forest_compares_dense_clusters_whole(spark, tmp_path):
+    """Clusters of different vectors that all link keep their links at the leaf size of the query."""
+    rng = np.random.default_rng(8)
+
+    def cluster(n):
+        return rng.standard_normal(64) + 0.2 * rng.standard_normal((n, 64))
+
+    groups = [(1, cluster(1000)), (1, cluster(4000)), (1, rng.standard_normal((1000, 64))), (2, cluster(20000))]
+    ids = np.split(np.arange(26000), np.cumsum([len(v) for _, v in groups])[:-1])
+    pdf = pd.concat([pd.DataFrame({"vec_id": i, "embedding": list(v), "label": label}) for (label, v), i in zip(groups, ids, strict=True)])
+    pdf.to_parquet(tmp_path / "vectors.parquet")
+    got = embeddings.near_dedup(spark.read.parquet(str(tmp_path / "vectors.parquet")).repartition(4)).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    for (_, v), i in zip(groups, ids, strict=True):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want = np.concatenate([(unit[k : k + 2000] @ unit.T >= embeddings.COSINE).sum(1) - 1 for k in range(0, len(v), 2000)])
+        assert (found[i] <= want).all() and found[i].sum() >= 0.9 * want.sum(), (len(v), found[i].sum(), want.sum())
+        if want.any():
+            assert set(got["component_id"].to_numpy()[i]) == {i[0]}
+    assert (found[ids[3]] == want).all()  # a label that is one cluster is compared whole
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(7)
     plain = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
