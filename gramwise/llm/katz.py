@@ -1,17 +1,19 @@
-"""Katz backoff: bigram counts with Good-Turing discounts and exactly normalised backoff weights.
-
-Texts are dealt to blocks of a few megabytes. A block counts its words and bigrams once and sends each bucket of words
-what it has met: hashes and counts, packed, far fewer than tokens. A bucket adds the blocks up, stores what it has as
-tables, and answers each block in the order of its question; so a block gets just the counts that its texts need.
-Backoff weights come from joins of the tables. Then every token is scored in its block, recursively: the bigram if it
-was met often enough, else the backoff of its context times the word.
+"""Katz backoff: n-gram counts with Good-Turing discounts and exactly normalised backoff weights.
+
+Texts are dealt to blocks of a few megabytes. A block counts its words, bigrams and longer n-grams once and sends each
+bucket the hashes and counts of what it has met, packed, far fewer than tokens. A bucket is chosen by the hash of the
+whole n-gram, so the followers of a common word are spread over all of them. It adds the blocks up and answers each in
+the order of its question; of the blocks that met an n-gram in training, the first owns it. Owners then send each
+n-gram's discounted count and its lower order's to the bucket of its context, where they are added up in turn: a context
+has one entry for each block at most. Then every token is scored in its block, recursively: the n-gram if it was met
+often enough, else the backoff of its context times the lower order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gramwise.llm.common import crc_mod, materialise, with_row_ids
 from gramwise.llm.tokens import word_hashes, words
@@ -19,13 +21,13 @@ from gramwise.llm.tokens import word_hashes, words
 U = np.uint64
 #: Hashes that stand for the start of a text (a context only) and its end (a token).
 START, END = U(1), U(2)
-#: Counts up to this are discounted; bigrams met less often than LEAST back off.
+#: Counts up to this are discounted; bigrams met less often than LEAST back off unless a query says otherwise.
 LARGE, LEAST = 5, 2
 #: Bytes of text in a block on average, and blocks for each bucket.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 2
 FOLDS, HELD_OUT = 7, 2
-#: A bigram's second word is known by the leading bits of its hash.
-SHORT = 16
+#: A slot is a bucket and, in its last bits, an order.
+ORDERS = 3
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -73,115 +75,155 @@ def grouped(batches, column: str):
         yield pa.Table.from_batches(held)
 
 
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of contexts followed by words."""
+    with np.errstate(over="ignore"):
+        x = h * U(0x9E3779B97F4A7C15) + w
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+        return x ^ (x >> U(31))
+
+
+class Level:
+    """A block's distinct n-grams of one order by hash: the places of their contexts and their last n - 1 words in the
+    level below, and which one ends at each place of the line (-1 where none does)."""
+
+    def __init__(self, key: np.ndarray, at: np.ndarray, ctx: np.ndarray | None = None, low: np.ndarray | None = None):
+        self.key, self.at, self.ctx, self.low = key, at, ctx, low
+
+    def above(self, words_: Level, places: np.ndarray) -> Level:
+        """The n-grams of the next order that end at these places."""
+        code, back = np.unique(self.at[places - 1].astype(np.int64) * max(len(words_.key), 1) + words_.at[places], return_inverse=True)
+        ctx, w = code // max(len(words_.key), 1), code % max(len(words_.key), 1)
+        low = np.empty(len(code), np.int64)
+        low[back] = self.at[places]
+        key = mixed(self.key[ctx], words_.key[w])
+        order = np.argsort(key)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = np.full(len(self.at), -1, np.int64)
+        at[places] = rank[back]
+        return Level(key[order], at, ctx[order], low[order])
+
+    def buckets(self, bits: int):
+        """(bucket, range of n-grams) for each bucket that has some."""
+        top = (self.key >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.key), np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)])) if len(top) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(top[a]), slice(a, b)
+
+
 class Block:
-    """The tokens of a block's texts: its distinct hashes, in order, and the bigrams as pairs of their places."""
+    """The tokens of a block's texts, and the distinct words and n-grams up to an order."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, order: int):
         w = words(texts, lower=True)
         n = len(w.starts) - 1
         size = np.diff(w.starts)
         hashes = np.maximum(word_hashes(w.flat), U(3))
         # Each text: START, its words, END.
-        self.begin = w.starts[:-1] + 2 * np.arange(n)
+        begin = w.starts[:-1] + 2 * np.arange(n)
         line = np.full(len(hashes) + 2 * n, START, U)
-        line[self.begin + size + 1] = END
+        line[begin + size + 1] = END
         place = np.ones(len(line), bool)
-        place[self.begin] = place[self.begin + size + 1] = False
+        place[begin] = place[begin + size + 1] = False
         line[place] = hashes
-        self.own, self.at = np.unique(line, return_inverse=True)
         self.row = np.repeat(np.arange(n), size + 2)
-        token = np.ones(len(line), bool)
-        token[self.begin] = False
-        self.token = np.flatnonzero(token)  # all but START
-        self.first = self.begin - np.arange(n)  # of each text among the tokens
-        pair = self.at[self.token - 1].astype(np.int64) * len(self.own) + self.at[self.token]
-        order = np.argsort(pair)
-        new = np.concatenate(([True], pair[order][1:] != pair[order][:-1])) if len(pair) else np.zeros(0, bool)
-        self.pairs = pair[order][new]
-        self.pair_at = np.empty(len(pair), np.int64)
-        self.pair_at[order] = np.cumsum(new) - 1
-        self.h, self.w = self.pairs // max(len(self.own), 1), self.pairs % max(len(self.own), 1)
+        since = np.arange(len(line)) - begin[self.row]
+        self.token = np.flatnonzero(since)  # all but START
+        self.first = begin - np.arange(n)  # of each text among the tokens
+        self.levels = [Level(*np.unique(line, return_inverse=True))]
+        for k in range(2, order + 1):
+            self.levels.append(self.levels[-1].above(self.levels[0], np.flatnonzero(since >= k - 1)))
 
-    def buckets(self, bits: int):
-        """(bucket, range of own hashes, range of pairs) for each bucket that has some."""
-        top = (self.own >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.own), np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)]))
-        pair_cuts = np.searchsorted(self.h, cuts)
-        for i in range(len(cuts) - 1):
-            yield int(top[cuts[i]]), slice(cuts[i], cuts[i + 1]), slice(pair_cuts[i], pair_cuts[i + 1])
 
+def _slot(bucket: int, order: int) -> int:
+    return bucket << ORDERS | order
 
-def _ask(rows: DataFrame, bits: int) -> DataFrame:
-    """Each block's questions: hashes and counts of words, followers of each, hashes and counts of those."""
+
+def _packed(out: list[tuple], fields: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    named = [f.split() for f in fields.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, (_, t) in enumerate(named)], [c for c, _ in named])
+
+
+def _ask(rows: DataFrame, bits: int, order: int) -> DataFrame:
+    """Each block's questions: hashes of n-grams, and how often it met them in training."""
+    fields = "slot int, block int, u binary, n binary"
 
     def run(batches):
         for table in grouped(batches, "block"):
-            b = Block(table.column("text").combine_chunks())
+            b = Block(table.column("text").combine_chunks(), order)
             train = table.column("train").to_numpy().astype(bool)[b.row]
-            count = np.bincount(b.at[train], minlength=len(b.own))
-            pair_count = np.bincount(b.pair_at[train[b.token]], minlength=len(b.pairs))
-            follow = np.bincount(b.h, minlength=len(b.own))
             block, out = table.column("block")[0].as_py(), []
-            for bucket, u, p in b.buckets(bits):
-                out.append((bucket, block, pack_sorted(b.own[u]), pack(count[u]), pack(follow[u]), pack(b.own[b.w[p]] >> U(SHORT)), pack(pair_count[p])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["bucket", "block", "u", "n", "follow", "w", "m"])
-
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "bucket int, block int, u binary, n binary, follow binary, w binary, m binary")
+            for k, level in enumerate(b.levels, 1):
+                count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
+                out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
+            yield _packed(out, fields)
 
-
-ANSWERS = "kind string, bucket int, block int, h long, w long, c long, a binary, b binary"
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, fields)
 
 
 def _add_up(asked: DataFrame) -> DataFrame:
-    """Each bucket's sums: tables of words (u) and bigrams met often enough (s), how many bigrams were met once, twice..
-    (n), and for each block the counts of its words and bigrams (r) and which words have such bigrams (a)."""
-    names = [f.split()[0] for f in ANSWERS.split(", ")]
+    """Each slot's sums: how many n-grams were met once, twice.. (n; at 0 all their counts, at -1 how many there are),
+    and for each block the counts of its n-grams, twice, and one more where it owns them (r)."""
+    fields = "kind string, slot int, block int, h long, c long, a binary"
 
-    def rows(kind: str, bucket: int, n: int, **columns):
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        given = {"kind": pa.array([kind] * n), "bucket": pa.array(np.full(n, bucket, np.int32)), **columns}
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names)
+    def run(batches):
+        for table in grouped(batches, "slot"):
+            slot = table.column("slot")[0].as_py()
+            keys = [unpack_sorted(x) for x in table.column("u").to_pylist()]
+            cuts = np.cumsum([0, *map(len, keys)])
+            key, m = np.concatenate(keys), np.concatenate([unpack(x) for x in table.column("n").to_pylist()]).astype(np.int64)
+            del keys
+            order = np.argsort(key, kind="stable")
+            key, m = key[order], m[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            sums = np.add.reduceat(m, first)
+            upto = np.cumsum(m) - m
+            owns = (m > 0) & (upto == np.repeat(upto[first], size))
+            answer = np.empty(len(key), np.int64)
+            answer[order] = np.repeat(sums, size) * 2 + owns
+            real = sums[(sums > 0) & (key[first] != START)] if slot % (1 << ORDERS) == 1 else sums[sums > 0]
+            met = np.bincount(real[real <= LARGE + 1], minlength=LARGE + 2)
+            out = [("n", slot, None, h, c, None) for h, c in [(-1, len(real)), (0, int(real.sum())), *list(enumerate(met.tolist()))[1:]]]
+            out += [("r", slot, block, None, None, pack(answer[cuts[i] : cuts[i + 1]])) for i, block in enumerate(table.column("block").to_pylist())]
+            yield _packed(out, fields)
+
+    return asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
+
+
+def _weigh(parts: DataFrame) -> DataFrame:
+    """(slot, block, mass, low) as packed doubles, added up for each context, in the order of each block's question."""
+    fields = "slot int, block int, mass binary, low binary"
 
     def run(batches):
-        for table in grouped(batches, "bucket"):
-            bucket = table.column("bucket")[0].as_py()
-            cols = {c: [unpack_sorted(x) if c == "u" else unpack(x) for x in table.column(c).to_pylist()] for c in ("u", "n", "follow", "w", "m")}
-            sizes = np.array([len(x) for x in cols["u"]])
-            pair_sizes = np.array([len(x) for x in cols["w"]])
-            own, at = np.unique(np.concatenate(cols["u"]), return_inverse=True)
-            total = np.zeros(len(own), np.int64)
-            np.add.at(total, at, np.concatenate(cols["n"]).astype(np.int64))
-            h, w = np.repeat(at.astype(np.int32), np.concatenate(cols["follow"]).astype(np.int64)), np.concatenate(cols["w"])
-            m = np.concatenate(cols["m"]).astype(np.int64)
-            del cols
-            order = np.lexsort((w, h))
-            hs, ws = h[order], w[order]
-            new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])))
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(m[order], first) if len(first) else np.zeros(0, np.int64)
-            met = np.bincount(sums[(sums > 0) & (sums <= LARGE + 1)], minlength=LARGE + 2)
-            yield rows("n", bucket, LARGE + 1, h=pa.array(np.arange(1, LARGE + 2)), c=pa.array(met[1:].astype(np.int64)))
-            often = sums >= LEAST
-            known = total > 0
-            yield rows("u", bucket, int(known.sum()), h=pa.array(own[known].view(np.int64)), c=pa.array(total[known]))
-            sh, sw, sc = hs[first[often]], ws[first[often]], sums[often]
-            yield rows("s", bucket, len(sc), h=pa.array(own[sh].view(np.int64)), w=pa.array(sw.astype(np.int64)), c=pa.array(sc))
-            back = np.empty(len(h), np.int64)
-            back[order] = np.where(often, sums, 0)[np.cumsum(new) - 1]
-            has = np.zeros(len(own), bool)
-            has[sh] = True
-            cut, pair_cut, a, b, ask = np.cumsum(sizes) - sizes, np.cumsum(pair_sizes) - pair_sizes, [], [], []
-            for i in range(len(sizes)):
-                mine = at[cut[i] : cut[i] + sizes[i]]
-                counts = back[pair_cut[i] : pair_cut[i] + pair_sizes[i]]
-                a.append(pack(total[mine] * 2 + has[mine]))  # the low bit: its backoff weight will follow
-                b.append(pack(counts))
-                ask.append(pack_sorted(own[mine[has[mine]]]))
-            blocks = table.column("block").combine_chunks()
-            yield rows("r", bucket, len(sizes), block=blocks, a=pa.array(a, pa.binary()), b=pa.array(b, pa.binary()))
-            yield rows("a", bucket, len(sizes), block=blocks, a=pa.array(ask, pa.binary()))
-
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
+        for table in grouped(batches, "slot"):
+            keys = [unpack_sorted(x) for x in table.column("u").to_pylist()]
+            cuts = np.cumsum([0, *map(len, keys)])
+            own, at = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            mass, low = (np.bincount(at, np.concatenate([np.frombuffer(x) for x in table.column(c).to_pylist()]), len(own))[at] for c in ("mass", "low"))
+            slot = table.column("slot")[0].as_py()
+            yield _packed([(slot, block, mass[a:b].tobytes(), low[a:b].tobytes()) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
+
+    return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
+
+
+def _joined(*columns: DataFrame) -> DataFrame:
+    """Rows of several kinds by block, in order of kind and slot, with the columns each lacks left null."""
+    every = columns[0]
+    for more in columns[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    return every.repartition("block").sortWithinPartitions("block", "turn", "slot")
+
+
+def _read(table: pa.Table, turn: int, k: int, column: str) -> list[bytes]:
+    """What the slots of an order answered, in order of bucket."""
+    slot = table.column("slot").to_numpy()
+    at = np.flatnonzero((table.column("turn").to_numpy() == turn) & (slot % (1 << ORDERS) == k))
+    return table.column(column).take(pa.array(at[np.argsort(slot[at], kind="stable")])).to_pylist()
 
 
 def discounts(met: dict[int, int]) -> list[float]:
@@ -197,110 +239,98 @@ def discounts(met: dict[int, int]) -> list[float]:
     return out
 
 
-def _discounted(c: Column, d: list[float]) -> Column:
-    """count times its discount."""
-    out = c.cast("double")
-    for r, x in enumerate(d, 1):
-        out = F.when(c == r, F.lit(r * x)).otherwise(out)
-    return out
-
-
-def _weights(found: DataFrame, one: list[float], two: list[float], n_tokens: int) -> DataFrame:
-    """(h, alpha, scale): the backoff weight of each context with stored bigrams, and what its discounted counts are
-    multiplied with. scale is 1 / c(h), less where discounts would leave no mass for the rest."""
-    words_ = found.where("kind = 'u'").where(~F.col("h").isin(int(START))).groupBy(F.shiftrightunsigned("h", SHORT).alias("w")).agg(F.sum(_discounted(F.col("c"), one) / n_tokens).alias("p"))
-    stored = found.where("kind = 's'").select("h", "w", "c").join(words_, "w")
-    sums = stored.groupBy("h").agg(F.sum(_discounted(F.col("c"), two)).alias("mass"), F.sum("p").alias("p"))
-    contexts = found.where("kind = 'u'").select("h", "c", "bucket").join(sums, "h")
-    scale = F.least(F.lit(1.0), (F.col("c") - 0.5) / F.col("mass")) / F.col("c")
-    left = 1 - F.col("mass") * scale
-    return contexts.select("bucket", "h", (left / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("alpha"), scale.alias("scale"))
-
-
-def _answer_weights(found: DataFrame, weights: DataFrame) -> DataFrame:
-    """(block, bucket, alpha, scale) as packed doubles, in the order of each block's question."""
-    nothing = lambda t: F.lit(None).cast(t)
-    one = weights.select("bucket", F.lit(0).alias("turn"), nothing("int").alias("block"), "h", "alpha", "scale", nothing("binary").alias("a"))
-    two = found.where("kind = 'a'").select("bucket", F.lit(1).alias("turn"), "block", nothing("long").alias("h"), nothing("double").alias("alpha"), nothing("double").alias("scale"), "a")
-
-    def run(batches):
-        for table in grouped(batches, "bucket"):
-            turn = table.column("turn").to_numpy()
-            known = table.filter(pa.array(turn == 0))
-            h = known.column("h").to_numpy().view(U)
-            order = np.argsort(h)
-            h, alpha, scale = h[order], known.column("alpha").to_numpy()[order], known.column("scale").to_numpy()[order]
-            asked = table.filter(pa.array(turn == 1))
-            out = []
-            for block, a in zip(asked.column("block").to_pylist(), asked.column("a").to_pylist(), strict=True):
-                at = np.searchsorted(h, unpack_sorted(a))
-                out.append((block, table.column("bucket")[0].as_py(), alpha[at].tobytes(), scale[at].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "alpha", "scale"])
-
-    return one.unionByName(two).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block int, bucket int, alpha binary, scale binary")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = LEAST) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
-    Learns from rows whose crc32(id as text) mod 7 is not 2. Tokens are lower-cased (A-Z) words and one end; a null or
-    empty text has the end alone. Scores are log10 probabilities. A word never met has what discounts leave of the
-    words' mass, and if they leave none, as much as half a token. Rows that repeat an id, null ids too, are texts of
-    their own; the remainder of a null id is 0.
+    Learns n-grams up to order (7 at most) from rows whose crc32(id as text) mod 7 is not 2; bigrams and longer ones met
+    less often than least back off. Tokens are lower-cased (A-Z) words and one end; a null or empty text has the end
+    alone. Scores are log10 probabilities. A word never met has what discounts leave of the words' mass, and if they
+    leave none, as much as half a token. Rows that repeat an id, null ids too, are texts of their own; the remainder of
+    a null id is 0.
     """
+    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     rows = with_row_ids(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     if size is None:
-        return docs.sparkSession.createDataFrame([], f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     blocks = max(1, -(-size // BLOCK_BYTES))
     bits = max(0, (blocks // BLOCKS_A_BUCKET).bit_length())
     rest = crc_mod(F.col("id"), FOLDS)
     dealt = rows.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), "id", "text", (rest != HELD_OUT).alias("train"))
-    found = materialise(_add_up(_ask(dealt.select("block", "text", "train"), bits)), "katz")
-    totals = found.where("kind = 'u'").where(F.col("h") != int(START)).agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, LARGE + 2)]).first()
-    n_tokens, v = totals["n"] or 0, totals["v"]
-    one = discounts({r: totals[f"n{r}"] or 0 for r in range(1, LARGE + 2)})
-    met = found.where("kind = 'n'").groupBy("h").agg(F.sum("c").alias("c")).collect()  # LARGE + 1 rows
-    two = discounts({r["h"]: r["c"] for r in met})
-    kept = sum((1 - d) * r * (totals[f"n{r}"] or 0) for r, d in enumerate(one, 1))
+    found = materialise(_add_up(_ask(dealt.select("block", "text", "train"), bits, order)), "katz")
+    met = found.where("kind = 'n'").groupBy((F.col("slot") % (1 << ORDERS)).alias("k"), "h").agg(F.sum("c").alias("c")).collect()  # LARGE + 3 rows an order
+    met = {(r["k"], r["h"]): r["c"] for r in met}
+    tables = []  # by order, the discounted counts up to LARGE
+    for k in range(1, order + 1):
+        tables.append(np.array([0.0, *[r * d for r, d in enumerate(discounts({r: met.get((k, r), 0) for r in range(1, LARGE + 2)}), 1)]]))
+    n_tokens, v = met.get((1, 0), 0), met.get((1, -1), 0)
+    kept = sum((r - tables[0][r]) * met.get((1, r), 0) for r in range(1, LARGE + 1))
     n_all = n_tokens if kept else n_tokens + 0.5  # without discounts half a token is left for what was never met
     unknown = (kept or 0.5) / n_all if n_tokens else 1.0
-    weights = materialise(_answer_weights(found, _weights(found, one, two, n_all)), "weights")
-    none = lambda t: F.lit(None).cast(t)
-    texts = dealt.select("block", F.lit(0).alias("turn"), F.lit(0).alias("bucket"), "id", "text", "train", none("binary").alias("a"), none("binary").alias("b"))
-    answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "bucket", none("long").alias("id"), none("string").alias("text"), none("boolean").alias("train"), "a", "b")
-    backs = weights.select("block", F.lit(2).alias("turn"), "bucket", none("long").alias("id"), none("string").alias("text"), none("boolean").alias("train"), F.col("alpha").alias("a"), F.col("scale").alias("b"))
-    table_one, table_two = np.array([0.0, *[r * d for r, d in enumerate(one, 1)]]), np.array([0.0, *[r * d for r, d in enumerate(two, 1)]])
 
-    def shrunk(c: np.ndarray, table: np.ndarray) -> np.ndarray:
-        return np.where(c <= LARGE, table[np.minimum(c, LARGE)], c)
+    def shrunk(c: np.ndarray, k: int) -> np.ndarray:
+        """Discounted counts of order k; none of those that back off."""
+        out = np.where(c <= LARGE, tables[k - 1][np.minimum(c, LARGE)], c)
+        return np.where(c >= least, out, 0.0) if k > 1 else out
+
+    def counts(table: pa.Table, b: Block):
+        """By order, the counts of a block's n-grams, which it owns, and which are contexts met in training."""
+        both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(table, 1, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
+        c, asks = [x >> 1 for x in both], []
+        for k in range(order - 1):
+            has = np.zeros(len(c[k]), bool)
+            has[b.levels[k + 1].ctx] = True
+            asks.append(has & (c[k] > 0))
+        return c, [(x & 1).astype(bool) for x in both], asks
+
+    def share(batches):
+        for table in grouped(batches, "block"):
+            b = Block(table.filter(pa.array(table.column("turn").to_numpy() == 0)).column("text").combine_chunks(), order)
+            c, owns, asks = counts(table, b)
+            out = []
+            for k, asked in enumerate(asks, 1):
+                up, level = b.levels[k], b.levels[k - 1]
+                own = np.flatnonzero(owns[k] & (c[k] >= least))
+                # Lower orders' discounted counts; contexts multiply them with their own scale.
+                parts = [np.bincount(up.ctx[own], x, len(level.key)) for x in (shrunk(c[k][own], k + 1), shrunk(c[k - 1][up.low[own]], k))]
+                for bucket, u in level.buckets(bits):
+                    if asked[u].any():
+                        out.append((_slot(bucket, k), table.column("block")[0].as_py(), pack_sorted(level.key[u][asked[u]]), *[x[u][asked[u]].tobytes() for x in parts]))
+            yield _packed(out, shared)
 
     def run(batches):
         for table in grouped(batches, "block"):
-            turn, bucket = table.column("turn").to_numpy(), table.column("bucket").to_numpy()
-            part = table.filter(pa.array(turn == 0))
-            b = Block(part.column("text").combine_chunks())
-
-            def answers_of(k: int, column: str, table=table, turn=turn, bucket=bucket) -> list[bytes]:
-                at = np.flatnonzero(turn == k)
-                return table.column(column).take(pa.array(at[np.argsort(bucket[at])])).to_pylist()
-
-            c = np.concatenate([unpack(x) for x in answers_of(1, "a")]).astype(np.int64)
-            asked, c = (c & 1).astype(bool), c >> 1
-            m = np.concatenate([unpack(x) for x in answers_of(1, "b")]).astype(np.int64)
-            p = np.where(c > 0, shrunk(c, table_one) / n_all if n_tokens else 0.0, unknown)
-            alpha, scale = np.ones(len(c)), np.ones(len(c))
-            alpha[asked], scale[asked] = (np.concatenate([np.frombuffer(x) for x in answers_of(2, k)]) for k in ("a", "b"))
-            log = np.where(m > 0, np.log10(np.maximum(shrunk(m, table_two) * scale[b.h], 1e-300)), np.log10(alpha[b.h]) + np.log10(p[b.w]))
-            known = c[b.at[b.token]]
-            sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (log[b.pair_at], np.log10((known + 1.0) / (n_tokens + v + 1.0)), known > 0)]
+            part = table.filter(pa.array(table.column("turn").to_numpy() == 0))
+            b = Block(part.column("text").combine_chunks(), order)
+            c, _, asks = counts(table, b)
+            p = np.where(c[0] > 0, shrunk(c[0], 1) / n_all if n_tokens else 0.0, unknown)
+            log, scale = np.zeros(len(b.row)), None
+            for k, asked in enumerate(asks, 1):
+                up, below = b.levels[k], scale
+                mass, low = np.zeros(len(c[k - 1])), np.zeros(len(c[k - 1]))
+                mass[asked], low[asked] = (np.concatenate([np.zeros(0), *map(np.frombuffer, _read(table, 2, k, x))]) for x in ("mass", "low"))
+                some = mass > 0
+                total = np.maximum(c[k - 1], 1)
+                # 1 / count, less where discounts would leave no mass for the rest.
+                scale = np.where(some, np.minimum(1.0, (total - 0.5) / np.where(some, mass, 1.0)) / total, 1.0)
+                low *= 1 / n_all if k == 1 else below[b.levels[k - 1].low]
+                alpha = np.where(some, (1 - mass * scale) / np.maximum(1 - low, 1e-12), 1.0)
+                own = shrunk(c[k], k + 1)
+                p = np.where(own > 0, own * scale[up.ctx], alpha[up.ctx] * p[up.low])
+                ends = np.flatnonzero(up.at >= 0)
+                log[ends] = np.log10(np.maximum(p, 1e-300))[up.at[ends]]
+            known = c[0][b.levels[0].at[b.token]]
+            sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (log[b.token], np.log10((known + 1.0) / (n_tokens + v + 1.0)), known > 0)]
             stop = np.concatenate((b.first[1:], [len(known)]))
             said = [x[stop] - x[b.first] for x in sums]
             train = part.column("train").combine_chunks()
             size = len(stop)
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(~train.to_numpy(zero_copy_only=False)), pa.array(stop - b.first), pa.array(said[2].astype(np.int64)), pa.array(np.full(size, n_tokens)), pa.array(said[1]), pa.array(said[0])], names)
 
+    shared = "slot int, block int, u binary, mass binary, low binary"
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    every = texts.unionByName(answers).unionByName(backs).repartition("block").sortWithinPartitions("block")
-    return every.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    texts = dealt.withColumn("turn", F.lit(0)).withColumn("slot", F.lit(0))
+    answers = found.where("kind = 'r'").select("block", "slot", "a", F.lit(1).alias("turn"))
+    parts = _joined(texts.select("block", "turn", "slot", "text"), answers).mapInArrow(share, shared)
+    weights = materialise(_weigh(parts), "weights").withColumn("turn", F.lit(2))
+    return _joined(texts, answers, weights).mapInArrow(run, schema).withColumnRenamed("id", id_col)

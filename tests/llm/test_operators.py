@@ -179,6 +179,14 @@ def test_katz(docs, sample_df, sample, which):
         assert r["base_score"] == pytest.approx(want[i][2]) and r["score"] == pytest.approx(want[i][3])
 
 
+def test_katz_spreads_the_followers_of_a_common_word(spark):
+    """No slot gets much more than its share of the bigrams when one word begins most of them."""
+    rows = [(k, 0, " ".join(f"the w{k}x{i}" for i in range(4000)), True) for k in range(2)]
+    asked = katz._ask(spark.createDataFrame(rows, "block int, id int, text string, train boolean").drop("id"), 3, 2)
+    sizes = [len(katz.unpack(r["n"])) for r in asked.collect() if r["slot"] % (1 << katz.ORDERS) == 2]
+    assert sum(sizes) >= 16000 and max(sizes) < 0.1 * sum(sizes)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
