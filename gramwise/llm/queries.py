@@ -36,7 +36,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(read(spark, sf_dir, "documents"))
+    return katz.score(read(spark, sf_dir, "documents"), order=3, least=1)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Operators against plain versions, on a small table of awkward texts and on the smallest documents table."""
 
+import functools
 import json
+import math
 import zlib
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import duckdb
@@ -187,6 +190,52 @@ def test_katz_spreads_the_followers_of_a_common_word(spark):
     assert sum(sizes) >= 16000 and max(sizes) < 0.1 * sum(sizes)
 
 
+@pytest.mark.parametrize("which", ["docs", "sample"])
+def test_katz_keeps_bigrams_met_once(docs, sample_df, sample, which):
+    df, rows = (docs, ROWS) if which == "docs" else (sample_df, sample)
+    want, _ = brute.katz(rows, [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2], katz.discounts, least=1)
+    for i, r in table(katz.score(df, least=1)).items():
+        assert r["score"] == pytest.approx(want[i][3])
+
+
+def trigrams(rows, train):
+    """{id: score} and the model p(context, word), recursive from trigrams met once to words."""
+    texts = {i: ["<s>", *brute.words(t, True), None] for i, t in rows}
+    grams = [Counter(tuple(t[e - k : e]) for i in train for t in [texts[i]] for e in range(max(k, 2), len(t) + 1)) for k in (1, 2, 3)]
+    cuts = [katz.discounts(Counter(min(c, 7) for c in g.values())) for g in grams]
+    shrunk = lambda g: grams[len(g) - 1][g] * (cuts[len(g) - 1][grams[len(g) - 1][g] - 1] if grams[len(g) - 1][g] <= 5 else 1)
+    n, kept = sum(grams[0].values()), sum(c - shrunk(g) for g, c in grams[0].items())
+    follow = defaultdict(list)
+    for g in [*grams[1], *grams[2]]:
+        follow[g[:-1]].append(g)
+
+    @functools.cache
+    def context(h):
+        mass, count = sum(map(shrunk, follow[h])), sum(grams[len(h)][g] for g in follow[h])
+        scale = min(1, (count - 0.5) / mass) / count
+        return scale, (1 - mass * scale) / (1 - sum(p(h[1:], g[-1]) for g in follow[h]))
+
+    def p(h, w):
+        if not h:
+            return (shrunk((w,)) if (w,) in grams[0] else kept) / n
+        if h not in follow:
+            return p(h[1:], w)
+        scale, alpha = context(h)
+        return shrunk((*h, w)) * scale if (*h, w) in grams[len(h)] else alpha * p(h[1:], w)
+
+    return {i: sum(math.log10(p(tuple(t[max(0, e - 2) : e]), t[e])) for e in range(1, len(t))) for i, t in texts.items()}, p
+
+
+def test_katz_trigrams(spark, sample_df, sample, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 1 << 16)  # several blocks and buckets
+    want, p = trigrams(sample, [i for i, _ in sample if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = table(katz.score(sample_df, order=3, least=1))
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx(want)
+    from gramwise.llm.queries import op7_katz
+
+    assert {r["doc_id"]: r["score"] for r in op7_katz(spark, "/root/testdata/sf0.001").collect()} == pytest.approx(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
