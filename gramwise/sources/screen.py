@@ -6,14 +6,18 @@ parent; the limits on nodes and signs are window filters, as they decide the res
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gramwise.functions import fixed
 from gramwise.functions.text import has_price, normalize, prices, trim
 
 VISITED, SCROLL_VISITED, SUBTREE_NODES, SUBTREE_SIGNS, CLIMB = 5000, 4000, 100, 1200, 7
-#: Levels of a tree at most.
-DEPTH = 60
+#: A walk meets a node of this depth after more nodes than it visits, and so does the walk below a node that it visits.
+DEPTH = VISITED + SUBTREE_NODES
+#: Levels found before they are written and lineage is cut.
+LEVELS = 8
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -22,18 +26,30 @@ def own_text(text: Column, description: Column) -> Column:
     return trim(F.concat_ws("\n", filled(text), F.when(~F.coalesce(description.eqNullSafe(text), F.lit(False)), filled(description))))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in spark.checkpoint.dir, or in a folder of our own where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint(eager=True)
+
+
 def placed(nodes: DataFrame) -> DataFrame:
     """Adds depth and path (the child numbers from the root): in this order a breadth-first walk meets the nodes."""
     level = nodes.where("parent_id is null").withColumns({"depth": F.lit(0), "path": F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i")))})
-    out = level
+    out, last = None, level  # what is written, and the levels since
     children = nodes.where("parent_id is not null")
     for depth in range(1, DEPTH):
         up = level.select("scan_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
-        level = children.join(up, ["scan_id", "parent_id"]).withColumns({"depth": F.lit(depth), "path": F.concat("_path", F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i"))))}).drop("_path").select(*out.columns)
+        level = children.join(up, ["scan_id", "parent_id"]).withColumns({"depth": F.lit(depth), "path": F.concat("_path", F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i"))))}).drop("_path").select(*last.columns)
         if not level.take(1):
             break
-        out = out.unionByName(level)
-    return out
+        last = last.unionByName(level)
+        if depth % LEVELS == 0:
+            last = _written(last)
+            level = last.where(F.col("depth") == depth)
+            out, last = last if out is None else out.unionByName(last), last.where(F.lit(False))
+    return last if out is None else out.unionByName(last)
 
 
 def score(text: Column, class_name: Column, width: Column, height: Column) -> Column:

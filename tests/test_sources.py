@@ -22,6 +22,11 @@ def test_best_scrollable_first_of_equals(spark):
     assert best_scrollable(spark.createDataFrame(rows, NODES)).first()["node_id"] == 3
 
 
+def test_deep_trees_are_whole(spark):
+    rows = [(1, k, k - 1 if k else None, 0, None, None, "x", 0, 0, 10, 10, k == 66) for k in range(67)]
+    assert best_scrollable(spark.createDataFrame(rows, NODES).coalesce(1)).first()["node_id"] == 66
+
+
 def test_ocr_context_is_clipped(spark):
     rows = [(1, 1, i, t) for i, t in enumerate(["Tea $6", "a", "b", "c"])]
     found = {r["raw_text"] for r in ocr_candidates(spark.createDataFrame(rows, "scan_id long, block_no int, line_no int, line_text string")).collect()}
