@@ -1,14 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models over the signs of each word, one learned from toxic and one from ordinary texts, share what lies below
-them: a class's counts at one order are discounted and back off to counts of both classes pooled at that order, which
-back off to the class at the next lower order, and at last to pooled continuation counts. A rare expression so costs
-both classes about the same, and only evidence of a class parts them. Signs rather than words catch insults with
-endings never met before. The score is a logistic of the log-likelihood ratio per word, fitted on rows kept from
-counting.
-
-Everything that is learned is bounded: at most `ROWS` labelled rows of each class and `GRAMS` n-grams, so the model
-can be sent to every executor. Scoring reads each text once and moves nothing.
+Two models over the signs of each word, one learned from toxic and one from ordinary texts. A sign is told by what
+stands before it in its word, up to ORDER - 1 signs: a class's discounted counts there back off to counts of both
+classes pooled at the next lower order, which are Kneser-Ney continuation counts down to single signs. So an expression
+that is rare, or that one class alone has, costs both classes about the same, and only contexts that both classes know
+part them. Signs rather than words catch insults with endings never met before; every code point is a sign of its own.
+
+A toxic text is mostly ordinary, so its words come from the toxic model with a small share, from the ordinary one
+otherwise. The difference of the two log-likelihoods is divided by the number of words; a logistic, fitted on rows kept
+from counting, makes it a score.
+
+What is learned is bounded by `ROWS` labelled rows and `SAMPLE_BYTES` of text of each class, and by nothing else: all
+n-grams of these rows count. The model is so small enough to be sent to every executor. Scoring reads each text once
+and moves nothing.
 """
 
 from __future__ import annotations
@@ -18,171 +22,167 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gramwise.llm.common import crc_mod, materialise, slices
-from gramwise.llm.tokens import words
-
-#: Labelled rows of each class to learn from, in the order of a hash of their ids.
-ROWS = 8_000
-#: Signs of an n-gram; n-grams kept, by count, and the least count.
-ORDER, GRAMS, FLOOR = 5, 400_000, 5
-#: A word's log ratio counts from a size on, and to MOST at most, so that many words of no weight don't drown a few that
-#: have. Of these sizes the one is taken that tells the calibration rows apart best.
-EVIDENCE, MOST = (0.5, 1.0, 2.0, 3.0, 4.0), 9.0
-#: Signs that are told apart: the code points below this, 1 at least. All others are one sign.
-SIGNS = 254
-BEGIN, END = 254, 255
+from gramwise.llm.tokens import BASES, Rolling, mix, words
+
+U = np.uint64
+#: Labelled rows of each class to learn from, in the order of a hash of their ids, and the bytes of their texts.
+ROWS, SAMPLE_BYTES = 8_000, 16 << 20
+#: Signs of an n-gram.
+ORDER = 10
+#: Shares of toxic words in a toxic text; the one that tells the calibration rows apart best is taken.
+SHARES = (0.1, 0.03, 0.01)
+#: Stand before and after each word; no code points.
+BEGIN, END = 0x110000, 0x110001
 MARKS = ".,;:!?\"'()[]|"
 FOLDS, CALIBRATION = 5, 4
 
 
-def spell(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The signs of each word between BEGIN and END, one after another, and where each word starts. Marks around a word go."""
-    flat = pc.utf8_trim(flat, characters=MARKS)
-    joined = "\n".join(flat.to_pylist())
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    n = pc.utf8_length(flat).to_numpy().astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(n + 2)))
-    out = np.full(starts[-1], END, np.int64)
-    if len(flat):
-        out[starts[:-1]] = BEGIN
-        place = np.repeat(starts[:-1] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out[place] = np.clip(points[points != 10], 1, SIGNS - 1)
-    return out, starts
-
-
-def grams(signs: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order 1 to ORDER: the positions that have so many signs of their word, and their n-grams as numbers."""
-    depth = np.arange(len(signs)) - np.repeat(starts[:-1], np.diff(starts))
-    out, at, key = [], np.arange(len(signs)), np.zeros(len(signs), np.int64)
-    for k in range(ORDER):
-        keep = depth[at] >= k
-        at, key = at[keep], key[keep] | (signs[at[keep] - k] << (8 * k))
-        out.append((at, key))
-    return out
+class Spelled:
+    """The signs of words between BEGIN and END, one word after another, and hashes of their runs."""
+
+    def __init__(self, flat: pa.Array):
+        flat = pc.utf8_trim(flat, characters=MARKS)
+        points = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le"), np.uint32)
+        n = pc.utf8_length(flat).to_numpy().astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(n + 2)))
+        self.signs = np.full(self.starts[-1], END, np.uint32)
+        if len(n):
+            self.signs[self.starts[:-1]] = BEGIN
+            self.signs[np.repeat(self.starts[:-1] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())] = points
+        self.roll = Rolling(mix(self.signs.astype(U) + U(1)), BASES[0])
+        #: The signs to be told, and how many of their word stand before each, BEGIN among them.
+        before = np.arange(len(self.signs)) - np.repeat(self.starts[:-1], n + 2)
+        self.at = np.flatnonzero(before)
+        self.before = before[self.at]
+
+    def word(self) -> np.ndarray:
+        """The word of each sign to be told."""
+        return np.searchsorted(self.starts, self.at, side="right") - 1
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest context of each sign, and the context with the sign, as hashes."""
+        size = np.minimum(self.before, ORDER - 1)
+        return self.roll.at(self.at - size, size), self.roll.at(self.at - size, size + 1)
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys there are, and their values."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    i = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[i] == keys, values[i]
 
 
 @dataclass
 class Model:
-    keys: np.ndarray  # of the n-grams kept, mixed with the order, sorted
-    gain: np.ndarray  # log of P(toxic) / P(ordinary) of the last sign after the others
-    back: np.ndarray  # log of the ratio of the backoff masses after all its signs
-    base: float = 0.0
-    evidence: float = EVIDENCE[-1]
+    grams: np.ndarray  # hashes of contexts with a sign, sorted
+    gain: np.ndarray  # log of P(toxic) / P(ordinary) of that sign after its context
+    contexts: np.ndarray  # hashes of contexts, sorted
+    back: np.ndarray  # log of the ratio of what the classes leave there for signs they don't know
+    share: float = SHARES[0]
     slope: float = 1.0
     shift: float = 0.0
+    known: bool = True  # learned from rows of both classes
 
     def words(self, flat: pa.Array) -> np.ndarray:
-        """The log-likelihood ratio of each word."""
-        signs, starts = spell(flat)
+        """The log-likelihood ratio of each word, under the two models alone."""
         if not len(flat):
             return np.zeros(0)
-        total, below = np.full(len(signs), self.base), np.full(len(signs), -1, np.int64)
-        for k, (at, key) in enumerate(grams(signs, starts)):
-            # What the context of k signs adds if this n-gram isn't kept: the backoff of its class.
-            mixed = mix_order(key, k + 1)
-            i = np.minimum(np.searchsorted(self.keys, mixed), len(self.keys) - 1)
-            hit = self.keys[i] == mixed
-            context = below[at - 1] if k else np.full(len(at), -1)
-            lost = ~hit & (context >= 0)
-            total[at[lost]] += self.back[context[lost]]
-            total[at[hit]] = self.gain[i[hit]]
-            below = np.full(len(signs), -1, np.int64)
-            below[at[hit]] = i[hit]
-        total[starts[:-1]] = 0.0  # BEGIN is given
-        return np.add.reduceat(total, starts[:-1])
-
-    def ratio(self, texts: pa.Array, evidence: tuple[float, ...] = ()) -> np.ndarray:
-        """The log-likelihood ratio of each text, per word, for each size of evidence; 0 for texts without words."""
+        s = Spelled(flat)
+        context, gram = s.grams()
+        own, back = np.unique(gram, return_inverse=True)
+        hit, value = _found(self.grams, own, self.gain)
+        hit, value = hit[back], value[back]
+        miss = np.flatnonzero(~hit)
+        there, lost = _found(self.contexts, context[miss], self.back)
+        value[miss] = np.where(there, lost, 0.0)
+        # Each word has its END to be told, so none is empty.
+        return np.add.reduceat(value, s.starts[:-1] - np.arange(len(flat)))
+
+    def ratio(self, texts: pa.Array, shares: tuple[float, ...] = ()) -> np.ndarray:
+        """The log-likelihood ratio of each text, per word, for each share of toxic words; 0 for texts without words."""
         w = words(texts, lower=True)
         n = np.diff(w.starts)
         coded = w.flat.dictionary_encode()
-        own, out = self.words(coded.dictionary), []
-        for size in evidence or (self.evidence,):
-            counts = np.where(np.abs(own) > size, np.clip(own, -size, MOST), 0.0)
-            sums = np.concatenate(([0.0], np.cumsum(counts[coded.indices.to_numpy()]) if len(w.flat) else []))
-            out.append(np.where(n > 0, (sums[w.starts[1:]] - sums[w.starts[:-1]]) / np.maximum(n, 1), 0.0))
-        return np.stack(out) if evidence else out[0]
+        own, which, out = np.minimum(self.words(coded.dictionary), 500.0), coded.indices.to_numpy(), []
+        for share in shares or (self.share,):
+            mixed = np.log1p(share * np.expm1(own))
+            sums = np.concatenate(([0.0], np.cumsum(mixed[which]) if len(which) else []))
+            out.append((sums[w.starts[1:]] - sums[w.starts[:-1]]) / np.maximum(n, 1))
+        return np.stack(out) if shares else out[0]
 
+    def exponent(self, texts: pa.Array) -> np.ndarray:
+        return self.slope * self.ratio(texts) + self.shift
 
-def mix_order(key: np.ndarray, order: int) -> np.ndarray:
-    """One number of an n-gram and its order: up to 7 signs of 8 bits, the order above them."""
-    return key | np.int64(order) << np.int64(56)
 
+def discount(counts: np.ndarray) -> float:
+    """What Kneser-Ney takes from each count, from how many there are of one and of two; within what is sensible."""
+    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
-def build(order: np.ndarray, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The two models from the counts of n-grams."""
 
-    def discount(c: np.ndarray) -> float:
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        return min(0.95, max(0.3, ones / (ones + 2 * twos))) if ones + twos else 0.5
+def _shared(s: Spelled, weight: np.ndarray) -> list[np.ndarray]:
+    """For order 1 to ORDER - 1, the pooled probability of each sign to be told after its order - 1 signs before; where it
+    has fewer, the last order's."""
+    inside = [s.before + 1 >= k for k in range(ORDER + 1)]
 
-    raw = np.stack((toxic, ordinary)).astype(float)
-    raw = np.concatenate((raw, raw.sum(0)[None]))
-    # Below the highest order a gram counts by the signs seen before it, unless it begins a word and has none.
-    count = raw.copy()
+    def level(k: int):
+        at = np.flatnonzero(inside[k])
+        keys, first, back = np.unique(s.roll.at(s.at[at] - k + 1, k), return_index=True, return_inverse=True)
+        return at, first, back, len(keys)
+
+    out = []
+    at, first, back, n = level(1)
+    below = np.full(len(s.at), 1.0 / max(n, 1))
     for k in range(1, ORDER):
-        own, above = np.flatnonzero(order == k), np.flatnonzero(order == k + 1)
-        sort = np.argsort(key[own])
-        own = own[sort]
-        tail = key[above] & ((1 << (8 * k)) - 1)
-        i = np.minimum(np.searchsorted(key[own], tail), max(len(own) - 1, 0))
-        if not len(own):
-            continue
-        hit = key[own][i] == tail
-        inside = key[own] >> (8 * (k - 1)) != BEGIN
-        for j in range(3):
-            kinds = np.bincount(i[hit], raw[j, above[hit]] > 0, len(own))
-            count[j, own[inside]] = kinds[inside]
-    keys, gains, backs = [], [], []
-    lower_key, lower_p = np.zeros(0, np.int64), np.zeros((2, 0))
-    kinds = np.unique(key[order == 2] & 255, return_counts=True) if (order == 2).any() else (np.zeros(0, np.int64), np.zeros(0))
-    base = np.full(256, 1.0)
-    base[kinds[0]] += kinds[1]
-    base /= base.sum()
-    for k in range(1, ORDER + 1):
-        own = order == k
-        own_key, c = key[own], count[:, own]
-        sort = np.argsort(own_key)
-        own_key, c = own_key[sort], c[:, sort]
-        context = own_key >> 8
-        contexts, group = np.unique(context, return_inverse=True)
-        n = len(contexts)
-        all_c, c = c[2], c[:2]
-        total, types = np.bincount(group, all_c, n), np.bincount(group, minlength=n)
-        d_all = discount(all_c)
-        if k == 1:
-            below = np.broadcast_to(base[own_key & 255], (2, len(own_key)))
-        else:
-            tail = own_key & ((1 << (8 * (k - 1))) - 1)
-            i = np.minimum(np.searchsorted(lower_key, tail), max(len(lower_key) - 1, 0))
-            below = np.where(lower_key[i] == tail, lower_p[:, i], base[tail & 255]) if len(lower_key) else np.broadcast_to(base[tail & 255], (2, len(tail)))
-        p, mass = np.empty_like(c), np.ones((2, n))
-        for j in range(2):
-            pooled = (np.maximum(all_c - d_all, 0) + d_all * types[group] * below[j]) / np.maximum(total[group], 1)
-            sums, kinds_j = np.bincount(group, c[j], n), np.bincount(group, c[j] > 0, n)
-            d = discount(c[j])
-            mass[j] = np.where(sums > 0, d * kinds_j / np.maximum(sums, 1), 1.0)
-            p[j] = np.where(sums[group] > 0, np.maximum(c[j] - d, 0) / np.maximum(sums[group], 1), 0.0) + mass[j][group] * pooled
-        keys.append(mix_order(own_key, k))
-        gains.append(np.log(p[0] / p[1]))
-        backs.append(np.zeros(len(own_key)))
-        if k > 1:  # the backoff of a context stands at the n-gram that it is
-            i = np.minimum(np.searchsorted(lower_key, contexts), max(len(lower_key) - 1, 0))
-            if len(lower_key):
-                hit = lower_key[i] == contexts
-                backs[-2][i[hit]] = np.log(mass[0] / mass[1])[hit]
-        lower_key, lower_p = own_key, p
-    keys, gain, back = np.concatenate(keys), np.concatenate(gains), np.concatenate(backs)
-    if not len(keys):
-        return Model(np.array([-1]), np.zeros(1), np.zeros(1))
-    sort = np.argsort(keys)
-    return Model(keys[sort], gain[sort], back[sort])
+        count = np.bincount(back, weight[at], n)
+        above = level(k + 1) if k < ORDER - 1 else None
+        if above is not None:  # how many different signs stand before, but for what begins a word
+            up_at, up_first, _, _ = above
+            place = np.empty(len(s.at), np.int64)
+            place[at] = back
+            kinds = np.bincount(place[up_at[up_first]], minlength=n)
+            count = np.where(s.before[at[first]] + 1 > k, kinds, count)
+        own = s.at[at[first]]
+        contexts, group = np.unique(s.roll.at(own - k + 1, k - 1), return_inverse=True) if k > 1 else (np.zeros(1, U), np.zeros(n, np.int64))
+        total, types, d = np.bincount(group, count, len(contexts)), np.bincount(group, count > 0, len(contexts)), discount(count)
+        p = (np.maximum(count - d, 0) + d * types[group] * below[at[first]]) / np.maximum(total[group], 1e-9)
+        p = np.where(total[group] > 0, p, below[at[first]])
+        below = below.copy()
+        below[at] = p[back]
+        out.append(below)
+        if above is not None:
+            at, first, back, n = above
+    return out
+
+
+def build(flat: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    """The two models from distinct words and in how many toxic and ordinary texts each is."""
+    s = Spelled(flat)
+    counts = np.stack((toxic, ordinary)).astype(float)[:, s.word()]
+    shared = _shared(s, counts.sum(0))
+    low = shared[0].copy()
+    for k in range(2, ORDER):
+        has = s.before >= k
+        low[has] = shared[k - 1][has]
+    context, gram = s.grams()
+    grams, first, back = np.unique(gram, return_index=True, return_inverse=True)
+    contexts, group = np.unique(context[first], return_inverse=True)
+    low, p, left = low[first], [], []
+    for c in counts:
+        n = np.bincount(back, c, len(grams))
+        d, total, types = discount(n), np.bincount(group, n, len(contexts)), np.bincount(group, n > 0, len(contexts))
+        rest = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
+        left.append(rest)
+        p.append(np.where(total[group] > 0, np.maximum(n - d, 0) / np.maximum(total[group], 1), 0.0) + rest[group] * low)
+    return Model(grams, np.log(p[0] / p[1]), contexts, np.log(left[0] / left[1]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(loss, slope, shift) of a logistic by Newton's method on standardised values."""
+    """(loss, slope, shift) of a logistic by Newton's method on standardised values; slope 1 for values of one class."""
     if not len(x) or y.min() == y.max():
         return 0.0, 1.0, 0.0
     mid, scale = x.mean(), max(x.std(), 1e-9)
@@ -201,65 +201,67 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return loss, w[0] / scale, w[1] - w[0] * mid / scale
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _toxic, _fold) of the ids to learn from. An id with several labels is toxic if one of them says so."""
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
+    return marked.withColumn("_fold", crc_mod(F.col("_id"), FOLDS)).where("_fold != 0 and _toxic in (0, 1)")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from rows of docs that labels marks and whose crc32(id) mod 5 is not 0.
 
-    Of these, remainders 1 to 3 are counted and remainder 4 sets the logistic. An id with several labels counts as
-    toxic if one of them says so; null ids and labels are left out.
+    Of these, remainders 1 to 3 are counted and remainder 4 sets the share of toxic words and the logistic. Of each class
+    as many are taken, in the order of a hash of their ids, as fit ROWS and SAMPLE_BYTES; texts are taken whole. Of equal
+    texts one counts, and a word once in each text. Null ids and labels are left out.
     """
-    spark = docs.sparkSession
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
-    marked = marked.withColumn("_fold", crc_mod(F.col("_id"), FOLDS)).where("_fold != 0 and _toxic in (0, 1)")
-    chosen = marked.where("_toxic = 1").orderBy(F.xxhash64("_id"), "_id").limit(ROWS).unionByName(marked.where("_toxic = 0").orderBy(F.xxhash64("_id"), "_id").limit(ROWS))
+    marked = labelled(labels, id_col, label_col)
+    order = [F.xxhash64("_id"), F.col("_id")]
+    chosen = marked.where("_toxic = 1").orderBy(*order).limit(ROWS).unionByName(marked.where("_toxic = 0").orderBy(*order).limit(ROWS))
     chosen = materialise(chosen, "labelled")
-    # At most 2 * ROWS rows of three numbers: this may always be sent. Of equal texts one counts.
-    sample = materialise(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("_toxic", "_fold", "text").dropDuplicates(["text"]), "sample")
+    # At most 2 * ROWS rows of three numbers: this may always be sent.
+    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").dropDuplicates(["text"])
+    upto = F.sum(F.octet_length("text")).over(W.partitionBy("_toxic").orderBy(*order))  # over ROWS rows, or repeats of their ids
+    sample = materialise(sample.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES).select("_toxic", "_fold", "text"), "sample")
 
     def count(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column(1), lower=True)
                 coded = w.flat.dictionary_encode()
-                size = len(coded.dictionary)
-                # A word counts once in a text, however often that repeats it.
-                once = np.unique(w.rows * size + coded.indices.to_numpy()) if size else np.zeros(0, np.int64)
-                toxic, which = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[once // max(size, 1)], once % max(size, 1)
-                times = np.stack((np.bincount(which[toxic], minlength=size), np.bincount(which[~toxic], minlength=size)))
-                signs, starts = spell(coded.dictionary)
-                word = np.repeat(np.arange(size), np.diff(starts))
-                for at, key in grams(signs, starts):
-                    own, back = np.unique(key, return_inverse=True)
-                    n = [np.bincount(back, times[j, word[at]], len(own)).astype(np.int64) for j in range(2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, n)], ["key", "toxic", "ordinary"])
-
-    # No sign is 0, so the order of an n-gram shows in its highest sign.
-    counted = sample.where(F.col("_fold") != CALIBRATION).select("_toxic", "text").mapInArrow(count, "key long, toxic long, ordinary long")
-    summed = counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where(F.col("toxic") + F.col("ordinary") >= FLOOR)
-    top = summed.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "key").limit(GRAMS).toPandas()
-    keys = top["key"].to_numpy(np.int64)
-    order = sum((keys >> (8 * k) > 0).astype(int) for k in range(ORDER)) if len(keys) else np.zeros(0, int)
-    model = build(order, keys, top["toxic"].to_numpy(), top["ordinary"].to_numpy())
-    held = ratios(sample.where(F.col("_fold") == CALIBRATION).select("_toxic", "text"), model, "_toxic", evidence=EVIDENCE).toPandas()  # a few numbers of each of at most 2 * ROWS rows
+                size = max(len(coded.dictionary), 1)
+                once = np.unique(w.rows * size + coded.indices.to_numpy())
+                toxic, which = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[once // size], once % size
+                n = [np.bincount(which[x], minlength=len(coded.dictionary)).astype(np.int64) for x in (toxic, ~toxic)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *map(pa.array, n)], ["word", "toxic", "ordinary"])
+
+    counted = sample.where(F.col("_fold") != CALIBRATION).select("_toxic", "text").mapInArrow(count, "word string, toxic long, ordinary long")
+    # The distinct words of 2 * SAMPLE_BYTES of text at most.
+    table = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("word").toArrow()
+    toxic, ordinary = (table.column(c).to_numpy() for c in ("toxic", "ordinary"))
+    if not toxic.any() or not ordinary.any():
+        none = np.zeros(0)
+        return Model(none.astype(U), none, none.astype(U), none, slope=0.0, known=False)
+    model = build(table.column("word").combine_chunks(), toxic, ordinary)
+    held = ratios(sample.where(F.col("_fold") == CALIBRATION).select("_toxic", "text"), model, "_toxic", shares=SHARES).toPandas()  # a few numbers of each of at most 2 * ROWS rows
     y = held["_toxic"].to_numpy(float)
-    fits = [(*fit_logistic(held[f"ratio{k}"].to_numpy(float), y), size) for k, size in enumerate(EVIDENCE)]
-    _, model.slope, model.shift, model.evidence = min(fits)
-    # The sample takes both classes alike; the shift is set back to how common they are among all labelled rows.
+    fits = [(*fit_logistic(held[f"ratio{k}"].to_numpy(float), y), share) for k, share in enumerate(SHARES)]
+    _, model.slope, model.shift, model.share = min(fits)
+    # The sample may take the classes unlike; the shift is set back to how common they are among all labelled rows.
     share = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    took = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    if len(share) == 2:
-        model.shift += float(np.log(share[1] / share[0]) - np.log(took[1] / took[0]))
+    took = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    model.shift += float(np.log(share[1] / share[0]) - np.log(took[1] / took[0]))
     return model
 
 
-def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text", evidence: tuple[float, ...] = ()) -> DataFrame:
-    """(id, ratio): the difference of the log-likelihoods per word; ratio0, ratio1.. for several sizes of evidence."""
+def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text", shares: tuple[float, ...] = ()) -> DataFrame:
+    """(id, ratio): the difference of the log-likelihoods per word; ratio0, ratio1.. for several shares."""
     sent, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[id_col].dataType.simpleString()
-    names = [f"ratio{k}" for k in range(len(evidence))] or ["ratio"]
+    names = [f"ratio{k}" for k in range(len(shares))] or ["ratio"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = np.atleast_2d(sent.value.ratio(part.column(1), evidence))
+                found = np.atleast_2d(sent.value.ratio(part.column(1), shares))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], [id_col, *names])
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{n} double' for n in names)}")
@@ -269,7 +271,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id, held_out, score, predicted) for every row of docs.
 
     held_out says that crc32(id as text) mod 5 is 0: such rows are never learned from. A null or empty text has a
-    ratio of 0 and the score that goes with it. Without rows of both classes every score is that of the prior, 0.5.
+    ratio of 0 and the score that goes with it. Where the labels give no rows of both classes to count, every score is
+    0.5. Rows that repeat an id are scored each, null ids too.
     """
     model = train(docs, labels, id_col, text_col, label_col)
     exponent = F.lit(model.slope) * F.col("ratio") + F.lit(model.shift)
@@ -278,15 +281,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't reject, with all columns, in one pass: no join by id."""
+    """The rows of docs that the model doesn't reject (score below 0.5), with all columns, in one pass: no join by id.
+
+    Where there is nothing to learn from, all rows stay.
+    """
     model = train(docs, labels, id_col, text_col)
-    sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    if not model.known:
+        return docs
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
-                m = sent.value
-                exponent = m.slope * m.ratio(part.column(names.index(text_col))) + m.shift
-                yield part.filter(pa.array(exponent < 0))
+                yield part.filter(pa.array(sent.value.exponent(part.column(at)) < 0))
 
     return docs.mapInArrow(run, docs.schema)
