@@ -29,7 +29,7 @@ from gramwise.llm.tokens import BASES, Rolling, mix, words
 
 U = np.uint64
 #: Labelled rows of each class to learn from, in the order of a hash of their ids, and the bytes of their texts.
-ROWS, SAMPLE_BYTES = 8_000, 16 << 20
+ROWS, SAMPLE_BYTES = 8_000, 8 << 20
 #: Signs of an n-gram.
 ORDER = 10
 #: Shares of toxic words in a toxic text; the one that tells the calibration rows apart best is taken.
@@ -124,56 +124,49 @@ def discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _shared(s: Spelled, weight: np.ndarray) -> list[np.ndarray]:
-    """For order 1 to ORDER - 1, the pooled probability of each sign to be told after its order - 1 signs before; where it
-    has fewer, the last order's."""
-    inside = [s.before + 1 >= k for k in range(ORDER + 1)]
+def _shared(s: Spelled, weight: np.ndarray) -> np.ndarray:
+    """The pooled probability of each sign to be told after what stands before it, less the first sign of its longest
+    context. weight: how often each word comes."""
+    word = s.word().astype(np.int32)
 
     def level(k: int):
-        at = np.flatnonzero(inside[k])
+        at = np.flatnonzero(s.before + 1 >= k).astype(np.int32)
         keys, first, back = np.unique(s.roll.at(s.at[at] - k + 1, k), return_index=True, return_inverse=True)
-        return at, first, back, len(keys)
+        return at, first.astype(np.int32), back.astype(np.int32), len(keys)
 
-    out = []
     at, first, back, n = level(1)
     below = np.full(len(s.at), 1.0 / max(n, 1))
+    low = below.copy()
     for k in range(1, ORDER):
-        count = np.bincount(back, weight[at], n)
+        count = np.bincount(back, weight[word[at]], n)
         above = level(k + 1) if k < ORDER - 1 else None
         if above is not None:  # how many different signs stand before, but for what begins a word
-            up_at, up_first, _, _ = above
-            place = np.empty(len(s.at), np.int64)
+            place = np.zeros(len(s.at), np.int32)
             place[at] = back
-            kinds = np.bincount(place[up_at[up_first]], minlength=n)
+            kinds = np.bincount(place[above[0][above[1]]], minlength=n)
             count = np.where(s.before[at[first]] + 1 > k, kinds, count)
-        own = s.at[at[first]]
-        contexts, group = np.unique(s.roll.at(own - k + 1, k - 1), return_inverse=True) if k > 1 else (np.zeros(1, U), np.zeros(n, np.int64))
+        contexts, group = np.unique(s.roll.at(s.at[at[first]] - k + 1, k - 1), return_inverse=True) if k > 1 else (np.zeros(1, U), np.zeros(n, np.int64))
         total, types, d = np.bincount(group, count, len(contexts)), np.bincount(group, count > 0, len(contexts)), discount(count)
-        p = (np.maximum(count - d, 0) + d * types[group] * below[at[first]]) / np.maximum(total[group], 1e-9)
-        p = np.where(total[group] > 0, p, below[at[first]])
-        below = below.copy()
+        under = below[at[first]]
+        p = np.where(total[group] > 0, (np.maximum(count - d, 0) + d * types[group] * under) / np.maximum(total[group], 1e-9), under)
         below[at] = p[back]
-        out.append(below)
+        has = s.before >= k
+        low[has] = below[has]
         if above is not None:
             at, first, back, n = above
-    return out
+    return low
 
 
 def build(flat: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     """The two models from distinct words and in how many toxic and ordinary texts each is."""
     s = Spelled(flat)
-    counts = np.stack((toxic, ordinary)).astype(float)[:, s.word()]
-    shared = _shared(s, counts.sum(0))
-    low = shared[0].copy()
-    for k in range(2, ORDER):
-        has = s.before >= k
-        low[has] = shared[k - 1][has]
+    low, word = _shared(s, (toxic + ordinary).astype(float)), s.word().astype(np.int32)
     context, gram = s.grams()
     grams, first, back = np.unique(gram, return_index=True, return_inverse=True)
     contexts, group = np.unique(context[first], return_inverse=True)
     low, p, left = low[first], [], []
-    for c in counts:
-        n = np.bincount(back, c, len(grams))
+    for c in (toxic.astype(float), ordinary.astype(float)):
+        n = np.bincount(back, c[word], len(grams))
         d, total, types = discount(n), np.bincount(group, n, len(contexts)), np.bincount(group, n > 0, len(contexts))
         rest = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
         left.append(rest)
