@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,12 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Where tables that were written stand, and the folders to remove when the driver ends.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_FOLDERS: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local session
+    gets one of its own; on a cluster it must be set, as executors don't see the driver's folders."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if sc.getCheckpointDir() is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
@@ -26,12 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _remove(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # what is left behind costs room only
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this application in the shared one; it goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/gramwise-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing will read again."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _remove(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -49,17 +84,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def id_kind(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
 def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, text): rid is unique and ordered as id, null ids first and equal ids by text.
+    """(rid, id, text): rid is a unique number, ordered as id, null ids first and equal ids by a digest of the text.
 
-    Unique ids without nulls are used as they are, which a narrow aggregation checks. Otherwise the rows are
-    sorted, numbered and written once, so that every later read sees the same numbers.
+    Whole numbers that are unique and not null are used as they are, which a narrow aggregation checks. Otherwise the rows
+    are sorted, numbered and written once, so that every later read sees the same numbers.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    again = rows.groupBy("id").count().where("count > 1 or id is null")
-    if not again.take(1):
-        return rows.select(F.col("id").alias("rid"), "id", "text")
-    ordered = rows.orderBy(F.col("id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if id_kind(docs, id_col) in ("tinyint", "smallint", "int", "bigint") and not rows.groupBy("id").count().where("count > 1 or id is null").take(1):
+        return rows.select(F.col("id").cast("long").alias("rid"), "id", "text")
+    ordered = rows.orderBy(F.col("id").asc_nulls_first(), F.sha2(F.col("text").cast("binary"), 256))
     return materialise(ordered.select(F.monotonically_increasing_id().alias("rid"), "id", "text"), "rows")
 
 

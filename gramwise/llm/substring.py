@@ -1,8 +1,9 @@
 """Substring dedup of words by level-wise doubling.
 
-Windows of `LEVELS[0]` words are looked at first, at the anchors of the windows wanted. Those that come again alone
-are extended to twice the length, again at anchors; and those that come again alone to the whole window, whose hashes
-travel with the anchor's. A level without repeats ends it.
+Runs of `FIRST` words are looked at first, at the anchors of the windows wanted. Windows whose anchor alone came again
+are candidates: they are extended to runs of twice the length, again at anchors, and those that come again alone to the
+next, until the whole window is reached or no candidates survive. At the last level windows are compared whole. Words
+are compared as hashes, windows by two that are independent: 128 bits.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import materialise, slices, with_row_ids
-from gramwise.llm.repeats import U, again, anchored, holds, hot_keys, least, running, tails
+from gramwise.llm.common import id_kind, materialise, release, slices, with_row_ids
+from gramwise.llm.repeats import SENT, U, again, anchored, holds, hot_keys, least, sent, sent_windows
 from gramwise.llm.tokens import BASES, Rolling, mix, word_hashes, words
 
 WINDOW = 35
-#: Lengths before the window: each twice the one before; twice the last reaches the window.
-LEVELS = (9, 18)
+#: The words of a run at the first level; each level has twice the one before, the last the window.
+FIRST = 9
 
 
 def _grams(roll: Rolling, n: int, length: int) -> np.ndarray:
@@ -41,14 +42,23 @@ class _Slice:
         self.row = self.words.rows
         self.valid = np.arange(self.n) + WINDOW <= s[1:][self.row] if self.n else np.zeros(0, bool)
 
+    def candidates(self, spans: pa.Array, length: int) -> np.ndarray:
+        """Whether each window has its anchor of `length` words at one of the places in spans."""
+        chosen, out = _positions(spans, self.words.starts), np.zeros(self.n, bool)
+        if len(chosen):
+            grams, lows, width = self.level(length)
+            out[holds(grams, lows, width, chosen)] = True
+        return out
+
     def level(self, length: int) -> tuple[np.ndarray, np.ndarray, int]:
         width = WINDOW - length + 1
         grams = _grams(self.rolls[0], self.n, length)
         return grams, least(grams, width, self.valid), width
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """(k, rid, pos, tail): the anchors of the first level of every text."""
+def _level(texts: DataFrame, length: int, before: int | None) -> DataFrame:
+    """Rows for `again`: the anchors of `length` words of the candidates; those are all windows, or the ones that have an
+    anchor of `before` words in the column spans."""
 
     def run(batches):
         for batch in batches:
@@ -56,13 +66,36 @@ def _first(rows: DataFrame) -> DataFrame:
                 s = _Slice(part.column(1))
                 if not s.n:
                     continue
-                grams, lows, width = s.level(LEVELS[0])
+                grams, lows, width = s.level(length)
+                if before is not None:
+                    lows = np.where(s.candidates(part.column(2), before), lows, U(0))
                 at = anchored(grams, lows, width)
                 row = s.row[at]
-                rid = part.column(0).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(rid), pa.array((at - s.words.starts[row]).astype(np.int32)), pa.nulls(len(at), pa.binary())], ["k", "rid", "pos", "tail"])
+                yield from sent(grams[at], part.column(0).to_numpy()[row], at - s.words.starts[row])
+
+    return texts.select("rid", "text", *["spans"] * (before is not None)).mapInArrow(run, SENT)
+
+
+def _windows(texts: DataFrame, before: int, hot: np.ndarray) -> DataFrame:
+    """Rows for `again`: the candidates whole, by their anchor of `before` words, with their hashes. A very frequent
+    anchor's windows go each its own way."""
+    common = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = _Slice(part.column(1))
+                if not s.n:
+                    continue
+                at = np.flatnonzero(s.candidates(part.column(2), before))
+                if not len(at):
+                    continue
+                low, hashes = s.level(before)[1][at], s.rolls[1].at(at, WINDOW)
+                apart = np.isin(low, common.value)
+                row = s.row[at]
+                yield from sent_windows(np.where(apart, mix(low ^ hashes), low), hashes, apart, part.column(0).to_numpy()[row], at - s.words.starts[row])
 
-    return rows.select("rid", "text").mapInArrow(run, "k long, rid long, pos int, tail binary")
+    return texts.select("rid", "text", "spans").mapInArrow(run, SENT)
 
 
 def _positions(spans: pa.Array, starts: np.ndarray) -> np.ndarray:
@@ -77,57 +110,20 @@ def _positions(spans: pa.Array, starts: np.ndarray) -> np.ndarray:
     return np.repeat(begin + base, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _second(joined: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(k, rid, pos, tail): windows whose first-level anchor comes again, by their second-level anchor, with their hashes.
-
-    A second-level anchor that holds a very frequent first-level one is split: its windows go their own ways.
-    """
-    sent = joined.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                s = _Slice(part.column(1))
-                chosen = _positions(part.column(2), s.words.starts)
-                if not len(chosen):
-                    continue
-                grams, lows, width = s.level(LEVELS[0])
-                windows = holds(grams, lows, width, chosen)
-                often = np.zeros(s.n, bool)
-                if len(sent.value):
-                    often[:] = np.isin(grams, sent.value)
-                    inside = LEVELS[1] - LEVELS[0] + 1
-                    often = running(np.concatenate((often, np.zeros(inside - 1, bool))), inside, np.maximum)
-                lows, width = s.level(LEVELS[1])[1:]
-                # Neighbouring windows with the same anchor travel together.
-                low, hashes = lows[windows], s.rolls[1].at(windows, WINDOW)
-                grams = s.level(LEVELS[1])[0]
-                apart = _holds_often(grams, lows, width, often)[windows]
-                new = np.concatenate(([True], (windows[1:] != windows[:-1] + 1) | (low[1:] != low[:-1]) | apart[1:] | apart[:-1] | (s.row[windows[1:]] != s.row[windows[:-1]])))
-                first = np.flatnonzero(new)
-                count = np.diff(np.concatenate((first, [len(windows)])))
-                key = np.where(apart[first], mix(low[first] ^ hashes[first]), low[first])
-                row = s.row[windows[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.column(0).to_numpy()[row]), pa.array((windows[first] - s.words.starts[row]).astype(np.int32)), tails(hashes, first, count)], ["k", "rid", "pos", "tail"])
-
-    return joined.mapInArrow(run, "k long, rid long, pos int, tail binary")
-
-
-def _holds_often(grams: np.ndarray, lows: np.ndarray, width: int, often: np.ndarray) -> np.ndarray:
-    """Whether each window's anchor is a gram that holds a frequent one: the same for all equal windows."""
-    out = np.zeros(len(grams), bool)
-    out[holds(grams, lows, width, np.flatnonzero(often))] = True
-    return out
-
-
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(rid, spans): the window starts whose words also come elsewhere, as lists of (begin, stop), from (rid, text)."""
-    found = materialise(again(_first(rows)), "level")
-    hot = hot_keys(found)
-    if found.where("rid is not null").take(1):
-        joined = rows.select("rid", "text").join(_lists(found), "rid")
-        found = materialise(again(_second(joined, hot)), "windows")
-    return _lists(found)
+    length, before, texts, found = FIRST, None, rows, None
+    while length < WINDOW:
+        last, found = found, materialise(again(_level(texts, length, before)), f"level{length}")
+        if last is not None:
+            release(last)
+        if not found.where("rid is not null").take(1):
+            return _lists(found)
+        texts = rows.select("rid", "text").join(_lists(found), "rid")
+        length, before = 2 * length, length
+    out = materialise(again(_windows(texts, before, hot_keys(found))), "windows")
+    release(found)
+    return _lists(out)
 
 
 def _lists(found: DataFrame) -> DataFrame:
@@ -139,7 +135,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     Each word in a window of 35 words of one document whose word sequence also starts anywhere else is removed; windows
     are judged on the input. Kept words are joined by one space. A null or empty text has no words. Rows that repeat an
-    id, null ids too, are documents of their own.
+    id, null ids too, are documents of their own. An empty table gives no rows; other columns are not read.
     """
     rows = with_row_ids(docs, id_col, text_col)
     joined = rows.join(repeated_windows(rows), "rid", "left").select("id", "text", "spans")
@@ -162,5 +158,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
                 yield pa.RecordBatch.from_arrays(out + [kept.cast(pa.string())] * keep_text, names)
 
     names = ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text]
-    out = joined.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    out = joined.mapInArrow(run, f"id {id_kind(docs, id_col)}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
     return out.withColumnRenamed("id", id_col)

@@ -2,7 +2,7 @@
 
 Strings that can't come again are left out first: only those whose anchor, the least hash of the shorter strings inside,
 comes again. The others travel with their anchor as a snippet, so equal strings meet in one shard, where equal snippets
-are one. A shard's text gets a suffix array by induced sorting and its permuted common prefixes; runs of suffixes with
+are one; of equal snippets that a task has at hand it sends the earliest. A shard's text gets a suffix array by induced sorting and its permuted common prefixes; runs of suffixes with
 100 bytes in common are the copies of a string, and all but the earliest are removed.
 """
 
@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import materialise, slices, with_row_ids
-from gramwise.llm.repeats import U, again, anchored, holds, hot_keys, least, spans
+from gramwise.llm.common import id_kind, materialise, release, slices, with_row_ids
+from gramwise.llm.repeats import SENT, U, again, anchored, holds, hot_keys, least, sent, spans, told
 from gramwise.llm.substring import _lists, _positions
 from gramwise.llm.suffixes import STOP, common_prefixes, suffix_array
 from gramwise.llm.tokens import BASES, Rolling, mix
 
 LENGTH = 100
 #: Bytes of an anchor, and of a shard's text: a shard ends with the anchor that goes past it.
-GRAM, SHARD_BYTES = 20, 2 << 20
+GRAM, SHARD_BYTES = 40, 2 << 20
 WIDTH = LENGTH - GRAM + 1
 
 
@@ -62,17 +62,19 @@ def _first(rows: DataFrame) -> DataFrame:
                     continue
                 at = anchored(s.grams, s.lows, WIDTH)
                 row = s.row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(s.grams[at].view(np.int64)), pa.array(part.column(0).to_numpy()[row]), pa.array((at - s.starts[row]).astype(np.int32)), pa.nulls(len(at), pa.binary())], ["k", "rid", "pos", "tail"])
+                yield from sent(s.grams[at], part.column(0).to_numpy()[row], at - s.starts[row])
 
-    return rows.select("rid", "text").mapInArrow(run, "k long, rid long, pos int, tail binary")
+    return rows.select("rid", "text").mapInArrow(run, SENT)
 
 
 def _snippets(joined: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(k, rid, pos, snippet): neighbouring strings with one anchor, if that comes again, as the bytes that they cover.
+    """(k, rid, pos, n, snippet): neighbouring strings with one anchor, if that comes again, as the bytes that they cover.
 
-    A very frequent anchor's strings travel each by itself.
+    A very frequent anchor's strings travel each by itself. n below 0 marks the strings of a snippet that came earlier in
+    the same slice of text: copies as a whole.
     """
-    sent = joined.sparkSession.sparkContext.broadcast(hot)
+    common = joined.sparkSession.sparkContext.broadcast(hot)
+    names = ("k", "rid", "pos", "n", "snippet")
 
     def run(batches):
         for batch in batches:
@@ -83,7 +85,7 @@ def _snippets(joined: DataFrame, hot: np.ndarray) -> DataFrame:
                 if not len(at):
                     continue
                 low = s.lows[at]
-                apart = np.isin(low, sent.value) if len(sent.value) else np.zeros(len(at), bool)
+                apart = np.isin(low, common.value)
                 new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]) | apart[1:] | apart[:-1] | (s.row[at[1:]] != s.row[at[:-1]])))
                 first = np.flatnonzero(new)
                 last = np.concatenate((first[1:], [len(at)])) - 1
@@ -95,9 +97,21 @@ def _snippets(joined: DataFrame, hot: np.ndarray) -> DataFrame:
                 data = s.data[place]
                 snippet = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
                 row = s.row[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.column(0).to_numpy()[row]), pa.array((begin - s.starts[row]).astype(np.int32)), snippet], ["k", "rid", "pos", "snippet"])
+                rid, pos = part.column(0).to_numpy()[row], begin - s.starts[row]
+                which = snippet.dictionary_encode().indices.to_numpy()
+                order = np.lexsort((pos, rid, which))
+                early = np.zeros(len(order), bool)
+                early[order] = np.concatenate(([True], which[order][1:] != which[order][:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[early].view(np.int64)), pa.array(rid[early]), pa.array(pos[early].astype(np.int32)), pa.array(np.ones(early.sum(), np.int32)), snippet.filter(pa.array(early))], names)
+                if not early.all():
+                    yield told(*spans(np.repeat(rid[~early], size[~early] - LENGTH + 1), _runs(pos[~early], size[~early] - LENGTH + 1)), names=names)
 
-    return joined.mapInArrow(run, "k long, rid long, pos int, snippet binary")
+    return joined.mapInArrow(run, "k long, rid long, pos int, n int, snippet binary")
+
+
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """count[i] numbers from begin[i] on."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - begin, count)
 
 
 def later_copies(snippets: list[bytes], rid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +151,14 @@ def _shards(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, rid, pos = (batch.column(i).to_numpy() for i in range(3))
-            pos = pos.astype(np.int64)
-            coded = batch.column(3).dictionary_encode()
+            k, rid, pos, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            if (done := n < 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (rid, pos, pos - n)], ["rid", "begin", "stop"])
+                batch = batch.filter(pa.array(~done))
+                k, rid, pos = (x[~done] for x in (k, rid, pos))
+                if not len(k):
+                    continue
+            coded = batch.column(4).dictionary_encode()
             which, own = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             first = np.full(len(own), len(which))
             np.minimum.at(first, which, np.arange(len(which)))
@@ -170,13 +189,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
     Texts are UTF-8 bytes; null counts as empty. Each byte in a string of 100 bytes that also starts earlier (in a text
     of a smaller id, or earlier in the same) is removed; strings don't cross texts and are judged on the input. Null ids
-    come before all others; rows of one id are texts of their own, in the order of their texts. kept is bytes, as a cut
-    may part a sign.
+    come before all others; rows of one id are texts of their own, in the order of a digest of their texts. kept is bytes,
+    as a cut may part a sign. An empty table gives no rows; other columns are not read.
     """
     rows = with_row_ids(docs, id_col, text_col)
     found = materialise(again(_first(rows)), "anchors")
     joined = rows.select("rid", "text").join(_lists(found), "rid")
     copies = materialise(_shards(_snippets(joined, hot_keys(found))), "copies")
+    release(found)
     out = rows.join(_lists(copies), "rid", "left").select("id", "text", "spans")
 
     def run(batches):
@@ -203,4 +223,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_text, names)
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
-    return out.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).withColumnRenamed("id", id_col)
+    return out.mapInArrow(run, f"id {id_kind(docs, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text).withColumnRenamed("id", id_col)

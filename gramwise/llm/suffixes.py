@@ -108,6 +108,17 @@ def _order(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _differ(text: np.ndarray, first: np.ndarray, length: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Of substrings with the hash and length of the next in order, those that don't have its bytes."""
+    out = []
+    for part in np.array_split(at, max(1, -(-int(length[at].sum()) // most))):
+        n = length[part]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        bad = text[np.repeat(first[part], n) + step] != text[np.repeat(first[part + 1], n) + step]
+        out.append(np.unique(np.repeat(part, n)[bad]))
+    return np.concatenate(out)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of a text of bytes in order."""
     n = len(text)
@@ -127,6 +138,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         length = (stop - lms)[place]
         own = Rolling(text.astype(U) + U(1), BASES[0]).at(first, length)
         new = (own[1:] != own[:-1]) | (length[1:] != length[:-1])
+        new[_differ(text, first, length, np.flatnonzero(~new))] = True
         names = np.empty(len(lms), np.int64)
         names[place] = np.concatenate(([0], np.cumsum(new)))
         lms = first if names.max() + 1 == len(lms) else lms[_order(names)]
