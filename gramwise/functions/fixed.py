@@ -55,8 +55,39 @@ NOT_A_NAME = r"(?iu)^(?:add|customize|popular|sponsored|deal|sale|save|free deli
 NAME_AMOUNT = r"(?iu)\b\d+(?:[.,]\d+)?\s*(?:mg|g|grams?|kg|kilograms?|oz|ounces?|lb|lbs|pounds?|ml|milliliters?|l|litres?|liters?|fl\s*oz|cal|kcal|calories?|ct|count|pieces?|pcs|pack|pk|units?|ea)\b"
 NAME_NOISE = r"(?iu)\b(?:bogo|sale|deal|add to cart|customize)\b"
 UNNAMED = "Unnamed item"
+NAME_LEAST, NAME_MOST = 2, 120
+
+# How sure an item is: without anything, for its quantity's confidence, calories and a promotion, and at most.
+SURE, SURE_QUANTITY, SURE_CALORIES, SURE_PROMOTION, SURE_MOST = 0.67, 0.18, 0.08, 0.03, 0.99
+# Confidence of quantities: multipack, range, single, count, pizza; of food units, sizes and meals; and of no more than those.
+PACK_SURE, RANGE_SURE, SINGLE_SURE, COUNT_SURE, PIZZA_SURE = 1.0, 0.7, 0.98, 0.9, 0.9
+FOOD_SURE, SIZE_SURE, MEAL_SURE, PORTION_SURE = 0.72, 0.55, 0.50, 0.45
+MEAL_FACTOR = 1.35
+# How far before an amount a word makes it a saving, or a count makes it part of a pack.
+SAVING_REACH, TIMES_REACH = 14, 8
+PIZZA_INCHES = (5.0, 30.0)
+
+# Labels.
+BOGO_LABEL, BUY_LABEL, GET_LABEL, FOR_LABEL, OFF_LABEL = "Buy 1, get 1", "Buy ", ", get ", " for ", "% off"
+FOOD_LABEL, MEAL_LABEL = " food units", "meal"
+PRICE_ONLY = "price only"
+NOTHING_YET = "No product cards found yet. Open a store/menu and tap Scan all."
+
+# Collected items and what is shown of them.
+KEPT, SHOWN, BADGE_MOST = 500, 60, 999
 
 # Screens.
 TOTALS = r"\b(subtotal|order total|estimated total|tax|service fee|delivery fee|tip|checkout)\b"
 CARD_CLASS = "card|item|row|cell|viewgroup|layout"
 SCROLL_CLASS = "recycler|list|scroll|webview|viewpager"
+VISITED, SCROLL_VISITED, SUBTREE_NODES, SUBTREE_UNITS, CLIMB, OWN_MOST = 5000, 4000, 100, 1200, 7, 500
+CANDIDATE_LENGTH = (4, 1400)
+# A candidate's score: length within, length up to, length beyond; one price, up to three, others; class; bounds beyond.
+SCORE_LENGTH = ((12, 700, 4.0), (1200, 1.0), -5.0)
+SCORE_PRICES = ((1, 3.0), (3, 1.0), -4.0)
+SCORE_CLASS, SCORE_BOUNDS, CARD_BOUNDS = 2.0, 1.0, (100, 35)
+TALL, TALL_FACTOR, SCROLL_FACTOR = 0.55, 1.4, 1.35
+# Rows before and after a line with a price.
+AROUND = 2
+# Scanning all ends after so many steps, or so many without a change.
+STEPS, STALE = 90, 5

@@ -17,8 +17,8 @@ def _units(table: dict[str, float]) -> Column:
 
 
 def promotion(text: Column, price: Column) -> Column:
-    """The first promotion that the normalised text names, as a struct; type none without one."""
-    t = F.lower(text)
+    """The first promotion that the normalised, lower-cased text names, as a struct; type none without one."""
+    t = text
 
     def offer(kind: str, label: Column, multiplier: Column, paid: Column, effective: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), label.alias("label"), multiplier.cast("double").alias("received_multiplier"), paid.cast("int").alias("min_paid_units"), effective.alias("effective_price"))
@@ -32,11 +32,11 @@ def promotion(text: Column, price: Column) -> Column:
     count, total = F.coalesce(F.regexp_extract(t, fixed.BUNDLE, 1).try_cast("int"), F.lit(0)), F.coalesce(number(F.regexp_extract(t, fixed.BUNDLE, 2)), F.lit(0.0))
     off = F.regexp_extract(t, fixed.PERCENT_OFF, 1)
     return (
-        F.when(percent != "", offer("bogo-percent", F.concat(F.lit("Buy 1, get 1 "), (part * 100).cast("int").cast("string"), F.lit("% off")), half, F.lit(2), price / half))
-        .when(t.rlike(fixed.BOGO), offer("bogo", F.lit("Buy 1, get 1"), F.lit(2.0), F.lit(1), price / 2.0))
-        .when((buy > 0) & (get > 0), offer("buy-x-get-y", F.concat(F.lit("Buy "), buy.cast("string"), F.lit(", get "), get.cast("string")), more, buy, F.try_divide(price, more)))
-        .when((count > 1) & (total > 0), offer("bundle", F.concat(count.cast("string"), F.lit(" for "), total.cast("string")), count, count, F.try_divide(total, count.cast("double"))))
-        .when(off != "", offer("percent-off-shown", F.concat(off, F.lit("% off")), one, F.lit(1), price))
+        F.when(percent != "", offer("bogo-percent", F.concat(F.lit(fixed.BOGO_LABEL + " "), (part * 100).cast("int").cast("string"), F.lit(fixed.OFF_LABEL)), half, F.lit(2), price / half))
+        .when(t.rlike(fixed.BOGO), offer("bogo", F.lit(fixed.BOGO_LABEL), F.lit(2.0), F.lit(1), price / 2.0))
+        .when((buy > 0) & (get > 0), offer("buy-x-get-y", F.concat(F.lit(fixed.BUY_LABEL), buy.cast("string"), F.lit(fixed.GET_LABEL), get.cast("string")), more, buy, F.try_divide(price, more)))
+        .when((count > 1) & (total > 0), offer("bundle", F.concat(count.cast("string"), F.lit(fixed.FOR_LABEL), total.cast("string")), count, count, F.try_divide(total, count.cast("double"))))
+        .when(off != "", offer("percent-off-shown", F.concat(off, F.lit(fixed.OFF_LABEL)), one, F.lit(1), price))
         .otherwise(offer("none", F.lit(""), one, F.lit(1), price))
     )
 
@@ -64,28 +64,26 @@ def _measured(rows: Column, value, unit, display, confidence: float, base: int)
 
 
 def quantity(text: Column) -> Column:
-    """The best quantity of the normalised text: mass before volume, pizza and count, then the surest, then the first."""
-    return let(F.lower(text), _quantity)
-
-
-def _quantity(t: Column) -> Column:
+    """The best quantity of the normalised, lower-cased text: mass before volume, pizza and count, then the surest, then the
+    first."""
+    t = text
     group = lambda p, k: lambda x: F.regexp_extract(x, p, k)
     packs = F.regexp_extract_all(t, F.lit(fixed.MULTIPACK), F.lit(0))
     p1, p2, p3 = (group(fixed.MULTIPACK, k) for k in (1, 2, 3))
-    multi = _measured(packs, lambda x: p1(x).try_cast("double") * number(p2(x)), p3, lambda x: F.concat(p1(x), F.lit(" × "), p2(x), F.lit(" "), p3(x)), 1.0, 0)
+    multi = _measured(packs, lambda x: p1(x).try_cast("double") * number(p2(x)), p3, lambda x: F.concat(p1(x), F.lit(" × "), p2(x), F.lit(" "), p3(x)), fixed.PACK_SURE, 0)
     r1, r2, r3 = (group(fixed.RANGE, k) for k in (1, 2, 3))
-    ranges = _measured(F.regexp_extract_all(t, F.lit(fixed.RANGE), F.lit(0)), lambda x: (number(r1(x)) + number(r2(x))) / 2.0, r3, lambda x: F.concat(r1(x), F.lit("–"), r2(x), F.lit(" "), r3(x), F.lit(" avg")), 0.7, 1000)
-    start = lambda x: F.greatest(x["at"] - 8, F.lit(0))
+    ranges = _measured(F.regexp_extract_all(t, F.lit(fixed.RANGE), F.lit(0)), lambda x: (number(r1(x)) + number(r2(x))) / 2.0, r3, lambda x: F.concat(r1(x), F.lit("–"), r2(x), F.lit(" "), r3(x), F.lit(" avg")), fixed.RANGE_SURE, 1000)
+    start = lambda x: F.greatest(x["at"] - fixed.TIMES_REACH, F.lit(0))
     alone = F.filter(found(t, fixed.SINGLE), lambda x: ~F.substr(t, start(x) + 1, x["at"] - start(x)).rlike(fixed.TIMES_BEFORE))
     s1, s2 = (lambda x, k=k: F.regexp_extract(x["m"], fixed.SINGLE, k) for k in (1, 2))
-    single = _measured(alone, lambda x: number(s1(x)), s2, lambda x: F.concat(s1(x), F.lit(" "), s2(x)), 0.98, 2000)
+    single = _measured(alone, lambda x: number(s1(x)), s2, lambda x: F.concat(s1(x), F.lit(" "), s2(x)), fixed.SINGLE_SURE, 2000)
     counts = []
     for k, pattern in enumerate(fixed.COUNTS):
         n = F.regexp_extract(t, pattern, 1).try_cast("double")
-        counts.append(F.when(n > 0, _candidate(1, 0.9, F.lit(3000 + k), "COUNT", n, F.concat(n.cast("int").cast("string"), F.lit(" count")))))
+        counts.append(F.when(n > 0, _candidate(1, fixed.COUNT_SURE, F.lit(3000 + k), "COUNT", n, F.concat(n.cast("int").cast("string"), F.lit(" count")))))
     inch = F.coalesce(number(F.regexp_extract(t, fixed.INCHES, 1)), number(F.regexp_extract(t, fixed.CENTIMETRES, 1)) / 2.54)
     area = F.lit(math.pi) * F.pow(inch / 2.0, F.lit(2.0))
-    pizza = F.when(t.rlike(fixed.PIZZA) & inch.between(5.0, 30.0), _candidate(2, 0.9, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
+    pizza = F.when(t.rlike(fixed.PIZZA) & inch.between(*fixed.PIZZA_INCHES), _candidate(2, fixed.PIZZA_SURE, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
     best = F.array_max(F.concat(multi, ranges, single, F.filter(F.array(*counts, pizza), lambda c: c.isNotNull())))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(*[b[c].alias(c) for c in ("kind", "amount_base", "display", "confidence", "diameter_in")])))
 
@@ -96,16 +94,16 @@ def calories(text: Column) -> Column:
 
 
 def portion(text: Column) -> Column:
-    """Portion points with a confidence and what they rest on; null without any sign of a portion."""
-    t = F.lower(text)
+    """Portion points of a lower-cased text with a confidence and what they rest on; null without any sign of a portion."""
+    t = text
     count = F.regexp_extract(t, fixed.FOOD_UNITS, 1).try_cast("double")
     counted = count.between(1.0, 100.0)
-    points, sure, basis = F.lit(None).cast("double"), F.lit(0.45), F.lit("")
+    points, sure, basis = F.lit(None).cast("double"), F.lit(fixed.PORTION_SURE), F.lit("")
     for pattern, p, c, name in reversed(fixed.SERVINGS):
         hit = t.rlike(pattern)
         points, sure, basis = F.when(hit, p).otherwise(points), F.when(hit, c).otherwise(sure), F.when(hit, F.lit(name)).otherwise(basis)
-    points, sure = F.when(counted, count).otherwise(points), F.when(counted, 0.72).otherwise(sure)
-    basis = F.when(counted, F.concat(count.cast("int").cast("string"), F.lit(" food units"))).otherwise(basis)
+    points, sure = F.when(counted, count).otherwise(points), F.when(counted, fixed.FOOD_SURE).otherwise(sure)
+    basis = F.when(counted, F.concat(count.cast("int").cast("string"), F.lit(fixed.FOOD_LABEL))).otherwise(basis)
     factor, label = F.lit(None).cast("double"), F.lit(None).cast("string")
     for pattern, f, name in reversed(fixed.SIZES):
         factor, label = F.when(t.rlike(pattern), f).otherwise(factor), F.when(t.rlike(pattern), F.lit(name)).otherwise(label)
@@ -114,9 +112,9 @@ def portion(text: Column) -> Column:
         return F.when(now == "", more).otherwise(F.concat(now, F.lit(" + "), more))
 
     sized = factor.isNotNull()
-    points, sure, basis = F.when(sized, F.coalesce(points, F.lit(1.0)) * factor).otherwise(points), F.when(sized, F.greatest(sure, F.lit(0.55))).otherwise(sure), F.when(sized, joined(basis, label)).otherwise(basis)
+    points, sure, basis = F.when(sized, F.coalesce(points, F.lit(1.0)) * factor).otherwise(points), F.when(sized, F.greatest(sure, F.lit(fixed.SIZE_SURE))).otherwise(sure), F.when(sized, joined(basis, label)).otherwise(basis)
     meal = t.rlike(fixed.MEAL)
-    points, sure, basis = F.when(meal, F.coalesce(points, F.lit(1.0)) * 1.35).otherwise(points), F.when(meal, F.greatest(sure, F.lit(0.50))).otherwise(sure), F.when(meal, joined(basis, F.lit("meal"))).otherwise(basis)
+    points, sure, basis = F.when(meal, F.coalesce(points, F.lit(1.0)) * fixed.MEAL_FACTOR).otherwise(points), F.when(meal, F.greatest(sure, F.lit(fixed.MEAL_SURE))).otherwise(sure), F.when(meal, joined(basis, F.lit(fixed.MEAL_LABEL))).otherwise(basis)
     return F.when(points.isNotNull(), F.struct(points.alias("points"), sure.alias("confidence"), basis.alias("basis")))
 
 
@@ -129,10 +127,11 @@ def analyze(listings: DataFrame, text_col: str = "raw_text") -> DataFrame:
     t = F.col("raw_text")
     # A generator rather than a filter: it drops rows without a price, and the parse isn't pushed below and done again.
     price = let(prices(t), lambda every: choose_price(t, every))
-    priced = cheap.select("*", F.explode(F.filter(F.array(price), lambda p: p.isNotNull())).alias("_price"))
-    out = priced.withColumns({"price": F.col("_price.amount"), "currency": F.col("_price.currency"), "name": item_name(t), "quantity": quantity(t), "calories": calories(t), "portion": portion(t)})
-    out = out.withColumn("promotion", promotion(t, F.col("price")))
-    sure = F.lit(0.67) + F.coalesce(0.18 * F.col("quantity.confidence"), F.lit(0.0))
-    sure = sure + F.when(F.col("calories").isNotNull(), 0.08).otherwise(0.0)
-    sure = sure + F.when(F.col("promotion.type") != "none", 0.03).otherwise(0.0)
-    return out.withColumn("confidence", F.least(sure, F.lit(0.99))).drop("_price")
+    priced = cheap.select("*", F.explode(F.filter(F.array(price), lambda p: p.isNotNull())).alias("_price")).withColumn("_lower", F.lower(t))
+    low = F.col("_lower")
+    out = priced.withColumns({"price": F.col("_price.amount"), "currency": F.col("_price.currency"), "name": item_name(t), "quantity": quantity(low), "calories": calories(t), "portion": portion(low)})
+    out = out.withColumn("promotion", promotion(low, F.col("price")))
+    sure = F.lit(fixed.SURE) + F.coalesce(fixed.SURE_QUANTITY * F.col("quantity.confidence"), F.lit(0.0))
+    sure = sure + F.when(F.col("calories").isNotNull(), fixed.SURE_CALORIES).otherwise(0.0)
+    sure = sure + F.when(F.col("promotion.type") != "none", fixed.SURE_PROMOTION).otherwise(0.0)
+    return out.withColumn("confidence", F.least(sure, F.lit(fixed.SURE_MOST))).drop("_price", "_lower")

@@ -14,6 +14,22 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def units(c: Column) -> Column:
+    """Length in UTF-16 units, as the limits here count it: signs beyond the first 65,536 are two."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
+def take(c: Column, n: int) -> Column:
+    """The first n UTF-16 units, without half a sign."""
+
+    def cut(b: Column) -> Column:
+        half = F.substring(b, 2 * n - 1, 1).between(F.lit(b"\xd8"), F.lit(b"\xdb"))
+        return F.decode(F.when(half, F.substring(b, 1, 2 * n - 2)).otherwise(F.substring(b, 1, 2 * n)), "UTF-16BE")
+
+    # As many code points at most are as many units or less than what is wanted for all but long texts.
+    return F.when(F.length(c) * 2 <= n, c).otherwise(let(F.encode(c, "UTF-16BE"), cut))
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end, by Unicode's reckoning (F.trim strips spaces only)."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
@@ -33,13 +49,19 @@ def number(c: Column) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """The pattern's matches with their offsets: array of (m, at). Pieces between matches give the offsets."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """The pattern's matches with their offsets: array of (m, at). Pieces between matches give the offsets, added up once."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<m:string,at:int>>")
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["n"] + F.length(x["p"])
+        return F.struct((at + F.length(x["m"])).alias("n"), F.concat(s["out"], F.array(F.struct(x["m"].alias("m"), at.alias("at")))).alias("out"))
 
-    def upto(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, p: s + F.length(p))
+    def offsets(every: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(every))
+        return F.aggregate(F.arrays_zip(pieces.alias("p"), every.alias("m")), F.struct(F.lit(0).alias("n"), none.alias("out")), step)["out"]
 
-    return F.transform(matches, lambda m, i: F.struct(m.alias("m"), (upto(pieces, i + 1) + upto(matches, i)).alias("at")))
+    return let(matches, lambda every: F.when(F.size(every) > 0, offsets(every)).otherwise(none))
 
 
 def currency(raw: Column) -> Column:
@@ -67,7 +89,7 @@ def choose_price(text: Column, every: Column) -> Column:
     hinted at, else the first. Null without prices."""
     bundle = F.get(prices(F.regexp_extract(text, fixed.BUNDLE_PRICE, 2)), F.lit(0))
     current = F.get(prices(F.regexp_extract(text, fixed.CURRENT_PRICE, 1)), F.lit(0))
-    start = lambda p: F.greatest(p["index"] - 14, F.lit(0))
+    start = lambda p: F.greatest(p["index"] - fixed.SAVING_REACH, F.lit(0))
     usable = F.filter(every, lambda p: ~F.substr(text, start(p) + 1, p["index"] - start(p)).rlike(fixed.SAVING_BEFORE))
     least = F.when(text.rlike(fixed.SALE_HINT), F.array_min(usable))
     several = F.when(F.size(every) > 1, F.coalesce(current, least))
@@ -75,12 +97,12 @@ def choose_price(text: Column, every: Column) -> Column:
 
 
 def item_name(text: Column) -> Column:
-    """The first line that is more than a price and no call to act; at most 120 signs."""
+    """The first line that is more than a price and no call to act; at most so many units."""
     lines = F.transform(F.split(text, r"\n+"), normalize)
     bare = F.transform(F.filter(lines, lambda x: F.length(x) > 0), lambda x: trim(F.regexp_replace(x, fixed.PRICE, "")))
-    good = F.filter(bare, lambda x: (F.length(x) >= 2) & ~x.rlike(fixed.NOT_A_NAME))
-    whole = F.substring(trim(F.regexp_replace(normalize(text), fixed.PRICE, "")), 1, 120)
-    return F.coalesce(F.substring(F.get(good, F.lit(0)), 1, 120), F.when(F.length(trim(whole)) > 0, whole), F.lit(fixed.UNNAMED))
+    good = F.filter(bare, lambda x: (units(x) >= fixed.NAME_LEAST) & ~x.rlike(fixed.NOT_A_NAME))
+    whole = take(trim(F.regexp_replace(normalize(text), fixed.PRICE, "")), fixed.NAME_MOST)
+    return F.coalesce(take(F.get(good, F.lit(0)), fixed.NAME_MOST), F.when(F.length(trim(whole)) > 0, whole), F.lit(fixed.UNNAMED))
 
 
 def canonical_name(name: Column) -> Column:

@@ -1,4 +1,4 @@
-from gramwise.operators.dedupe import collected, fold, item_key, keep_last
-from gramwise.operators.rank import MODES, badge, display_rows, rank, smart_mode, with_metrics
+from gramwise.operators.dedupe import Collection, collected, fold, item_key, keep_last
+from gramwise.operators.rank import MODES, badge, display_rows, rank, shown, smart_mode, with_metrics
 
-__all__ = ["MODES", "badge", "collected", "display_rows", "fold", "item_key", "keep_last", "rank", "smart_mode", "with_metrics"]
+__all__ = ["Collection", "MODES", "badge", "collected", "display_rows", "fold", "item_key", "keep_last", "rank", "shown", "smart_mode", "with_metrics"]

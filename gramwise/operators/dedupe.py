@@ -2,46 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from itertools import islice
 
-from gramwise.functions.text import canonical_name, fixed_point
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from gramwise.functions import fixed
+from gramwise.functions.text import canonical_name, fixed_point, units
 
 LARGEST_INT = 2147483647
 
 
 def item_key() -> Column:
     """Name, price, kind and whole amount of the quantity, and promotion: what makes two items one."""
-    amount = F.coalesce(F.least(F.col("quantity.amount_base"), F.lit(float(LARGEST_INT))).cast("int"), F.lit(0))
+    amount = F.when(F.col("quantity.amount_base").isNotNull(), F.least(F.col("quantity.amount_base"), F.lit(float(LARGEST_INT))).cast("int")).otherwise(0)
     return F.concat_ws("|", canonical_name(F.col("name")), fixed_point(F.col("price"), 2), F.coalesce(F.col("quantity.kind"), F.lit("null")), amount.cast("string"), F.col("promotion.type"))
 
 
-def fold(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """One row of each group and item key: the item that survives a fold in order, at the place of the first.
+class Collection:
+    """A session's items by key in the order of first sight: (confidence, length, what stands for the item).
 
-    A later item replaces the one held if it is surer or its text is longer. That is neither associative nor a
-    maximum, so the items of a key are gathered in order and folded together; a key has the copies of one item.
+    A scan is folded in itself first; its survivors are then folded into what is held, and the oldest keys go if there are
+    more than `cap`. A later item replaces one of its key if it is surer or its text longer, and stands in its place.
     """
-    columns = [c for c in items.columns if c not in (*group, "item_key", "first_seq")]
-    keyed = items.withColumn("item_key", item_key())
-    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("item"))
-    folded = keyed.groupBy(*group, "item_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
-    def step(held: Column, x: Column) -> Column:
-        better = (x["item"]["confidence"] > held["item"]["confidence"]) | (F.length(x["item"]["raw_text"]) > F.length(held["item"]["raw_text"]))
-        return F.when(better, x).otherwise(held)
+    def __init__(self, cap: int = fixed.KEPT):
+        self.cap, self.items, self.scan, self.scan_id = cap, {}, {}, None
+
+    @staticmethod
+    def _keep(held: dict, key: str, new: tuple) -> None:
+        old = held.get(key)
+        if old is None or new[0] > old[0] or new[1] > old[1]:
+            held[key] = new
+
+    def see(self, scan_id, key: str, confidence: float, length: int, item) -> None:
+        if scan_id != self.scan_id:
+            self.end_scan()
+            self.scan_id = scan_id
+        self._keep(self.scan, key, (confidence, length, item))
+
+    def end_scan(self) -> None:
+        for key, new in self.scan.items():
+            self._keep(self.items, key, new)
+        self.scan = {}
+        for key in list(islice(self.items, max(0, len(self.items) - self.cap))):
+            del self.items[key]
 
-    rest = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    survivor = F.aggregate(rest, F.col("rows")[0], step)
-    return folded.select(*group, "item_key", F.col("rows")[0]["item"]["seq"].alias("first_seq"), survivor["item"].alias("item")).select(*group, "item_key", "first_seq", "item.*")
+    def clear(self) -> None:
+        self.items, self.scan = {}, {}
+
+
+def _collected(items: DataFrame, group: list[str], scan: Column, order: list[str], cap: int) -> DataFrame:
+    """Adds item_key and place (0, 1.. in each group) to the items that a group has at its end.
+
+    The fold is neither associative nor a maximum, so a group's rows are read in order, as a stream: a task holds what is
+    collected and the scan that goes on, however many rows a group or a key has.
+    """
+    names = items.columns
+    rows = items.select("*", item_key().alias("item_key"), scan.alias("_scan"), units(F.col("raw_text")).alias("_length"))
+    schema = StructType([*items.schema.fields, StructField("item_key", StringType()), StructField("place", IntegerType())])
+
+    def run(batches):
+        held, now, c = None, None, None
+
+        def out(table: pa.Table, ended: list[list[int]]):
+            kept = table.take(pa.array([i for own in ended for i in own], pa.int64())).select([*names, "item_key"])
+            yield from kept.append_column("place", pa.array([n for own in ended for n in range(len(own))], pa.int32())).combine_chunks().to_batches()
+
+        def end() -> list[int]:
+            c.end_scan()
+            return [x[2] for x in c.items.values()]
+
+        for batch in batches:
+            table, ended = pa.Table.from_batches([batch]), []
+            start = held.num_rows if held is not None else 0
+            if start:
+                table = pa.concat_tables([held, table])
+            keys = zip(*[batch.column(batch.schema.get_field_index(x)).to_pylist() for x in group], strict=True)
+            values = zip(*[batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_scan", "item_key", "confidence", "_length")], strict=True)
+            for i, (key, value) in enumerate(zip(keys, values, strict=True), start):
+                if c is None or key != now:
+                    if c is not None:
+                        ended.append(end())
+                    now, c = key, Collection(cap)
+                c.see(*value, i)
+            if ended:
+                yield from out(table, ended)
+            # Only what is still held goes on.
+            if c is not None:
+                both = [*c.items.items(), *c.scan.items()]
+                held = table.take(pa.array([x[2] for _, x in both], pa.int64())).combine_chunks()
+                moved = [(k, (x[0], x[1], n)) for n, (k, x) in enumerate(both)]
+                c.items, c.scan = dict(moved[: len(c.items)]), dict(moved[len(c.items) :])
+        if c is not None:
+            yield from out(held, [end()])
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
+def fold(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """One row of each group and item key, with item_key and place: the item that survives a fold in order, at the place of
+    the first."""
+    return _collected(items, group, F.lit(0), order, 1 << 60)
 
 
-def collected(items: DataFrame, cap: int = 500) -> DataFrame:
-    """What a session has after all its scans: the fold within each scan, then over scans, then the last `cap` keys."""
-    per_scan = fold(items, ["session_id", "scan_id"], ["seq"]).drop("item_key").withColumnRenamed("first_seq", "_at")
-    merged = fold(per_scan, ["session_id"], ["scan_id", "_at"]).drop("_at")
-    return keep_last(merged, cap)
+def collected(items: DataFrame, cap: int = fixed.KEPT) -> DataFrame:
+    """What a session has after all its scans: each scan is folded, then added, and the last `cap` keys stay after each."""
+    return _collected(items, ["session_id"], F.col("scan_id"), ["scan_id", "seq"], cap)
 
 
-def keep_last(items: DataFrame, cap: int = 500) -> DataFrame:
-    newest = W.partitionBy("session_id").orderBy(F.desc("first_seq"))
-    return items.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= cap).drop("_n")
+def keep_last(items: DataFrame, cap: int) -> DataFrame:
+    """The last `cap` of each session's collected items."""
+    last = items.groupBy("session_id").agg(F.max("place").alias("_last"))
+    return items.join(last, "session_id").where(F.col("place") > F.col("_last") - cap).drop("_last")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gramwise.functions import fixed
 from gramwise.functions.text import fixed_point, money
 
 #: Modes in the order that settles ties, with the metric's column, whether less is better, digits and ending of the label.
@@ -15,8 +16,6 @@ MODES = {
     "UNIT": ("price_per_unit", True, None, "/unit"),
     "PORTION": ("portion_points_per_dollar", False, 2, " est. portion/$"),
 }
-PRICE_ONLY = "price only"
-
 
 def with_metrics(items: DataFrame) -> DataFrame:
     amount, price, times = F.col("quantity.amount_base"), F.col("price"), F.col("promotion.received_multiplier")
@@ -42,15 +41,19 @@ def smart_mode(items: DataFrame) -> DataFrame:
     return counts.select("session_id", best["mode"].alias("mode"))
 
 
-def rank(items: DataFrame, mode: str = "SMART") -> DataFrame:
-    """Adds mode, metric, metric_label and rank 1..n by session: items with the metric first, the best first; the others
+def rank(items: DataFrame, mode: str | None = "SMART") -> DataFrame:
+    """Adds mode (without one, each session has its own in that column), metric, metric_label and rank 1..n by session: items with the metric first, the best first; the others
     by price; ties in the order in which the items came."""
     items = with_metrics(items)
-    if mode == "SMART":
-        items = items.join(smart_mode(items), "session_id")
+    if mode in (None, "SMART"):
+        smart = smart_mode(items)
+        if mode is None:
+            items = items.withColumnRenamed("mode", "_mode").join(smart, "session_id").withColumn("mode", F.when(F.col("_mode") == "SMART", F.col("mode")).otherwise(F.col("_mode"))).drop("_mode")
+        else:
+            items = items.join(smart, "session_id")
     else:
         items = items.withColumn("mode", F.lit(mode))
-    metric, key, label = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(PRICE_ONLY)
+    metric, key, label = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(fixed.PRICE_ONLY)
     for name, (column, less, digits, ending) in MODES.items():
         own, value = F.col("mode") == name, F.col(column)
         said = money(value, F.col("currency")) if digits is None else fixed_point(value, digits)
@@ -58,17 +61,24 @@ def rank(items: DataFrame, mode: str = "SMART") -> DataFrame:
         key = F.when(own, value if less else -value).otherwise(key)
         label = F.when(own & value.isNotNull(), F.concat(said, F.lit(ending))).otherwise(label)
     ranked = items.withColumns({"metric": metric, "metric_label": label, "_key": key})
-    order = W.partitionBy("session_id").orderBy(F.col("_key").asc_nulls_last(), F.when(F.col("metric").isNull(), F.col("price")), "first_seq")
+    order = W.partitionBy("session_id").orderBy(F.col("_key").asc_nulls_last(), F.when(F.col("metric").isNull(), F.col("price")), "place")
     return ranked.withColumn("rank", F.row_number().over(order)).drop("_key")
 
 
-def display_rows(ranked: DataFrame, top: int = 60) -> DataFrame:
+def display_rows(ranked: DataFrame, top: int = fixed.SHOWN) -> DataFrame:
     """The rows that are shown: title, metric with promotion, details, and whether the row stands out as best."""
     dot = F.lit(" · ")
     promo = F.when(F.col("promotion.type") != "none", F.concat(dot, F.col("promotion.label"))).otherwise("")
     parts = F.array_compact(F.array(money(F.col("price"), F.col("currency")), F.col("quantity.display"), F.concat(F.col("calories").cast("int").cast("string"), F.lit(" cal")), F.concat((F.col("confidence") * 100).cast("int").cast("string"), F.lit("%"))))
-    return ranked.where(F.col("rank") <= top).select("session_id", "rank", F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("name")).alias("title"), F.concat("metric_label", promo).alias("metric_text"), F.array_join(parts, " · ").alias("meta"), ((F.col("rank") == 1) & (F.col("metric_label") != PRICE_ONLY)).alias("best"))
+    return ranked.where(F.col("rank") <= top).select("session_id", "rank", F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("name")).alias("title"), F.concat("metric_label", promo).alias("metric_text"), F.array_join(parts, " · ").alias("meta"), ((F.col("rank") == 1) & (F.col("metric_label") != fixed.PRICE_ONLY)).alias("best"))
 
 
 def badge(items: DataFrame) -> DataFrame:
-    return items.groupBy("session_id").agg(F.least(F.count("*"), F.lit(999)).alias("badge"))
+    return items.groupBy("session_id").agg(F.least(F.count("*"), F.lit(fixed.BADGE_MOST)).alias("badge"))
+
+
+def shown(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """display_rows, and for each of the sessions (session_id) without any a row of rank 0 that says so."""
+    empty = sessions.select("session_id").distinct().join(rows.select("session_id").distinct(), "session_id", "left_anti")
+    none = empty.select("session_id", F.lit(0).alias("rank"), F.lit(fixed.NOTHING_YET).alias("title"), F.lit("").alias("metric_text"), F.lit("").alias("meta"), F.lit(False).alias("best"))
+    return rows.unionByName(none)

@@ -1,10 +1,13 @@
 """The engine's queries over the star schema, and SQL that gets the same rows from the tables' columns.
 
-The SQL doesn't parse text: listings are derived from columns of part, so what parsing should find is known.
+The SQL doesn't parse text: listings are derived from columns of part, so what parsing should find is known. `KNOWN` has it
+for each form of a listing; folds, caps and ranks are written in SQL from their rules.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gramwise.functions import analyze, calories, canonical_name, choose_price, item_name, normalize, portion, prices, promotion, quantity
 from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
-from gramwise.sources import best_scrollable, drop_noise, listings, node_candidates, ocr_candidates, ocr_context, ocr_lines, scan_events, scan_sizes, screen_nodes, table
-from gramwise.streaming import debounced, package_sessions, stop_of_scan_all
+from gramwise.shared import scratch_dir
+from gramwise.sources import best_scrollable, dealt, drop_noise, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_events, scan_sizes, screen_nodes, table
+from gramwise.sources.listings import FORMS, OWN_PACKAGE, SEEN
+from gramwise.streaming import collect_stream, debounced, last_of_each, package_sessions, stop_of_scan_all, to_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,12 +57,12 @@ def choose_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def promotion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).withColumn("price", let(prices(F.col("t")), lambda every: choose_price(F.col("t"), every))["amount"])
-    return rows.withColumn("p", promotion(F.col("t"), F.col("price"))).select("seq", "p.*")
+    return rows.withColumn("p", promotion(F.lower("t"), F.col("price"))).select("seq", "p.*")
 
 
 @query
 def quantity_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).withColumn("q", quantity(F.col("t"))).select("seq", "q.kind", "q.amount_base", "q.display", "q.confidence", "q.diameter_in")
+    return _texts(spark, sf_dir).withColumn("q", quantity(F.lower("t"))).select("seq", "q.kind", "q.amount_base", "q.display", "q.confidence", "q.diameter_in")
 
 
 @query
@@ -67,7 +72,7 @@ def calories_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).withColumn("p", portion(F.col("t"))).select("seq", "p.points", "p.confidence", "p.basis")
+    return _texts(spark, sf_dir).withColumn("p", portion(F.lower("t"))).select("seq", "p.points", "p.confidence", "p.basis")
 
 
 @query
@@ -87,12 +92,12 @@ def analyze_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedupe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collected(_items(spark, sf_dir)).select("session_id", "first_seq", "seq", "scan_id", "name", "price", "confidence")
+    return collected(_items(spark, sf_dir)).select("session_id", "place", "seq", "scan_id", "name", "price", "confidence")
 
 
 @query
 def dedupe_in_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold(_items(spark, sf_dir), ["session_id", "scan_id"], ["seq"]).select("session_id", "scan_id", "first_seq", "seq", "name")
+    return fold(_items(spark, sf_dir), ["session_id", "scan_id"], ["seq"]).select("session_id", "scan_id", "place", "seq", "name")
 
 
 @query
@@ -128,7 +133,7 @@ def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fifo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_last(collected(_items(spark, sf_dir), 1 << 30), 100).select("session_id", "first_seq", "name")
+    return keep_last(collected(_items(spark, sf_dir), 1 << 30), 100).select("session_id", "place", "name")
 
 
 @query
@@ -151,6 +156,39 @@ def scroll_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_scrollable(screen_nodes(spark, sf_dir))
 
 
+@query
+def node_scan_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screen trees from end to end: candidates, parsing, noise, fold, automatic mode and rank, by scan."""
+    items = node_items(screen_nodes(spark, sf_dir)).withColumnRenamed("scan_id", "session_id")
+    return rank(items).select("session_id", "rank", "place", "name", "price", "metric", "metric_label", "mode")
+
+
+@query
+def ocr_scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised lines from end to end, up to the fold of each scan."""
+    return ocr_items(ocr_lines(spark, sf_dir)).select("scan_id", "place", "block_no", "name", "price", F.col("quantity.kind").alias("kind"), "confidence")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Stream the recorded screens through the collection into a folder."""
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part")
+    stream = spark.readStream.schema(part.schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir)
+    query = collect_stream(recorded(stream), OWN_PACKAGE).writeStream.outputMode("update").foreachBatch(to_folder(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return folder
+
+
+@query
+def collected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_of_each(spark, _streamed(spark, sf_dir), "collections").select("session_id", "place", "seq", "item_key", "mode")
+
+
+@query
+def shown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_of_each(spark, _streamed(spark, sf_dir), "shown").select("session_id", "rank", "title", "metric_text")
+
+
 @query
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -180,116 +218,215 @@ def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("l_orderkey", "l_linenumber", fixed_point(F.col("v"), 2).alias("two"), fixed_point(F.col("v"), 1).alias("one"))
 
 
-_TRUTH = r"""
-WITH b AS (SELECT *, 1 AS scan_id, '' AS more FROM part UNION ALL SELECT *, 2, ' again' FROM part WHERE p_partkey % 5 = 0),
-f AS (SELECT p_partkey // 500 AS session_id, CAST(scan_id AS BIGINT) AS scan_id, p_partkey * 2 + scan_id - 1 AS seq, p_partkey % 8 AS v,
-             p_name, p_size, more, chr(10) AS nl, p_retailprice AS price, '$' || CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS VARCHAR) AS said,
-             CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 0.8::DOUBLE WHEN 'large' THEN 1.3::DOUBLE END AS factor, split_part(p_name, ' ', 1) AS word,
-             CAST(8 + p_size % 10 AS DOUBLE) AS inch FROM b),
-t AS (SELECT *,
-        CASE v WHEN 0 THEN p_name || nl || p_size || ' oz' || nl || said WHEN 1 THEN p_name || nl || '6 x ' || p_size || ' ml' || nl || said
-               WHEN 2 THEN p_name || nl || p_size * 10 || ' cal' || nl || said || nl || 'Buy one get one free'
-               WHEN 3 THEN CAST(8 + p_size % 10 AS VARCHAR) || ' inch pizza ' || said WHEN 4 THEN p_name || nl || p_size || ' count' || nl || '2 for ' || said
-               WHEN 5 THEN p_name || ' combo' || nl || said WHEN 6 THEN p_name || ' ' || p_size || ' g Save $2 Now ' || said || ' Regular $1050.00'
-               ELSE p_name || nl || p_size || ' lb' || nl || said || ' BOGO 50% off' END || more AS raw_text,
-        CASE WHEN v IN (0, 6, 7) THEN 'MASS_G' WHEN v = 1 THEN 'VOLUME_ML' WHEN v = 3 THEN 'PIZZA_AREA_SQIN' WHEN v = 4 THEN 'COUNT' END AS kind,
-        CASE v WHEN 0 THEN p_size * 28.349523125::DOUBLE WHEN 1 THEN 6.0::DOUBLE * p_size * 1.0 WHEN 3 THEN pi() * pow(inch / 2.0, 2) WHEN 4 THEN p_size::DOUBLE
-               WHEN 6 THEN p_size * 1.0::DOUBLE WHEN 7 THEN p_size * 453.59237::DOUBLE END AS amount,
-        CASE v WHEN 0 THEN p_size || ' oz' WHEN 1 THEN '6 × ' || p_size || ' ml' WHEN 3 THEN printf('%.1f', inch) || '" pizza' WHEN 4 THEN p_size || ' count'
-               WHEN 6 THEN p_size || ' g' WHEN 7 THEN p_size || ' lb' END AS display,
-        CASE WHEN v IN (0, 6, 7) THEN 0.98::DOUBLE WHEN v = 1 THEN 1.0::DOUBLE WHEN v IN (3, 4) THEN 0.9::DOUBLE END AS qconf,
-        CASE WHEN v = 3 THEN inch END AS diameter, CASE WHEN v = 2 THEN p_size * 10.0::DOUBLE END AS cal,
-        CASE v WHEN 2 THEN 'bogo' WHEN 4 THEN 'bundle' WHEN 7 THEN 'bogo-percent' ELSE 'none' END AS promo,
-        CASE v WHEN 2 THEN 'Buy 1, get 1' WHEN 4 THEN '2 for ' || CAST(price AS VARCHAR) WHEN 7 THEN 'Buy 1, get 1 50% off' ELSE '' END AS promo_label,
-        CASE WHEN v IN (2, 4) THEN 2.0::DOUBLE WHEN v = 7 THEN 2.0::DOUBLE / 1.5::DOUBLE ELSE 1.0::DOUBLE END AS mult,
-        CASE WHEN v IN (4, 7) THEN 2 ELSE 1 END AS paid,
-        CASE WHEN v = 3 THEN NULL ELSE factor END AS sized,
-        CASE v WHEN 3 THEN CAST(8 + p_size % 10 AS VARCHAR) || ' inch pizza' || CASE WHEN more <> '' THEN '  again' ELSE '' END WHEN 5 THEN p_name || ' combo'
-               WHEN 6 THEN p_name || ' ' || p_size || ' g Save  Now  Regular' || CASE WHEN more <> '' THEN '  again' ELSE '' END ELSE p_name END AS name
-      FROM f),
-x AS (SELECT *, CASE v WHEN 3 THEN CAST(8 + p_size % 10 AS VARCHAR) || ' inch pizza' || more WHEN 5 THEN p_name || ' combo'
-                       WHEN 6 THEN p_name || ' save now regular' || more ELSE p_name END AS canonical,
-        price / mult AS effective,
-        CASE WHEN v = 5 THEN coalesce(1.0 * sized, 1.0::DOUBLE) * 1.35::DOUBLE ELSE 1.0 * sized END AS points,
-        CASE WHEN sized IS NOT NULL THEN 0.55::DOUBLE WHEN v = 5 THEN 0.5::DOUBLE END AS pconf,
-        CASE WHEN v = 5 AND sized IS NOT NULL THEN word || ' + meal' WHEN v = 5 THEN 'meal' WHEN sized IS NOT NULL THEN word END AS basis,
-        0.67::DOUBLE + coalesce(0.18::DOUBLE * qconf, 0) + CASE WHEN cal IS NOT NULL THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN promo <> 'none' THEN 0.03::DOUBLE ELSE 0 END AS confidence
-      FROM t),
-m AS (SELECT *, CASE WHEN kind = 'MASS_G' THEN price / ((amount * mult) / 1000.0::DOUBLE) END AS kg, CASE WHEN kind = 'VOLUME_ML' THEN price / ((amount * mult) / 1000.0::DOUBLE) END AS litre,
-        CASE WHEN cal > 0 THEN cal * mult / price END AS cpd, CASE WHEN kind = 'PIZZA_AREA_SQIN' THEN amount * mult / price END AS apd,
-        CASE WHEN kind = 'COUNT' THEN price / (amount * mult) END AS unit, CASE WHEN points > 0 THEN points * mult / price END AS ppd,
-        concat_ws('|', canonical, said, coalesce(kind, 'null'), CAST(coalesce(trunc(amount), 0) AS BIGINT), promo) AS item_key FROM x),
-s AS (SELECT *, row_number() OVER (PARTITION BY session_id, scan_id, item_key ORDER BY seq) AS in_scan,
-        row_number() OVER (PARTITION BY session_id, item_key ORDER BY scan_id DESC, seq) AS newest, min(seq) OVER (PARTITION BY session_id, item_key) AS first_seq FROM m),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq DESC) AS age FROM s WHERE newest = 1) WHERE age <= 500),
-c AS (SELECT session_id, count(kg) AS "0", count(litre) AS "1", count(cpd) AS "2", count(apd) AS "3", count(unit) AS "4", count(ppd) AS "5" FROM d GROUP BY ALL),
-u AS (SELECT session_id, CAST(name AS INT) AS o, value AS n FROM (UNPIVOT c ON "0", "1", "2", "3", "4", "5")),
-g AS (SELECT session_id, ['MASS', 'VOLUME', 'CALORIE', 'PIZZA', 'UNIT', 'PORTION'][o + 1] AS mode FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n >= 2 DESC, n DESC, o) AS r FROM u) WHERE r = 1)
-"""
-
-
 def _rounded(value: str, digits: int) -> str:
     """Text rounded half up from the shortest decimal form."""
     return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DECIMAL(30, {digits})) AS VARCHAR)"
 
 
+def _sql_text(text: str) -> str:
+    """A form as a SQL expression."""
+    known = {"name": "p_name", "size": "p_size", "P": "digits", "inch": "8 + p_size % 10", "more": "p_size + 1", "cm": "20 + p_size % 10", "few": "2 + p_size % 9"}
+    quoted = lambda x: " || chr(10) || ".join(f"'{y}'" for y in x.split("\n"))
+    return " || ".join(f"CAST({known[x[1:-1]]} AS VARCHAR)" if x[0] == "{" else quoted(x) for x in re.split(r"(\{\w+\})", text) if x)
+
+
+_MASS, _SINGLE = "MASS_G", 0.98
+#: What parsing finds in each form, as SQL, where it isn't what DEFAULT says. name: of the form without what follows it;
+#: plain: the canonical name; alone: the text is one line, so that what follows becomes part of the name.
+DEFAULT = {"cur": "'USD/CAD'", "raw": "'$' || digits", "kind": "NULL", "amount": "NULL", "display": "NULL", "qconf": "NULL", "inch": "NULL", "cal": "NULL", "promo": "'none'", "label": "''", "mult": "1.0::DOUBLE", "paid": "1",
+           "name": "p_name", "plain": "p_name", "alone": "false", "base": "NULL", "bconf": "NULL", "basis": "NULL", "size": "own_size", "size_name": "own_size_name", "meal": "false"}
+
+
+def _measure(kind: str, factor: str, unit: str, conf: float = _SINGLE, said: str = "p_size") -> dict[str, str]:
+    return {"kind": f"'{kind}'", "amount": f"({said}) * {factor}::DOUBLE", "display": f"CAST({said} AS VARCHAR) || ' {unit}'", "qconf": f"{conf}::DOUBLE"}
+
+
+def _count(said: str) -> dict[str, str]:
+    return {"kind": "'COUNT'", "amount": f"({said}) * 1.0::DOUBLE", "display": f"CAST({said} AS VARCHAR) || ' count'", "qconf": "0.9::DOUBLE"}
+
+
+def _pizza(said: str, unit: str, inch: str) -> dict[str, str]:
+    name = f"CAST({said} AS VARCHAR) || ' {unit} pizza'"
+    return {"kind": "'PIZZA_AREA_SQIN'", "inch": inch, "amount": f"pi() * pow({inch} / 2.0::DOUBLE, 2)", "display": f"{_rounded(inch, 1)} || '\" pizza'", "qconf": "0.9::DOUBLE", "name": name, "plain": name, "alone": "true", "size": "NULL", "size_name": "NULL"}
+
+
+def _money(code: str, sign: str) -> dict[str, str]:
+    return {"cur": f"'{code}'", "raw": f"'{sign}' || digits"}
+
+
+def _serving(word: str, points: float, conf: float) -> dict[str, str]:
+    return {"base": f"{points}::DOUBLE", "bconf": f"{conf}::DOUBLE", "basis": f"'{word}'", "name": f"'{word} ' || p_name", "plain": f"'{word} ' || p_name"}
+
+
+def _sized(name: str, factor: float, said: str, before: str) -> dict[str, str]:
+    """before: the sizes of a part's own name that are looked for before this one."""
+    own = f"own_size_name IN ({before})"
+    return {"size": f"CASE WHEN {own} THEN own_size ELSE {factor}::DOUBLE END", "size_name": f"CASE WHEN {own} THEN own_size_name ELSE '{said}' END", "name": name, "plain": name}
+
+
+def _known() -> tuple[dict[str, str], ...]:
+    return (
+    _measure(_MASS, "28.349523125", "oz"),
+    {**_measure("VOLUME_ML", "6.0", "ml", 1.0), "display": "'6 × ' || p_size || ' ml'"},
+    {"cal": "p_size * 10.0::DOUBLE", "promo": "'bogo'", "label": "'Buy 1, get 1'", "mult": "2.0::DOUBLE"},
+    _pizza("8 + p_size % 10", "inch", "CAST(8 + p_size % 10 AS DOUBLE)"),
+    {**_count("p_size"), "promo": "'bundle'", "label": "'2 for ' || CAST(price AS VARCHAR)", "mult": "2.0::DOUBLE", "paid": "2"},
+    {"meal": "true", "name": "p_name || ' combo'", "plain": "p_name || ' combo'"},
+    {**_measure(_MASS, "1.0", "g"), "alone": "true", "name": "p_name || ' ' || p_size || ' g Save  Now  Regular'", "plain": "p_name || ' save now regular'"},
+    {**_measure(_MASS, "453.59237", "lb"), "promo": "'bogo-percent'", "label": "'Buy 1, get 1 50% off'", "mult": "2.0::DOUBLE / 1.5::DOUBLE", "paid": "2"},
+    {**_measure("VOLUME_ML", "29.5735295625", "fl oz"), **_money("CAD", "CA$")},
+    {**_measure(_MASS, "1.0", "g"), **_money("EUR", "€"), "alone": "true", "name": "p_name || ' ' || p_size || ' g'"},
+    {**_measure(_MASS, "1000.0", "kg"), **_money("GBP", "£")},
+    {**_measure("VOLUME_ML", "1000.0", "l"), **_money("INR", "₹")},
+    {**_count("12"), **_money("BDT", "৳")},
+    {**_count("p_size"), "cur": "'USD'", "raw": "digits || ' USD'"},
+    {**_measure(_MASS, "1.0", "g"), **_money("USD", "US$"), "promo": "'buy-x-get-y'", "label": "'Buy 2, get 1'", "mult": "1.5::DOUBLE", "paid": "2"},
+    {**_measure(_MASS, "1000.0", "kg"), "promo": "'percent-off-shown'", "label": "'20% off'"},
+    _measure(_MASS, "1000.0", "kg", said="p_size + 1"),
+    _pizza("20 + p_size % 10", "cm", "((20 + p_size % 10) * 1.0::DOUBLE / 2.54::DOUBLE)"),
+    {"base": "(2 + p_size % 9) * 1.0::DOUBLE", "bconf": "0.72::DOUBLE", "basis": "CAST(2 + p_size % 9 AS VARCHAR) || ' food units'", "name": "CAST(2 + p_size % 9 AS VARCHAR) || ' wings ' || p_name", "plain": "CAST(2 + p_size % 9 AS VARCHAR) || ' wings ' || p_name"},
+    _serving("triple", 3.0, 0.66),
+    _serving("double", 2.0, 0.64),
+    {**_serving("single", 1.0, 0.60), "meal": "true", "name": "'single ' || p_name || ' meal'", "plain": "'single ' || p_name || ' meal'"},
+    _sized("p_name || ' party'", 2.2, "party", "''"),
+    _sized("p_name || ' family'", 1.8, "family", "''"),
+    _sized("p_name || ' xl'", 1.55, "extra large", "''"),
+    _sized("p_name || ' medium'", 1.0, "medium", "'large'"),
+    _sized("'kids ' || p_name", 0.65, "kids/junior", "'large', 'small'"),
+    {"alone": "true", "name": "'Subtotal'", "plain": "'subtotal'", "size": "NULL", "size_name": "NULL"},
+    {**_measure(_MASS, "1.0", "g", said="1500"), "display": "'1,500 g'"},
+    {**_measure(_MASS, "1.0", "g"), "raw": "'A$' || digits"},
+    _measure(_MASS, "1.0", "g", said="0"),
+    {**_measure(_MASS, "1.0", "g"), "name": "p_name || ' 😀'"},
+    )
+
+
+def _case(column: str) -> str:
+    return "CASE v " + " ".join(f"WHEN {v} THEN {known[column]}" for v, known in enumerate(_known()) if column in known) + f" ELSE {DEFAULT[column]} END AS k_{column}"
+
+
+def _truth() -> str:
+    seen = " UNION ALL ".join(f"SELECT *, CAST({scan} AS BIGINT) AS scan_id, {place} AS place, '{more}' AS more FROM part WHERE p_partkey % {every} = 0" for scan, place, every, more in SEEN)
+    text = "CASE v " + " ".join(f"WHEN {v} THEN {_sql_text(f)}" for v, f in enumerate(FORMS)) + " END"
+    fold = "lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END"
+    states = [f"s1 AS (SELECT session_id, item_key, held, born AS pos FROM o WHERE scan_id = 1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 500)"]
+    for k in (2, 3):
+        states.append(f"""s{k} AS (SELECT session_id, item_key, CASE WHEN s.held IS NULL THEN o.held WHEN o.held IS NULL THEN s.held WHEN o.held.c > s.held.c OR o.held.n > s.held.n THEN o.held ELSE s.held END AS held,
+            coalesce(s.pos, {k} * 1000000000000 + o.born) AS pos FROM s{k - 1} s FULL JOIN (SELECT * FROM o WHERE scan_id = {k}) o USING (session_id, item_key)
+            QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 500)""")
+    return f"""
+WITH b AS ({seen}),
+f AS (SELECT p_partkey, p_partkey // 500 AS session_id, scan_id, p_partkey * 16 + (scan_id - 1) * 4 + place AS seq, p_partkey % {len(FORMS)} AS v, p_name, p_size, more, p_retailprice AS price,
+             CAST(CAST(p_retailprice AS DECIMAL(10, 2)) AS VARCHAR) AS digits, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 0.8::DOUBLE WHEN 'large' THEN 1.3::DOUBLE END AS own_size,
+             CASE WHEN split_part(p_name, ' ', 1) IN ('small', 'large') THEN split_part(p_name, ' ', 1) END AS own_size_name FROM b),
+t AS (SELECT *, {text} || more AS raw_text, {", ".join(map(_case, DEFAULT))} FROM f),
+u AS (SELECT *, k_kind AS kind, k_amount AS amount, k_display AS display, k_qconf AS qconf, k_inch AS diameter, k_promo AS promo, k_label AS promo_label, k_mult AS mult, k_paid AS paid, k_cur AS currency,
+             k_raw AS said, coalesce(k_cal, CASE WHEN more = ' 50 cal' THEN 50.0::DOUBLE END) AS cal, k_name || CASE WHEN k_alone AND more <> '' THEN ' ' || more ELSE '' END AS name,
+             k_plain || CASE WHEN k_alone AND more = ' again' THEN ' again' ELSE '' END AS canonical,
+             CASE WHEN k_base IS NOT NULL OR k_size IS NOT NULL OR k_meal THEN coalesce(k_base, 1.0) * coalesce(k_size, 1.0) * CASE WHEN k_meal THEN 1.35::DOUBLE ELSE 1.0 END END AS points,
+             CASE WHEN k_base IS NOT NULL OR k_size IS NOT NULL OR k_meal THEN greatest(coalesce(k_bconf, 0.45::DOUBLE), CASE WHEN k_size IS NOT NULL THEN 0.55::DOUBLE ELSE 0 END, CASE WHEN k_meal THEN 0.5::DOUBLE ELSE 0 END) END AS pconf,
+             nullif(concat_ws(' + ', k_basis, k_size_name, CASE WHEN k_meal THEN 'meal' END), '') AS basis FROM t),
+x AS (SELECT *, price / mult AS effective, CASE currency WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'INR' THEN '₹' WHEN 'BDT' THEN '৳' ELSE '$' END AS sign,
+             least(0.67::DOUBLE + coalesce(0.18::DOUBLE * qconf, 0) + CASE WHEN cal IS NOT NULL THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN promo <> 'none' THEN 0.03::DOUBLE ELSE 0 END, 0.99::DOUBLE) AS confidence FROM u),
+m AS (SELECT *, CASE WHEN kind = 'MASS_G' AND amount > 0 THEN price / ((amount * mult) / 1000.0::DOUBLE) END AS kg, CASE WHEN kind = 'VOLUME_ML' THEN price / ((amount * mult) / 1000.0::DOUBLE) END AS litre,
+        CASE WHEN cal > 0 THEN cal * mult / price END AS cpd, CASE WHEN kind = 'PIZZA_AREA_SQIN' THEN amount * mult / price END AS apd,
+        CASE WHEN kind = 'COUNT' THEN price / (amount * mult) END AS unit, CASE WHEN points > 0 THEN points * mult / price END AS ppd,
+        concat_ws('|', canonical, digits, coalesce(kind, 'null'), CAST(coalesce(trunc(amount), 0) AS BIGINT), promo) AS item_key FROM x),
+o AS (SELECT session_id, scan_id, item_key, min(seq) AS born, list_reduce(list({{'c': confidence, 'n': length(raw_text), 'seq': seq}} ORDER BY seq), {fold}) AS held FROM m GROUP BY ALL),
+{", ".join(states)},
+d AS (SELECT m.*, row_number() OVER (PARTITION BY s3.session_id ORDER BY s3.pos) - 1 AS spot FROM s3 JOIN m ON m.session_id = s3.session_id AND m.seq = s3.held.seq)
+"""
+
+
 def _metric(mode: str) -> tuple[str, str, str]:
     column, less, label = {
-        "MASS": ("kg", True, "'$' || {} || '/kg'"), "VOLUME": ("litre", True, "'$' || {} || '/L'"), "CALORIE": ("cpd", False, "{} || ' cal/$'"),
-        "PIZZA": ("apd", False, "{} || ' in²/$'"), "UNIT": ("unit", True, "'$' || {} || '/unit'"), "PORTION": ("ppd", False, "{} || ' est. portion/$'"),
+        "MASS": ("kg", True, "sign || {} || '/kg'"), "VOLUME": ("litre", True, "sign || {} || '/L'"), "CALORIE": ("cpd", False, "{} || ' cal/$'"),
+        "PIZZA": ("apd", False, "{} || ' in²/$'"), "UNIT": ("unit", True, "sign || {} || '/unit'"), "PORTION": ("ppd", False, "{} || ' est. portion/$'"),
     }[mode]
     return column, column if less else f"-{column}", label.format(_rounded(column, 1 if mode in ("CALORIE", "PIZZA") else 2))
 
 
-def _rank_sql(mode: str, select: str = "session_id, rank, seq, name, price, metric, metric_label, mode", where: str = "true") -> str:
-    modes = ["MASS", "VOLUME", "CALORIE", "PIZZA", "UNIT", "PORTION"]
-    if mode == "SMART":
-        pick = lambda k: "CASE mode " + " ".join(f"WHEN '{m}' THEN {_metric(m)[k]}" for m in modes) + " END"
-        source, metric, key, label = "(SELECT d.*, g.mode FROM d JOIN g USING (session_id))", pick(0), pick(1), pick(2)
+_MODES = ("MASS", "VOLUME", "CALORIE", "PIZZA", "UNIT", "PORTION")
+
+
+def _smart(source: str) -> str:
+    """CTEs up to g (session_id, mode): the automatic mode of the items of source."""
+    return f"""c AS (SELECT session_id, count(kg) AS "0", count(litre) AS "1", count(cpd) AS "2", count(apd) AS "3", count(unit) AS "4", count(ppd) AS "5" FROM {source} GROUP BY ALL),
+        un AS (SELECT session_id, CAST(name AS INT) AS o, value AS n FROM (UNPIVOT c ON "0", "1", "2", "3", "4", "5")),
+        g AS (SELECT session_id, {list(_MODES)}[o + 1] AS mode FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n >= 2 DESC, n DESC, o) AS r FROM un) WHERE r = 1)"""
+
+
+def _rank_sql(mode: str, select: str = "session_id, rank, seq, name, price, metric, metric_label, mode", where: str = "true", source: str = "d", ctes: str = "") -> str:
+    """mode: one of them, SMART, or the name of a column that has it."""
+    if mode in _MODES:
+        smart, rows, (metric, key, label) = "", f"(SELECT *, '{mode}' AS mode FROM {source})", _metric(mode)
     else:
-        source, (metric, key, label) = f"(SELECT *, '{mode}' AS mode FROM d)", _metric(mode)
-    return f"""{_TRUTH}, k AS (SELECT *, {metric} AS metric, {key} AS sort, coalesce({label}, 'price only') AS metric_label FROM {source}),
-        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sort NULLS LAST, CASE WHEN metric IS NULL THEN price END, first_seq) AS rank FROM k)
+        pick = lambda k: "CASE mode " + " ".join(f"WHEN '{m}' THEN {_metric(m)[k]}" for m in _MODES) + " END"
+        own = "g.mode" if mode == "SMART" else f"CASE {mode} WHEN 'SMART' THEN g.mode ELSE {mode} END"
+        smart, rows, metric, key, label = ", " + _smart(source), f"(SELECT z.*, {own} AS mode FROM {source} z JOIN g USING (session_id))", pick(0), pick(1), pick(2)
+    return f"""{_truth()}{ctes}{smart}, k AS (SELECT *, {metric} AS metric, {key} AS sort, coalesce({label}, 'price only') AS metric_label FROM {rows}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sort NULLS LAST, CASE WHEN metric IS NULL THEN price END, spot) AS rank FROM k)
         SELECT {select} FROM r WHERE {where}"""
 
 
 _SHOWN = """session_id, rank, rank || '. ' || name AS title, metric_label || CASE WHEN promo <> 'none' THEN ' · ' || promo_label ELSE '' END AS metric_text,
-    concat_ws(' · ', said, display, CAST(trunc(cal) AS INT) || ' cal', CAST(trunc(confidence * 100) AS INT) || '%') AS meta, rank = 1 AND metric_label <> 'price only' AS best"""
+    concat_ws(' · ', sign || digits, display, CAST(trunc(cal) AS INT) || ' cal', CAST(trunc(confidence * 100) AS INT) || '%') AS meta, rank = 1 AND metric_label <> 'price only' AS best"""
+
+_OCR = """, l AS (SELECT session_id * 4 + scan_id AS scan_id, seq AS block_no, raw_text || nl || 'view more' || nl || 'share' || nl || 'help' AS block FROM (SELECT *, chr(10) AS nl FROM x)),
+    w AS (SELECT scan_id, block_no, block, string_split(block, chr(10)) AS lines, unnest(range(len(string_split(block, chr(10))))) AS line_no FROM l),
+    z AS (SELECT scan_id, block_no, CAST(line_no AS INT) AS line_no, block, array_to_string(lines[greatest(line_no - 1, 1):line_no + 3], chr(10)) AS context FROM w
+          WHERE regexp_matches(lines[line_no + 1], '[$€£₹৳][0-9]|[0-9] USD'))"""
+
+#: The items of a scan's tree: each text once, without sums, folded.
+_NODES = """, e1 AS (SELECT session_id * 4 + scan_id AS sid, min(seq) AS seq, raw_text FROM m WHERE v <> 27 OR cal IS NOT NULL GROUP BY ALL),
+    e2 AS (SELECT e1.sid, m.item_key, min(seq) AS born, list_reduce(list({'c': m.confidence, 'n': length(m.raw_text), 'seq': seq} ORDER BY seq), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held
+           FROM e1 JOIN m USING (seq) GROUP BY ALL),
+    e AS (SELECT m.* EXCLUDE (session_id), e2.sid AS session_id, row_number() OVER (PARTITION BY e2.sid ORDER BY e2.born) - 1 AS spot FROM e2 JOIN m ON m.seq = e2.held.seq)"""
+
+#: What the stream has at the end: rows of the last part of a session that nothing has cleared, of scans that counted.
+_STREAM = """, q AS (SELECT session_id, p_partkey % 500 AS born, max(p_partkey % 500) OVER (PARTITION BY session_id) AS most, m.* EXCLUDE (session_id, seq), p_partkey * 16 + 1 + place AS seq
+              FROM (SELECT *, seq % 16 AS place FROM m WHERE scan_id = 1 AND (more = '' OR more = ' .')) m WHERE place = 0 OR p_partkey % 500 % 7 = 0),
+    h AS (SELECT *, CASE WHEN most >= 480 THEN 'VOLUME' ELSE 'SMART' END AS own_mode FROM q
+          WHERE born >= CASE WHEN most >= 320 THEN 320 WHEN most >= 200 THEN 200 ELSE 0 END AND (p_partkey % 2 = 1) = (born BETWEEN 400 AND 449)),
+    h2 AS (SELECT session_id, item_key, min(seq) AS born, list_reduce(list({'c': confidence, 'n': length(raw_text), 'seq': seq} ORDER BY seq), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held FROM h GROUP BY ALL),
+    st AS (SELECT h.*, row_number() OVER (PARTITION BY h2.session_id ORDER BY h2.born) - 1 AS spot FROM h2 JOIN h ON h.session_id = h2.session_id AND h.seq = h2.held.seq)"""
 
-_OCR = """WITH b AS (SELECT session_id AS scan_id, seq AS block_no, 'menu' || nl || 'fresh today' || nl || raw_text || nl || 'view more' || nl || 'add to cart' || nl || 'share' AS block FROM x WHERE scan_id = 1),
-    l AS (SELECT scan_id, block_no, block, unnest(range(len(string_split(block, chr(10))))) AS line_no FROM b),
-    w AS (SELECT scan_id, block_no, CAST(line_no AS INT) AS line_no, block, string_split(block, chr(10)) AS lines FROM l),
-    z AS (SELECT scan_id, block_no, line_no, block, array_to_string(lines[greatest(line_no - 1, 1):line_no + 3], chr(10)) AS context FROM w WHERE contains(lines[line_no + 1], '$'))"""
+_TRUTH = _truth()
 
 SQL = {
     "normalize_text": _TRUTH + r"SELECT seq, replace(raw_text, chr(10), 'nn') || ' x' AS t FROM x",
-    "extract_prices": _TRUTH + r"""SELECT seq, CAST(n AS INT) AS n, CAST(substr(raw, 2) AS DOUBLE) AS amount, CAST(instr(raw_text, raw) - 1 AS INT) AS "index", 'USD/CAD' AS currency, raw
-        FROM (SELECT seq, raw_text, unnest(CASE WHEN v = 6 THEN ['$2', said, '$1050.00'] ELSE [said] END) AS raw, unnest(CASE WHEN v = 6 THEN [0, 1, 2] ELSE [0] END) AS n FROM x)""",
-    "choose_prices": _TRUTH + "SELECT seq, price AS amount, 'USD/CAD' AS currency FROM x",
+    "extract_prices": _TRUTH + r"""SELECT seq, CAST(n AS INT) AS n, CASE WHEN v = 6 AND n <> 1 THEN CAST(substr(raw, 2) AS DOUBLE) ELSE price END AS amount, CAST(instr(raw_text, raw) - 1 AS INT) AS "index", currency, raw
+        FROM (SELECT seq, v, price, currency, raw_text, unnest(CASE WHEN v = 6 THEN ['$2', said, '$1050.00'] ELSE [said] END) AS raw, unnest(CASE WHEN v = 6 THEN [0, 1, 2] ELSE [0] END) AS n FROM x)""",
+    "choose_prices": _TRUTH + "SELECT seq, price AS amount, currency FROM x",
     "promotion_rules": _TRUTH + 'SELECT seq, promo AS "type", promo_label AS label, mult AS received_multiplier, paid AS min_paid_units, effective AS effective_price FROM x',
     "quantity_best": _TRUTH + "SELECT seq, kind, amount AS amount_base, display, qconf AS confidence, diameter AS diameter_in FROM x",
     "calories_found": _TRUTH + "SELECT seq, cal AS calories FROM x",
     "portion_points": _TRUTH + "SELECT seq, points, pconf AS confidence, basis FROM x",
     "item_names": _TRUTH + "SELECT seq, name FROM x",
     "canonical_names": _TRUTH + "SELECT seq, canonical FROM x",
-    "analyze_listings": _TRUTH + "SELECT session_id, seq, name, price, 'USD/CAD' AS currency, kind, cal AS calories, points, promo AS promotion, confidence FROM x",
-    "dedupe_items": _TRUTH + "SELECT session_id, first_seq, seq, scan_id, name, price, confidence FROM d",
-    "dedupe_in_scan": _TRUTH + "SELECT session_id, scan_id, seq AS first_seq, seq, name FROM s WHERE in_scan = 1",
+    "analyze_listings": _TRUTH + "SELECT session_id, seq, name, price, currency, kind, cal AS calories, points, promo AS promotion, confidence FROM x",
+    "dedupe_items": _TRUTH + "SELECT session_id, CAST(spot AS INT) AS place, seq, scan_id, name, price, confidence FROM d",
+    "dedupe_in_scan": _TRUTH + "SELECT o.session_id, o.scan_id, CAST(row_number() OVER (PARTITION BY o.session_id, o.scan_id ORDER BY o.born) - 1 AS INT) AS place, m.seq, m.name FROM o JOIN m ON m.session_id = o.session_id AND m.seq = o.held.seq",
     "metric_values": _TRUTH + "SELECT seq, kg AS price_per_kg, litre AS price_per_l, cpd AS calories_per_dollar, apd AS pizza_area_per_dollar, unit AS price_per_unit, ppd AS portion_points_per_dollar FROM m",
-    "smart_modes": _TRUTH + "SELECT session_id, mode FROM g",
-    **{f"rank_{m.lower()}": _rank_sql(m) for m in ("MASS", "VOLUME", "CALORIE", "PIZZA", "UNIT", "PORTION", "SMART")},
+    "smart_modes": _TRUTH + ", " + _smart("d") + "SELECT session_id, mode FROM g",
+    **{f"rank_{m.lower()}": _rank_sql(m) for m in (*_MODES, "SMART")},
     "top60_rows": _rank_sql("MASS", _SHOWN, "rank <= 60"),
     "badges": _TRUTH + "SELECT session_id, least(count(*), 999) AS badge FROM d GROUP BY session_id",
-    "fifo_cap": _TRUTH + "SELECT session_id, first_seq, name FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq DESC) AS back FROM s WHERE newest = 1) WHERE back <= 100",
-    "ocr_contexts": _TRUTH + "," + _OCR.removeprefix("WITH ") .replace("b AS (", "ob AS (", 1).replace("FROM b)", "FROM ob)", 1) + "SELECT scan_id, block_no, line_no, context FROM z",
-    "ocr_texts": _TRUTH + "," + _OCR.removeprefix("WITH ").replace("b AS (", "ob AS (", 1).replace("FROM b)", "FROM ob)", 1) + """,
-        e AS (SELECT scan_id, block_no, -1 AS place, block AS raw_text FROM ob UNION ALL SELECT scan_id, block_no, line_no, context FROM z)
+    "fifo_cap": _TRUTH + "SELECT session_id, CAST(spot AS INT) AS place, name FROM d QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY spot DESC) <= 100",
+    "ocr_contexts": _TRUTH + _OCR + "SELECT scan_id, block_no, line_no, context FROM z",
+    "ocr_texts": _TRUTH + _OCR + """,
+        e AS (SELECT scan_id, block_no, -1 AS place, block AS raw_text FROM l UNION ALL SELECT scan_id, block_no, line_no, context FROM z)
         SELECT scan_id, block_no, place, raw_text FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, raw_text ORDER BY block_no, place) AS r FROM e) WHERE r = 1""",
-    "node_texts": _TRUTH + "SELECT DISTINCT session_id AS scan_id, raw_text FROM x WHERE scan_id = 1",
+    "node_texts": _TRUTH + "SELECT DISTINCT session_id * 4 + scan_id AS scan_id, raw_text FROM x",
     "scroll_targets": _TRUTH + """, n AS (
-            SELECT session_id AS scan_id, -1 AS node_id, 0 AS o, 400 * 800 * 1.4::DOUBLE * 1.35::DOUBLE AS score FROM x GROUP BY session_id
-            UNION ALL SELECT session_id, seq * 64, 1 + seq % 100000, CAST(300 * (length(raw_text) * 3) AS DOUBLE) * CASE WHEN length(raw_text) * 3 > 300 * 0.55::DOUBLE THEN 1.4::DOUBLE ELSE 1.0 END FROM x WHERE scan_id = 1 AND seq % 7 = 0)
+            SELECT DISTINCT session_id * 4 + scan_id AS scan_id, -1 AS node_id, 0 AS o, 400 * 800 * 1.4::DOUBLE * 1.35::DOUBLE AS score FROM x
+            UNION ALL SELECT session_id * 4 + scan_id, seq * 64, 1 + seq % 8000, CAST(300 * (length(raw_text) * 3) AS DOUBLE) * CASE WHEN length(raw_text) * 3 > 300 * 0.55::DOUBLE THEN 1.4::DOUBLE ELSE 1.0 END FROM x WHERE seq % 7 = 0)
         SELECT scan_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, o) AS r FROM n) WHERE r = 1""",
+    "node_scan_ranked": _rank_sql("SMART", "session_id, rank, CAST(spot AS INT) AS place, name, price, metric, metric_label, mode", source="e", ctes=_NODES),
+    "ocr_scan_items": _TRUTH + """SELECT o.session_id * 4 + o.scan_id AS scan_id, CAST(row_number() OVER (PARTITION BY o.session_id, o.scan_id ORDER BY o.born) - 1 AS INT) AS place, m.seq AS block_no, m.name, m.price, m.kind, m.confidence
+        FROM o JOIN m ON m.session_id = o.session_id AND m.seq = o.held.seq""",
+    "collected_stream": _TRUTH + _STREAM + "SELECT session_id, CAST(spot AS INT) AS place, seq, item_key, own_mode AS mode FROM st",
+    "shown_stream": _rank_sql("own_mode", "session_id, rank, rank || '. ' || name AS title, metric_label || CASE WHEN promo <> 'none' THEN ' · ' || promo_label ELSE '' END AS metric_text", "rank <= 60", source="st", ctes=_STREAM),
     "noise_filter": """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 1 THEN 'Order total 500 g $' ELSE 'Green tea $' END || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90000 + 1 AS VARCHAR) AS raw_text,
         CAST(CAST(floor(o_totalprice) AS BIGINT) % 90000 + 1 AS DOUBLE) AS price FROM orders WHERE o_orderkey % 3 <> 0""",
     "package_session_numbers": """WITH e AS (SELECT user_id AS session_id, event_id, ts, event_type AS p FROM events WHERE event_type <> 'error' AND trim(event_type) <> ''),
@@ -299,11 +436,10 @@ SQL = {
         c AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id ORDER BY us) > 21600000000 THEN 1 ELSE 0 END AS n FROM e),
         r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM c)
         SELECT session_id, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM r GROUP BY session_id, run""",
-    "stale_stop": """WITH e AS (SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step,
+    "stale_stop": """WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step,
             CAST(row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) = 1 AS INT) AS new FROM events),
-        c AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS collected, sum(new) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent,
-              max(CASE WHEN new = 1 THEN step ELSE 0 END) OVER (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS last FROM e)
-        SELECT session_id, CAST(step AS INT) AS step, CAST(collected AS INT) AS collected, CAST(step - last AS INT) AS stale_rounds
-        FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) AS r FROM c WHERE step >= 90 OR (step >= 5 AND recent = 0)) WHERE r = 1""",
+        c AS (SELECT *, sum(new) OVER w AS collected, step - max(CASE WHEN new = 1 THEN step END) OVER w AS stale FROM e WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING))
+        SELECT session_id, CAST(step AS INT) AS step, CAST(collected AS INT) AS collected, CAST(stale AS INT) AS stale_rounds
+        FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) AS r FROM c WHERE step >= 90 OR stale >= 5) WHERE r = 1""",
     "formatted_values": f"SELECT l_orderkey, l_linenumber, {_rounded('l_extendedprice / 8', 2)} AS two, {_rounded('l_extendedprice / 8', 1)} AS one FROM lineitem",
 }

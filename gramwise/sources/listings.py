@@ -1,63 +1,112 @@
-"""Inputs for the engine from the star schema: listings, recognised lines, screen trees, events."""
+"""Inputs for the engine from the star schema: listings, recognised lines, screen trees, events, recorded screens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Parts that make up a session, and every how many-th part is seen again in a second scan.
-SESSION_PARTS, AGAIN = 500, 5
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+#: Parts that make up a session, and the places that each has for its listings.
+SESSION_PARTS, PLACES = 500, 16
+
+#: A listing's text by p_partkey modulo their number. P is the price; inch, cm, more and few follow from the size.
+FORMS = (
+    "{name}\n{size} oz\n${P}",
+    "{name}\n6 x {size} ml\n${P}",
+    "{name}\n{size}0 cal\n${P}\nBuy one get one free",
+    "{inch} inch pizza ${P}",
+    "{name}\n{size} count\n2 for ${P}",
+    "{name} combo\n${P}",
+    "{name} {size} g Save $2 Now ${P} Regular $1050.00",
+    "{name}\n{size} lb\n${P} BOGO 50% off",
+    "{name}\n{size} fl oz\nCA${P}",
+    "{name} {size} g €{P}",
+    "{name}\n{size} kg\n£{P}",
+    "{name}\n{size} l ₹{P}",
+    "{name}\n৳{P}\n12 pack",
+    "{name}\n{P} USD\npack of {size}",
+    "{name}\n{size} g\nUS${P} Buy 2 get 1 free",
+    "{name}\n{size} kg\n${P} 20% off",
+    "{name}\n{size} - {more} kg\n${P}",
+    "{cm} cm pizza ${P}",
+    "{few} wings {name}\n${P}",
+    "triple {name}\n${P}",
+    "double {name}\n${P}",
+    "single {name} meal\n${P}",
+    "{name} party\n${P}",
+    "{name} family\n${P}",
+    "{name} xl\n${P}",
+    "{name} medium\n${P}",
+    "kids {name}\n${P}",
+    "Subtotal ${P}",
+    "{name}\n1,500 g\n${P}",
+    "{name}\n{size} g\nA${P}",
+    "{name}\n0 g free\n$0.00 then ${P}",
+    "{name} 😀\n{size} g\n${P}",
+)
+
+#: What is seen of a part: (scan, place in the scan, every how many-th part, what follows the text). In the first scan come
+#: copies that are longer, surer, or longer but less sure than the one before; later scans repeat some.
+SEEN = ((1, 0, 1, ""), (1, 1, 7, " ."), (1, 2, 11, " 50 cal"), (1, 3, 11, " ............"), (2, 0, 5, " again"), (3, 0, 4, " ..."))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, scan_id, seq, source_package, raw_text): a listing for each part, in eight forms by its key."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    price = F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
-    name, size, line = F.col("p_name"), F.col("p_size"), F.lit("\n")
-    forms = [
-        F.concat(name, line, size, F.lit(" oz"), line, price),
-        F.concat(name, line, F.lit("6 x "), size, F.lit(" ml"), line, price),
-        F.concat(name, line, size * 10, F.lit(" cal"), line, price, F.lit("\nBuy one get one free")),
-        F.concat(size % 10 + 8, F.lit(" inch pizza "), price),
-        F.concat(name, line, size, F.lit(" count\n2 for "), price),
-        F.concat(name, F.lit(" combo"), line, price),
-        F.concat(name, F.lit(" "), size, F.lit(" g Save $2 Now "), price, F.lit(" Regular $1050.00")),
-        F.concat(name, line, size, F.lit(" lb"), line, price, F.lit(" BOGO 50% off")),
-    ]
-    text = F.get(F.array(*forms), (F.col("p_partkey") % 8).cast("int"))
-    scans = F.when(F.col("p_partkey") % AGAIN == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    rows = part.withColumn("text", text).withColumn("scan", F.explode(scans))
+def dealt(df: DataFrame) -> DataFrame:
+    """Dealt anew where the scan has fewer partitions than there are cores, as small files give: parsing is the costly part."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def form(text: str) -> Column:
+    price = F.col("p_retailprice").cast("decimal(10,2)").cast("string")
+    size = F.col("p_size")
+    known = {"name": F.col("p_name"), "size": size, "P": price, "inch": size % 10 + 8, "more": size + 1, "cm": size % 10 + 20, "few": size % 9 + 2}
+    pieces = [x for x in re.split(r"(\{\w+\})", text) if x]
+    return F.concat(*[known[x[1:-1]].cast("string") if x[0] == "{" else F.lit(x) for x in pieces])
+
+
+def listings_of(part: DataFrame) -> DataFrame:
+    """(session_id, scan_id, seq, source_package, raw_text) from part: rows in the order of scans and their places."""
+    text = F.get(F.array(*map(form, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
+    key = F.col("p_partkey")
+    seen = [F.when(key % every == 0, F.struct(F.lit(scan).cast("long").alias("scan"), F.lit(place).alias("place"), F.lit(more).alias("after"))) for scan, place, every, more in SEEN]
+    rows = part.select("p_partkey", text.alias("text"), F.explode(F.array_compact(F.array(*seen))).alias("s"))
     return rows.select(
-        F.floor(F.col("p_partkey") / SESSION_PARTS).cast("long").alias("session_id"),
-        F.col("scan").cast("long").alias("scan_id"),
-        (F.col("p_partkey") * 2 + F.col("scan") - 1).cast("long").alias("seq"),
-        F.concat(F.lit("shop."), (F.col("p_partkey") % 3).cast("string")).alias("source_package"),
-        F.when(F.col("scan") == 2, F.concat("text", F.lit(" again"))).otherwise(F.col("text")).alias("raw_text"),
+        F.floor(key / SESSION_PARTS).cast("long").alias("session_id"),
+        F.col("s.scan").alias("scan_id"),
+        (key * PLACES + (F.col("s.scan") - 1) * 4 + F.col("s.place")).cast("long").alias("seq"),
+        F.concat(F.lit("shop."), (key % 3).cast("string")).alias("source_package"),
+        F.concat("text", "s.after").alias("raw_text"),
     )
 
 
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings_of(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")))
+
+
 def screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A screen tree for each session: a list, below it a card for each listing of the first scan, below that its lines."""
-    rows = listings(spark, sf_dir).where("scan_id = 1")
+    """A screen tree for each session and scan: a list, below it a card for each listing, below that its lines."""
+    rows = listings(spark, sf_dir)
     zero, none = F.lit(0), F.lit(None).cast("string")
     box = lambda r, b: (zero.alias("l"), zero.alias("t"), r.cast("int").alias("r"), b.cast("int").alias("b"))
-    scan = F.col("session_id").alias("scan_id")
+    scan = (F.col("session_id") * 4 + F.col("scan_id")).alias("scan_id")
+    place = (F.col("seq") % (SESSION_PARTS * PLACES)).cast("int")
     size = F.length("raw_text")
-    root = rows.groupBy("session_id").agg(F.count("*").alias("n")).select(scan, F.lit(-1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), zero.alias("child_ord"), none.alias("text"), none.alias("content_desc"), F.lit("androidx.RecyclerView").alias("class_name"), *box(F.lit(400), F.lit(800)), F.lit(True).alias("scrollable"))
-    cards = rows.select(scan, (F.col("seq") * 64).alias("node_id"), F.lit(-1).cast("long").alias("parent_id"), (F.col("seq") % 100000).cast("int").alias("child_ord"), none.alias("text"), none.alias("content_desc"), F.lit("ui.CardItem").alias("class_name"), *box(F.lit(300), size * 3), (F.col("seq") % 7 == 0).alias("scrollable"))
-    lines = rows.select("session_id", "seq", F.posexplode(F.split("raw_text", "\n")).alias("n", "line"))
+    root = rows.groupBy("session_id", "scan_id").agg(F.count("*").alias("n")).select(scan, F.lit(-1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), zero.alias("child_ord"), none.alias("text"), none.alias("content_desc"), F.lit("androidx.RecyclerView").alias("class_name"), *box(F.lit(400), F.lit(800)), F.lit(True).alias("scrollable"))
+    cards = rows.select(scan, (F.col("seq") * 64).alias("node_id"), F.lit(-1).cast("long").alias("parent_id"), place.alias("child_ord"), none.alias("text"), none.alias("content_desc"), F.lit("ui.CardItem").alias("class_name"), *box(F.lit(300), size * 3), (F.col("seq") % 7 == 0).alias("scrollable"))
+    lines = rows.select("session_id", "scan_id", "seq", F.posexplode(F.split("raw_text", "\n")).alias("n", "line"))
     leaves = lines.select(scan, (F.col("seq") * 64 + 1 + F.col("n")).alias("node_id"), (F.col("seq") * 64).alias("parent_id"), F.col("n").alias("child_ord"), F.col("line").alias("text"), F.when(F.col("n") == 0, F.col("line")).alias("content_desc"), F.lit("ui.Text").alias("class_name"), *box(F.lit(90), F.lit(20)), F.lit(False).alias("scrollable"))
     return root.unionByName(cards).unionByName(leaves)
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan_id, block_no, line_no, line_text): a block of recognised lines for each listing of the first scan."""
-    rows = listings(spark, sf_dir).where("scan_id = 1")
-    block = F.concat(F.lit("menu\nfresh today\n"), F.col("raw_text"), F.lit("\nview more\nadd to cart\nshare"))
-    return rows.select(F.col("session_id").alias("scan_id"), F.col("seq").alias("block_no"), F.posexplode(F.split(block, "\n")).alias("line_no", "line_text"))
+    """(scan_id, block_no, line_no, line_text): a block of recognised lines for each listing."""
+    rows = listings(spark, sf_dir)
+    block = F.concat("raw_text", F.lit("\nview more\nshare\nhelp"))
+    return rows.select((F.col("session_id") * 4 + F.col("scan_id")).alias("scan_id"), F.col("seq").alias("block_no"), F.posexplode(F.split(block, "\n")).alias("line_no", "line_text"))
 
 
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +115,37 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, step, collected): how many items a session has after each step, one for each new whole value."""
-    from pyspark.sql import Window as W
-
+    """(session_id, step, collected): how many items a session has after each step, one for each new whole value. Step 0 is
+    the scan before the first scroll."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.floor("value").alias("item"))
     order = W.partitionBy("session_id").orderBy("event_id")
     first = F.row_number().over(W.partitionBy("session_id", "item").orderBy("event_id")) == 1
     marked = events.withColumn("new", first.cast("int"))
-    return marked.select("session_id", F.row_number().over(order).alias("step"), F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("collected"))
+    return marked.select("session_id", (F.row_number().over(order) - 1).alias("step"), F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("collected"))
+
+
+#: Rows of a recorded session by p_partkey modulo SESSION_PARTS: (place, kind, what it names) before that part's listings.
+#: Packages: the first, the app's own and a blank one, which count for nothing, and another.
+RECORDED = ((0, "event", "shop.a"), (40, "event", "own"), (80, "event", " "), (120, "event", "shop.a"), (200, "event", "shop.b"), (320, "clear", ""), (400, "start", ""), (450, "stop", ""), (480, "mode", "VOLUME"))
+OWN_PACKAGE = "own"
+
+
+def recorded(part: DataFrame) -> DataFrame:
+    """(session_id, seq, kind, named, scan_id, raw_text) from part: what happened on screen, control rows between items.
+
+    Items are of scans on their own (passive) for even parts and of a scan-all (all) for odd ones; 20 parts are a scan."""
+    at = F.col("p_partkey") % SESSION_PARTS
+    empty = F.lit(None).cast("string")
+    control = F.array(*[F.when(at == place, F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), F.lit(-1).alias("place"), empty.alias("text"))) for place, kind, named in RECORDED])
+    text = F.get(F.array(*map(form, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "passive").otherwise("all")
+    items = F.array(F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(0).alias("place"), text.alias("text")), F.when(at % 7 == 0, F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(1).alias("place"), F.concat(text, F.lit(" .")).alias("text"))))
+    rows = part.select("p_partkey", F.explode(F.array_compact(F.concat(control, items))).alias("r"))
+    return rows.select(
+        F.floor(F.col("p_partkey") / SESSION_PARTS).cast("long").alias("session_id"),
+        (F.col("p_partkey") * PLACES + 1 + F.col("r.place")).cast("long").alias("seq"),
+        F.col("r.kind").alias("kind"),
+        F.col("r.named").alias("named"),
+        (F.floor(F.col("p_partkey") / 20)).cast("long").alias("scan_id"),
+        F.col("r.text").alias("raw_text"),
+    )

@@ -1,23 +1,21 @@
 """Candidate texts from screen trees and from recognised lines.
 
-A tree is a relation of nodes. Depth and place are found level by level, ancestors and descendants by joins on the
+A tree is a relation of nodes. Depth and place are found by doubling the levels looked up, ancestors and descendants by joins on the
 parent; the limits on nodes and signs are window filters, as they decide the result.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gramwise.functions import fixed
-from gramwise.functions.text import has_price, normalize, prices, trim
+from gramwise.functions import analyze, fixed
+from gramwise.functions.text import has_price, normalize, prices, take, trim, units
+from gramwise.operators.dedupe import fold
+from gramwise.shared import checkpoint
 
-VISITED, SCROLL_VISITED, SUBTREE_NODES, SUBTREE_SIGNS, CLIMB = 5000, 4000, 100, 1200, 7
-#: A walk meets a node of this depth after more nodes than it visits, and so does the walk below a node that it visits.
-DEPTH = VISITED + SUBTREE_NODES
-#: Levels found before they are written and lineage is cut.
-LEVELS = 8
+#: Rounds of `placed`: each doubles the levels looked up. Deeper nodes come after more nodes than a walk visits, and so do
+#: those below a node that it visits.
+ROUNDS = (fixed.VISITED + fixed.SUBTREE_NODES).bit_length()
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -26,52 +24,47 @@ def own_text(text: Column, description: Column) -> Column:
     return trim(F.concat_ws("\n", filled(text), F.when(~F.coalesce(description.eqNullSafe(text), F.lit(False)), filled(description))))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir, or in a folder of our own where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
-
-
 def placed(nodes: DataFrame) -> DataFrame:
-    """Adds depth and path (the child numbers from the root): in this order a breadth-first walk meets the nodes."""
-    level = nodes.where("parent_id is null").withColumns({"depth": F.lit(0), "path": F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i")))})
-    out, last = None, level  # what is written, and the levels since
-    children = nodes.where("parent_id is not null")
-    for depth in range(1, DEPTH):
-        up = level.select("scan_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
-        level = children.join(up, ["scan_id", "parent_id"]).withColumns({"depth": F.lit(depth), "path": F.concat("_path", F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i"))))}).drop("_path").select(*last.columns)
-        if not level.take(1):
+    """Adds depth and path (the child numbers from the root): in this order a breadth-first walk meets the nodes.
+
+    Every node knows the path below some node above it, the parent at first; each round puts that one's own path before
+    it. Nodes without a way to a root are left out.
+    """
+    step = F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i")))
+    now = nodes.withColumns({"_up": F.col("parent_id"), "path": step})
+    for _ in range(ROUNDS):
+        above = now.select("scan_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_above"))
+        joined = now.where("_up is not null").join(above, ["scan_id", "_up"]).withColumns({"path": F.concat("_above", "path"), "_up": F.col("_next")})
+        now = checkpoint(now.where("_up is null").unionByName(joined.select(*now.columns)))
+        if not now.where("_up is not null").take(1):
             break
-        last = last.unionByName(level)
-        if depth % LEVELS == 0:
-            last = _written(last)
-            level = last.where(F.col("depth") == depth)
-            out, last = last if out is None else out.unionByName(last), last.where(F.lit(False))
-    return last if out is None else out.unionByName(last)
+    return now.where("_up is null").drop("_up").withColumn("depth", F.size("path") - 1)
 
 
 def score(text: Column, class_name: Column, width: Column, height: Column) -> Column:
     """How much a text looks like one product's card."""
-    n, count = F.length(text), F.size(prices(normalize(text)))
-    by_length = F.when(n.between(12, 700), 4.0).when(n <= 1200, 1.0).otherwise(-5.0)
-    by_prices = F.when(count == 1, 3.0).when(count.between(2, 3), 1.0).otherwise(-4.0)
-    by_class = F.when(F.lower(F.coalesce(class_name, F.lit(""))).rlike(fixed.CARD_CLASS), 2.0).otherwise(0.0)
-    return by_length + by_prices + by_class + F.when((width > 100) & (height > 35), 1.0).otherwise(0.0)
+    n, count = units(text), F.size(prices(normalize(text)))
+    (low, high, good), (most, fair), bad = fixed.SCORE_LENGTH
+    by_length = F.when(n.between(low, high), good).when(n <= most, fair).otherwise(bad)
+    (one, best), (few, some), others = fixed.SCORE_PRICES
+    by_prices = F.when(count == one, best).when(count.between(one, few), some).otherwise(others)
+    by_class = F.when(F.lower(F.coalesce(class_name, F.lit(""))).rlike(fixed.CARD_CLASS), fixed.SCORE_CLASS).otherwise(0.0)
+    return by_length + by_prices + by_class + F.when((width > fixed.CARD_BOUNDS[0]) & (height > fixed.CARD_BOUNDS[1]), fixed.SCORE_BOUNDS).otherwise(0.0)
 
 
 def subtree_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(scan_id, node_id, text) of the wanted (scan_id, node_id): the texts below, breadth first, within the limits."""
-    # Pairs of a wanted node and each node below it: a node's path holds all that stand above it.
-    above = nodes.select("scan_id", "depth", "path", "own", F.explode(F.transform("path", lambda x: x["i"])).alias("node_id"))
+    # Pairs of a wanted node and each node below it: a node's path holds all that stand above it. What is as many levels
+    # below as the walk visits nodes isn't met.
+    nearest = F.slice(F.reverse(F.transform("path", lambda x: x["i"])), 1, fixed.SUBTREE_NODES)
+    above = nodes.select("scan_id", "depth", "path", "own", F.explode(nearest).alias("node_id"))
     pairs = above.join(wanted, ["scan_id", "node_id"], "left_semi")
     order = W.partitionBy("scan_id", "node_id").orderBy("depth", "path")
-    used = (F.length("own") > 0) & (F.length("own") < 500)
-    pairs = pairs.withColumns({"n": F.row_number().over(order), "before": F.coalesce(F.sum(F.when(used, F.length("own") + 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    kept = pairs.where((F.col("n") <= SUBTREE_NODES) & (F.col("before") < SUBTREE_SIGNS) & used)
+    used = (F.length("own") > 0) & (units(F.col("own")) < fixed.OWN_MOST)
+    pairs = pairs.withColumns({"n": F.row_number().over(order), "before": F.coalesce(F.sum(F.when(used, units(F.col("own")) + 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    kept = pairs.where((F.col("n") <= fixed.SUBTREE_NODES) & (F.col("before") < fixed.SUBTREE_UNITS) & used)
     lines = kept.groupBy("scan_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("lines"))
-    text = F.substring(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), 1, SUBTREE_SIGNS)
+    text = take(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), fixed.SUBTREE_UNITS)
     return lines.select("scan_id", "node_id", text.alias("text"))
 
 
@@ -80,33 +73,33 @@ def node_candidates(nodes: DataFrame) -> DataFrame:
     tree = placed(nodes).withColumn("own", own_text(F.col("text"), F.col("content_desc")))
     walk = W.partitionBy("scan_id").orderBy("depth", "path")
     tree = tree.withColumn("seq", F.row_number().over(walk))
-    seeds = tree.where((F.col("seq") <= VISITED) & has_price(F.col("own")))
+    seeds = tree.where((F.col("seq") <= fixed.VISITED) & has_price(F.col("own")))
     size = (F.col("r") - F.col("l"), F.col("b") - F.col("t"))
     own = seeds.select("scan_id", "seq", F.lit(0).alias("up"), F.col("own").alias("text"), score(F.col("own"), F.col("class_name"), *size).alias("score"))
-    ups = seeds.select("scan_id", "seq", F.posexplode(F.slice(F.reverse(F.transform("path", lambda x: x["i"])), 2, CLIMB)).alias("up", "node_id"))
+    ups = seeds.select("scan_id", "seq", F.posexplode(F.slice(F.reverse(F.transform("path", lambda x: x["i"])), 2, fixed.CLIMB)).alias("up", "node_id"))
     texts = subtree_texts(tree.select("scan_id", "depth", "path", "own"), ups.select("scan_id", "node_id").distinct())
     shapes = tree.select("scan_id", "node_id", "class_name", "l", "t", "r", "b")
     scored = texts.join(shapes, ["scan_id", "node_id"]).where(has_price(F.col("text"))).select("scan_id", "node_id", "text", score(F.col("text"), F.col("class_name"), *size).alias("score"))
     climbed = ups.join(scored, ["scan_id", "node_id"]).select("scan_id", "seq", (F.col("up") + 1).alias("up"), "text", "score")
     best = own.unionByName(climbed).groupBy("scan_id", "seq").agg(F.max(F.struct("score", (-F.col("up")).alias("near"), "text")).alias("best"))
-    good = best.select("scan_id", "seq", F.col("best.text").alias("raw_text")).where(F.length("raw_text").between(4, 1400))
+    good = best.select("scan_id", "seq", F.col("best.text").alias("raw_text")).where(units(F.col("raw_text")).between(*fixed.CANDIDATE_LENGTH))
     return good.groupBy("scan_id", "raw_text").agg(F.min("seq").alias("seq")).select("scan_id", "seq", "raw_text")
 
 
 def best_scrollable(nodes: DataFrame) -> DataFrame:
     """(scan_id, node_id, score): the scrollable node that is largest, tall and named like a list; the first of equals."""
     walk = W.partitionBy("scan_id").orderBy("depth", "path")
-    tree = placed(nodes).withColumn("seq", F.row_number().over(walk)).where(F.col("seq") <= SCROLL_VISITED).where("scrollable")
+    tree = placed(nodes).withColumn("seq", F.row_number().over(walk)).where(F.col("seq") <= fixed.SCROLL_VISITED).where("scrollable")
     width, height = (F.col("r") - F.col("l")).cast("double"), (F.col("b") - F.col("t")).cast("double")
-    value = width * height * F.when(height > width * 0.55, 1.4).otherwise(1.0)
-    value = value * F.when(F.lower(F.coalesce("class_name", F.lit(""))).rlike(fixed.SCROLL_CLASS), 1.35).otherwise(1.0)
+    value = width * height * F.when(height > width * fixed.TALL, fixed.TALL_FACTOR).otherwise(1.0)
+    value = value * F.when(F.lower(F.coalesce("class_name", F.lit(""))).rlike(fixed.SCROLL_CLASS), fixed.SCROLL_FACTOR).otherwise(1.0)
     best = tree.withColumn("score", value).groupBy("scan_id").agg(F.max(F.struct("score", (-F.col("seq")).alias("first"), "node_id")).alias("best"))
     return best.select("scan_id", "best.node_id", "best.score")
 
 
 def ocr_context(lines: DataFrame) -> DataFrame:
     """(scan_id, block_no, line_no, context): two lines before and after each line with a price, within its block."""
-    around = W.partitionBy("scan_id", "block_no").orderBy("line_no").rowsBetween(-2, 2)
+    around = W.partitionBy("scan_id", "block_no").orderBy("line_no").rowsBetween(-fixed.AROUND, fixed.AROUND)
     return lines.withColumn("context", F.array_join(F.collect_list("line_text").over(around), "\n")).where(has_price(F.col("line_text"))).select("scan_id", "block_no", "line_no", "context")
 
 
@@ -123,3 +116,15 @@ def drop_noise(items: DataFrame) -> DataFrame:
     """Without items that are sums, taxes or fees: named so, with neither quantity nor calories. For the node source only."""
     noise = F.lower("raw_text").rlike(fixed.TOTALS) & F.col("quantity").isNull() & F.col("calories").isNull()
     return items.where(~noise)
+
+
+def node_items(nodes: DataFrame) -> DataFrame:
+    """A scan of screen trees from end to end: the items of each scan after the fold, without noise, with item_key and place."""
+    items = drop_noise(analyze(node_candidates(nodes)))
+    return fold(items, ["scan_id"], ["seq"])
+
+
+def ocr_items(lines: DataFrame) -> DataFrame:
+    """The same of recognised lines; noise stays."""
+    texts = ocr_candidates(lines).withColumnRenamed("place", "line")
+    return fold(analyze(texts), ["scan_id"], ["block_no", "line"])

@@ -1,53 +1,115 @@
 """The items that a session has collected, kept by Structured Streaming.
 
-The state of a session is its last foreign package and its items in the order of first sight. Each batch folds its
-items in as `operators.dedupe.fold` does, empties the state when the package changes and keeps the last 500 keys.
+The state of a session is its last foreign package, whether all is being scanned, the mode, and its items in the order of
+first sight. Items come with the scan that saw them, which is folded in itself before it is added; a scan comes in one
+batch. Control rows stand between them.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from gramwise.operators.dedupe import item_key
+from gramwise.functions import analyze
+from gramwise.functions.text import trim, units
+from gramwise.operators.dedupe import Collection, item_key
+from gramwise.operators.rank import display_rows, rank, shown
 
-OUT = "session_id long, item_key string, place int, seq long, confidence double, text_length int"
-STATE = "package string, items string"
+ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
+FIELDS = ("name", "raw_text", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence")
+OUT = "session_id long, place int, seq long, item_key string, mode string, item string"
+STATE = "package string, scanning boolean, mode string, keys array<string>, seqs array<bigint>, confidences array<double>, lengths array<int>, items array<string>"
 
 
-def ingest(held: list[dict], rows: list[dict], cap: int = 500) -> list[dict]:
-    """Fold rows (key, seq, confidence, length) into what is held, in order; the last `cap` keys stay."""
-    at = {x["key"]: i for i, x in enumerate(held)}
-    for row in rows:
-        i = at.get(row["key"])
-        if i is None:
-            at[row["key"]] = len(held)
-            held.append(row)
-        elif row["confidence"] > held[i]["confidence"] or row["length"] > held[i]["length"]:
-            held[i] = row
-    return held[-cap:]
+class Session:
+    """A session's state, and what each kind of row does to it."""
 
+    def __init__(self, package=None, scanning=False, mode="SMART", keys=(), seqs=(), confidences=(), lengths=(), items=()):
+        self.package, self.scanning, self.mode, self.held = package, scanning, mode, Collection()
+        self.held.items = {k: (c, n, (s, x)) for k, s, c, n, x in zip(keys, seqs, confidences, lengths, items, strict=True)}
 
-def collect_stream(items: DataFrame, cap: int = 500) -> DataFrame:
-    """The collection of each session after every batch of analysed items (session_id, seq, source_package, ...).
+    def take(self, row) -> None:
+        """An item counts if its scan does: those of a scan-all while that goes on, others while it doesn't."""
+        if row.kind in ("passive", "all"):
+            if (row.kind == "all") == self.scanning:
+                self.held.see(row.scan_id, row.item_key, float(row.confidence), int(row.text_length), (int(row.seq), row.item))
+            return
+        self.held.end_scan()
+        if row.kind == "event":  # the caller has left out the app's own package and blank ones
+            if self.package not in (None, row.named):
+                self.held.clear()
+            self.package = row.named
+        elif row.kind == "clear":
+            self.held.clear()
+        elif row.kind in ("start", "stop"):
+            self.scanning = row.kind == "start"
+        elif row.kind == "mode":
+            self.mode = row.named
 
-    Items of a batch come in the order of seq; a change of package empties the state first, a missing one does not.
+    def state(self) -> tuple:
+        self.held.end_scan()
+        keys, rows = list(self.held.items), list(self.held.items.values())
+        return self.package, self.scanning, self.mode, keys, [x[2][0] for x in rows], [x[0] for x in rows], [x[1] for x in rows], [x[2][1] for x in rows]
+
+
+def prepared(rows: DataFrame, own_package: str) -> DataFrame:
+    """Analysed items and control rows from (session_id, seq, kind, named, scan_id, raw_text)."""
+    control = rows.where(~F.col("kind").isin("passive", "all"))
+    foreign = (F.length(trim(F.coalesce("named", F.lit("")))) > 0) & (F.col("named") != own_package)
+    control = control.where((F.col("kind") != "event") | foreign)
+    items = analyze(rows.where(F.col("kind").isin("passive", "all")))
+    item = F.to_json(F.struct(*FIELDS))
+    items = items.select("session_id", "seq", "kind", "named", "scan_id", item_key().alias("item_key"), "confidence", units(F.col("raw_text")).alias("text_length"), item.alias("item"))
+    none = {"item_key": "string", "confidence": "double", "text_length": "int", "item": "string"}
+    return items.unionByName(control.select("session_id", "seq", "kind", "named", "scan_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
+
+
+def collect_stream(rows: DataFrame, own_package: str = "") -> DataFrame:
+    """The collection of each session after every batch, from a stream of (session_id, seq, kind, named, scan_id, raw_text).
+
+    kind is passive or all for items (of a scan by itself or of a scan-all), event (named: the package on screen), clear,
+    start or stop (of a scan-all), or mode (named: the mode). Rows of a batch count in the order of seq. A session without
+    items gives a row with a null place.
     """
 
     def update(key, batches, state):
-        package, text = state.get if state.exists else (None, "[]")
-        held = json.loads(text)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples():
-            if r.source_package and r.source_package != package:
-                held, package = ([] if package is not None else held), r.source_package
-            held = ingest(held, [{"key": r.item_key, "seq": int(r.seq), "confidence": float(r.confidence), "length": int(r.text_length)}], 1 << 30)
-        held = held[-cap:]
-        state.update((package, json.dumps(held)))
-        yield pd.DataFrame([(key[0], x["key"], i, x["seq"], x["confidence"], x["length"]) for i, x in enumerate(held)], columns=["session_id", "item_key", "place", "seq", "confidence", "text_length"])
-
-    rows = items.select("session_id", "seq", "source_package", item_key().alias("item_key"), "confidence", F.length("raw_text").alias("text_length"))
-    return rows.groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        session = Session(*state.get) if state.exists else Session()
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            session.take(row)
+        now = session.state()
+        state.update(now)
+        _, _, mode, keys, seqs, _, _, items = now
+        out = [(key[0], n, s, k, mode, x) for n, (k, s, x) in enumerate(zip(keys, seqs, items, strict=True))] or [(key[0], None, None, None, mode, None)]
+        frame = pd.DataFrame(out, columns=["session_id", "place", "seq", "item_key", "mode", "item"])
+        yield frame.astype({"place": "Int32", "seq": "Int64"})
+
+    return prepared(rows, own_package).groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def display(collection: DataFrame) -> DataFrame:
+    """What is shown of collections (rows of collect_stream): the ranked rows of each session by its mode, or that there
+    are none."""
+    items = collection.where("place is not null").select("session_id", "place", "seq", "mode", F.from_json("item", ITEM).alias("i")).select("session_id", "place", "seq", "mode", "i.*")
+    return shown(display_rows(rank(items, None)), collection)
+
+
+def to_folder(folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch's collections and what is shown of them, as Parquet below folder, by batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(f"{folder}/collections/batch={number}")
+        display(batch).write.mode("overwrite").parquet(f"{folder}/shown/batch={number}")
+        batch.unpersist()
+
+    return write
+
+
+def last_of_each(spark, folder: str, what: str) -> DataFrame:
+    """The rows of each session's last batch that a sink left."""
+    rows = spark.read.parquet(f"{folder}/{what}")
+    last = rows.groupBy("session_id").agg(F.max("batch").alias("_last"))
+    return rows.join(last, "session_id").where(F.col("batch") == F.col("_last")).drop("_last", "batch")

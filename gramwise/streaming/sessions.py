@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gramwise.functions import fixed
+from gramwise.functions.text import trim
+
 
 def package_sessions(events: DataFrame) -> DataFrame:
     """Adds session_no: it grows whenever the foreign package changes, and not at the first. Own and blank ones don't count."""
     order = W.partitionBy("session_id").orderBy("ts", "event_id")
-    foreign = events.where(~F.col("own") & (F.length(F.trim(F.coalesce("package", F.lit("")))) > 0))
+    foreign = events.where(~F.col("own") & (F.length(trim(F.coalesce("package", F.lit("")))) > 0))
     changed = (F.lag("package").over(order) != F.col("package")).cast("int")
     return foreign.withColumn("session_no", F.sum(F.coalesce(changed, F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
 
@@ -21,13 +24,19 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
     return events.groupBy("session_id", F.session_window("ts", gap)).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events")).drop("session_window")
 
 
-def stop_of_scan_all(sizes: DataFrame, steps: int = 90, stale: int = 5) -> DataFrame:
-    """(session_id, step, collected, stale_rounds): where scanning ends, at so many steps or rounds without a new size."""
+def stop_of_scan_all(sizes: DataFrame, steps: int = fixed.STEPS, stale: int = fixed.STALE) -> DataFrame:
+    """(session_id, step, collected, stale_rounds): where scanning ends, from (session_id, step, collected, acted).
+
+    The first row of a session is the size before scanning began. It ends at so many steps, at so many rounds without a new
+    size, or where nothing could be scrolled (acted is false; without the column, or null, something was).
+    """
+    if "acted" not in sizes.columns:
+        sizes = sizes.withColumn("acted", F.lit(True))
     order = W.partitionBy("session_id").orderBy("step")
-    changed = (F.col("collected") != F.coalesce(F.lag("collected").over(order), F.lit(0))).cast("int")
-    marked = sizes.withColumn("run", F.sum(changed).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("changed", changed)
+    changed = F.coalesce(F.col("collected") != F.lag("collected").over(order), F.lit(True)).cast("int")
+    marked = sizes.withColumn("changed", changed).withColumn("run", F.sum("changed").over(order.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("session_id", "run").orderBy("step")
     counted = marked.withColumn("stale_rounds", F.sum(1 - F.col("changed")).over(run.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    ended = counted.where((F.col("step") >= steps) | (F.col("stale_rounds") >= stale))
+    ended = counted.where((F.col("step") >= steps) | (F.col("stale_rounds") >= stale) | ~F.coalesce("acted", F.lit(True)))
     first = ended.groupBy("session_id").agg(F.min(F.struct("step", "collected", "stale_rounds")).alias("at"))
     return first.select("session_id", "at.*")

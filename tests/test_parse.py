@@ -118,4 +118,4 @@ def test_fold_is_ordered(spark):
     p = "struct('none' as type) as promotion"
     rows = spark.createDataFrame([(1, 1, 0.9, "x" * 10), (1, 2, 0.8, "x" * 20), (1, 3, 0.85, "x" * 5)], "session_id long, seq long, confidence double, raw_text string")
     found = fold(rows.selectExpr("*", "'a' as name", "1.0D as price", q, p), ["session_id"], ["seq"]).collect()
-    assert [(r["first_seq"], r["seq"]) for r in found] == [(1, 3)]
+    assert [(r["place"], r["seq"]) for r in found] == [(0, 3)]

@@ -27,6 +27,22 @@ def test_deep_trees_are_whole(spark):
     assert best_scrollable(spark.createDataFrame(rows, NODES).coalesce(1)).first()["node_id"] == 66
 
 
+def test_nodes_without_a_root_are_left_out(spark):
+    rows = [(1, 1, None, 0, "Tea $6", None, "x", 0, 0, 10, 10, False), (1, 2, 9, 0, "Pears $3", None, "x", 0, 0, 10, 10, False), (1, 3, 4, 0, "Plums $2", None, "x", 0, 0, 1, 1, False), (1, 4, 3, 0, None, None, "x", 0, 0, 1, 1, False)]
+    assert [r["raw_text"] for r in node_candidates(spark.createDataFrame(rows, NODES)).collect()] == ["Tea $6"]
+
+
+def test_limits_of_subtree_texts(spark):
+    """At most 100 nodes and about 1,200 units of text below a node; longer texts of a node's own don't count."""
+    leaf = lambda i, text: (1, i, 2, i, text, None, "text", 0, 0, 90, 20, False)
+    top = [(1, 1, None, 0, None, None, "list", 0, 0, 400, 800, True), (1, 2, 1, 0, None, None, "CardView", 0, 0, 300, 100, False)]
+    few = spark.createDataFrame(top + [leaf(3, "Tea $6")] + [leaf(i, f"w{i}") for i in range(4, 150)], NODES)
+    assert node_candidates(few).first()["raw_text"].split("\n") == ["Tea $6", *[f"w{i}" for i in range(4, 102)]]
+    much = spark.createDataFrame(top + [leaf(3, "Tea $6"), leaf(4, "y" * 500)] + [leaf(i, f"{i}😀" * 60) for i in range(5, 20)], NODES)
+    text = node_candidates(much).first()["raw_text"]
+    assert "y" not in text and len(text.encode("utf-16-le")) // 2 in (1199, 1200)
+
+
 def test_ocr_context_is_clipped(spark):
     rows = [(1, 1, i, t) for i, t in enumerate(["Tea $6", "a", "b", "c"])]
     found = {r["raw_text"] for r in ocr_candidates(spark.createDataFrame(rows, "scan_id long, block_no int, line_no int, line_text string")).collect()}

@@ -2,36 +2,67 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from gramwise.functions import analyze
-from gramwise.operators import fold
-from gramwise.operators.dedupe import item_key
-from gramwise.streaming import collect_stream, debounced, ingest, package_sessions, stop_of_scan_all
+from gramwise.functions import analyze, fixed
+from gramwise.operators import collected
+from gramwise.operators.dedupe import Collection, item_key
+from gramwise.streaming import Session, collect_stream, debounced, last_of_each, package_sessions, stop_of_scan_all, to_folder
 
-SCHEMA = "session_id long, scan_id long, seq long, source_package string, raw_text string"
+SCHEMA = "session_id long, seq long, kind string, named string, scan_id long, raw_text string"
+
+
+def streamed(spark, tmp_path, *parts):
+    """The collections and what is shown after parts have come one by one."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+        query = collect_stream(stream, "own").writeStream.outputMode("update").foreachBatch(to_folder(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return [last_of_each(spark, str(tmp_path / "out"), x).collect() for x in ("collections", "shown")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    texts = ["Gala apples\n1 kg\n$4", "Gala apples\n1 kg\n$4 again", "Pears\n2 lb\n$3", "Pears\n2 lb\n$3", "Tea 300 g $6", "no price"]
-    rows = [(s, 1, i * 10 + s, "shop", t) for i, t in enumerate(texts) for s in (1, 2)]
-    folder = str(tmp_path / "in")
-    half = len(rows) // 2
-    for part in (rows[:half], rows[half:]):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(folder)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
-    query = collect_stream(analyze(stream)).writeStream.outputMode("update").format("memory").queryName("collected").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    last = spark.sql("SELECT session_id, item_key, max(struct(text_length, seq)) AS m FROM collected GROUP BY 1, 2").select("session_id", "item_key", "m.seq")
-    batch = fold(analyze(spark.createDataFrame(rows, SCHEMA)), ["session_id"], ["seq"])
-    batch = batch.select("session_id", item_key().alias("item_key"), "seq")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
-
-
-def test_ingest_keeps_the_last():
-    held = ingest([], [{"key": str(i), "seq": i, "confidence": 0.5, "length": 1} for i in range(12)], cap=10)
-    assert [x["key"] for x in held] == [str(i) for i in range(2, 12)]
+    texts = ["Gala apples\n1 kg\n$4", "Pears\n2 lb\n$3", "Gala apples\n1 kg\n$4 again", "Pears\n2 lb\n$3", "Tea 300 g $6", "no price"]
+    rows = [(s, scan * 100 + i, "passive", "", scan, t + " ." * (scan - 1)) for scan in (1, 2) for i, t in enumerate(texts) for s in (1, 2)]
+    found, _ = streamed(spark, tmp_path, rows[:12], rows[12:])
+    batch = collected(analyze(spark.createDataFrame(rows, SCHEMA))).collect()
+    pick = lambda r: (r["session_id"], r["place"], r["item_key"], r["seq"])
+    assert sorted(map(pick, found)) == sorted(map(pick, batch))
+    assert [r["seq"] for r in sorted(batch, key=lambda r: r["place"]) if r["session_id"] == 1] == [202, 201, 204]
+
+
+def test_control_rows(spark, tmp_path):
+    tea = lambda seq, kind, scan, price: (1, seq, kind, "", scan, f"Tea 300 g ${price}")
+    event = lambda seq, named, session=1: (session, seq, "event", named, None, None)
+    first = [event(1, "a"), tea(2, "passive", 1, 1), event(3, "own"), event(4, " "), event(5, "a"), tea(6, "passive", 2, 2), tea(7, "all", 3, 3), event(1, "a", 2)]
+    second = [(1, 8, "start", "", None, None), tea(9, "passive", 4, 4), tea(10, "all", 5, 5), event(11, "b"), tea(12, "all", 6, 6), (1, 13, "mode", "VOLUME", None, None)]
+    third = [(1, 14, "stop", "", None, None), tea(15, "all", 7, 7), tea(16, "passive", 8, 8)]
+    found, rows = streamed(spark, tmp_path, first)
+    assert sorted(r["seq"] for r in found if r["session_id"] == 1) == [2, 6]
+    assert [r["title"] for r in rows if r["session_id"] == 2] == [fixed.NOTHING_YET]
+    found, _ = streamed(spark, tmp_path, second)
+    assert [r["seq"] for r in found if r["session_id"] == 1] == [12]
+    found, rows = streamed(spark, tmp_path, third)
+    assert [(r["seq"], r["mode"]) for r in found if r["session_id"] == 1] == [(12, "VOLUME"), (16, "VOLUME")]
+    assert [r["metric_text"] for r in rows if r["session_id"] == 1] == ["price only"] * 2
+    assert [r["seq"] for r in streamed(spark, tmp_path, [(1, 17, "clear", "", None, None)])[0] if r["session_id"] == 1] == [None]
+
+
+def test_oldest_insertions_go_after_each_scan():
+    held = Collection(cap=3)
+    for scan, keys in enumerate(("abcd", "a", "bx")):
+        for k in keys:
+            held.see(scan, k, 0.5, 1, k)
+    held.end_scan()
+    assert list(held.items) == ["a", "b", "x"]
+
+
+def test_state_survives_a_round_trip():
+    session = Session()
+    session.take(pd.Series({"kind": "passive", "scan_id": 1, "item_key": "k", "confidence": 0.5, "text_length": 3, "seq": 7, "item": "{}"}))
+    assert Session(*session.state()).state() == session.state()
 
 
 def test_debounce_gaps(spark):
@@ -54,5 +85,7 @@ def test_scan_all_stops(spark):
     sizes = [3, 5, 5, 5, 5, 5, 5, 5]
     df = spark.createDataFrame([(1, i + 1, n) for i, n in enumerate(sizes)], "session_id long, step int, collected int")
     assert tuple(stop_of_scan_all(df).first()) == (1, 7, 5, 5)
+    acted = spark.createDataFrame([(1, i, 3 + i, i < 2) for i in range(4)], "session_id long, step int, collected int, acted boolean")
+    assert stop_of_scan_all(acted).first()["step"] == 2
     long = spark.range(1, 120).select(F.lit(1).cast("long").alias("session_id"), F.col("id").cast("int").alias("step"), F.col("id").cast("int").alias("collected"))
     assert stop_of_scan_all(long).first()["step"] == 90
