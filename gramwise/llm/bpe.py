@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +27,8 @@ from gramwise.llm.common import slices
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
-#: Pieces up to this many bytes go through the batch table; longer ones through the same table one by one.
+#: Pieces up to this many bytes go through the batch table; longer ones through a table of their own, fed by an automaton
+#: that finds all tokens that end at each byte.
 BATCH_BYTES = 32
 #: Leading bits of a hash that index the vocabulary.
 BUCKET_BITS = 19
@@ -131,6 +133,36 @@ class Vocabulary:
         return ok
 
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the tokens that BPE can give, in bytes read as code points below 256."""
+        out = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            if self.whole[rank]:
+                out.add_word(token.decode("latin-1"), rank)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def merges(self) -> tuple[list[int], list[int], list[int]]:
+        return self.left.tolist(), self.right.tolist(), self.lengths.tolist()
+
+    def joins(self, a: int, b: int) -> bool:
+        """`valid` for one pair."""
+        left, right, _ = self.merges
+        limit = 1 << 62
+        while True:
+            if self.ranks.get(self.tokens[a] + self.tokens[b], limit) < limit:
+                return False
+            undone, other = right[a], left[b]
+            if undone >= 0 and (a > b or other < 0):
+                limit, a = a, undone
+            elif other >= 0:
+                limit, b = b + 1, other
+            else:
+                return True
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -144,32 +176,38 @@ class PrefixTable:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.append(piece)
 
-    def _last(self, text: bytes, end: int, last: list[int]) -> int:
-        v = self.vocab
-        for n in range(min(end, v.longest), 0, -1):
-            t = v.ranks.get(text[end - n : end], -1)
-            if t >= 0 and v.whole[t]:
-                if n == end:
-                    return t
-                key = (last[end - n - 1], t)
-                if key not in self.pairs:
-                    self.pairs[key] = bool(v.valid(np.array(key[:1]), np.array(key[1:]))[0])
-                if self.pairs[key]:
-                    return t
-        raise ValueError("the vocabulary lacks a byte")
+    def _extend(self, text: bytes, last: list[int]):
+        """Append the last tokens of the prefixes that `last` lacks, one for each step."""
+        size, pairs = self.vocab.merges[2], self.pairs
+        begin = max(0, len(last) - self.vocab.longest + 1)
+        for at, token in self.vocab.automaton.iter(text[begin:].decode("latin-1")):
+            end = begin + at + 1
+            if end <= len(last):
+                continue
+            if end > len(last) + 1:
+                raise ValueError("the vocabulary lacks a byte")
+            if (n := size[token]) < end:
+                pair = last[end - n - 1], token
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.vocab.joins(*pair)
+                if not fits:
+                    continue
+            last.append(token)
+            yield end
+        if len(last) < len(text):
+            raise ValueError("the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
-        start = len(self.piece)
         self.piece += more
-        for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self._last(self.piece, end, self.last))
+        for _ in self._extend(self.piece, self.last):
+            pass
 
     def edit(self, start: int, stop: int, to: bytes) -> int:
         """Replace bytes start to stop; returns how many prefixes were worked out again."""
         text = self.piece[:start] + to + self.piece[stop:]
         last, shift, same, done = self.last[:start], len(to) - (stop - start), 0, 0
-        for end in range(start + 1, len(text) + 1):
-            last.append(self._last(text, end, last))
+        for end in self._extend(text, last):
             done += 1
             # Token borders are equal for as long as a token can reach back: what follows is as before.
             same = same + 1 if end > start + len(to) and last[-1] == self.last[end - shift - 1] else 0
@@ -198,14 +236,15 @@ def encode_pieces(vocab: Vocabulary, data: np.ndarray, cuts: np.ndarray) -> tupl
             for at, row, t in _encode_rows(vocab, data, cuts[own], length[own], high):
                 found.append((at, own[row], t))
                 count[own[row]] += 1
-    for i in np.flatnonzero(length > BATCH_BYTES):
-        ids = PrefixTable(vocab, data[cuts[i] : cuts[i + 1]].tobytes()).ids()
-        found += [(len(ids) - 1 - k, np.array([i]), np.array([t])) for k, t in enumerate(ids)]
+    long = {i: PrefixTable(vocab, data[cuts[i] : cuts[i + 1]].tobytes()).ids() for i in np.flatnonzero(length > BATCH_BYTES).tolist()}
+    for i, ids in long.items():
         count[i] = len(ids)
     stop = np.cumsum(count)
     out = np.zeros(int(stop[-1]) if len(stop) else 0, np.int64)
     for back, row, t in found:
         out[stop[row] - 1 - back] = t
+    for i, ids in long.items():
+        out[stop[i] - len(ids) : stop[i]] = ids
     return out, count
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -12,44 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows that a small side may have to be sent to every executor; past it, a shuffle join is used.
-BROADCAST_ROWS = 200_000
+from gramwise.shared import checkpoint, remove, scratch_dir, shared_dir
 
+__all__ = ["checkpoint", "shared_dir"]
 
-#: Where tables that were written stand, and the folders to remove when the driver ends.
+#: Rows that a small side may have to be sent to every executor; past it, a shuffle join is used.
+BROADCAST_ROWS = 200_000
+#: Where tables that were written stand.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_FOLDERS: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local session
-    gets one of its own; on a cluster it must be set, as executors don't see the driver's folders."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if sc.getCheckpointDir() is None:
-            if sc.master.split("[")[0] != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        return sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _remove(jvm, conf, path: str) -> None:
-    with contextlib.suppress(Exception):  # what is left behind costs room only
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application in the shared one; it goes when the driver ends."""
-    folder = f"{shared_dir(spark)}/gramwise-{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
-    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -66,13 +33,7 @@ def release(*tables: DataFrame) -> None:
     """Delete tables of `materialise` that nothing will read again."""
     for df in tables:
         if path := _PATHS.pop(df, None):
-            _remove(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, for the small tables that loops carry."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+            remove(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -84,6 +45,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that docs doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, dots in their names or not."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def id_kind(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 

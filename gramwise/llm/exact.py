@@ -2,7 +2,7 @@
 
 A batch is first grouped in itself. One digest of each of its texts is screened against the filters of every earlier
 snapshot; only what a filter lets through is joined with the snapshot's bucket of that digest and compared byte by
-byte. What remains is new and becomes the next snapshot.
+byte, the texts of all snapshots being fetched at once. What remains is new and becomes the next snapshot.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gramwise.llm.common import ascii_lower, crc_mod, materialise, small
+from gramwise.llm.common import ascii_lower, crc_mod, fresh, materialise, own_columns, small
 
 U = np.uint64
 #: Digests in one filter: bounds a task's memory, about 10 bytes a digest while it is built.
@@ -102,21 +102,27 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, sha, norm) of the wanted (id, sha); docs is (id, norm)."""
+    """(id, sha, norm) of the wanted (id, sha), from docs (id, text). Only texts of wanted ids are hashed."""
     wanted = small(materialise(wanted.distinct(), "wanted")).select(F.col("id").alias("of"), F.col("sha").alias("text_sha"))
-    hit = docs.join(wanted, docs["id"].eqNullSafe(F.col("of")))
+    hit = docs.join(wanted, docs["id"].eqNullSafe(F.col("of"))).select("id", "text_sha", ascii_lower(F.col("text")).alias("norm"))
     return hit.where(F.sha2(F.col("norm").cast("binary"), 256) == F.col("text_sha")).select("id", F.col("text_sha").alias("sha"), "norm").dropDuplicates(["id", "sha"])
 
 
-def match(docs: DataFrame, batch: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(sha, slice, to_sha, to_slice): texts of the batch that the snapshot holds, by their bytes.
-
-    batch and snapshot are group tables (sha, digest, slice, rep); docs is (id, norm), for the texts to compare.
-    """
-    buckets = max(1, -(-snapshot.count() // FILTER_KEYS))
+def candidates(batch: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(sha, slice, rep, to_sha, to_slice, to_rep): texts of the batch that the snapshot's filters let through, with those
+    of the same digest. Buckets are so many that neither side has much more than FILTER_KEYS digests in one."""
+    buckets = max(1, -(-max(snapshot.count(), batch.count()) // FILTER_KEYS))
     passed = screen(batch, build_filters(snapshot, buckets), buckets)
     held = snapshot.select("digest", F.col("sha").alias("to_sha"), F.col("slice").alias("to_slice"), F.col("rep").alias("to_rep"))
-    pairs = materialise(batch.join(passed, "digest").join(held, "digest").drop("digest"), "pairs")
+    return batch.join(passed, "digest").join(held, "digest").select("sha", "slice", "rep", "to_sha", "to_slice", "to_rep")
+
+
+def match(docs: DataFrame, batch: DataFrame, snapshots: list[DataFrame]) -> DataFrame:
+    """(sha, slice, to_sha, to_slice): texts of the batch that one of the snapshots holds, by their bytes.
+
+    batch and snapshots are group tables (sha, digest, slice, rep); docs is (id, text), for the texts to compare.
+    """
+    pairs = materialise(reduce(DataFrame.unionByName, [candidates(batch, s) for s in snapshots]), "pairs")
     texts = _texts(docs, pairs.select(F.col("rep").alias("id"), "sha").union(pairs.select("to_rep", "to_sha")))
     left = texts.select(F.col("id").alias("a"), F.col("sha").alias("sha"), F.col("norm").alias("one"))
     right = texts.select(F.col("id").alias("b"), F.col("sha").alias("to_sha"), F.col("norm").alias("other"))
@@ -131,18 +137,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sli
     n is how many rows have that id and text. Rows fall into slices by crc32 of the id, and slices are taken in one
     after another: each text is held by the first slice that brought it.
     """
-    own = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    hashed = own.select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.xxhash64("norm").alias("digest"), crc_mod(F.col("id"), slices).cast("int").alias("slice"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    hashed = own.select("id", ascii_lower(F.col("text")).alias("norm")).select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.xxhash64("norm").alias("digest"), crc_mod(F.col("id"), slices).cast("int").alias("slice"))
     rows = materialise(hashed.groupBy("id", "sha", "digest", "slice").agg(F.count("*").alias("n")), "rows")
     groups = materialise(rows.groupBy("slice", "sha", "digest").agg(F.max("id").alias("rep"), F.sum("n").alias("size")), "groups")
     snapshots: list[DataFrame] = []
     found: list[DataFrame] = []
     for k in range(slices):
         batch = groups.where(F.col("slice") == k)
-        hits = [materialise(match(own, batch, s), "hits") for s in snapshots]
-        found += hits
-        for h in hits:
-            batch = batch.join(h.select("sha"), "sha", "left_anti")
+        if snapshots:
+            found.append(materialise(match(own, batch, snapshots), "hits"))
+            batch = batch.join(found[-1].select("sha"), "sha", "left_anti")
         if k < slices - 1:
             snapshots.append(materialise(batch, f"snapshot{k}"))
     links = reduce(DataFrame.unionByName, found)
@@ -166,13 +171,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns; of rows equal in id and text, the first by content."""
-    from pyspark.sql import Window as W
-
     rows, groups = classes(docs, id_col, text_col)
-    keep = materialise(rows.join(groups, ["sha", "slice"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), (F.col("n") > 1).alias("_again")), "keep")
-    marked = docs.withColumn("_own", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    out = marked.join(keep, (F.col("_own") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    once = out.where("not _again")
-    order = W.partitionBy("_own", "_id").orderBy(F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")]))
-    again = out.where("_again").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return once.unionByName(again).select(*docs.columns)
+    sha, same, of, again, nth = fresh(docs, "sha", "same", "of", "again", "nth")
+    keep = materialise(rows.join(groups, ["sha", "slice"]).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(of), F.col("sha").alias(same), (F.col("n") > 1).alias(again)), "keep")
+    marked = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256))
+    out = marked.join(keep, (F.col(sha) == F.col(same)) & F.col(f"`{id_col}`").eqNullSafe(F.col(of)))
+    once = out.where(~F.col(again))
+    order = W.partitionBy(sha, of).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]))
+    first = out.where(F.col(again)).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return once.unionByName(first).select(*own_columns(docs))

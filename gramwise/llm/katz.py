@@ -1,43 +1,54 @@
 """Katz backoff: n-gram counts with Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are dealt to blocks of a few megabytes. A block counts its words, bigrams and longer n-grams once and sends each
-bucket the hashes and counts of what it has met, packed, far fewer than tokens. A bucket is chosen by the hash of the
-whole n-gram, so the followers of a common word are spread over all of them. It adds the blocks up and answers each in
-the order of its question; of the blocks that met an n-gram in training, the first owns it. Owners then send each
-n-gram's discounted count and its lower order's to the bucket of its context, where they are added up in turn: a context
-has one entry for each block at most. Then every token is scored in its block, recursively: the n-gram if it was met
-often enough, else the backoff of its context times the lower order.
+Texts are cut into blocks of a few megabytes, which are written once, compressed. A block counts its words, bigrams and
+longer n-grams once and sends each bucket the hashes and counts of what it has met, packed, far fewer than tokens. A
+bucket is chosen by the hash of the whole n-gram, so the followers of a common word are spread over all of them. It adds
+the blocks up and answers each in the order of its question; of the blocks that met an n-gram in training, the first owns
+it. Owners then send each n-gram's discounted count and its lower order's to the bucket of its context, where they are
+added up in turn: a context has one entry for each block at most, and none if one block alone has it. Then every token
+is scored in its block, recursively: the n-gram if it was met often enough, else the backoff of its context times the
+lower order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import crc_mod, materialise, with_row_ids
+from gramwise.llm.common import crc_mod, id_kind, materialise, slices, with_row_ids
 from gramwise.llm.tokens import word_hashes, words
 
 U = np.uint64
 #: Hashes that stand for the start of a text (a context only) and its end (a token).
 START, END = U(1), U(2)
 #: Counts up to this are discounted; bigrams met less often than LEAST back off unless a query says otherwise.
-LARGE, LEAST = 5, 2
-#: Bytes of text in a block on average, and blocks for each bucket.
+LARGE, LEAST = 5, 1
+#: Bytes of text in a block, and blocks for each bucket on average.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 2
 FOLDS, HELD_OUT = 7, 2
 #: A slot is a bucket and, in its last bits, an order.
 ORDERS = 3
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers by planes of bytes, without the planes that are all zero."""
     rows = np.ascontiguousarray(values, U).view(np.uint8).reshape(-1, 8)
     n = int(np.max(np.flatnonzero(rows.any(0)), initial=-1)) + 1
-    return bytes([n]) + rows[:, :n].T.tobytes() if n else bytes([0]) + len(values).to_bytes(8, "little")
+    return squeeze(bytes([n]) + rows[:, :n].T.tobytes() if n else bytes([0]) + len(values).to_bytes(8, "little"))
 
 
 def unpack(data: bytes) -> np.ndarray:
+    data = unsqueeze(data)
     n = data[0]
     if not n:
         return np.zeros(int.from_bytes(data[1:9], "little"), U)
@@ -56,6 +67,31 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=U)
 
 
+def pack_doubles(values: np.ndarray) -> bytes:
+    """Doubles of which many are equal: each once, and which one stands where."""
+    own, which = np.unique(values, return_inverse=True)
+    kind = np.uint8 if len(own) <= 1 << 8 else np.uint16 if len(own) <= 1 << 16 else np.uint32
+    return squeeze(len(own).to_bytes(8, "little") + own.tobytes() + which.astype(kind).tobytes())
+
+
+def unpack_doubles(data: bytes) -> np.ndarray:
+    data = unsqueeze(data)
+    n = int.from_bytes(data[:8], "little")
+    kind = np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+    return np.frombuffer(data, np.float64, n, 8)[np.frombuffer(data, kind, offset=8 + 8 * n)]
+
+
+def frozen(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def thawed(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def grouped(batches, column: str):
     """The rows of each value of a column, one table at a time; batches come sorted by it. Freed memory goes back."""
     held: list[pa.RecordBatch] = []
@@ -147,27 +183,45 @@ def _packed(out: list[tuple], fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, (_, t) in enumerate(named)], [c for c, _ in named])
 
 
-def _ask(rows: DataFrame, bits: int, order: int) -> DataFrame:
+def _cut(rows: DataFrame) -> DataFrame:
+    """(block, size, data): runs of (id, train, text) of some bytes, named by the first rid, from (rid, id, train, text)."""
+
+    most = BLOCK_BYTES
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", most):
+                size = pc.sum(pc.binary_length(part.column(3))).as_py()
+                yield pa.RecordBatch.from_arrays([part.column(0)[:1], pa.array([size]), pa.array([frozen(part.select(["id", "train", "text"]))], pa.binary())], ["block", "size", "data"])
+
+    return rows.mapInArrow(run, "block long, size long, data binary")
+
+
+def _ask(blocks: DataFrame, bits: int, order: int) -> DataFrame:
     """Each block's questions: hashes of n-grams, and how often it met them in training."""
-    fields = "slot int, block int, u binary, n binary"
+    fields = "slot int, block long, u binary, n binary"
 
     def run(batches):
-        for table in grouped(batches, "block"):
-            b = Block(table.column("text").combine_chunks(), order)
-            train = table.column("train").to_numpy().astype(bool)[b.row]
-            block, out = table.column("block")[0].as_py(), []
-            for k, level in enumerate(b.levels, 1):
-                count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
-                out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
-            yield _packed(out, fields)
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table, out = thawed(data.as_py()), []
+                b = Block(table.column("text").combine_chunks(), order)
+                train = table.column("train").to_numpy().astype(bool)[b.row]
+                for k, level in enumerate(b.levels, 1):
+                    count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
+                    out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
+                yield _packed(out, fields)
+                del table, b, out
+                pa.default_memory_pool().release_unused()
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, fields)
+    return blocks.select("block", "data").mapInArrow(run, fields)
 
 
 def _add_up(asked: DataFrame) -> DataFrame:
     """Each slot's sums: how many n-grams were met once, twice.. (n; at 0 all their counts, at -1 how many there are),
-    and for each block the counts of its n-grams, twice, and one more where it owns them (r)."""
-    fields = "kind string, slot int, block int, h long, c long, a binary"
+    and for each block the counts of its n-grams, fourfold, and two more where it alone has them, one more where it owns
+    them (r)."""
+    fields = "kind string, slot int, block long, h long, c long, a binary"
 
     def run(batches):
         for table in grouped(batches, "slot"):
@@ -184,7 +238,7 @@ def _add_up(asked: DataFrame) -> DataFrame:
             upto = np.cumsum(m) - m
             owns = (m > 0) & (upto == np.repeat(upto[first], size))
             answer = np.empty(len(key), np.int64)
-            answer[order] = np.repeat(sums, size) * 2 + owns
+            answer[order] = np.repeat(sums * 4 + 2 * (size == 1), size) + owns
             real = sums[(sums > 0) & (key[first] != START)] if slot % (1 << ORDERS) == 1 else sums[sums > 0]
             met = np.bincount(real[real <= LARGE + 1], minlength=LARGE + 2)
             out = [("n", slot, None, h, c, None) for h, c in [(-1, len(real)), (0, int(real.sum())), *list(enumerate(met.tolist()))[1:]]]
@@ -196,7 +250,7 @@ def _add_up(asked: DataFrame) -> DataFrame:
 
 def _weigh(parts: DataFrame) -> DataFrame:
     """(slot, block, mass, low) as packed doubles, added up for each context, in the order of each block's question."""
-    fields = "slot int, block int, mass binary, low binary"
+    fields = "slot int, block long, mass binary, low binary"
 
     def run(batches):
         for table in grouped(batches, "slot"):
@@ -204,25 +258,17 @@ def _weigh(parts: DataFrame) -> DataFrame:
             cuts = np.cumsum([0, *map(len, keys)])
             own, at = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
-            mass, low = (np.bincount(at, np.concatenate([np.frombuffer(x) for x in table.column(c).to_pylist()]), len(own))[at] for c in ("mass", "low"))
+            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()]), len(own))[at] for c in ("mass", "low"))
             slot = table.column("slot")[0].as_py()
-            yield _packed([(slot, block, mass[a:b].tobytes(), low[a:b].tobytes()) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
+            yield _packed([(slot, block, pack_doubles(mass[a:b]), pack_doubles(low[a:b])) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
 
     return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
 
 
-def _joined(*columns: DataFrame) -> DataFrame:
-    """Rows of several kinds by block, in order of kind and slot, with the columns each lacks left null."""
-    every = columns[0]
-    for more in columns[1:]:
-        every = every.unionByName(more, allowMissingColumns=True)
-    return every.repartition("block").sortWithinPartitions("block", "turn", "slot")
-
-
-def _read(table: pa.Table, turn: int, k: int, column: str) -> list[bytes]:
+def _read(table: pa.Table, k: int, column: str) -> list[bytes]:
     """What the slots of an order answered, in order of bucket."""
     slot = table.column("slot").to_numpy()
-    at = np.flatnonzero((table.column("turn").to_numpy() == turn) & (slot % (1 << ORDERS) == k))
+    at = np.flatnonzero(slot % (1 << ORDERS) == k)
     return table.column(column).take(pa.array(at[np.argsort(slot[at], kind="stable")])).to_pylist()
 
 
@@ -239,25 +285,24 @@ def discounts(met: dict[int, int]) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = LEAST) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Learns n-grams up to order (7 at most) from rows whose crc32(id as text) mod 7 is not 2; bigrams and longer ones met
     less often than least back off. Tokens are lower-cased (A-Z) words and one end; a null or empty text has the end
     alone. Scores are log10 probabilities. A word never met has what discounts leave of the words' mass, and if they
     leave none, as much as half a token. Rows that repeat an id, null ids too, are texts of their own; the remainder of
-    a null id is 0.
+    a null id is 0. An empty table gives no rows; other columns are not read.
     """
-    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rows = with_row_ids(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    kind = id_kind(docs, id_col)
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    rest = crc_mod(F.col("id"), FOLDS)
+    blocks = materialise(_cut(with_row_ids(docs, id_col, text_col).select("rid", "id", (rest != HELD_OUT).alias("train"), "text")), "blocks")
+    size = blocks.agg(F.sum("size")).first()[0]
     if size is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    bits = max(0, (blocks // BLOCKS_A_BUCKET).bit_length())
-    rest = crc_mod(F.col("id"), FOLDS)
-    dealt = rows.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), "id", "text", (rest != HELD_OUT).alias("train"))
-    found = materialise(_add_up(_ask(dealt.select("block", "text", "train"), bits, order)), "katz")
+    bits = max(0, (-(-size // BLOCK_BYTES) // BLOCKS_A_BUCKET).bit_length())
+    found = materialise(_add_up(_ask(blocks, bits, order)), "katz")
     met = found.where("kind = 'n'").groupBy((F.col("slot") % (1 << ORDERS)).alias("k"), "h").agg(F.sum("c").alias("c")).collect()  # LARGE + 3 rows an order
     met = {(r["k"], r["h"]): r["c"] for r in met}
     tables = []  # by order, the discounted counts up to LARGE
@@ -273,64 +318,69 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         out = np.where(c <= LARGE, tables[k - 1][np.minimum(c, LARGE)], c)
         return np.where(c >= least, out, 0.0) if k > 1 else out
 
-    def counts(table: pa.Table, b: Block):
-        """By order, the counts of a block's n-grams, which it owns, and which are contexts met in training."""
-        both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(table, 1, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
-        c, asks = [x >> 1 for x in both], []
-        for k in range(order - 1):
-            has = np.zeros(len(c[k]), bool)
-            has[b.levels[k + 1].ctx] = True
-            asks.append(has & (c[k] > 0))
-        return c, [(x & 1).astype(bool) for x in both], asks
-
-    def share(batches):
-        for table in grouped(batches, "block"):
-            b = Block(table.filter(pa.array(table.column("turn").to_numpy() == 0)).column("text").combine_chunks(), order)
-            c, owns, asks = counts(table, b)
-            out = []
-            for k, asked in enumerate(asks, 1):
-                up, level = b.levels[k], b.levels[k - 1]
-                own = np.flatnonzero(owns[k] & (c[k] >= least))
+    class Counted:
+        """A block with the counts of its n-grams, and what its own n-grams give to their contexts."""
+
+        def __init__(self, table: pa.Table):
+            turn = table.column("turn").to_numpy()
+            self.rows = thawed(table.filter(pa.array(turn == 0)).column("a")[0].as_py())
+            self.b = Block(self.rows.column("text").combine_chunks(), order)
+            said = table.filter(pa.array(turn == 1))
+            both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(said, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
+            self.c = [x >> 2 for x in both]
+            self.parts, self.asks = [], []
+            for k in range(1, order):
+                up, level, c = self.b.levels[k], self.b.levels[k - 1], self.c[k - 1]
+                has = np.zeros(len(c), bool)
+                has[up.ctx] = True
+                # A context that no other block has is followed by what is here alone.
+                self.asks.append(has & (c > 0) & (both[k - 1] & 2 == 0))
+                mine = np.flatnonzero((both[k] & 1 == 1) & (self.c[k] >= least))
                 # Lower orders' discounted counts; contexts multiply them with their own scale.
-                parts = [np.bincount(up.ctx[own], x, len(level.key)) for x in (shrunk(c[k][own], k + 1), shrunk(c[k - 1][up.low[own]], k))]
-                for bucket, u in level.buckets(bits):
-                    if asked[u].any():
-                        out.append((_slot(bucket, k), table.column("block")[0].as_py(), pack_sorted(level.key[u][asked[u]]), *[x[u][asked[u]].tobytes() for x in parts]))
-            yield _packed(out, shared)
-
-    def run(batches):
-        for table in grouped(batches, "block"):
-            part = table.filter(pa.array(table.column("turn").to_numpy() == 0))
-            b = Block(part.column("text").combine_chunks(), order)
-            c, _, asks = counts(table, b)
-            p = np.where(c[0] > 0, shrunk(c[0], 1) / n_all if n_tokens else 0.0, unknown)
-            log, scale = np.zeros(len(b.row)), None
-            for k, asked in enumerate(asks, 1):
-                up, below = b.levels[k], scale
-                mass, low = np.zeros(len(c[k - 1])), np.zeros(len(c[k - 1]))
-                mass[asked], low[asked] = (np.concatenate([np.zeros(0), *map(np.frombuffer, _read(table, 2, k, x))]) for x in ("mass", "low"))
-                some = mass > 0
-                total = np.maximum(c[k - 1], 1)
-                # 1 / count, less where discounts would leave no mass for the rest.
-                scale = np.where(some, np.minimum(1.0, (total - 0.5) / np.where(some, mass, 1.0)) / total, 1.0)
-                low *= 1 / n_all if k == 1 else below[b.levels[k - 1].low]
-                alpha = np.where(some, (1 - mass * scale) / np.maximum(1 - low, 1e-12), 1.0)
-                own = shrunk(c[k], k + 1)
-                p = np.where(own > 0, own * scale[up.ctx], alpha[up.ctx] * p[up.low])
-                ends = np.flatnonzero(up.at >= 0)
-                log[ends] = np.log10(np.maximum(p, 1e-300))[up.at[ends]]
-            known = c[0][b.levels[0].at[b.token]]
-            sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (log[b.token], np.log10((known + 1.0) / (n_tokens + v + 1.0)), known > 0)]
-            stop = np.concatenate((b.first[1:], [len(known)]))
-            said = [x[stop] - x[b.first] for x in sums]
-            train = part.column("train").combine_chunks()
-            size = len(stop)
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(~train.to_numpy(zero_copy_only=False)), pa.array(stop - b.first), pa.array(said[2].astype(np.int64)), pa.array(np.full(size, n_tokens)), pa.array(said[1]), pa.array(said[0])], names)
-
-    shared = "slot int, block int, u binary, mass binary, low binary"
+                self.parts.append([np.bincount(up.ctx[mine], x, len(level.key)).astype(float) for x in (shrunk(self.c[k][mine], k + 1), shrunk(c[up.low[mine]], k))])
+
+    def share(table: pa.Table) -> pa.Table:
+        x, out = Counted(table), []
+        block = table.column("block")[0].as_py()
+        for k, (asked, parts) in enumerate(zip(x.asks, x.parts, strict=True), 1):
+            level = x.b.levels[k - 1]
+            for bucket, u in level.buckets(bits):
+                if asked[u].any():
+                    out.append((_slot(bucket, k), block, pack_sorted(level.key[u][asked[u]]), *[pack_doubles(p[u][asked[u]]) for p in parts]))
+        return pa.Table.from_batches([_packed(out, shared)])
+
+    def run(table: pa.Table, weights: pa.Table) -> pa.Table:
+        x = Counted(table)
+        b, c = x.b, x.c
+        p = np.where(c[0] > 0, shrunk(c[0], 1) / n_all if n_tokens else 0.0, unknown)
+        log, scale = np.zeros(len(b.row)), None
+        for k, (asked, parts) in enumerate(zip(x.asks, x.parts, strict=True), 1):
+            up, below = b.levels[k], scale
+            mass, low = parts
+            mass[asked], low[asked] = (np.concatenate([np.zeros(0), *map(unpack_doubles, _read(weights, k, y))]) for y in ("mass", "low"))
+            some = mass > 0
+            total = np.maximum(c[k - 1], 1)
+            # 1 / count, less where discounts would leave no mass for the rest.
+            scale = np.where(some, np.minimum(1.0, (total - 0.5) / np.where(some, mass, 1.0)) / total, 1.0)
+            low = low * (1 / n_all if k == 1 else below[b.levels[k - 1].low])
+            alpha = np.where(some, (1 - mass * scale) / np.maximum(1 - low, 1e-12), 1.0)
+            own = shrunk(c[k], k + 1)
+            p = np.where(own > 0, own * scale[up.ctx], alpha[up.ctx] * p[up.low])
+            ends = np.flatnonzero(up.at >= 0)
+            log[ends] = np.log10(np.maximum(p, 1e-300))[up.at[ends]]
+        known = c[0][b.levels[0].at[b.token]]
+        sums = [np.concatenate(([0.0], np.cumsum(y))) for y in (log[b.token], np.log10((known + 1.0) / (n_tokens + v + 1.0)), known > 0)]
+        stop = np.concatenate((b.first[1:], [len(known)]))
+        said = [y[stop] - y[b.first] for y in sums]
+        train = x.rows.column("train").to_numpy().astype(bool)
+        values = [x.rows.column("id").combine_chunks(), ~train, stop - b.first, said[2].astype(np.int64), np.full(len(stop), n_tokens), said[1], said[0]]
+        return pa.table([y if isinstance(y, pa.Array) else pa.array(y) for y in values], names)
+
+    shared = "slot int, block long, u binary, mass binary, low binary"
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = dealt.withColumn("turn", F.lit(0)).withColumn("slot", F.lit(0))
-    answers = found.where("kind = 'r'").select("block", "slot", "a", F.lit(1).alias("turn"))
-    parts = _joined(texts.select("block", "turn", "slot", "text"), answers).mapInArrow(share, shared)
-    weights = materialise(_weigh(parts), "weights").withColumn("turn", F.lit(2))
-    return _joined(texts, answers, weights).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    texts = blocks.select("block", F.lit(0).alias("turn"), F.lit(0).alias("slot"), F.col("data").alias("a"))
+    answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "slot", "a")
+    # Dealt by block once; both uses below read that exchange.
+    base = texts.unionByName(answers).repartition("block").groupBy("block")
+    weights = _weigh(base.applyInArrow(share, shared))
+    return base.cogroup(weights.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gramwise.llm.common import BROADCAST_ROWS, materialise
+from gramwise.llm.common import BROADCAST_ROWS, materialise, own_columns
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a hash, and of one level of the histogram.
@@ -55,16 +55,16 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     """
     rows = materialise(_hashed(docs, id_col, source_col, text_col), "mix")
     bounds, per_source = _bounds(rows, weights, share, cap)
-    own = docs.withColumn("_hash", _columns(id_col, source_col, text_col)["hash"])
-    found = per_source(own, bounds.drop("source_size", "target"), source_col)
-    copies = _copies(F.col("_hash")).cast("int")
-    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    # The row travels as one column, so that no name of ours can be one of its own.
+    own = docs.select(F.struct(*own_columns(docs)).alias("row"), F.col(f"`{source_col}`").alias("source"), _columns(id_col, source_col, text_col)["hash"].alias("hash"))
+    found = per_source(own, bounds.drop("source_size", "target"))
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")).cast("int")))).select("row.*")
 
 
 def _columns(id_col: str, source_col: str, text_col: str) -> dict[str, Column]:
-    text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("string")
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("\x1f", number, F.col(text_col)).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return {"id": F.col(id_col), "source": F.col(source_col), "size": F.regexp_count(text, F.lit(WORD)).cast("long"), "hash": hashed}
+    text, number = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("string")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("\x1f", number, F.col(f"`{text_col}`")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return {"id": F.col(f"`{id_col}`"), "source": F.col(f"`{source_col}`"), "size": F.regexp_count(text, F.lit(WORD)).cast("long"), "hash": hashed}
 
 
 def _hashed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:

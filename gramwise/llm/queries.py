@@ -58,23 +58,31 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 SQL = {
     "op4_warc_fixity": r"""
         WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1024.0) AS BIGINT)) AS files FROM pages),
-        p AS (SELECT page_id, coalesce((page_id % files + files) % files, 0) AS file, coalesce(html, '') AS body,
+        p AS (SELECT page_id, coalesce(page_id, ('0x' || substr(md5(concat_ws(chr(31), url, html)), 1, 8))::BIGINT) AS deal, coalesce(html, '') AS body,
                      md5(concat_ws(chr(31), CAST(page_id AS VARCHAR), url)) AS u, coalesce(url, '') AS url, chr(13) || chr(10) AS nl,
-                     ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 6))::BIGINT % 1000 AS draw
-              FROM pages, n),
-        r AS (SELECT page_id, file, draw, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:'
+                     ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 6))::BIGINT % 1000 AS drawn
+              FROM pages),
+        f AS (SELECT *, (deal % files + files) % files AS file FROM p, n),
+        r AS (SELECT page_id, file, CASE WHEN file % 4 = 0 THEN drawn ELSE 999 END AS draw, nl, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:'
                      || concat_ws('-', substr(u, 1, 8), substr(u, 9, 4), substr(u, 13, 4), substr(u, 17, 4), substr(u, 21, 12)) || '>' || nl
                      || 'WARC-Target-URI: ' || url || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || 'Content-Type: text/html' || nl
                      || 'Content-Length: ' || CAST(octet_length(encode(body)) AS VARCHAR) || nl || nl || body || nl || nl AS warc
-              FROM p),
-        h AS (SELECT page_id, file, draw, sha256(warc) AS sha256, CAST(octet_length(encode(warc)) AS BIGINT) AS length,
-                     octet_length(encode(right(left(warc, length(warc) - 4), 1))) AS last, right(left(warc, length(warc) - 4), 1) AS sign
-              FROM r)
-        SELECT page_id, file, row_number() OVER w - 1 AS record_no,
-               CAST(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - length AS offset, length, sha256,
-               CASE WHEN draw < 3 THEN 'missing' WHEN draw < 13 THEN CASE WHEN sign = '#' THEN 'ok' WHEN last > 1 THEN 'truncated' ELSE 'corrupt' END
-                    WHEN draw < 18 THEN 'truncated' ELSE 'ok' END AS status
-        FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256)""",
+              FROM f),
+        a AS (SELECT page_id, file, page_id AS place, draw, sha256(warc) AS sha256, CAST(octet_length(encode(warc)) AS BIGINT) AS length FROM r),
+        c AS (SELECT page_id, file, draw, CASE WHEN draw BETWEEN 18 AND 19 THEN 1000000000000000 ELSE 0 END + page_id AS place, false AS extra,
+                     CASE WHEN draw < 13 THEN left(warc, length(warc) - 5) || '#' || nl || nl WHEN draw < 18 THEN left(warc, length(warc) - 7) ELSE warc END AS warc
+              FROM r WHERE draw >= 3
+              UNION ALL SELECT 1000000000000000 + page_id, file, draw, 1000000000000000 + page_id, true, warc FROM r WHERE draw BETWEEN 20 AND 21),
+        b AS (SELECT page_id, file, place, extra, sha256(warc) AS sha256, CAST(octet_length(encode(warc)) AS BIGINT) AS length FROM c),
+        one AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - length AS "offset"
+                FROM a WINDOW w AS (PARTITION BY file ORDER BY place NULLS FIRST, sha256)),
+        two AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - length AS "offset"
+                FROM b WINDOW w AS (PARTITION BY file ORDER BY place NULLS FIRST, sha256))
+        SELECT one.page_id, one.file, one.record_no, one."offset", one.length, one.sha256,
+               CASE WHEN two.file IS NULL THEN 'missing' WHEN two.sha256 = one.sha256 THEN CASE WHEN two."offset" = one."offset" AND two.record_no = one.record_no THEN 'ok' ELSE 'displaced' END
+                    WHEN two.length < one.length THEN 'truncated' WHEN two.length > one.length THEN 'extended' ELSE 'corrupt' END AS status
+        FROM one LEFT JOIN two ON one.page_id = two.page_id AND NOT two.extra
+        UNION ALL SELECT page_id, file, record_no, "offset", length, sha256, 'extra' FROM two WHERE extra""",
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

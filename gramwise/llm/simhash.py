@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import materialise, slices, with_row_ids
+from gramwise.llm.common import fresh, id_kind, materialise, slices, with_row_ids
 from gramwise.llm.graph import components, stars
 from gramwise.llm.tokens import words
 
@@ -248,7 +248,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2)).view(np.int64))], ["rid", "id", "fp"])
 
-    rows = materialise(with_row_ids(docs, id_col, text_col).mapInArrow(run, "rid long, id long, fp long"), "fingerprints")
+    rows = materialise(with_row_ids(docs, id_col, text_col).mapInArrow(run, f"rid long, id {id_kind(docs, id_col)}, fp long"), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "fps")
     comps = components(link(fps.select("fp"))).withColumnRenamed("node", "fp")
     named = materialise(fps.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "components")
@@ -260,12 +260,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each component (the smallest id), with all columns."""
-    again = docs.groupBy(id_col).count().where(F.col("count") > 1).limit(1).count() or docs.where(F.col(id_col).isNull()).limit(1).count()
-    if again:  # ids don't tell rows apart: number the rows once, in the order of with_row_ids
-        docs = materialise(docs.orderBy(F.col(id_col).asc_nulls_first(), F.coalesce(F.col(text_col), F.lit(""))).withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-        key = "_rid"
+    at, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key, drop = fresh(docs, "rid", "drop")
+    if docs.groupBy(at).count().where(F.col("count") > 1).limit(1).count() or docs.where(at.isNull()).limit(1).count():
+        # Ids don't tell rows apart: number the rows once, in the order of with_row_ids.
+        docs = materialise(docs.orderBy(at.asc_nulls_first(), F.sha2(text.cast("binary"), 256)).withColumn(key, F.monotonically_increasing_id()), "numbered")
     else:
-        key = id_col
+        docs = docs.withColumn(key, at)
     _, found = _grouped(docs, key, text_col)
-    drop = materialise(found.where("rid != keep_rid").select(F.col("id").alias("_drop")), "drop")
-    return docs.join(drop, F.col(key) == F.col("_drop"), "left_anti").drop("_rid") if again else docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
+    gone = materialise(found.where("rid != keep_rid").select(F.col("id").alias(drop)), "drop")
+    return docs.join(gone, F.col(key) == F.col(drop), "left_anti").drop(key)

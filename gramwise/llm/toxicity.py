@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gramwise.llm.common import crc_mod, materialise, slices
 from gramwise.llm.tokens import BASES, Rolling, mix, words
@@ -213,8 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = materialise(chosen, "labelled")
     # At most 2 * ROWS rows of three numbers: this may always be sent.
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").dropDuplicates(["text"])
-    upto = F.sum(F.octet_length("text")).over(W.partitionBy("_toxic").orderBy(*order))  # over ROWS rows, or repeats of their ids
-    sample = materialise(sample.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES).select("_toxic", "_fold", "text"), "sample")
+    sample = materialise(sample.select("_toxic", "_fold", F.xxhash64("_id").alias("_hash"), F.octet_length("text").alias("_size"), "text"), "sample")
+    sizes = sample.select("_toxic", "_hash", "_size").toPandas().sort_values("_hash")  # three numbers of each of at most 2 * ROWS rows
+    fits = F.lit(False)
+    for label, own in sizes.groupby("_toxic"):
+        own = own[own["_size"].cumsum() <= SAMPLE_BYTES]
+        fits = fits | ((F.col("_toxic") == int(label)) & (F.col("_hash") <= int(own["_hash"].max()))) if len(own) else fits
+    sample = sample.where(fits)
 
     def count(batches):
         for batch in batches:

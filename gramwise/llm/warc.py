@@ -1,6 +1,6 @@
 """WARC records of web pages, and a fixity audit of replicas by Merkle trees.
 
-The leaves of a replica's tree are digests of its records, in the order of the catalogue of files and offsets. A node
+The leaves of a replica's tree are digests of its own records with their offset ranges, in the order of its files. A node
 hashes the digests of up to `FANOUT` neighbours with the offset range that they cover, up to one root. Two replicas
 with equal roots are equal; else only the children of nodes that differ are compared, level by level, down to the
 records. All levels are DataFrames, so a tree of any size is built and compared without gathering it.
@@ -8,6 +8,9 @@ records. All levels are DataFrames, so a tree of any size is built and compared
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -17,6 +20,9 @@ from gramwise.llm.common import checkpoint, materialise
 FILE_RECORDS, FANOUT = 1024, 16
 DATE = "2024-01-01T00:00:00Z"
 GAP = "\r\n\r\n"
+HEAD = b"WARC/1.1\r\nWARC-Type: "
+#: Added to the place of a record, it then stands after all others of its file.
+AFTER = 10**15
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -29,44 +35,65 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame, files: int) -> DataFrame:
-    """(page_id, url, file, warc): pages are dealt to files by page_id; a null id goes to file 0."""
-    file = F.coalesce(F.pmod("page_id", F.lit(files)), F.lit(0)).cast("long")
-    return pages.select("page_id", "url", file.alias("file"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("warc"))
+    """(page_id, url, file, place, warc): pages are dealt to files by page_id, null ids by a digest of what they hold.
+    place gives the order within a file."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", "url", "html").cast("binary")), 1, 8), 16, 10).cast("long")
+    file = F.pmod(F.coalesce(F.col("page_id").cast("long"), digest), F.lit(files)).cast("long")
+    return pages.select("page_id", "url", file.alias("file"), F.col("page_id").cast("long").alias("place"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("warc"))
 
 
 def write_warc(rows: DataFrame, folder: str) -> None:
-    """Write (page_id, file, warc) as WARC files, one or more in each folder file=N."""
-    own = rows.select("file", "page_id", F.expr(f"left(warc, length(warc) - {len(GAP)})").alias("value"))
-    own.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").option("lineSep", GAP).text(folder)
+    """Write (page_id, file, place, warc) as WARC files, one or more in each folder file=N."""
+    own = rows.select("file", "place", F.sha2(F.col("warc").cast("binary"), 256).alias("sha256"), F.expr(f"left(warc, length(warc) - {len(GAP)})").alias("value"))
+    own.repartition("file").sortWithinPartitions("file", F.col("place").asc_nulls_first(), "sha256").select("file", "value").write.partitionBy("file").option("lineSep", GAP).text(folder)
+
+
+def _split(content: bytes):
+    """(begin, end) of each record. One whose length is wrong ends where the next begins."""
+    gap, at = GAP.encode(), 0
+    while at < len(content):
+        body = content.index(gap, at) + len(gap)
+        size = re.search(rb"\r\nContent-Length: (\d+)", content[at:body])
+        end = body + int(size[1]) + len(gap)
+        if content[end - len(gap) : end] != gap or (end < len(content) and not content.startswith(HEAD, end)):
+            following = content.find(gap + HEAD, body - len(gap))
+            end = len(content) if following < 0 else following + len(gap)
+        yield at, end
+        at = end
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """(path, offset, length, url, html) of every record below a folder; a file at a time fits a task."""
+    """(path, offset, length, record_id, url, html, sha256) of every record below a folder; a file at a time fits a task."""
 
     def parse(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                at, out = 0, []
-                while at < len(content):
-                    body = content.index(GAP.encode(), at) + len(GAP)
-                    fields = dict(line.split(": ", 1) for line in content[at:body].decode().split("\r\n") if ": " in line)
-                    end = body + int(fields["Content-Length"])
-                    out.append((path, at, end + len(GAP) - at, fields.get("WARC-Target-URI", ""), content[body:end].decode()))
-                    at = end + len(GAP)
+                out = []
+                for at, end in _split(content):
+                    head, _, body = content[at:end].partition(GAP.encode())
+                    fields = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n") if ": " in line)
+                    out.append((path, at, end - at, fields.get("WARC-Record-ID", ""), fields.get("WARC-Target-URI", ""), body.removesuffix(GAP.encode()).decode(errors="replace"), hashlib.sha256(content[at:end]).hexdigest()))
                 if out:
-                    yield pd.DataFrame(out, columns=["path", "offset", "length", "url", "html"])
+                    yield pd.DataFrame(out, columns=["path", "offset", "length", "record_id", "url", "html", "sha256"])
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-    return found.select("path", "content").mapInPandas(parse, "path string, offset long, length long, url string, html string")
+    return found.select("path", "content").mapInPandas(parse, "path string, offset long, length long, record_id string, url string, html string, sha256 string")
 
 
 def catalogue(rows: DataFrame) -> DataFrame:
     """(page_id, file, record_no, offset, length, sha256): where each record stands. Texts are hashed before anything moves."""
-    own = rows.select("page_id", "file", F.sha2(F.col("warc").cast("binary"), 256).alias("sha256"), F.octet_length("warc").cast("long").alias("length"))
-    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "sha256")
+    own = rows.select("page_id", "file", "place", F.sha2(F.col("warc").cast("binary"), 256).alias("sha256"), F.octet_length("warc").cast("long").alias("length"))
+    order = W.partitionBy("file").orderBy(F.col("place").asc_nulls_first(), "sha256")
     return own.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("record_no"), (F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "sha256")
 
 
+def file_catalogue(spark, folder: str) -> DataFrame:
+    """The same from WARC files as write_warc leaves them, page_id being the record id."""
+    rows = read_warc(spark, folder).select(F.col("record_id").alias("page_id"), F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "path", "offset", "length", "sha256")
+    order = W.partitionBy("file").orderBy("path", "offset")
+    return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("record_no"), "offset", "length", "sha256")
+
+
 def _parents(level: DataFrame, name: str) -> DataFrame:
     """The level above (file, pos, hash, begin, end): a node for each FANOUT positions of a file."""
     own = level.withColumn("up", F.floor(F.col("pos") / FANOUT).cast("long")).groupBy("file", "up")
@@ -111,39 +138,60 @@ def compare_replicas(one: DataFrame, other: DataFrame, files: int, longest: int)
 
 
 def damage(rows: DataFrame) -> DataFrame:
-    """A replica with planted faults: of 1,000 records about ten have a byte changed, five lost their end, three are lost.
+    """A replica with planted faults in every fourth file: of 1,000 records there about three are lost, ten have a byte
+    changed, five lost their end, two were moved to the end of the file and two stand there again under another id.
 
     Which ones follows from a digest of the page id, so a test can tell them without the tree.
     """
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 6), 16, 10).cast("long") % 1000
+    drawn = rows.withColumn("_draw", F.when(F.col("file") % 4 == 0, draw).otherwise(999))
     changed = F.expr(f"concat(left(warc, length(warc) - {len(GAP)} - 1), '#', '\r\n\r\n')")
-    return rows.withColumn("_draw", draw).where("_draw >= 3").withColumn("warc", F.when(F.col("_draw") < 13, changed).when(F.col("_draw") < 18, F.expr("left(warc, length(warc) - 7)")).otherwise(F.col("warc"))).drop("_draw")
+    warc = F.when(F.col("_draw") < 13, changed).when(F.col("_draw") < 18, F.expr("left(warc, length(warc) - 7)")).otherwise(F.col("warc"))
+    moved = F.when(F.col("_draw").between(18, 19), F.col("place") + AFTER).otherwise(F.col("place"))
+    kept = drawn.where("_draw >= 3").withColumns({"warc": warc, "place": moved})
+    extra = drawn.where("_draw between 20 and 21").withColumns({"page_id": F.col("page_id") + AFTER, "place": F.col("place") + AFTER})
+    return kept.unionByName(extra).drop("_draw")
+
+
+def compare(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(page_id, file, record_no, offset, length, sha256, status) of two replicas' catalogues.
+
+    Each replica's tree is of its own records in its own order. Where roots differ, the children of nodes that differ are
+    compared, down to records, and only there records are looked up in the other replica by page_id, the n-th of one with
+    the n-th. status is ok, corrupt (other bytes of the same length), truncated (fewer), extended (more), displaced (the
+    same bytes at another place), missing, or extra: then the other values are those of the second replica.
+    """
+    one, other = materialise(one, "one"), materialise(other, "other")
+    ends = [x.agg(F.max("record_no").alias("n"), F.max("file").alias("f")).first() for x in (one, other)]
+    longest, files = (max((r[c] + 1 for r in ends if r[c] is not None), default=0) for c in ("n", "f"))
+    if not longest:
+        return one.select("page_id", "file", "record_no", "offset", "length", "sha256", F.lit("ok").alias("status"))
+    end = F.col("offset") + F.col("length")
+    leaf = F.sha2(F.concat_ws("|", "sha256", "offset", end).cast("binary"), 256)
+    trees = [x.select("file", F.col("record_no").alias("pos"), leaf.alias("hash"), F.col("offset").alias("begin"), end.alias("end")) for x in (one, other)]
+    bad = compare_replicas(*trees, files, longest).select(F.col("file").alias("_file"), F.col("pos").alias("_pos"), F.lit(True).alias("bad"))
+    here = (F.col("file") == F.col("_file")) & (F.col("record_no") == F.col("_pos"))
+    marked = one.join(bad, here, "left").drop("_file", "_pos")
+    nth = F.row_number().over(W.partitionBy("page_id").orderBy("file", "record_no"))
+    ours = marked.where("bad").drop("bad").withColumn("nth", nth)
+    theirs = other.join(bad, here, "left_semi").withColumn("nth", nth)
+    theirs = theirs.select(*[F.col(c).alias(f"_{c}") for c in theirs.columns])
+    both = ours.join(theirs, F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("nth") == F.col("_nth")), "full")
+    size, was = F.col("_length"), F.col("length")
+    status = F.when(F.col("nth").isNull(), "extra").when(F.col("_nth").isNull(), "missing").when(F.col("sha256") == F.col("_sha256"), "displaced").when(size < was, "truncated").when(size > was, "extended").otherwise("corrupt")
+    names = ["page_id", "file", "record_no", "offset", "length", "sha256"]
+    found = both.select(*[F.when(F.col("nth").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names], status.alias("status"))
+    return marked.where("bad is null").select(*names, F.lit("ok").alias("status")).unionByName(found)
 
 
 def audit(pages: DataFrame, replica=damage) -> DataFrame:
-    """(page_id, file, record_no, offset, length, sha256, status) for every record of pages.
+    """(page_id, file, record_no, offset, length, sha256, status) for every record of pages, and for those that the second
+    copy alone has.
 
     pages (page_id, url, html) become WARC records in files; replica makes the second copy from (page_id, url, file,
-    warc). status is ok, corrupt (other bytes of the same length), truncated (fewer), extended (more) or missing; it
-    comes from the leaves at which the trees differ. Nulls count as empty. Of rows that repeat a page_id the replica's
-    n-th in the order of their digests stands for the n-th. An empty table gives no rows.
+    place, warc). The copies are compared as `compare` says. Nulls count as empty; rows that repeat a page_id are records
+    of their own; other columns are not read. An empty table gives no rows.
     """
     files = max(1, -(-pages.count() // FILE_RECORDS))
     own = records(pages, files)
-    entry = materialise(catalogue(own).withColumn("nth", F.row_number().over(W.partitionBy("file", "page_id").orderBy("record_no"))), "catalogue")
-    held = replica(own).select("page_id", "file", F.sha2(F.col("warc").cast("binary"), 256).alias("held"), F.octet_length("warc").cast("long").alias("held_length"))
-    held = held.withColumn("nth", F.row_number().over(W.partitionBy("file", "page_id").orderBy("held")))
-    held = held.withColumnsRenamed({"page_id": "_id", "file": "_file", "nth": "_nth"})
-    both = entry.join(held, (F.col("file") == F.col("_file")) & F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_nth")), "left").drop("_id", "_file", "_nth", "nth")
-    both = materialise(both, "leaves")
-    longest = both.agg(F.max("record_no")).first()[0]
-    if longest is None:
-        return both.select("page_id", "file", "record_no", "offset", "length", "sha256", F.lit("ok").alias("status"))
-    place = [F.col("file"), F.col("record_no").alias("pos")]
-    one = both.select(*place, F.col("sha256").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end"))
-    other = both.where("held is not null").select(*place, F.col("held").alias("hash"), F.col("offset").alias("begin"), (F.col("offset") + F.col("held_length")).alias("end"))
-    bad = compare_replicas(one, other, files, longest + 1)
-    bad = bad.select(F.col("file").alias("_file"), F.col("pos").alias("_pos"), F.lit(True).alias("bad"))
-    out = both.join(bad, (F.col("file") == F.col("_file")) & (F.col("record_no") == F.col("_pos")), "left")
-    less = F.when(F.col("held").isNull(), "missing").when(F.col("held_length") < F.col("length"), "truncated").when(F.col("held_length") > F.col("length"), "extended").otherwise("corrupt")
-    return out.select("page_id", "file", "record_no", "offset", "length", "sha256", F.when(F.col("bad"), less).otherwise("ok").alias("status"))
+    return compare(catalogue(own), catalogue(replica(own)))

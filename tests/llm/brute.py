@@ -89,7 +89,78 @@ def embedding_links(rows, least=0.93):
     return {i: (links[i], sets.find(i)) for i, _, _ in rows}
 
 
-def katz(rows, train, discounts, least=2, large=5):
+def good_turing(counts, large=5):
+    """What each count up to large is multiplied with, by Katz's formula from how many things have each count."""
+    n = Counter(counts)
+    if not n[1]:
+        return [1.0] * large
+    share = (large + 1) * n[large + 1] / n[1]
+    out = []
+    for r in range(1, large + 1):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - share) / (1 - share) if n[r] and share < 1 else 1.0
+        out.append(d if 0 < d < 1 else 1.0)
+    return out
+
+
+def kneser_ney(texts_with, order):
+    """The function word -> log ratio of two spelling models, from {word: (toxic texts, ordinary texts)}."""
+    from math import log
+
+    spelled = {w: ["<", *w, ">"] for w in texts_with}
+    pooled = [Counter() for _ in range(order)]  # by length, how often a run of signs comes
+    top = [Counter(), Counter()]
+    for w, s in spelled.items():
+        for e in range(1, len(s)):
+            for j in (0, 1):
+                if texts_with[w][j]:
+                    top[j][tuple(s[max(0, e - order + 1) : e + 1])] += texts_with[w][j]
+            for k in range(1, min(order - 1, e + 1) + 1):
+                pooled[k][tuple(s[e - k + 1 : e + 1])] += sum(texts_with[w])
+    counts = [Counter() for _ in range(order)]
+    for k in range(1, order):
+        for g, n in pooled[k].items():
+            counts[k][g] = n
+    for k in range(1, order - 1):
+        kinds = Counter(x[1:] for x in pooled[k + 1])
+        for g in counts[k]:
+            if g[0] != "<":
+                counts[k][g] = kinds[g]
+
+    def taken(values):
+        ones, twos = values.count(1), values.count(2)
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    cut = [taken(list(c.values())) for c in counts]
+    totals, types = [Counter() for _ in counts], [Counter() for _ in counts]
+    for k, c in enumerate(counts):
+        for g, n in c.items():
+            totals[k][g[:-1]] += n
+            types[k][g[:-1]] += 1
+
+    def shared(g):
+        if not g:
+            return 1 / len(counts[1])
+        k, low = len(g), shared(g[1:])
+        t = totals[k][g[:-1]]
+        return (max(counts[k][g] - cut[k], 0) + cut[k] * types[k][g[:-1]] * low) / t if t else low
+
+    class_cut = [taken(list(c.values())) for c in top]
+
+    def own(j, g):
+        t = sum(n for x, n in top[j].items() if x[:-1] == g[:-1])
+        kinds = sum(1 for x in top[j] if x[:-1] == g[:-1])
+        low = shared(g[1:])
+        return (max(top[j][g] - class_cut[j], 0) + class_cut[j] * kinds * low) / t if t else low
+
+    def ratio(w):
+        s = ["<", *w, ">"]
+        grams = [tuple(s[max(0, e - order + 1) : e + 1]) for e in range(1, len(s))]
+        return sum(log(own(0, g) / own(1, g)) for g in grams)
+
+    return ratio
+
+
+def katz(rows, train, least=2, large=5):
     """{id: (n_tokens, n_known, base, score)} and the number of training tokens."""
     from math import log10
 
@@ -102,8 +173,8 @@ def katz(rows, train, discounts, least=2, large=5):
             two[h][w] += 1
             h = w
     n, v = sum(one.values()), len(one)
-    d1 = discounts(Counter(min(c, large + 2) for c in one.values()))
-    d2 = discounts(Counter(min(c, large + 2) for f in two.values() for c in f.values()))
+    d1 = good_turing(one.values())
+    d2 = good_turing(c for f in two.values() for c in f.values())
     cut = lambda c, d: c * d[c - 1] if c <= large else c
     kept = sum(c - cut(c, d1) for c in one.values())
     n_all = n if kept > 1e-12 else n + 0.5
