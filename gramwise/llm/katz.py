@@ -1,6 +1,6 @@
 """Katz backoff: n-gram counts with Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are cut into blocks of a few megabytes, which are written once, compressed. A block counts its words, bigrams and
+Texts are cut into blocks of a few megabytes, which are written once, as numbers of their words. A block counts its words, bigrams and
 longer n-grams once and sends each bucket the hashes and counts of what it has met, packed, far fewer than tokens. A
 bucket is chosen by the hash of the whole n-gram, so the followers of a common word are spread over all of them. It adds
 the blocks up and answers each in the order of its question; of the blocks that met an n-gram in training, the first owns
@@ -152,26 +152,47 @@ class Level:
 class Block:
     """The tokens of a block's texts, and the distinct words and n-grams up to an order."""
 
-    def __init__(self, texts: pa.Array, order: int):
-        w = words(texts, lower=True)
-        n = len(w.starts) - 1
-        size = np.diff(w.starts)
-        hashes = np.maximum(word_hashes(w.flat), U(3))
-        # Each text: START, its words, END.
-        begin = w.starts[:-1] + 2 * np.arange(n)
-        line = np.full(len(hashes) + 2 * n, START, U)
-        line[begin + size + 1] = END
-        place = np.ones(len(line), bool)
-        place[begin] = place[begin + size + 1] = False
-        line[place] = hashes
+    def __init__(self, data: bytes, order: int):
+        rows, key, line = (data[a:b] for a, b in _parts(data))
+        self.rows = thawed(rows)
+        size = self.rows.column("words").to_numpy()
+        n = len(size)
+        begin = np.concatenate(([0], np.cumsum(size + 2)))[:-1]
         self.row = np.repeat(np.arange(n), size + 2)
-        since = np.arange(len(line)) - begin[self.row]
+        since = np.arange(len(self.row)) - begin[self.row]
         self.token = np.flatnonzero(since)  # all but START
         self.first = begin - np.arange(n)  # of each text among the tokens
-        self.levels = [Level(*np.unique(line, return_inverse=True))]
+        self.levels = [Level(unpack_sorted(key), unpack(line).astype(np.int64))]
         for k in range(2, order + 1):
             self.levels.append(self.levels[-1].above(self.levels[0], np.flatnonzero(since >= k - 1)))
 
+    @staticmethod
+    def write(batch: pa.RecordBatch) -> bytes:
+        """The block of rows (rid, id, train, text): the rows without their texts, the words met, and the line of their
+        numbers, each text from START to END."""
+        w = words(batch.column(3), lower=True)
+        coded, size = w.flat.dictionary_encode(), np.diff(w.starts)
+        own = np.maximum(word_hashes(coded.dictionary), U(3))
+        key, rank = np.unique(np.concatenate((np.array([START, END]), own)), return_inverse=True)
+        end = np.cumsum(size + 2) - 1
+        line = np.full(len(w.flat) + 2 * len(size), rank[0])
+        line[end] = rank[1]
+        place = np.ones(len(line), bool)
+        place[end] = place[end - size - 1] = False
+        line[place] = rank[2:][coded.indices.to_numpy()]
+        rows = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size)], ["id", "train", "words"])
+        parts = frozen(rows), pack_sorted(key), pack(line)
+        return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _parts(data: bytes):
+    """Where the parts of a written block stand."""
+    at = 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        yield at + 8, at + 8 + size
+        at += 8 + size
+
 
 def _slot(bucket: int, order: int) -> int:
     return bucket << ORDERS | order
@@ -184,15 +205,14 @@ def _packed(out: list[tuple], fields: str) -> pa.RecordBatch:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(block, size, data): runs of (id, train, text) of some bytes, named by the first rid, from (rid, id, train, text)."""
-
+    """(block, size, data): texts of some bytes as a Block writes them, named by the first rid, from (rid, id, train, text)."""
     most = BLOCK_BYTES
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", most):
                 size = pc.sum(pc.binary_length(part.column(3))).as_py()
-                yield pa.RecordBatch.from_arrays([part.column(0)[:1], pa.array([size]), pa.array([frozen(part.select(["id", "train", "text"]))], pa.binary())], ["block", "size", "data"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[:1], pa.array([size]), pa.array([Block.write(part)], pa.binary())], ["block", "size", "data"])
 
     return rows.mapInArrow(run, "block long, size long, data binary")
 
@@ -204,14 +224,13 @@ def _ask(blocks: DataFrame, bits: int, order: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table, out = thawed(data.as_py()), []
-                b = Block(table.column("text").combine_chunks(), order)
-                train = table.column("train").to_numpy().astype(bool)[b.row]
+                b, out = Block(data.as_py(), order), []
+                train = b.rows.column("train").to_numpy().astype(bool)[b.row]
                 for k, level in enumerate(b.levels, 1):
                     count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
                     out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
                 yield _packed(out, fields)
-                del table, b, out
+                del b, out
                 pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "data").mapInArrow(run, fields)
@@ -323,8 +342,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
         def __init__(self, table: pa.Table):
             turn = table.column("turn").to_numpy()
-            self.rows = thawed(table.filter(pa.array(turn == 0)).column("a")[0].as_py())
-            self.b = Block(self.rows.column("text").combine_chunks(), order)
+            self.b = Block(table.filter(pa.array(turn == 0)).column("a")[0].as_py(), order)
             said = table.filter(pa.array(turn == 1))
             both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(said, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
             self.c = [x >> 2 for x in both]
@@ -372,8 +390,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         sums = [np.concatenate(([0.0], np.cumsum(y))) for y in (log[b.token], np.log10((known + 1.0) / (n_tokens + v + 1.0)), known > 0)]
         stop = np.concatenate((b.first[1:], [len(known)]))
         said = [y[stop] - y[b.first] for y in sums]
-        train = x.rows.column("train").to_numpy().astype(bool)
-        values = [x.rows.column("id").combine_chunks(), ~train, stop - b.first, said[2].astype(np.int64), np.full(len(stop), n_tokens), said[1], said[0]]
+        train = b.rows.column("train").to_numpy().astype(bool)
+        values = [b.rows.column("id").combine_chunks(), ~train, stop - b.first, said[2].astype(np.int64), np.full(len(stop), n_tokens), said[1], said[0]]
         return pa.table([y if isinstance(y, pa.Array) else pa.array(y) for y in values], names)
 
     shared = "slot int, block long, u binary, mass binary, low binary"

@@ -197,3 +197,21 @@ def katz(rows, train, least=2, large=5):
             h = w
         out[i] = (len(t), sum(w in one for w in t), sum(log10((one[w] + 1) / (n + v + 1)) for w in t), score)
     return out, n
+
+
+def mix_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """{source: target} of {source: size}: shared by weight; what goes past cap times the size is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, open_ = dict.fromkeys(order, 0.0), share * sum(sizes.values()), set(order)
+    while left > 1e-9 and open_:
+        total = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += left * weight[s] / total
+        left = 0.0
+        for s in sorted(open_, key=order.index):
+            if target[s] > cap * sizes[s]:
+                left += target[s] - cap * sizes[s]
+                target[s] = cap * sizes[s]
+        open_ = {s for s in open_ if target[s] < cap * sizes[s]}
+    return target

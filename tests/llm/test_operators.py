@@ -161,6 +161,21 @@ def test_mixing_targets_and_sums(sample_df):
     assert taken == {i: c for i, c in copies.items() if c}
 
 
+def test_mixing_targets_equal_repeated_sharing(spark, sample_df):
+    made = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate([("a", 1), ("b", 5), ("c", 40), ("d", 3), (None, 2), ("e", 60), ("é", 1), ("B", 0)])]
+    for df in (sample_df, spark.createDataFrame(made, "doc_id long, source string, text string")):
+        rows, sizes = mixing.mix(df).collect(), Counter()
+        for r in rows:
+            sizes[r["source"]] += r["size"]
+        assert {r["source"]: r["target"] for r in rows} == pytest.approx(brute.mix_targets(sizes))
+
+
+def test_mixing_takes_equal_hashes_alike(spark):
+    df = spark.createDataFrame([(1, "a", "x y z")] * 5 + [(2, "b", "x")], "doc_id long, source string, text string")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 6 and len({r["copies"] for r in rows if r["doc_id"] == 1}) == 1
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     from gramwise.llm.queries import QUERIES
