@@ -38,17 +38,19 @@ CENTIMETRES = r"(?iu)\b(\d{2,3}(?:[.,]\d+)?)\s*cm\b"
 
 # Portions: servings named, then sizes, in the order of their tests.
 FOOD_UNITS = r"(?iu)\b(\d{1,3})\s*(?:piece|pieces|pc|pcs|wings?|nuggets?|tenders?|patties|tacos?|burgers?|sandwiches?|slices?)\b"
-SERVINGS = ((r"\btriple\b", 3.0, 0.66, "triple"), (r"\bdouble\b", 2.0, 0.64, "double"), (r"\bsingle\b", 1.0, 0.60, "single"))
+SERVINGS = ((("triple",), 3.0, 0.66), (("double",), 2.0, 0.64), (("single",), 1.0, 0.60))
 SIZES = (
-    (r"\b(?:party|feast)\b", 2.2, "party"),
-    (r"\b(?:family|sharing)\b", 1.8, "family"),
-    (r"\b(?:extra[ -]?large|x[- ]?large|xl)\b", 1.55, "extra large"),
-    (r"\blarge\b", 1.3, "large"),
-    (r"\bmedium\b", 1.0, "medium"),
-    (r"\bsmall\b", 0.8, "small"),
-    (r"\b(?:kid|kids|junior)\b", 0.65, "kids/junior"),
+    (("party", "feast"), 2.2, "party"),
+    (("family", "sharing"), 1.8, "family"),
+    (("extra large", "extra-large", "extralarge", "x large", "x-large", "xlarge", "xl"), 1.55, "extra large"),
+    (("large",), 1.3, "large"),
+    (("medium",), 1.0, "medium"),
+    (("small",), 0.8, "small"),
+    (("kid", "kids", "junior"), 0.65, "kids/junior"),
 )
-MEAL = r"\b(?:combo|meal)\b"
+MEAL = ("combo", "meal")
+# All of them, longer spellings before what they end with.
+PORTION_WORDS = r"\b(?:" + "|".join(w for words, *_ in (*SERVINGS, *SIZES, (MEAL,)) for w in words) + r")\b"
 
 # Names.
 NOT_A_NAME = r"(?iu)^(?:add|customize|popular|sponsored|deal|sale|save|free delivery|buy one|get one|from\s+[$€£₹৳]|[$€£₹৳]\s*\d)"

@@ -16,6 +16,14 @@ def _units(table: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
+def _has(text: Column, *signs: str) -> Column:
+    """Whether one of the signs is in the text: far cheaper than a pattern that needs one."""
+    out = F.contains(text, F.lit(signs[0]))
+    for sign in signs[1:]:
+        out = out | F.contains(text, F.lit(sign))
+    return out
+
+
 def promotion(text: Column, price: Column) -> Column:
     """The first promotion that the normalised, lower-cased text names, as a struct; type none without one."""
     t = text
@@ -23,17 +31,21 @@ def promotion(text: Column, price: Column) -> Column:
     def offer(kind: str, label: Column, multiplier: Column, paid: Column, effective: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), label.alias("label"), multiplier.cast("double").alias("received_multiplier"), paid.cast("int").alias("min_paid_units"), effective.alias("effective_price"))
 
+    def extracted(pattern: str, k: int, *needs: str) -> Column:
+        """A group of the pattern's first match; not looked for without one of the signs that it needs."""
+        return F.when(_has(t, *needs), F.regexp_extract(t, pattern, k)).otherwise("")
+
     one = F.lit(1.0)
-    percent = F.regexp_extract(t, fixed.BOGO_PERCENT, 1)
+    percent = extracted(fixed.BOGO_PERCENT, 1, "%")
     part = F.least(F.greatest(percent.try_cast("double"), F.lit(0.0)), F.lit(99.0)) / 100.0
     half = 2.0 / (2.0 - part)
-    buy, get = (F.coalesce(F.regexp_extract(t, fixed.BUY_GET, k).try_cast("int"), F.lit(0)) for k in (1, 2))
+    buy, get = (F.coalesce(extracted(fixed.BUY_GET, k, "buy").try_cast("int"), F.lit(0)) for k in (1, 2))
     more = F.try_divide(buy.cast("double") + get, buy.cast("double"))
-    count, total = F.coalesce(F.regexp_extract(t, fixed.BUNDLE, 1).try_cast("int"), F.lit(0)), F.coalesce(number(F.regexp_extract(t, fixed.BUNDLE, 2)), F.lit(0.0))
-    off = F.regexp_extract(t, fixed.PERCENT_OFF, 1)
+    count, total = F.coalesce(extracted(fixed.BUNDLE, 1, "for", "/").try_cast("int"), F.lit(0)), F.coalesce(number(extracted(fixed.BUNDLE, 2, "for", "/")), F.lit(0.0))
+    off = extracted(fixed.PERCENT_OFF, 1, "%")
     return (
         F.when(percent != "", offer("bogo-percent", F.concat(F.lit(fixed.BOGO_LABEL + " "), (part * 100).cast("int").cast("string"), F.lit(fixed.OFF_LABEL)), half, F.lit(2), price / half))
-        .when(t.rlike(fixed.BOGO), offer("bogo", F.lit(fixed.BOGO_LABEL), F.lit(2.0), F.lit(1), price / 2.0))
+        .when(_has(t, "bogo", "get", "for") & t.rlike(fixed.BOGO), offer("bogo", F.lit(fixed.BOGO_LABEL), F.lit(2.0), F.lit(1), price / 2.0))
         .when((buy > 0) & (get > 0), offer("buy-x-get-y", F.concat(F.lit(fixed.BUY_LABEL), buy.cast("string"), F.lit(fixed.GET_LABEL), get.cast("string")), more, buy, F.try_divide(price, more)))
         .when((count > 1) & (total > 0), offer("bundle", F.concat(count.cast("string"), F.lit(fixed.FOR_LABEL), total.cast("string")), count, count, F.try_divide(total, count.cast("double"))))
         .when(off != "", offer("percent-off-shown", F.concat(off, F.lit(fixed.OFF_LABEL)), one, F.lit(1), price))
@@ -68,11 +80,12 @@ def quantity(text: Column) -> Column:
     first."""
     t = text
     group = lambda p, k: lambda x: F.regexp_extract(x, p, k)
-    packs = F.regexp_extract_all(t, F.lit(fixed.MULTIPACK), F.lit(0))
+    none = F.array().cast("array<string>")
+    packs = F.when(_has(t, "x", "×"), F.regexp_extract_all(t, F.lit(fixed.MULTIPACK), F.lit(0))).otherwise(none)
     p1, p2, p3 = (group(fixed.MULTIPACK, k) for k in (1, 2, 3))
     multi = _measured(packs, lambda x: p1(x).try_cast("double") * number(p2(x)), p3, lambda x: F.concat(p1(x), F.lit(" × "), p2(x), F.lit(" "), p3(x)), fixed.PACK_SURE, 0)
     r1, r2, r3 = (group(fixed.RANGE, k) for k in (1, 2, 3))
-    ranges = _measured(F.regexp_extract_all(t, F.lit(fixed.RANGE), F.lit(0)), lambda x: (number(r1(x)) + number(r2(x))) / 2.0, r3, lambda x: F.concat(r1(x), F.lit("–"), r2(x), F.lit(" "), r3(x), F.lit(" avg")), fixed.RANGE_SURE, 1000)
+    ranges = _measured(F.when(_has(t, "-", "–"), F.regexp_extract_all(t, F.lit(fixed.RANGE), F.lit(0))).otherwise(none), lambda x: (number(r1(x)) + number(r2(x))) / 2.0, r3, lambda x: F.concat(r1(x), F.lit("–"), r2(x), F.lit(" "), r3(x), F.lit(" avg")), fixed.RANGE_SURE, 1000)
     start = lambda x: F.greatest(x["at"] - fixed.TIMES_REACH, F.lit(0))
     alone = F.filter(found(t, fixed.SINGLE), lambda x: ~F.substr(t, start(x) + 1, x["at"] - start(x)).rlike(fixed.TIMES_BEFORE))
     s1, s2 = (lambda x, k=k: F.regexp_extract(x["m"], fixed.SINGLE, k) for k in (1, 2))
@@ -83,37 +96,45 @@ def quantity(text: Column) -> Column:
         counts.append(F.when(n > 0, _candidate(1, fixed.COUNT_SURE, F.lit(3000 + k), "COUNT", n, F.concat(n.cast("int").cast("string"), F.lit(" count")))))
     inch = F.coalesce(number(F.regexp_extract(t, fixed.INCHES, 1)), number(F.regexp_extract(t, fixed.CENTIMETRES, 1)) / 2.54)
     area = F.lit(math.pi) * F.pow(inch / 2.0, F.lit(2.0))
-    pizza = F.when(t.rlike(fixed.PIZZA) & inch.between(*fixed.PIZZA_INCHES), _candidate(2, fixed.PIZZA_SURE, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
+    pizza = F.when(_has(t, "pi", "flatbread") & t.rlike(fixed.PIZZA) & inch.between(*fixed.PIZZA_INCHES), _candidate(2, fixed.PIZZA_SURE, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
     best = F.array_max(F.concat(multi, ranges, single, F.filter(F.array(*counts, pizza), lambda c: c.isNotNull())))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(*[b[c].alias(c) for c in ("kind", "amount_base", "display", "confidence", "diameter_in")])))
 
 
 def calories(text: Column) -> Column:
     n = number(F.regexp_extract(text, fixed.CALORIES, 1))
-    return F.when(n > 0, n)
+    return F.when(_has(F.lower(text), "cal") & (n > 0), n)
 
 
 def portion(text: Column) -> Column:
     """Portion points of a lower-cased text with a confidence and what they rest on; null without any sign of a portion."""
     t = text
     count = F.regexp_extract(t, fixed.FOOD_UNITS, 1).try_cast("double")
+    # All words that say something of a portion, found at once; then they are tested in order.
+    said = F.regexp_extract_all(t, F.lit(fixed.PORTION_WORDS), F.lit(0))
+    return let(F.struct(said.alias("said"), count.alias("count")), lambda x: _portion(x["said"], x["count"]))
+
+
+def _portion(said: Column, count: Column) -> Column:
     counted = count.between(1.0, 100.0)
+    names = lambda words: F.arrays_overlap(said, F.array(*map(F.lit, words)))
     points, sure, basis = F.lit(None).cast("double"), F.lit(fixed.PORTION_SURE), F.lit("")
-    for pattern, p, c, name in reversed(fixed.SERVINGS):
-        hit = t.rlike(pattern)
-        points, sure, basis = F.when(hit, p).otherwise(points), F.when(hit, c).otherwise(sure), F.when(hit, F.lit(name)).otherwise(basis)
+    for words, p, c in reversed(fixed.SERVINGS):
+        hit = names(words)
+        points, sure, basis = F.when(hit, p).otherwise(points), F.when(hit, c).otherwise(sure), F.when(hit, F.lit(words[0])).otherwise(basis)
     points, sure = F.when(counted, count).otherwise(points), F.when(counted, fixed.FOOD_SURE).otherwise(sure)
     basis = F.when(counted, F.concat(count.cast("int").cast("string"), F.lit(fixed.FOOD_LABEL))).otherwise(basis)
     factor, label = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for pattern, f, name in reversed(fixed.SIZES):
-        factor, label = F.when(t.rlike(pattern), f).otherwise(factor), F.when(t.rlike(pattern), F.lit(name)).otherwise(label)
+    for words, f, name in reversed(fixed.SIZES):
+        hit = names(words)
+        factor, label = F.when(hit, f).otherwise(factor), F.when(hit, F.lit(name)).otherwise(label)
 
     def joined(now: Column, more: Column) -> Column:
         return F.when(now == "", more).otherwise(F.concat(now, F.lit(" + "), more))
 
     sized = factor.isNotNull()
     points, sure, basis = F.when(sized, F.coalesce(points, F.lit(1.0)) * factor).otherwise(points), F.when(sized, F.greatest(sure, F.lit(fixed.SIZE_SURE))).otherwise(sure), F.when(sized, joined(basis, label)).otherwise(basis)
-    meal = t.rlike(fixed.MEAL)
+    meal = names(fixed.MEAL)
     points, sure, basis = F.when(meal, F.coalesce(points, F.lit(1.0)) * fixed.MEAL_FACTOR).otherwise(points), F.when(meal, F.greatest(sure, F.lit(fixed.MEAL_SURE))).otherwise(sure), F.when(meal, joined(basis, F.lit(fixed.MEAL_LABEL))).otherwise(basis)
     return F.when(points.isNotNull(), F.struct(points.alias("points"), sure.alias("confidence"), basis.alias("basis")))
 

@@ -87,7 +87,8 @@ def has_price(c: Column) -> Column:
 def choose_price(text: Column, every: Column) -> Column:
     """The price that counts: of a bundle, else one named current, else the least that is no saving where a sale is
     hinted at, else the first. Null without prices."""
-    bundle = F.get(prices(F.regexp_extract(text, fixed.BUNDLE_PRICE, 2)), F.lit(0))
+    several_for = F.contains(F.lower(text), F.lit("for")) | F.contains(text, F.lit("/"))
+    bundle = F.when(several_for, F.get(prices(F.regexp_extract(text, fixed.BUNDLE_PRICE, 2)), F.lit(0)))
     current = F.get(prices(F.regexp_extract(text, fixed.CURRENT_PRICE, 1)), F.lit(0))
     start = lambda p: F.greatest(p["index"] - fixed.SAVING_REACH, F.lit(0))
     usable = F.filter(every, lambda p: ~F.substr(text, start(p) + 1, p["index"] - start(p)).rlike(fixed.SAVING_BEFORE))
@@ -97,11 +98,11 @@ def choose_price(text: Column, every: Column) -> Column:
 
 
 def item_name(text: Column) -> Column:
-    """The first line that is more than a price and no call to act; at most so many units."""
-    lines = F.transform(F.split(text, r"\n+"), normalize)
+    """The first line of a normalised text that is more than a price and no call to act; at most so many units."""
+    lines = F.transform(F.split(text, r"\n+"), trim)
     bare = F.transform(F.filter(lines, lambda x: F.length(x) > 0), lambda x: trim(F.regexp_replace(x, fixed.PRICE, "")))
     good = F.filter(bare, lambda x: (units(x) >= fixed.NAME_LEAST) & ~x.rlike(fixed.NOT_A_NAME))
-    whole = take(trim(F.regexp_replace(normalize(text), fixed.PRICE, "")), fixed.NAME_MOST)
+    whole = take(trim(F.regexp_replace(text, fixed.PRICE, "")), fixed.NAME_MOST)
     return F.coalesce(take(F.get(good, F.lit(0)), fixed.NAME_MOST), F.when(F.length(trim(whole)) > 0, whole), F.lit(fixed.UNNAMED))
 
 
