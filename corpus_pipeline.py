@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: toxicity, exact dedup, SimHash near-dedup, mixing, byte-level BPE.
 
-Each stage works on all that the one before kept. Between stages the rows are written as Parquet in the shared
-folder and read again, so a lost executor costs at most the stage that runs.
+Each stage works on all that the one before kept. Between stages the rows are written as Parquet in the application's
+folder in the shared one, which goes when the driver ends, and read again: a lost executor costs at most the stage that
+runs.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gramwise.llm import bpe, exact, mixing, simhash, toxicity
-from gramwise.llm.common import read, shared_dir
+from gramwise.llm.common import read
 from gramwise.llm.queries import RANKS
+from gramwise.shared import scratch_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
