@@ -16,7 +16,7 @@ from gramwise.llm.common import checkpoint, materialise, small
 from gramwise.llm.graph import components, stars
 
 COSINE = 0.93
-TREES, LEAF, SEED = 8, 400, 7
+TREES, LEAF, SEED = 6, 1600, 7
 #: Random directions that a node is split along at once, and the share of a node's vectors on both sides of a split.
 SPLITS, SPILL = 2, 0.12
 #: Levels of splits at most; vectors that no projection tells apart stay in one leaf, which is compared in blocks.

@@ -278,6 +278,19 @@ def test_forest_recall(spark, monkeypatch):
     assert all(got[i]["n_links"] <= want[i][0] for i in want)
 
 
+def test_forest_recall_at_its_leaf_size(spark, tmp_path):
+    """Nodes of one label split several times at the leaf size of the query; the groups in them are small."""
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((4000, 48)), 3, 0) + 0.25 * rng.standard_normal((12000, 48))
+    assert len(v) > 4 * embeddings.LEAF
+    pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v), "label": 1}).to_parquet(tmp_path / "vectors.parquet")
+    got = embeddings.near_dedup(spark.read.parquet(str(tmp_path / "vectors.parquet")).repartition(4)).toPandas().sort_values("vec_id")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 2000] @ unit.T >= embeddings.COSINE).sum(1) - 1 for k in range(0, len(v), 2000)])
+    found = got["n_links"].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum() > 5000
+
+
 def test_forest_compares_dense_clusters_whole(spark, tmp_path):
     """Clusters of different vectors that all link keep their links at the leaf size of the query."""
     rng = np.random.default_rng(8)
