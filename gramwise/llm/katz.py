@@ -26,7 +26,7 @@ START, END = U(1), U(2)
 #: Counts up to this are discounted; bigrams met less often than LEAST back off unless a query says otherwise.
 LARGE, LEAST = 5, 1
 #: Bytes of text in a block, and blocks for each bucket on average.
-BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 2
+BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 8
 FOLDS, HELD_OUT = 7, 2
 #: A slot is a bucket and, in its last bits, an order.
 ORDERS = 3
@@ -236,11 +236,11 @@ def _ask(blocks: DataFrame, bits: int, order: int) -> DataFrame:
     return blocks.select("block", "data").mapInArrow(run, fields)
 
 
-def _add_up(asked: DataFrame) -> DataFrame:
+def _add_up(asked: DataFrame, orders: int) -> DataFrame:
     """Each slot's sums: how many n-grams were met once, twice.. (n; at 0 all their counts, at -1 how many there are),
     and for each block the counts of its n-grams, fourfold, and two more where it alone has them, one more where it owns
-    them (r)."""
-    fields = "kind string, slot int, block long, h long, c long, a binary"
+    them (r). o numbers, in the order of their hashes, those that other blocks have too, if they are contexts."""
+    fields = "kind string, slot int, block long, h long, c long, a binary, o binary"
 
     def run(batches):
         for table in grouped(batches, "slot"):
@@ -258,26 +258,31 @@ def _add_up(asked: DataFrame) -> DataFrame:
             owns = (m > 0) & (upto == np.repeat(upto[first], size))
             answer = np.empty(len(key), np.int64)
             answer[order] = np.repeat(sums * 4 + 2 * (size == 1), size) + owns
+            number = np.empty(len(key), np.int64)
+            number[order] = np.repeat(np.where(size > 1, np.cumsum(size > 1) - 1, -1), size)
+            top = slot % (1 << ORDERS) == orders
             real = sums[(sums > 0) & (key[first] != START)] if slot % (1 << ORDERS) == 1 else sums[sums > 0]
             met = np.bincount(real[real <= LARGE + 1], minlength=LARGE + 2)
-            out = [("n", slot, None, h, c, None) for h, c in [(-1, len(real)), (0, int(real.sum())), *list(enumerate(met.tolist()))[1:]]]
-            out += [("r", slot, block, None, None, pack(answer[cuts[i] : cuts[i + 1]])) for i, block in enumerate(table.column("block").to_pylist())]
+            out = [("n", slot, None, h, c, None, None) for h, c in [(-1, len(real)), (0, int(real.sum())), *list(enumerate(met.tolist()))[1:]]]
+            for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                own = number[a:b]
+                out.append(("r", slot, block, None, None, pack(answer[a:b]), None if top else pack_sorted(own[own >= 0].astype(U))))
             yield _packed(out, fields)
 
     return asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
 
 
 def _weigh(parts: DataFrame) -> DataFrame:
-    """(slot, block, mass, low) as packed doubles, added up for each context, in the order of each block's question."""
+    """(slot, block, mass, low) as packed doubles, added up for each context by its number, in the order of each block's
+    question."""
     fields = "slot int, block long, mass binary, low binary"
 
     def run(batches):
         for table in grouped(batches, "slot"):
-            keys = [unpack_sorted(x) for x in table.column("u").to_pylist()]
-            cuts = np.cumsum([0, *map(len, keys)])
-            own, at = np.unique(np.concatenate(keys), return_inverse=True)
-            del keys
-            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()]), len(own))[at] for c in ("mass", "low"))
+            numbers = [unpack_sorted(x).astype(np.int64) for x in table.column("u").to_pylist()]
+            cuts, at = np.cumsum([0, *map(len, numbers)]), np.concatenate(numbers)
+            del numbers
+            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()]))[at] for c in ("mass", "low"))
             slot = table.column("slot")[0].as_py()
             yield _packed([(slot, block, pack_doubles(mass[a:b]), pack_doubles(low[a:b])) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
 
@@ -321,7 +326,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     if size is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     bits = max(0, (-(-size // BLOCK_BYTES) // BLOCKS_A_BUCKET).bit_length())
-    found = materialise(_add_up(_ask(blocks, bits, order)), "katz")
+    found = materialise(_add_up(_ask(blocks, bits, order), order), "katz")
     met = found.where("kind = 'n'").groupBy((F.col("slot") % (1 << ORDERS)).alias("k"), "h").agg(F.sum("c").alias("c")).collect()  # LARGE + 3 rows an order
     met = {(r["k"], r["h"]): r["c"] for r in met}
     tables = []  # by order, the discounted counts up to LARGE
@@ -346,13 +351,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             said = table.filter(pa.array(turn == 1))
             both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(said, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
             self.c = [x >> 2 for x in both]
-            self.parts, self.asks = [], []
+            self.parts, self.asks, self.numbers = [], [], []
             for k in range(1, order):
                 up, level, c = self.b.levels[k], self.b.levels[k - 1], self.c[k - 1]
                 has = np.zeros(len(c), bool)
                 has[up.ctx] = True
                 # A context that no other block has is followed by what is here alone.
-                self.asks.append(has & (c > 0) & (both[k - 1] & 2 == 0))
+                common = both[k - 1] & 2 == 0
+                self.asks.append(has & (c > 0) & common)
+                number = np.full(len(c), -1, np.int64)
+                number[common] = np.concatenate([np.zeros(0, U), *map(unpack_sorted, _read(said, k, "o"))])
+                self.numbers.append(number)
                 mine = np.flatnonzero((both[k] & 1 == 1) & (self.c[k] >= least))
                 # Lower orders' discounted counts; contexts multiply them with their own scale.
                 self.parts.append([np.bincount(up.ctx[mine], x, len(level.key)).astype(float) for x in (shrunk(self.c[k][mine], k + 1), shrunk(c[up.low[mine]], k))])
@@ -360,11 +369,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def share(table: pa.Table) -> pa.Table:
         x, out = Counted(table), []
         block = table.column("block")[0].as_py()
-        for k, (asked, parts) in enumerate(zip(x.asks, x.parts, strict=True), 1):
-            level = x.b.levels[k - 1]
-            for bucket, u in level.buckets(bits):
+        for k, (asked, parts, number) in enumerate(zip(x.asks, x.parts, x.numbers, strict=True), 1):
+            for bucket, u in x.b.levels[k - 1].buckets(bits):
                 if asked[u].any():
-                    out.append((_slot(bucket, k), block, pack_sorted(level.key[u][asked[u]]), *[pack_doubles(p[u][asked[u]]) for p in parts]))
+                    out.append((_slot(bucket, k), block, pack_sorted(number[u][asked[u]].astype(U)), *[pack_doubles(p[u][asked[u]]) for p in parts]))
         return pa.Table.from_batches([_packed(out, shared)])
 
     def run(table: pa.Table, weights: pa.Table) -> pa.Table:
@@ -396,8 +404,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     shared = "slot int, block long, u binary, mass binary, low binary"
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    texts = blocks.select("block", F.lit(0).alias("turn"), F.lit(0).alias("slot"), F.col("data").alias("a"))
-    answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "slot", "a")
+    texts = blocks.select("block", F.lit(0).alias("turn"), F.lit(0).alias("slot"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("o"))
+    answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "slot", "a", "o")
     # Dealt by block once; both uses below read that exchange.
     base = texts.unionByName(answers).repartition("block").groupBy("block")
     weights = _weigh(base.applyInArrow(share, shared))
