@@ -28,24 +28,35 @@ def promotion(text: Column, price: Column) -> Column:
     """The first promotion that the normalised, lower-cased text names, as a struct; type none without one."""
     t = text
 
-    def offer(kind: str, label: Column, multiplier: Column, paid: Column, effective: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), label.alias("label"), multiplier.cast("double").alias("received_multiplier"), paid.cast("int").alias("min_paid_units"), effective.alias("effective_price"))
-
     def extracted(pattern: str, k: int, *needs: str) -> Column:
         """A group of the pattern's first match; not looked for without one of the signs that it needs."""
         return F.when(_has(t, *needs), F.regexp_extract(t, pattern, k)).otherwise("")
 
-    one = F.lit(1.0)
-    percent = extracted(fixed.BOGO_PERCENT, 1, "%")
+    found_ = F.struct(
+        extracted(fixed.BOGO_PERCENT, 1, "%").alias("percent"),
+        F.coalesce(extracted(fixed.BUY_GET, 1, "buy").try_cast("int"), F.lit(0)).alias("buy"),
+        F.coalesce(extracted(fixed.BUY_GET, 2, "buy").try_cast("int"), F.lit(0)).alias("get"),
+        F.coalesce(extracted(fixed.BUNDLE, 1, "for", "/").try_cast("int"), F.lit(0)).alias("count"),
+        F.coalesce(number(extracted(fixed.BUNDLE, 2, "for", "/")), F.lit(0.0)).alias("total"),
+        extracted(fixed.PERCENT_OFF, 1, "%").alias("off"),
+        (_has(t, "bogo", "get", "for") & t.rlike(fixed.BOGO)).alias("bogo"),
+        price.alias("price"),
+    )
+    return let(found_, _offer)
+
+
+def _offer(x: Column) -> Column:
+    """The promotion of what the patterns found, in the order of their tests."""
+
+    def offer(kind: str, label: Column, multiplier: Column, paid: Column, effective: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), label.alias("label"), multiplier.cast("double").alias("received_multiplier"), paid.cast("int").alias("min_paid_units"), effective.alias("effective_price"))
+
+    percent, buy, get, count, total, off, price = (x[c] for c in ("percent", "buy", "get", "count", "total", "off", "price"))
     part = F.least(F.greatest(percent.try_cast("double"), F.lit(0.0)), F.lit(99.0)) / 100.0
-    half = 2.0 / (2.0 - part)
-    buy, get = (F.coalesce(extracted(fixed.BUY_GET, k, "buy").try_cast("int"), F.lit(0)) for k in (1, 2))
-    more = F.try_divide(buy.cast("double") + get, buy.cast("double"))
-    count, total = F.coalesce(extracted(fixed.BUNDLE, 1, "for", "/").try_cast("int"), F.lit(0)), F.coalesce(number(extracted(fixed.BUNDLE, 2, "for", "/")), F.lit(0.0))
-    off = extracted(fixed.PERCENT_OFF, 1, "%")
+    half, more, one = 2.0 / (2.0 - part), F.try_divide(buy.cast("double") + get, buy.cast("double")), F.lit(1.0)
     return (
         F.when(percent != "", offer("bogo-percent", F.concat(F.lit(fixed.BOGO_LABEL + " "), (part * 100).cast("int").cast("string"), F.lit(fixed.OFF_LABEL)), half, F.lit(2), price / half))
-        .when(_has(t, "bogo", "get", "for") & t.rlike(fixed.BOGO), offer("bogo", F.lit(fixed.BOGO_LABEL), F.lit(2.0), F.lit(1), price / 2.0))
+        .when(x["bogo"], offer("bogo", F.lit(fixed.BOGO_LABEL), F.lit(2.0), F.lit(1), price / 2.0))
         .when((buy > 0) & (get > 0), offer("buy-x-get-y", F.concat(F.lit(fixed.BUY_LABEL), buy.cast("string"), F.lit(fixed.GET_LABEL), get.cast("string")), more, buy, F.try_divide(price, more)))
         .when((count > 1) & (total > 0), offer("bundle", F.concat(count.cast("string"), F.lit(fixed.FOR_LABEL), total.cast("string")), count, count, F.try_divide(total, count.cast("double"))))
         .when(off != "", offer("percent-off-shown", F.concat(off, F.lit(fixed.OFF_LABEL)), one, F.lit(1), price))
@@ -53,26 +64,23 @@ def promotion(text: Column, price: Column) -> Column:
     )
 
 
-def _candidate(rank: int, confidence: float, place: Column, kind: str, amount: Column, display: Column, diameter: Column | None = None) -> Column:
+def _candidate(rank: Column | int, confidence: float, place: Column, kind: Column | str, amount: Column, display: Column, diameter: Column | None = None) -> Column:
     inch = F.lit(None).cast("double") if diameter is None else diameter
     return F.struct(F.lit(rank).alias("rank"), F.lit(confidence).alias("confidence"), (-place).cast("int").alias("place"), F.lit(kind).alias("kind"), amount.cast("double").alias("amount_base"), display.alias("display"), inch.alias("diameter_in"))
 
 
 def _measured(rows: Column, value, unit, display, confidence: float, base: int) -> Column:
     """Mass or volume candidates of matches; units without a factor give none."""
-
     factors = _units(fixed.MASS | fixed.VOLUME)
 
     def one(x: Column, i: Column) -> Column:
         def by_unit(name: Column) -> Column:
-            amount = value(x) * F.try_element_at(factors, name)
-            as_mass = _candidate(4, confidence, i + base, "MASS_G", amount, display(x))
-            as_volume = _candidate(3, confidence, i + base, "VOLUME_ML", amount, display(x))
-            return F.when(name.isin(*fixed.MASS), as_mass).when(name.isin(*fixed.VOLUME), as_volume)
+            mass = name.isin(*fixed.MASS)
+            return _candidate(F.when(mass, 4).otherwise(3), confidence, i + base, F.when(mass, "MASS_G").otherwise("VOLUME_ML"), value(x) * F.try_element_at(factors, name), display(x))
 
         return let(F.lower(F.regexp_replace(unit(x), r"\s+", " ")), by_unit)
 
-    return F.filter(F.transform(rows, one), lambda c: c.isNotNull() & c["amount_base"].isNotNull())
+    return F.filter(F.transform(rows, one), lambda c: c["amount_base"].isNotNull())
 
 
 def quantity(text: Column) -> Column:
@@ -93,10 +101,14 @@ def quantity(text: Column) -> Column:
     counts = []
     for k, pattern in enumerate(fixed.COUNTS):
         n = F.regexp_extract(t, pattern, 1).try_cast("double")
-        counts.append(F.when(n > 0, _candidate(1, fixed.COUNT_SURE, F.lit(3000 + k), "COUNT", n, F.concat(n.cast("int").cast("string"), F.lit(" count")))))
-    inch = F.coalesce(number(F.regexp_extract(t, fixed.INCHES, 1)), number(F.regexp_extract(t, fixed.CENTIMETRES, 1)) / 2.54)
-    area = F.lit(math.pi) * F.pow(inch / 2.0, F.lit(2.0))
-    pizza = F.when(_has(t, "pi", "flatbread") & t.rlike(fixed.PIZZA) & inch.between(*fixed.PIZZA_INCHES), _candidate(2, fixed.PIZZA_SURE, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
+        counts.append(let(n, lambda n, k=k: F.when(n > 0, _candidate(1, fixed.COUNT_SURE, F.lit(3000 + k), "COUNT", n, F.concat(n.cast("int").cast("string"), F.lit(" count"))))))
+    inches = F.coalesce(number(F.regexp_extract(t, fixed.INCHES, 1)), number(F.regexp_extract(t, fixed.CENTIMETRES, 1)) / 2.54)
+
+    def round_(inch: Column) -> Column:
+        area = F.lit(math.pi) * F.pow(inch / 2.0, F.lit(2.0))
+        return F.when(inch.between(*fixed.PIZZA_INCHES), _candidate(2, fixed.PIZZA_SURE, F.lit(4000), "PIZZA_AREA_SQIN", area, F.format_string('%.1f" pizza', inch), inch))
+
+    pizza = F.when(_has(t, "pi", "flatbread") & t.rlike(fixed.PIZZA), let(inches, round_))
     best = F.array_max(F.concat(multi, ranges, single, F.filter(F.array(*counts, pizza), lambda c: c.isNotNull())))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(*[b[c].alias(c) for c in ("kind", "amount_base", "display", "confidence", "diameter_in")])))
 

@@ -44,8 +44,11 @@ def normalize(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """A number with thousands commas, or with one comma or point; null if it is none."""
-    raw = trim(c)
-    return F.when(raw.rlike(fixed.THOUSANDS), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit("."))).try_cast("double")
+
+    def parsed(raw: Column) -> Column:
+        return F.when(F.contains(raw, F.lit(",")) & raw.rlike(fixed.THOUSANDS), F.replace(raw, F.lit(","), F.lit(""))).otherwise(F.replace(raw, F.lit(","), F.lit("."))).try_cast("double")
+
+    return let(trim(c), parsed)
 
 
 def found(text: Column, pattern: str) -> Column:
