@@ -133,7 +133,7 @@ def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fifo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_last(collected(_items(spark, sf_dir), 1 << 30), 100).select("session_id", "place", "name")
+    return keep_last(collected(_items(spark, sf_dir)), 100).select("session_id", "place", "name")
 
 
 @query
@@ -309,11 +309,11 @@ def _truth() -> str:
     seen = " UNION ALL ".join(f"SELECT *, CAST({scan} AS BIGINT) AS scan_id, {place} AS place, '{more}' AS more FROM part WHERE p_partkey % {every} = 0" for scan, place, every, more in SEEN)
     text = "CASE v " + " ".join(f"WHEN {v} THEN {_sql_text(f)}" for v, f in enumerate(FORMS)) + " END"
     fold = "lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END"
-    states = [f"s1 AS (SELECT session_id, item_key, held, born AS pos FROM o WHERE scan_id = 1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 500)"]
+    states = [f"s1 AS (SELECT session_id, item_key, held, born AS pos FROM o WHERE scan_id = 1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY born DESC) <= 500)"]
     for k in (2, 3):
-        states.append(f"""s{k} AS (SELECT session_id, item_key, CASE WHEN s.held IS NULL THEN o.held WHEN o.held IS NULL THEN s.held WHEN o.held.c > s.held.c OR o.held.n > s.held.n THEN o.held ELSE s.held END AS held,
-            coalesce(s.pos, {k} * 1000000000000 + o.born) AS pos FROM s{k - 1} s FULL JOIN (SELECT * FROM o WHERE scan_id = {k}) o USING (session_id, item_key)
-            QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 500)""")
+        states.append(f"""s{k} AS (SELECT session_id, item_key, held, now AS pos FROM (SELECT session_id, item_key, CASE WHEN s.held IS NULL THEN o.held WHEN o.held IS NULL THEN s.held WHEN o.held.c > s.held.c OR o.held.n > s.held.n THEN o.held ELSE s.held END AS held,
+            coalesce(s.pos, {k} * 1000000000000 + o.born) AS now FROM s{k - 1} s FULL JOIN (SELECT * FROM o WHERE scan_id = {k}) o USING (session_id, item_key))
+            QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY now DESC) <= 500)""")
     return f"""
 WITH b AS ({seen}),
 f AS (SELECT p_partkey, p_partkey // 500 AS session_id, scan_id, p_partkey * 16 + (scan_id - 1) * 4 + place AS seq, p_partkey % {len(FORMS)} AS v, p_name, p_size, more, p_retailprice AS price,
@@ -385,7 +385,7 @@ _NODES = """, e1 AS (SELECT session_id * 4 + scan_id AS sid, min(seq) AS seq, ra
 
 #: What the stream has at the end: rows of the last part of a session that nothing has cleared, of scans that counted.
 _STREAM = """, q AS (SELECT session_id, p_partkey % 500 AS born, max(p_partkey % 500) OVER (PARTITION BY session_id) AS most, m.* EXCLUDE (session_id, seq), p_partkey * 16 + 1 + place AS seq
-              FROM (SELECT *, seq % 16 AS place FROM m WHERE scan_id = 1 AND (more = '' OR more = ' .')) m WHERE place = 0 OR p_partkey % 500 % 7 = 0),
+              FROM (SELECT *, seq % 16 AS place FROM m WHERE scan_id = 1 AND (more = '' OR more = ' .')) m),
     h AS (SELECT *, CASE WHEN most >= 480 THEN 'VOLUME' ELSE 'SMART' END AS own_mode FROM q
           WHERE born >= CASE WHEN most >= 320 THEN 320 WHEN most >= 200 THEN 200 ELSE 0 END AND (p_partkey % 2 = 1) = (born BETWEEN 400 AND 449)),
     h2 AS (SELECT session_id, item_key, min(seq) AS born, list_reduce(list({'c': confidence, 'n': length(raw_text), 'seq': seq} ORDER BY seq), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held FROM h GROUP BY ALL),

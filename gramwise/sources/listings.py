@@ -139,7 +139,7 @@ def recorded(part: DataFrame) -> DataFrame:
     control = F.array(*[F.when(at == place, F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), F.lit(-1).alias("place"), empty.alias("text"))) for place, kind, named in RECORDED])
     text = F.get(F.array(*map(form, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
     kind = F.when(F.col("p_partkey") % 2 == 0, "passive").otherwise("all")
-    items = F.array(F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(0).alias("place"), text.alias("text")), F.when(at % 7 == 0, F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(1).alias("place"), F.concat(text, F.lit(" .")).alias("text"))))
+    items = F.array(F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(0).alias("place"), text.alias("text")), F.when(F.col("p_partkey") % 7 == 0, F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(1).alias("place"), F.concat(text, F.lit(" .")).alias("text"))))
     rows = part.select("p_partkey", F.explode(F.array_compact(F.concat(control, items))).alias("r"))
     return rows.select(
         F.floor(F.col("p_partkey") / SESSION_PARTS).cast("long").alias("session_id"),
