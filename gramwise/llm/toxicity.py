@@ -29,7 +29,7 @@ from gramwise.llm.tokens import BASES, Rolling, mix, words
 
 U = np.uint64
 #: Labelled rows of each class to learn from, in the order of a hash of their ids, and the bytes of their texts.
-ROWS, SAMPLE_BYTES = 8_000, 8 << 20
+ROWS, SAMPLE_BYTES = 8_000, 6 << 20
 #: Signs of an n-gram.
 ORDER = 10
 #: Shares of toxic words in a toxic text; the one that tells the calibration rows apart best is taken.
