@@ -9,9 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gramwise.shared import checkpoint, remove, scratch_dir, shared_dir
-
-__all__ = ["checkpoint", "shared_dir"]
+from gramwise.shared import remove, scratch_dir
 
 #: Rows that a small side may have to be sent to every executor; past it, a shuffle join is used.
 BROADCAST_ROWS = 200_000

@@ -12,8 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import checkpoint, materialise, small
+from gramwise.llm.common import materialise, small
 from gramwise.llm.graph import components, stars
+from gramwise.shared import checkpoint
 
 COSINE = 0.93
 TREES, LEAF, SEED = 6, 1600, 7

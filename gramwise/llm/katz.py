@@ -12,6 +12,8 @@ lower order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -217,16 +219,17 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, size long, data binary")
 
 
-def _ask(blocks: DataFrame, bits: int, order: int) -> DataFrame:
-    """Each block's questions: hashes of n-grams, and how often it met them in training."""
+def _ask(blocks: DataFrame, bits: int, orders: range) -> DataFrame:
+    """Each block's questions: hashes of n-grams of these orders, and how often it met them in training."""
     fields = "slot int, block long, u binary, n binary"
 
     def run(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b, out = Block(data.as_py(), order), []
+                b, out = Block(data.as_py(), orders[-1]), []
                 train = b.rows.column("train").to_numpy().astype(bool)[b.row]
-                for k, level in enumerate(b.levels, 1):
+                for k in orders:
+                    level = b.levels[k - 1]
                     count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
                     out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
                 yield _packed(out, fields)
@@ -326,7 +329,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     if size is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     bits = max(0, (-(-size // BLOCK_BYTES) // BLOCKS_A_BUCKET).bit_length())
-    found = materialise(_add_up(_ask(blocks, bits, order), order), "katz")
+    # The longest n-grams are most of all: what was shuffled for the others is gone before they are asked for.
+    asked = [x for x in (range(1, order), range(order, order + 1)) if x]
+    found = reduce(DataFrame.unionByName, [materialise(_add_up(_ask(blocks, bits, x), order), "katz") for x in asked])
     met = found.where("kind = 'n'").groupBy((F.col("slot") % (1 << ORDERS)).alias("k"), "h").agg(F.sum("c").alias("c")).collect()  # LARGE + 3 rows an order
     met = {(r["k"], r["h"]): r["c"] for r in met}
     tables = []  # by order, the discounted counts up to LARGE

@@ -14,7 +14,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gramwise.llm.common import checkpoint, materialise
+from gramwise.llm.common import materialise
+from gramwise.shared import checkpoint
 
 #: Records in a file on average, and children of a node.
 FILE_RECORDS, FANOUT = 1024, 16
