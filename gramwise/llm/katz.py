@@ -30,6 +30,8 @@ LARGE, LEAST = 5, 1
 #: Bytes of text in a block, and blocks for each bucket on average.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 8
 FOLDS, HELD_OUT = 7, 2
+#: Decimals of the sums for a context, that the order of adding doesn't make equal sums differ.
+DIGITS = 10
 #: A slot is a bucket and, in its last bits, an order.
 ORDERS = 3
 
@@ -285,7 +287,7 @@ def _weigh(parts: DataFrame) -> DataFrame:
             numbers = [unpack_sorted(x).astype(np.int64) for x in table.column("u").to_pylist()]
             cuts, at = np.cumsum([0, *map(len, numbers)]), np.concatenate(numbers)
             del numbers
-            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()]))[at] for c in ("mass", "low"))
+            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()])).round(DIGITS)[at] for c in ("mass", "low"))
             slot = table.column("slot")[0].as_py()
             yield _packed([(slot, block, pack_doubles(mass[a:b]), pack_doubles(low[a:b])) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
 

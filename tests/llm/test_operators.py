@@ -387,7 +387,7 @@ def statuses(one, other):
 def test_warc_files_and_audit(spark, tmp_path):
     rows = [(i, f"http://a/{i}", f"<p>page {i} ü\r\n\r\nmore</p>") for i in range(6000)] + [(None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    made = warc.records(pages, 3)
+    made = warc.records(pages, 6)
     warc.write_warc(made, str(tmp_path / "w"))
     read = {r["url"]: r["html"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert read == {u or "": h or "" for _, u, h in rows}
