@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from weakref import WeakKeyDictionary
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gramwise.shared import remove, scratch_dir
+from gramwise.shared import materialise, release  # noqa: F401  the operators take them from here
 
 #: Rows that a small side may have to be sent to every executor; past it, a shuffle join is used.
 BROADCAST_ROWS = 200_000
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Where tables that were written stand.
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
-
-    What was shuffled for it is of no use once it is written, so Spark is asked to remove that at the end of the query.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of `materialise` that nothing will read again."""
-    for df in tables:
-        if path := _PATHS.pop(df, None):
-            remove(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

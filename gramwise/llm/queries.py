@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramwise.llm import bpe, embeddings, exact, katz, mixing, simhash, substring, suffix_dedup, toxicity, warc
+from gramwise.llm import bpe, embeddings, exact, katz, mixing, repair, simhash, substring, suffix_dedup, toxicity, warc
 from gramwise.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,7 +51,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity, op13_conversation_repair)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -112,4 +116,41 @@ SQL = {
         SELECT doc_id, size, source_size, target,
                size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR upto - same <= rest AND 2 * (rest - (upto - same)) > same) THEN 1 ELSE 0 END) AS taken
         FROM j""",
+    # The cheapest way to each state after each row, with the least audit and what it leaves.
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE tab AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        s AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+        d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(list_reduce([4294967295] || list_transform(range(1, length(name) + 1), lambda i: CAST(ord(substr(name, i, 1)) AS BIGINT)),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS draw FROM s, tab),
+        g AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+                     CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE draw <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n FROM g),
+        f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
+        h AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM f),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                     count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows FROM h GROUP BY conv_id),
+        nxt(q, x, to_q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        ins(q, to_q, more, said, left_) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+            (1, 2, 5, 'I', chr(10) || 'user:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 2, 5, 'I', chr(10) || 'user:')),
+        e AS (SELECT f.conv_id, n, 0 AS q, 0 AS to_q, 2 AS more, 'D' AS said, '' AS left_ FROM f
+              UNION ALL SELECT conv_id, n, q, q, 2, 'D', '' FROM f, (VALUES (1), (2), (3)) v(q)
+              UNION ALL SELECT conv_id, n, q, to_q, CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'K', chr(10) || role || ':' || text FROM f JOIN nxt ON x = initial WHERE fault IN (0, 3)
+              UNION ALL SELECT conv_id, n, q, to_q, CASE WHEN fault = 3 THEN 6 ELSE 1 END, 'R', chr(10) || CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text FROM f, nxt WHERE fault IN (0, 3) AND x <> 's'),
+        p AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS q, 0 AS cost, '' AS audit, '' AS left_ FROM c
+              UNION ALL
+              SELECT conv_id, n, q, cost, audit, left_ FROM (
+                  SELECT p.conv_id, e.n, e.to_q AS q, p.cost + ins.more + e.more AS cost, p.audit || ins.said || e.said AS audit, p.left_ || ins.left_ || e.left_ AS left_,
+                         row_number() OVER (PARTITION BY p.conv_id, e.to_q ORDER BY p.cost + ins.more + e.more, p.audit || ins.said || e.said) AS r
+                  FROM p JOIN ins ON ins.q = p.q JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.n = p.n + 1 AND e.q = ins.to_q) WHERE r = 1),
+        z AS (SELECT p.conv_id, p.cost + more AS cost, p.audit || said AS audit, p.left_ || ins.left_ AS left_,
+                     row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + more, p.audit || said) AS r
+              FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.rows = p.n JOIN ins ON ins.q = p.q WHERE ins.to_q IN (0, 3))
+        SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(substr(coalesce(left_, ''), 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN (SELECT * FROM z WHERE r = 1) z ON z.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
