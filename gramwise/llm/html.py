@@ -3,7 +3,7 @@
 A page is cut into blocks at tags that break the line. Of each block count the number of words, the share of them in links
 (link density), both of the block before and after, whether the block is a paragraph or a heading, and what stands around
 it: an article or main part, or a part whose tag, class, id or role names a menu, footer, sidebar, notice, advert, comment
-or the like. A CART tree learned from `html_labels` (about a hundred labelled blocks; a fixed table, read whole) decides.
+or the like. A CART tree learned from `html_labels` (some three hundred labelled blocks; a fixed table, read whole) decides.
 
 Scripts, styles, comments of the markup, form controls and hidden parts never make blocks. `<br>` is white space. Tags that
 aren't closed end with what is around them; a script or a comment that isn't closed takes the rest of the page; a tag cut off

@@ -10,6 +10,13 @@ S, M, L = (
 LINKS = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Contact"))
 MENU = f"<nav><ul>{LINKS}</ul></nav>"
 
+#: Articles of two blocks of any size and kind, alone, after a menu or before a footer: all of an article is main text.
+SIZES, KINDS = ("Word.", S, M, L), ("p", "div", "li", "h2")
+WHOLE = tuple(
+    (*(((MENU, 0),) if (i + j) % 3 == 1 else ()), (f"<article><{k}>{a}</{k}><{KINDS[(i + j) % 4]}>{b}</{KINDS[(i + j) % 4]}></article>", 1), *(((f"<footer>{S}</footer>", 0),) if (i + j) % 3 == 2 else ()))
+    for i, a in enumerate(SIZES) for j, b in enumerate(SIZES) for k in KINDS
+)
+
 PAGES: tuple[tuple[tuple[str, int], ...], ...] = (
     ((MENU, 0), (f'<div class="ad">{M}</div>', 0), (f"<article><h1>{S}</h1>", 1), (f"<p>{L}</p><p>{M}</p><p>Yes.</p><p>{L}</p></article>", 1), (f"<footer>&copy; site. {M}</footer>", 0)),
     ((MENU, 0), (f"<article><h1>{M}</h1><p><b>{L}<br><p>{M}</p><p>No.</p></article>", 1), (f"<footer>{S}</footer>", 0)),
@@ -35,4 +42,11 @@ PAGES: tuple[tuple[tuple[str, int], ...], ...] = (
     ((f"<h2>{S}</h2><p>{M}</p>", 1), (f'<form><p>{M}</p><p>Name</p></form>', 0)),
     ((f'<section id="main"><p>{S}</p>', 1), (f'<div class="promo"><h4>{S}</h4><p>{M}</p></div>', 0), (f"<p>{S}</p><p>{M}</p></section>", 1), (f'<section class="related"><p>{M}</p><p>{L}</p></section>', 0)),
     (('<p><a href="/">Home</a> <a href="/n">News</a></p><p><a href="/s">Search all the older news</a></p>', 0), (f"<h1>{S}</h1><p>{L}</p><p>{M}</p><p>{L}</p>", 1), (f'<p><a href="/1">{M}</a></p><p><a href="/2">{M}</a></p><p><a href="/3">{S}</a></p>', 0)),
+    ((MENU, 0), (f"<article><h2>Bread</h2><p>{M}</p><ul><li>Salt</li><li>Flour</li></ul><div>Stir</div><table><tr><td>Egg</td><td>Two</td></tr></table><div>Bake</div></article>", 1), ("<div>Top</div>", 0)),
+    ((MENU, 0), ("<article><div>Bake</div></article>", 1)),
+    ((f"<article><p>{L}</p><p>No.</p></article>", 1),),
+    ((f"<main><h1>{S}</h1><p>{L}</p><div>No.</div></main>", 1),),
+    ((f"<article><p>{L}</p><p>{M}</p></article>", 1), ("<p>All rights reserved.</p>", 0)),
+    (("<div>Login</div>", 0), (f"<h1>Snow</h1><p>{L}</p><p>{S}</p><p>Yes.</p><p>{L}</p><p>No.</p><p>{S}</p><p>{M}</p>", 1), ("<p>All rights reserved.</p>", 0)),
+    *WHOLE,
 )

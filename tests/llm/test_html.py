@@ -34,6 +34,7 @@ PAGES = {
     "header in article": f"<article><header><h1>Storm</h1></header>{BODY.removeprefix('<h1>Storm</h1>')}</article>",
     "cut off": f'<nav>{MENU}</nav><article>{BODY}</article><footer>{A}</footer><a href="/unfinished',
     "upper case": f"<BODY><NAV>{MENU}</NAV><ARTICLE>{BODY.replace('<p>', '<P>').replace('</p>', '</P>')}</ARTICLE></BODY>",
+    "list and table": f"<nav>{MENU}</nav><article><h1>Storm</h1><ul><li>{A}</li><li>{B}</li></ul><table><tr><td>Gone.</td></tr></table><div>{C.replace('&', '&amp;')}</div></article>",
     "tail": f"<article>{BODY}</article><script>var t = '<p>never closed</p>'",
 }
 
@@ -43,6 +44,18 @@ def test_layouts(name):
     assert html.main_text(PAGES[name], html.learned()) == TEXT
 
 
+def test_main_parts_are_kept_whole():
+    """Whatever their size and place, blocks of an article that aren't links stay, and what stands beside it goes."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        texts = [" ".join(rng.choice(A.split(), rng.integers(1, 60))) for _ in range(rng.integers(1, 9))]
+        tags = rng.choice(["p", "div", "li", "blockquote", "h2", "td", "pre"], len(texts))
+        page = "<article>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, texts, strict=True)) + "</article>"
+        around = [f"<nav>{MENU}</nav>", f'<div class="ad">{A}</div>', f"<footer>{B}</footer>"]
+        page = "".join(x for x in around[:2] if rng.random() < 0.5) + page + (around[2] if rng.random() < 0.5 else "")
+        assert html.main_text(page, html.learned()) == "\n\n".join(texts)
+
+
 def test_labels_are_learned():
     nodes = html.learned()
     for page in html.PAGES:
