@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramwise.llm import bpe, embeddings, exact, html, katz, mixing, repair, simhash, substring, suffix_dedup, toxicity, warc
+from gramwise.llm import alignment, bpe, embeddings, exact, html, katz, mixing, repair, simhash, substring, suffix_dedup, toxicity, warc
 from gramwise.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -59,7 +64,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity, op12_html_text, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_substring_words, op2_suffix_array, op3_byte_bpe, op4_warc_fixity, op5_embedding_forest, op6_simhash, op7_katz, op8_exact_dedup, op9_mixing, op10_toxicity, op11_token_alignment, op12_html_text, op13_conversation_repair)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
