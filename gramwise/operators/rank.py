@@ -41,17 +41,19 @@ def smart_mode(items: DataFrame) -> DataFrame:
     return counts.select("session_id", best["mode"].alias("mode"))
 
 
+def automatic_mode(counts: list[int]) -> str:
+    """The same from the counts of one session, in the order of MODES."""
+    best = max(((n, -i) for i, n in enumerate(counts) if n >= 2), default=None) or max((n, -i) for i, n in enumerate(counts))
+    return list(MODES)[-best[1]]
+
+
 def rank(items: DataFrame, mode: str | None = "SMART") -> DataFrame:
-    """Adds mode (without one, each session has its own in that column), metric, metric_label and rank 1..n by session: items with the metric first, the best first; the others
-    by price; ties in the order in which the items came."""
+    """Adds mode (with None, each row names its own in that column), metric, metric_label and rank 1..n by session: items with
+    the metric first, the best first; the others by price; ties in the order in which the items came."""
     items = with_metrics(items)
-    if mode in (None, "SMART"):
-        smart = smart_mode(items)
-        if mode is None:
-            items = items.withColumnRenamed("mode", "_mode").join(smart, "session_id").withColumn("mode", F.when(F.col("_mode") == "SMART", F.col("mode")).otherwise(F.col("_mode"))).drop("_mode")
-        else:
-            items = items.join(smart, "session_id")
-    else:
+    if mode == "SMART":
+        items = items.join(smart_mode(items), "session_id")
+    elif mode:
         items = items.withColumn("mode", F.lit(mode))
     metric, key, label = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(fixed.PRICE_ONLY)
     for name, (column, less, digits, ending) in MODES.items():

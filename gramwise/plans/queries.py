@@ -12,13 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gramwise.functions import analyze, calories, canonical_name, choose_price, item_name, normalize, portion, prices, promotion, quantity
+from gramwise.functions import analyze, calories, canonical_name, choose_price, fixed, item_name, normalize, portion, prices, promotion, quantity
 from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
 from gramwise.shared import scratch_dir
-from gramwise.sources import best_scrollable, dealt, drop_noise, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_events, scan_sizes, screen_nodes, table
-from gramwise.sources.listings import FORMS, OWN_PACKAGE, SEEN
-from gramwise.streaming import collect_stream, debounced, last_of_each, package_sessions, stop_of_scan_all, to_folder
+from gramwise.sources import best_scrollable, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, table
+from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, OWN_PACKAGE, SEEN, SESSION_PARTS
+from gramwise.streaming import collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,24 +169,54 @@ def ocr_scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_items(ocr_lines(spark, sf_dir)).select("scan_id", "place", "block_no", "name", "price", F.col("quantity.kind").alias("kind"), "confidence")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """Stream the recorded screens through the collection into a folder."""
-    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    part = table(spark, sf_dir, "part")
-    stream = spark.readStream.schema(part.schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir)
-    query = collect_stream(recorded(stream), OWN_PACKAGE).writeStream.outputMode("update").foreachBatch(to_folder(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return folder
+def _streamed(stream: DataFrame) -> DataFrame:
+    """All that a stream in append mode writes, after it has read what there is."""
+    folder = f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded screens streamed through the collection, in batches that split scans."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    stream = in_batches(part, F.floor(F.col("p_partkey") % SESSION_PARTS / BATCH_PARTS), BATCHES)
+    return collections(_streamed(collect_stream(recorded(stream), OWN_PACKAGE)))
 
 
 @query
 def collected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_of_each(spark, _streamed(spark, sf_dir), "collections").select("session_id", "place", "seq", "item_key", "mode")
+    return _collections(spark, sf_dir).select("session_id", "place", "seq", "item_key", "mode", "smart")
 
 
 @query
 def shown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_of_each(spark, _streamed(spark, sf_dir), "shown").select("session_id", "rank", "title", "metric_text")
+    return display(_collections(spark, sf_dir)).select("session_id", "rank", "title", "metric_text")
+
+
+def _timed(rows: DataFrame, gap_us: int) -> DataFrame:
+    """Rows of (session_id, seq, ts, kind) by days as a stream through the debounce; a last row of no session lets all pauses pass."""
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("seq"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
+    week = F.when(F.col("session_id") == -1, 5).otherwise(F.floor(F.dayofmonth("ts") / 7)).cast("int")
+    return _streamed(passive_scans(in_batches(rows.unionByName(end), week, 6), gap_us))
+
+
+@query
+def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`debounce_scans` by timers, as a stream."""
+    return _timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), 6 * 3_600_000_000)
+
+
+@query
+def passive_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while all is being scanned now and then."""
+    return _timed(scan_all_events(spark, sf_dir), 6 * 3_600_000_000)
+
+
+@query
+def stale_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`stale_stop` as a stream of five batches of steps."""
+    sizes = scan_sizes(spark, sf_dir)
+    return _streamed(scan_all_stops(in_batches(sizes, F.least(F.floor(F.col("step") / 13), F.lit(4)), 5)))
 
 
 @query
@@ -383,14 +413,32 @@ _NODES = """, e1 AS (SELECT session_id * 4 + scan_id AS sid, min(seq) AS seq, ra
            FROM e1 JOIN m USING (seq) GROUP BY ALL),
     e AS (SELECT m.* EXCLUDE (session_id), e2.sid AS session_id, row_number() OVER (PARTITION BY e2.sid ORDER BY e2.born) - 1 AS spot FROM e2 JOIN m ON m.seq = e2.held.seq)"""
 
-#: What the stream has at the end: rows of the last part of a session that nothing has cleared, of scans that counted.
-_STREAM = """, q AS (SELECT session_id, p_partkey % 500 AS born, max(p_partkey % 500) OVER (PARTITION BY session_id) AS most, m.* EXCLUDE (session_id, seq), p_partkey * 16 + 1 + place AS seq
+#: What the stream has at the end: rows after the last change of package or clearing, of scans that ended and counted: passive
+#: ones but the first of the second scan-all, those of scan-alls, by hand, of recognised lines; only these keep sums. A stop
+#: splits the scan that is open. Each scan is folded, then added to what was there.
+_STREAM = """, q AS (SELECT session_id, p_partkey % 500 AS born, max(p_partkey % 500) OVER (PARTITION BY session_id) AS most, m.* EXCLUDE (session_id, seq), p_partkey * 16 + 1 + place AS seq,
+                     p_partkey % 500 // 20 AS scan, p_partkey % 500 // 20 % 4 AS scan_kind
               FROM (SELECT *, seq % 16 AS place FROM m WHERE scan_id = 1 AND (more = '' OR more = ' .')) m),
-    h AS (SELECT *, CASE WHEN most >= 480 THEN 'VOLUME' ELSE 'SMART' END AS own_mode FROM q
-          WHERE born >= CASE WHEN most >= 320 THEN 320 WHEN most >= 200 THEN 200 ELSE 0 END AND (p_partkey % 2 = 1) = (born BETWEEN 400 AND 449)),
-    h2 AS (SELECT session_id, item_key, min(seq) AS born, list_reduce(list({'c': confidence, 'n': length(raw_text), 'seq': seq} ORDER BY seq), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held FROM h GROUP BY ALL),
+    lives AS (SELECT session_id, any_value(CASE WHEN most >= 480 THEN 'VOLUME' ELSE 'SMART' END) AS own_mode FROM q GROUP BY ALL),
+    h AS (SELECT *, CASE WHEN most >= 480 THEN 'VOLUME' ELSE 'SMART' END AS own_mode, CASE WHEN scan = 22 AND born >= 450 THEN 22.5 ELSE scan END AS run FROM q
+          WHERE born >= CASE WHEN most >= 320 THEN 320 WHEN most >= 200 THEN 200 ELSE 0 END AND scan * 20 + 19 <= most
+                AND (scan_kind > 1 OR scan_kind = 0 AND scan <> 20 OR scan IN (13, 21)) AND (v <> 27 OR scan_kind = 3)),
+    h1 AS (SELECT session_id, run, item_key, min(seq) AS born, list_reduce(list({'c': confidence, 'n': length(raw_text), 'seq': seq} ORDER BY seq), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held FROM h GROUP BY ALL),
+    h2 AS (SELECT session_id, item_key, min(born) AS born, list_reduce(list(held ORDER BY run), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held FROM h1 GROUP BY ALL),
     st AS (SELECT h.*, row_number() OVER (PARTITION BY h2.session_id ORDER BY h2.born) - 1 AS spot FROM h2 JOIN h ON h.session_id = h2.session_id AND h.seq = h2.held.seq)"""
 
+#: Passive scans row by row: what is due (first, last, n), and what a row lets run.
+_PASSIVE = """WITH RECURSIVE e AS (SELECT user_id AS session_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' ELSE 'event' END AS kind,
+                                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    s AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS r, false AS scanning, CAST(0 AS BIGINT) AS first_us, CAST(0 AS BIGINT) AS last_us, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ran, CAST(0 AS BIGINT) AS ran_first, CAST(0 AS BIGINT) AS ran_last FROM e
+          UNION ALL
+          SELECT session_id, r, CASE kind WHEN 'start' THEN true WHEN 'stop' THEN false ELSE scanning END, CASE WHEN counts AND due = 0 THEN us ELSE first_us END, CASE WHEN counts THEN us ELSE last_us END,
+                 CASE WHEN kind = 'stop' THEN 0 WHEN counts THEN due + 1 ELSE due END, n - due, first_us, last_us
+          FROM (SELECT e.session_id, e.r, e.us, e.kind, s.scanning, s.first_us, s.last_us, s.n, e.kind = 'event' AND NOT s.scanning AS counts, CASE WHEN e.us - s.last_us > 21600000000 THEN 0 ELSE s.n END AS due
+                FROM s JOIN e ON e.session_id = s.session_id AND e.r = s.r + 1))
+    SELECT session_id, ran_first AS first_us, ran_last AS last_us, ran AS n_events FROM s WHERE ran > 0
+    UNION ALL SELECT session_id, first_us, last_us, n FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY r DESC) AS back FROM s) WHERE back = 1 AND n > 0"""
+
 _TRUTH = _truth()
 
 SQL = {
@@ -425,8 +473,10 @@ SQL = {
     "node_scan_ranked": _rank_sql("SMART", "session_id, rank, CAST(spot AS INT) AS place, name, price, metric, metric_label, mode", source="e", ctes=_NODES),
     "ocr_scan_items": _TRUTH + """SELECT o.session_id * 4 + o.scan_id AS scan_id, CAST(row_number() OVER (PARTITION BY o.session_id, o.scan_id ORDER BY o.born) - 1 AS INT) AS place, m.seq AS block_no, m.name, m.price, m.kind, m.confidence
         FROM o JOIN m ON m.session_id = o.session_id AND m.seq = o.held.seq""",
-    "collected_stream": _TRUTH + _STREAM + "SELECT session_id, CAST(spot AS INT) AS place, seq, item_key, own_mode AS mode FROM st",
-    "shown_stream": _rank_sql("own_mode", "session_id, rank, rank || '. ' || name AS title, metric_label || CASE WHEN promo <> 'none' THEN ' · ' || promo_label ELSE '' END AS metric_text", "rank <= 60", source="st", ctes=_STREAM),
+    "collected_stream": _TRUTH + _STREAM + ", " + _smart("st") + """SELECT session_id, CAST(spot AS INT) AS place, seq, item_key, lives.own_mode AS mode, coalesce(g.mode, 'MASS') AS smart
+        FROM lives LEFT JOIN st USING (session_id) LEFT JOIN g USING (session_id)""",
+    "shown_stream": _rank_sql("own_mode", "session_id, rank, rank || '. ' || name AS title, metric_label || CASE WHEN promo <> 'none' THEN ' · ' || promo_label ELSE '' END AS metric_text", "rank <= 60", source="st", ctes=_STREAM)
+        + f" UNION ALL SELECT session_id, 0, '{fixed.NOTHING_YET}', '' FROM lives WHERE session_id NOT IN (SELECT session_id FROM st)",
     "noise_filter": """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 1 THEN 'Order total 500 g $' ELSE 'Green tea $' END || CAST(CAST(floor(o_totalprice) AS BIGINT) % 90000 + 1 AS VARCHAR) AS raw_text,
         CAST(CAST(floor(o_totalprice) AS BIGINT) % 90000 + 1 AS DOUBLE) AS price FROM orders WHERE o_orderkey % 3 <> 0""",
     "package_session_numbers": """WITH e AS (SELECT user_id AS session_id, event_id, ts, event_type AS p FROM events WHERE event_type <> 'error' AND trim(event_type) <> ''),
@@ -436,6 +486,7 @@ SQL = {
         c AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id ORDER BY us) > 21600000000 THEN 1 ELSE 0 END AS n FROM e),
         r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM c)
         SELECT session_id, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM r GROUP BY session_id, run""",
+    "passive_scan_stream": _PASSIVE,
     "stale_stop": """WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step,
             CAST(row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) = 1 AS INT) AS new FROM events),
         c AS (SELECT *, sum(new) OVER w AS collected, step - max(CASE WHEN new = 1 THEN step END) OVER w AS stale FROM e WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING))
@@ -443,3 +494,5 @@ SQL = {
         FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) AS r FROM c WHERE step >= 90 OR stale >= 5) WHERE r = 1""",
     "formatted_values": f"SELECT l_orderkey, l_linenumber, {_rounded('l_extendedprice / 8', 2)} AS two, {_rounded('l_extendedprice / 8', 1)} AS one FROM lineitem",
 }
+SQL["debounce_stream"] = SQL["debounce_scans"]
+SQL["stale_stop_stream"] = SQL["stale_stop"]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from gramwise.shared import scratch_dir
+
 #: Parts that make up a session, and the places that each has for its listings.
 SESSION_PARTS, PLACES = 500, 16
 
@@ -125,27 +128,46 @@ def scan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows of a recorded session by p_partkey modulo SESSION_PARTS: (place, kind, what it names) before that part's listings.
-#: Packages: the first, the app's own and a blank one, which count for nothing, and another.
-RECORDED = ((0, "event", "shop.a"), (40, "event", "own"), (80, "event", " "), (120, "event", "shop.a"), (200, "event", "shop.b"), (320, "clear", ""), (400, "start", ""), (450, "stop", ""), (480, "mode", "VOLUME"))
+#: Packages: the first, the app's own and a blank one, which count for nothing, and another. Of the two scan-alls, a passive
+#: scan was due when the first began, and none when the second did.
+RECORDED = ((0, "event", "shop.a"), (40, "event", "own"), (80, "event", " "), (120, "event", "shop.a"), (200, "event", "shop.b"), (240, "start", ""), (280, "stop", ""), (320, "clear", ""), (400, "start", ""), (450, "stop", ""), (480, "mode", "VOLUME"))
 OWN_PACKAGE = "own"
+#: Parts of a scan, what scans are in turn, and the parts of a session that make a batch of the stream: scans are split.
+SCAN_PARTS, SCAN_KINDS, BATCH_PARTS = 20, ("passive", "all", "hand", "ocr"), 130
+BATCHES = -(-SESSION_PARTS // BATCH_PARTS)
 
 
 def recorded(part: DataFrame) -> DataFrame:
-    """(session_id, seq, kind, named, scan_id, raw_text) from part: what happened on screen, control rows between items.
-
-    Items are of scans on their own (passive) for even parts and of a scan-all (all) for odd ones; 20 parts are a scan."""
-    at = F.col("p_partkey") % SESSION_PARTS
-    empty = F.lit(None).cast("string")
-    control = F.array(*[F.when(at == place, F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), F.lit(-1).alias("place"), empty.alias("text"))) for place, kind, named in RECORDED])
-    text = F.get(F.array(*map(form, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
-    kind = F.when(F.col("p_partkey") % 2 == 0, "passive").otherwise("all")
-    items = F.array(F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(0).alias("place"), text.alias("text")), F.when(F.col("p_partkey") % 7 == 0, F.struct(kind.alias("kind"), F.lit("").alias("named"), F.lit(1).alias("place"), F.concat(text, F.lit(" .")).alias("text"))))
-    rows = part.select("p_partkey", F.explode(F.array_compact(F.concat(control, items))).alias("r"))
+    """(session_id, seq, kind, named, scan_id, raw_text) from part: what happened on screen, control rows between items."""
+    key, at = F.col("p_partkey"), F.col("p_partkey") % SESSION_PARTS
+    row = lambda kind, place, named="", text=None: F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), F.lit(place).alias("place"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+    before = [F.when(at == place, row(kind, -1, named)) for place, kind, named in RECORDED]
+    text = F.get(F.array(*map(form, FORMS)), (key % len(FORMS)).cast("int"))
+    kind = F.get(F.array(*map(F.lit, SCAN_KINDS)), (F.floor(at / SCAN_PARTS) % len(SCAN_KINDS)).cast("int"))
+    items = [row(kind, 0, text=text), F.when(key % 7 == 0, row(kind, 1, text=F.concat(text, F.lit(" ."))))]
+    done = F.when(at % SCAN_PARTS == SCAN_PARTS - 1, row("done", 2))
+    rows = part.select("p_partkey", F.explode(F.array_compact(F.array(*before, *items, done))).alias("r"))
     return rows.select(
-        F.floor(F.col("p_partkey") / SESSION_PARTS).cast("long").alias("session_id"),
-        (F.col("p_partkey") * PLACES + 1 + F.col("r.place")).cast("long").alias("seq"),
+        F.floor(key / SESSION_PARTS).cast("long").alias("session_id"),
+        (key * PLACES + 1 + F.col("r.place")).cast("long").alias("seq"),
         F.col("r.kind").alias("kind"),
         F.col("r.named").alias("named"),
-        (F.floor(F.col("p_partkey") / 20)).cast("long").alias("scan_id"),
+        F.floor(key / SCAN_PARTS).cast("long").alias("scan_id"),
         F.col("r.text").alias("raw_text"),
     )
+
+
+def in_batches(df: DataFrame, batch: Column, count: int, files: int = 2) -> DataFrame:
+    """df as a stream of `count` batches and no more, batch k of the rows where batch is k: written to the shared folder file by
+    file, as a source would leave them."""
+    spark = df.sparkSession
+    folder = f"{scratch_dir(spark)}/source-{uuid.uuid4().hex}"
+    for k in range(count):
+        df.where(batch == k).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def scan_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, seq, ts, kind): events, and the beginnings and ends of scan-alls between them."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop").otherwise("event")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))

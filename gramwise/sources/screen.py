@@ -112,10 +112,10 @@ def ocr_candidates(lines: DataFrame) -> DataFrame:
     return first.select("scan_id", "at.block_no", "at.place", "raw_text")
 
 
-def drop_noise(items: DataFrame) -> DataFrame:
-    """Without items that are sums, taxes or fees: named so, with neither quantity nor calories. For the node source only."""
+def drop_noise(items: DataFrame, from_tree: Column | bool = True) -> DataFrame:
+    """Without items that are sums, taxes or fees: named so, with neither quantity nor calories. For screen trees only."""
     noise = F.lower("raw_text").rlike(fixed.TOTALS) & F.col("quantity").isNull() & F.col("calories").isNull()
-    return items.where(~noise)
+    return items.where(~(noise & F.lit(from_tree)))
 
 
 def node_items(nodes: DataFrame) -> DataFrame:

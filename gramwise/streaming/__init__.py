@@ -1,4 +1,4 @@
-from gramwise.streaming.collect import Session, collect_stream, display, last_of_each, to_folder
-from gramwise.streaming.sessions import debounced, package_sessions, stop_of_scan_all
+from gramwise.streaming.collect import Session, collect_stream, collections, display
+from gramwise.streaming.sessions import debounced, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
 
-__all__ = ["Session", "collect_stream", "debounced", "display", "last_of_each", "package_sessions", "stop_of_scan_all", "to_folder"]
+__all__ = ["Session", "collect_stream", "collections", "debounced", "display", "package_sessions", "passive_scans", "scan_all_stops", "stop_of_scan_all"]

@@ -1,115 +1,238 @@
-"""The items that a session has collected, kept by Structured Streaming.
+"""The items that a session has collected, kept by Structured Streaming, item by item.
 
-The state of a session is its last foreign package, whether all is being scanned, the mode, and its items in the order of
-first sight. Items come with the scan that saw them, which is folded in itself before it is added; a scan comes in one
-batch. Control rows stand between them.
+A session's state is a few numbers (its last foreign package, whether all is being scanned, whether a passive scan is due, the
+mode, how many items have each metric), a map of items by key, a map of keys by the number of their insertion, and the
+scan that is open. A batch reads and writes only the keys that it brings or that leave. Scans may be split over batches: an
+open one stays in state until its end is seen, and only then is it added.
+
+What comes out are changes, appended: items put or dropped, collections cleared, and once a batch the state of each session in
+it, with the mode that the counts give. `collections` makes of them what each session has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gramwise.functions import analyze
+from gramwise.functions import analyze, fixed
 from gramwise.functions.text import trim, units
-from gramwise.operators.dedupe import Collection, item_key
-from gramwise.operators.rank import display_rows, rank, shown
+from gramwise.operators.dedupe import item_key
+from gramwise.operators.rank import MODES, automatic_mode, display_rows, rank, shown, with_metrics
+from gramwise.sources.screen import drop_noise
 
 ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
 FIELDS = ("name", "raw_text", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence")
-OUT = "session_id long, place int, seq long, item_key string, mode string, item string"
-STATE = "package string, scanning boolean, mode string, keys array<string>, seqs array<bigint>, confidences array<double>, lengths array<int>, items array<string>"
+CHANGES = "session_id long, step long, op string, item_key string, pos long, seq long, item string, mode string, smart string, size long"
+#: Scans of a screen tree by themselves, of a scan-all, by hand; and of recognised lines, whose sums and fees stay.
+SCANS, OCR = ("passive", "all", "hand"), "ocr"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SCALARS = ("package string, scanning boolean, due boolean, mode string, kind string, scan_id long, counted boolean, opened long, first long, next long, step long, " + ", ".join(f"n{i} long" for i in range(len(MODES))))
+HELD = "place long, confidence double, length int, metrics int, seq long, item string"
+
+
+class Kept:
+    """A map in state: each key that a batch names is read once, and those that change are written at its end."""
+
+    def __init__(self, state):
+        self.state, self.now, self.changed, self.cleared = state, {}, set(), False
+
+    def get(self, key):
+        if key not in self.now:
+            self.now[key] = None if self.cleared else self.state.getValue((key,))
+        return self.now[key]
+
+    def put(self, key, value: tuple | None) -> None:
+        """None takes the key away."""
+        self.now[key] = value
+        self.changed.add(key)
+
+    def clear(self) -> None:
+        self.now, self.changed, self.cleared = {}, set(), True
+
+    def all(self) -> dict:
+        if not self.cleared:
+            for (key,), value in self.state.iterator():
+                self.now.setdefault(key, value)
+        return {k: v for k, v in self.now.items() if v is not None}
+
+    def write(self) -> None:
+        if self.cleared:
+            self.state.clear()
+        for key in self.changed:
+            if self.now[key] is not None:
+                self.state.updateValue((key,), self.now[key])
+            elif not self.cleared:
+                self.state.removeKey((key,))
+
+
+def _better(new: tuple, old: tuple | None) -> bool:
+    return old is None or new[1] > old[1] or new[2] > old[2]
 
 
 class Session:
-    """A session's state, and what each kind of row does to it."""
+    """What each kind of row does to a session's state."""
+
+    def __init__(self, items, order, opened, scalars: tuple | None = None, cap: int = fixed.KEPT):
+        self.items, self.order, self.open, self.cap = Kept(items), Kept(order), Kept(opened), cap
+        self.package, self.scanning, self.due, self.mode, self.kind, self.scan_id, self.counted, self.opened, self.first, self.next, self.step, *self.counts = scalars or (None, False, False, "SMART", None, None, False, 0, 0, 0, 0, *[0] * len(MODES))
+        self.changes: list[tuple] = []
 
-    def __init__(self, package=None, scanning=False, mode="SMART", keys=(), seqs=(), confidences=(), lengths=(), items=()):
-        self.package, self.scanning, self.mode, self.held = package, scanning, mode, Collection()
-        self.held.items = {k: (c, n, (s, x)) for k, s, c, n, x in zip(keys, seqs, confidences, lengths, items, strict=True)}
+    def scalars(self) -> tuple:
+        return (self.package, self.scanning, self.due, self.mode, self.kind, self.scan_id, self.counted, self.opened, self.first, self.next, self.step, *self.counts)
 
     def take(self, row) -> None:
-        """An item counts if its scan does: those of a scan-all while that goes on, others while it doesn't."""
-        if row.kind in ("passive", "all"):
-            if (row.kind == "all") == self.scanning:
-                self.held.see(row.scan_id, row.item_key, float(row.confidence), int(row.text_length), (int(row.seq), row.item))
+        """An item counts if its scan does: one by hand or of recognised lines always, one of a scan-all while that goes on, a
+        passive one while it doesn't, or if it was due when that began."""
+        if row.kind in SCANS or row.kind == OCR:
+            if self.kind != row.kind or self.scan_id != row.scan_id:
+                self.end_scan()
+                self.kind, self.scan_id = row.kind, int(row.scan_id)
+                self.counted = row.kind in ("hand", OCR) or (self.scanning if row.kind == "all" else self.due or not self.scanning)
+                self.due = self.due and row.kind != "passive"
+            if self.counted:
+                old = self.open.get(row.item_key)
+                new = (self.opened if old is None else old[0], float(row.confidence), int(row.text_length), int(row.metrics), int(row.seq), row.item)
+                if _better(new, old):
+                    self.open.put(row.item_key, new)
+                    self.opened += old is None
             return
-        self.held.end_scan()
-        if row.kind == "event":  # the caller has left out the app's own package and blank ones
-            if self.package not in (None, row.named):
-                self.held.clear()
-            self.package = row.named
+        self.end_scan()
+        if row.kind in ("event", "touch"):
+            # The caller calls events of the app's own package and blank ones touches: they change nothing but that a scan is due.
+            if row.kind == "event":
+                if self.package not in (None, row.named):
+                    self.clear()
+                self.package = row.named
+            self.due = self.due or not self.scanning
         elif row.kind == "clear":
-            self.held.clear()
-        elif row.kind in ("start", "stop"):
-            self.scanning = row.kind == "start"
+            self.clear()
+        elif row.kind == "start":
+            self.scanning = True
+        elif row.kind == "stop":
+            self.scanning = self.due = False  # what was due is called off
         elif row.kind == "mode":
             self.mode = row.named
 
-    def state(self) -> tuple:
-        self.held.end_scan()
-        keys, rows = list(self.held.items), list(self.held.items.values())
-        return self.package, self.scanning, self.mode, keys, [x[2][0] for x in rows], [x[0] for x in rows], [x[1] for x in rows], [x[2][1] for x in rows]
+    def end_scan(self) -> None:
+        """What the open scan leaves is added in its order, and the oldest keys go."""
+        if self.kind is not None:
+            for key, new in sorted(self.open.all().items(), key=lambda x: x[1][0]):
+                old = self.items.get(key)
+                if _better(new, old):
+                    self._put(key, new, old)
+            while self.next - self.first > self.cap:
+                (key,) = self.order.get(self.first)
+                self._count(self.items.get(key), -1)
+                self.items.put(key, None)
+                self.order.put(self.first, None)
+                self.first += 1
+                self._change("drop", key)
+            self.open.clear()
+            self.kind, self.scan_id, self.opened = None, None, 0
+
+    def clear(self) -> None:
+        self.items.clear()
+        self.order.clear()
+        self.first, self.counts = self.next, [0] * len(MODES)
+        self._change("clear")
+
+    def _put(self, key: str, new: tuple, old: tuple | None) -> None:
+        if old is None:
+            self.order.put(self.next, (key,))
+            at, self.next = self.next, self.next + 1
+        else:
+            at = old[0]
+            self._count(old, -1)
+        value = (at, *new[1:])
+        self._count(value, 1)
+        self.items.put(key, value)
+        self._change("put", key, at, value[4], value[5])
+
+    def _count(self, value: tuple, by: int) -> None:
+        self.counts = [n + by * (value[3] >> i & 1) for i, n in enumerate(self.counts)]
+
+    def _change(self, op: str, key=None, at=None, seq=None, item=None) -> None:
+        self.step += 1
+        self.changes.append((self.step, op, key, at, seq, item, None, None, None))
+
+    def ended(self) -> list[tuple]:
+        """The changes of a batch, the state last."""
+        self.step += 1
+        last = (self.step, "state", None, None, None, None, self.mode, automatic_mode(self.counts), self.next - self.first)
+        for kept in (self.items, self.order, self.open):
+            kept.write()
+        return [*self.changes, last]
+
+
+class Collecting(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scalars = handle.getValueState("scalars", SCALARS)
+        self.maps = [handle.getMapState(n, k, v) for n, k, v in (("items", "item_key string", HELD), ("order", "pos long", "item_key string"), ("open", "item_key string", HELD))]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        session = Session(*self.maps, self.scalars.get())
+        batch = sorted((row for part in rows for row in part.itertuples(index=False)), key=lambda r: r.seq)
+        for row in batch:
+            session.take(row)
+        out = session.ended()
+        self.scalars.update(session.scalars())
+        names = [c.split()[0] for c in CHANGES.split(", ")]
+        frame = pd.DataFrame([(key[0], *x) for x in out], columns=names)
+        yield frame.astype({"pos": "Int64", "seq": "Int64", "size": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def metrics_had(items: DataFrame) -> Column:
+    """A bit for each metric, in the order of MODES, that items with metrics have."""
+    bits = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, (c, *_) in enumerate(MODES.values())]
+    return sum(bits[1:], bits[0]).cast("int")
 
 
 def prepared(rows: DataFrame, own_package: str) -> DataFrame:
     """Analysed items and control rows from (session_id, seq, kind, named, scan_id, raw_text)."""
-    control = rows.where(~F.col("kind").isin("passive", "all"))
+    is_item = F.col("kind").isin(*SCANS, OCR)
+    control = rows.where(~is_item)
     foreign = (F.length(trim(F.coalesce("named", F.lit("")))) > 0) & (F.col("named") != own_package)
-    control = control.where((F.col("kind") != "event") | foreign)
-    items = analyze(rows.where(F.col("kind").isin("passive", "all")))
+    control = control.withColumn("kind", F.when((F.col("kind") == "event") & ~foreign, "touch").otherwise(F.col("kind")))
+    items = with_metrics(drop_noise(analyze(rows.where(is_item)), F.col("kind") != OCR))
     item = F.to_json(F.struct(*FIELDS))
-    items = items.select("session_id", "seq", "kind", "named", "scan_id", item_key().alias("item_key"), "confidence", units(F.col("raw_text")).alias("text_length"), item.alias("item"))
-    none = {"item_key": "string", "confidence": "double", "text_length": "int", "item": "string"}
+    items = items.select("session_id", "seq", "kind", "named", "scan_id", item_key().alias("item_key"), "confidence", units(F.col("raw_text")).alias("text_length"), metrics_had(items).alias("metrics"), item.alias("item"))
+    none = {"item_key": "string", "confidence": "double", "text_length": "int", "metrics": "int", "item": "string"}
     return items.unionByName(control.select("session_id", "seq", "kind", "named", "scan_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
 
 
 def collect_stream(rows: DataFrame, own_package: str = "") -> DataFrame:
-    """The collection of each session after every batch, from a stream of (session_id, seq, kind, named, scan_id, raw_text).
+    """The changes (CHANGES) of each session's collection, from a stream of (session_id, seq, kind, named, scan_id, raw_text).
 
-    kind is passive or all for items (of a scan by itself or of a scan-all), event (named: the package on screen), clear,
-    start or stop (of a scan-all), or mode (named: the mode). Rows of a batch count in the order of seq. A session without
-    items gives a row with a null place.
+    kind: items are of a scan, passive, all (of a scan-all), hand or ocr. Control rows are event (named: the package on
+    screen), clear, start or stop (of a scan-all), mode (named: the mode) and done (the scan ended). A row of another scan
+    or a control row ends a scan too. Rows of a batch count in the order of seq; a task holds a session's rows of one
+    batch, which the source's limits bound. State is kept in RocksDB, which this sets for the session's queries.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return prepared(rows, own_package).groupBy("session_id").transformWithStateInPandas(Collecting(), CHANGES, "append", "None")
 
-    def update(key, batches, state):
-        session = Session(*state.get) if state.exists else Session()
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            session.take(row)
-        now = session.state()
-        state.update(now)
-        _, _, mode, keys, seqs, _, _, items = now
-        out = [(key[0], n, s, k, mode, x) for n, (k, s, x) in enumerate(zip(keys, seqs, items, strict=True))] or [(key[0], None, None, None, mode, None)]
-        frame = pd.DataFrame(out, columns=["session_id", "place", "seq", "item_key", "mode", "item"])
-        yield frame.astype({"place": "Int32", "seq": "Int64"})
 
-    return prepared(rows, own_package).groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def collections(changes: DataFrame) -> DataFrame:
+    """(session_id, place, seq, item_key, mode, smart, item) of changes: what each session has after all of them, in the order of
+    insertion; a session without items gives a row with a null place."""
+    state = changes.where("op = 'state'").groupBy("session_id").agg(F.max(F.struct("step", "mode", "smart")).alias("s")).select("session_id", "s.mode", "s.smart")
+    cleared = changes.where("op = 'clear'").groupBy("session_id").agg(F.max("step").alias("_cleared"))
+    last = changes.where("op in ('put', 'drop')").groupBy("session_id", "item_key").agg(F.max(F.struct("step", "op", "pos", "seq", "item")).alias("x"))
+    held = last.join(cleared, "session_id", "left").where((F.col("x.op") == "put") & (F.col("x.step") > F.coalesce("_cleared", F.lit(0)))).select("session_id", "item_key", "x.pos", "x.seq", "x.item")
+    # A session holds no more than the cap.
+    held = held.withColumn("place", (F.row_number().over(W.partitionBy("session_id").orderBy("pos")) - 1).cast("int"))
+    return state.join(held, "session_id", "left").select("session_id", "place", "seq", "item_key", "mode", "smart", "item")
 
 
 def display(collection: DataFrame) -> DataFrame:
-    """What is shown of collections (rows of collect_stream): the ranked rows of each session by its mode, or that there
-    are none."""
-    items = collection.where("place is not null").select("session_id", "place", "seq", "mode", F.from_json("item", ITEM).alias("i")).select("session_id", "place", "seq", "mode", "i.*")
+    """What is shown of `collections`: the ranked rows of each session by its mode, or that there are none. The automatic mode is
+    what the stream's counts gave."""
+    mode = F.when(F.col("mode") == "SMART", F.col("smart")).otherwise(F.col("mode"))
+    items = collection.where("place is not null").select("session_id", "place", "seq", mode.alias("mode"), F.from_json("item", ITEM).alias("i")).select("session_id", "place", "seq", "mode", "i.*")
     return shown(display_rows(rank(items, None)), collection)
-
-
-def to_folder(folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch's collections and what is shown of them, as Parquet below folder, by batch."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        batch.write.mode("overwrite").parquet(f"{folder}/collections/batch={number}")
-        display(batch).write.mode("overwrite").parquet(f"{folder}/shown/batch={number}")
-        batch.unpersist()
-
-    return write
-
-
-def last_of_each(spark, folder: str, what: str) -> DataFrame:
-    """The rows of each session's last batch that a sink left."""
-    rows = spark.read.parquet(f"{folder}/{what}")
-    last = rows.groupBy("session_id").agg(F.max("batch").alias("_last"))
-    return rows.join(last, "session_id").where(F.col("batch") == F.col("_last")).drop("_last", "batch")

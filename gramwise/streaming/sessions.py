@@ -1,11 +1,16 @@
-"""Sessions, debounced scans and the end of a scan-all, over recorded events; batch forms of what a stream does."""
+"""Sessions, debounced scans and the end of a scan-all: over recorded events, and as streams with timers and state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gramwise.functions import fixed
 from gramwise.functions.text import trim
+from gramwise.streaming.collect import ROCKS
 
 
 def package_sessions(events: DataFrame) -> DataFrame:
@@ -17,10 +22,7 @@ def package_sessions(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
-    """(session_id, first_ts, last_ts, n_events): each scan follows the last event before a pause longer than gap.
-
-    The same code runs on a stream with a watermark on ts.
-    """
+    """(session_id, first_ts, last_ts, n_events): each scan follows the last event before a pause longer than gap."""
     return events.groupBy("session_id", F.session_window("ts", gap)).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events")).drop("session_window")
 
 
@@ -40,3 +42,107 @@ def stop_of_scan_all(sizes: DataFrame, steps: int = fixed.STEPS, stale: int = fi
     ended = counted.where((F.col("step") >= steps) | (F.col("stale_rounds") >= stale) | ~F.coalesce("acted", F.lit(True)))
     first = ended.groupBy("session_id").agg(F.min(F.struct("step", "collected", "stale_rounds")).alias("at"))
     return first.select("session_id", "at.*")
+
+
+class Debounce(StatefulProcessor):
+    """A session's passive scans: each runs when no event has come for longer than gap.
+
+    An event cancels what is due and sets its own time; while all is being scanned events are ignored, and what was due before
+    still runs; the end of a scan-all calls it off. Rows wait in state until the watermark has passed them, so they count in
+    the order of their time however they came.
+    """
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us long, seq long", "kind string")
+        self.due = handle.getValueState("due", "first long, last long, n long, scanning boolean, timer long")
+
+    def _advance(self, key, now_ms: int) -> Iterator[pd.DataFrame]:
+        first, last, n, scanning, timer = self.due.get() or (0, 0, 0, False, 0)
+        passed = sorted((us, seq, kind) for (us, seq), (kind,) in self.waiting.iterator() if us < now_ms * 1000)
+        out = []
+        for us, seq, kind in passed:
+            if n and us - last > self.gap:
+                out.append((key[0], first, last, n))
+                n = 0
+            if kind == "event" and not scanning:
+                first, last, n = us if not n else first, us, n + 1
+            elif kind == "start":
+                scanning = True
+            elif kind == "stop":
+                scanning, n = False, 0
+            self.waiting.removeKey((us, seq))
+        if n and now_ms * 1000 > last + self.gap:
+            out.append((key[0], first, last, n))
+            n = 0
+        self.due.update((first, last, n, scanning, timer))
+        yield pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"]).astype("int64")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
+        for part in rows:
+            for us, seq, kind in zip(part["us"].tolist(), part["seq"].tolist(), part["kind"].tolist(), strict=True):
+                self.waiting.updateValue((us, seq), (kind,))
+                latest = max(latest, us)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        *state, timer = self.due.get()
+        at = (latest + self.gap) // 1000 + 1
+        if at > timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            self.due.update((*state, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        self.due.update((*self.due.get()[:-1], 0))
+
+    def close(self) -> None:
+        pass
+
+
+def passive_scans(rows: DataFrame, gap_us: int = 500_000, late: str = "0 seconds") -> DataFrame:
+    """(session_id, first_us, last_us, n_events) of each passive scan, as a stream in append mode, from a stream of (session_id, seq,
+    ts, kind): event, start or stop (of a scan-all). Rows that come later than `late` after others are lost, as Spark's are."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = rows.withWatermark("ts", late).select("session_id", "seq", "ts", "kind", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("session_id").transformWithStateInPandas(Debounce(gap_us), "session_id long, first_us long, last_us long, n_events long", "append", "EventTime")
+
+
+class ScanAll(StatefulProcessor):
+    """The end of a session's scan-all, at the step where it falls."""
+
+    def __init__(self, steps: int, stale: int):
+        self.steps, self.stale = steps, stale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "collected long, stale long, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, stale, ended = self.state.get() or (None, 0, False)
+        out = []
+        if not ended:
+            for step, collected, acted in sorted(x for part in rows for x in zip(part["step"].tolist(), part["collected"].tolist(), part["acted"].tolist(), strict=True)):
+                stale, now = stale + 1 if collected == now else 0, collected
+                if step >= self.steps or stale >= self.stale or acted is False:
+                    out.append((key[0], step, collected, stale))
+                    ended = True
+                    break
+            self.state.update((now, stale, ended))
+        yield pd.DataFrame(out, columns=["session_id", "step", "collected", "stale_rounds"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def scan_all_stops(sizes: DataFrame, steps: int = fixed.STEPS, stale: int = fixed.STALE) -> DataFrame:
+    """What `stop_of_scan_all` gives, as a stream in append mode: a session's rows must come in the order of steps; those of one
+    batch may come in any."""
+    sizes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    acted = F.coalesce("acted", F.lit(True)) if "acted" in sizes.columns else F.lit(True)
+    rows = sizes.select("session_id", F.col("step").cast("long"), F.col("collected").cast("long"), acted.alias("acted"))
+    found = rows.groupBy("session_id").transformWithStateInPandas(ScanAll(steps, stale), "session_id long, step long, collected long, stale_rounds long", "append", "None")
+    return found.select("session_id", *[F.col(c).cast("int") for c in ("step", "collected", "stale_rounds")])

@@ -1,68 +1,209 @@
-"""The streaming collection against the batch fold, and sessions against hand-made events."""
+"""The streaming collection against the batch fold and against plain rules, and sessions, pauses and ends of scans against
+hand-made rows, in batches of any cut."""
 
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gramwise.functions import analyze, fixed
-from gramwise.operators import collected
-from gramwise.operators.dedupe import Collection, item_key
-from gramwise.streaming import Session, collect_stream, debounced, last_of_each, package_sessions, stop_of_scan_all, to_folder
+from gramwise.operators import collected, smart_mode, with_metrics
+from gramwise.operators.dedupe import Collection
+from gramwise.sources import in_batches
+from gramwise.streaming import Session, collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
 
 SCHEMA = "session_id long, seq long, kind string, named string, scan_id long, raw_text string"
 
 
-def streamed(spark, tmp_path, *parts):
-    """The collections and what is shown after parts have come one by one."""
-    for n, part in enumerate(parts):
+def changes(spark, tmp_path, *parts):
+    """What the stream has written after parts came one by one; each starts the query again from its checkpoint."""
+    for part in parts:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
-        query = collect_stream(stream, "own").writeStream.outputMode("update").foreachBatch(to_folder(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query = collect_stream(stream, "own").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
         query.awaitTermination()
-    return [last_of_each(spark, str(tmp_path / "out"), x).collect() for x in ("collections", "shown")]
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def streamed(spark, tmp_path, *parts):
+    """The collections and what is shown of them."""
+    found = collections(changes(spark, tmp_path, *parts))
+    return found.collect(), display(found).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
     texts = ["Gala apples\n1 kg\n$4", "Pears\n2 lb\n$3", "Gala apples\n1 kg\n$4 again", "Pears\n2 lb\n$3", "Tea 300 g $6", "no price"]
     rows = [(s, scan * 100 + i, "passive", "", scan, t + " ." * (scan - 1)) for scan in (1, 2) for i, t in enumerate(texts) for s in (1, 2)]
-    found, _ = streamed(spark, tmp_path, rows[:12], rows[12:])
+    rows += [(s, 299, "done", "", 2, None) for s in (1, 2)]
+    # The second scan is split between the last two batches.
+    found, _ = streamed(spark, tmp_path, rows[:5], rows[5:15], rows[15:])
     batch = collected(analyze(spark.createDataFrame(rows, SCHEMA))).collect()
     pick = lambda r: (r["session_id"], r["place"], r["item_key"], r["seq"])
     assert sorted(map(pick, found)) == sorted(map(pick, batch))
     assert [r["seq"] for r in sorted(batch, key=lambda r: r["place"]) if r["session_id"] == 1] == [202, 201, 204]
 
 
+def test_an_open_scan_waits(spark, tmp_path):
+    rows = [(1, i, "hand", "", 1, f"Tea {300 + i} g $6") for i in range(4)]
+    found, shown_rows = streamed(spark, tmp_path, rows[:2], rows[2:])
+    assert [r["seq"] for r in found] == [None] and [r["title"] for r in shown_rows] == [fixed.NOTHING_YET]
+    found, _ = streamed(spark, tmp_path, [(1, 9, "done", "", 1, None)])
+    assert sorted(r["seq"] for r in found) == [0, 1, 2, 3]
+
+
+def test_scans_that_depend_on_their_batch_cut_do_not(spark, tmp_path):
+    """State (.9, 10), then a scan of (.8, 20) and (.85, 5): the scan keeps its first, which is longer, however it is cut."""
+    first = (1, 1, "hand", "", 1, "Tea 300 g $6 50 cal")
+    scan = [(1, 2, "hand", "", 2, "Tea 300 g $6 " + "." * 30), (1, 3, "hand", "", 2, "Tea 300 g $6 ."), (1, 4, "done", "", 2, None)]
+    want, _ = streamed(spark, tmp_path / "whole", [first, *scan])
+    for cut in (2, 3):
+        got, _ = streamed(spark, tmp_path / f"c{cut}", [first, *scan][:cut], [first, *scan][cut:])
+        assert sorted((r["seq"], r["place"]) for r in got) == sorted((r["seq"], r["place"]) for r in want)
+
+
 def test_control_rows(spark, tmp_path):
     tea = lambda seq, kind, scan, price: (1, seq, kind, "", scan, f"Tea 300 g ${price}")
     event = lambda seq, named, session=1: (session, seq, "event", named, None, None)
+    done = lambda seq: (1, seq, "done", "", None, None)
     first = [event(1, "a"), tea(2, "passive", 1, 1), event(3, "own"), event(4, " "), event(5, "a"), tea(6, "passive", 2, 2), tea(7, "all", 3, 3), event(1, "a", 2)]
     second = [(1, 8, "start", "", None, None), tea(9, "passive", 4, 4), tea(10, "all", 5, 5), event(11, "b"), tea(12, "all", 6, 6), (1, 13, "mode", "VOLUME", None, None)]
-    third = [(1, 14, "stop", "", None, None), tea(15, "all", 7, 7), tea(16, "passive", 8, 8)]
+    third = [(1, 14, "stop", "", None, None), tea(15, "all", 7, 7), tea(16, "passive", 8, 8), done(17)]
     found, rows = streamed(spark, tmp_path, first)
     assert sorted(r["seq"] for r in found if r["session_id"] == 1) == [2, 6]
     assert [r["title"] for r in rows if r["session_id"] == 2] == [fixed.NOTHING_YET]
     found, _ = streamed(spark, tmp_path, second)
     assert [r["seq"] for r in found if r["session_id"] == 1] == [12]
     found, rows = streamed(spark, tmp_path, third)
-    assert [(r["seq"], r["mode"]) for r in found if r["session_id"] == 1] == [(12, "VOLUME"), (16, "VOLUME")]
+    assert sorted((r["seq"], r["mode"]) for r in found if r["session_id"] == 1) == [(12, "VOLUME"), (16, "VOLUME")]
     assert [r["metric_text"] for r in rows if r["session_id"] == 1] == ["price only"] * 2
-    assert [r["seq"] for r in streamed(spark, tmp_path, [(1, 17, "clear", "", None, None)])[0] if r["session_id"] == 1] == [None]
+    assert [r["seq"] for r in streamed(spark, tmp_path, [(1, 18, "clear", "", None, None)])[0] if r["session_id"] == 1] == [None]
+
+
+def test_scans_that_count_while_all_is_scanned(spark, tmp_path):
+    """By hand and of recognised lines always; passive ones only if due when it began; only recognised lines keep sums."""
+    row = lambda seq, kind, text="": (1, seq, kind, "a" if kind == "event" else "", seq, text or f"Tea {seq} g $6")
+    rows = [row(1, "event"), row(2, "start"), row(3, "passive"), row(4, "passive"), row(5, "hand"), row(6, "ocr"), row(7, "all"), row(8, "event"), row(9, "passive"), row(10, "stop"), row(11, "all"),
+            row(12, "hand", "Subtotal $9"), row(13, "ocr", "Subtotal $9"), row(14, "done")]
+    found, _ = streamed(spark, tmp_path, rows[:3], rows[3:9], rows[9:])
+    assert sorted(r["seq"] for r in found) == [3, 5, 6, 7, 13]
+
+
+class Map(dict):
+    """A map in state."""
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.touched.add(key)
+        self[key] = value
+
+    def removeKey(self, key):
+        self.touched.add(key)
+        self.pop(key, None)
+
+    def iterator(self):
+        return iter(self.items())
+
+    touched: set = set()
+
+
+def test_state_of_random_scans():
+    """Cut into batches anyhow, the changes give what a plain collection has; the oldest go after each scan, some to come back;
+    a batch writes the keys that it brings, and no others but those that leave."""
+    rng = random.Random(7)
+    for _ in range(60):
+        rows, seq = [], 0
+        for scan in range(rng.randint(1, 12)):
+            for _ in range(rng.randint(1, 9)):
+                seq += 1
+                rows.append(SimpleNamespace(kind="hand", named="", scan_id=scan, seq=seq, item_key=rng.choice("abcdefgh"), confidence=rng.choice([0.7, 0.8, 0.9]), text_length=rng.randint(1, 5), metrics=rng.randrange(64), item=str(seq)))
+        rows.append(SimpleNamespace(kind="done", named="", scan_id=None, seq=seq + 1))
+        plain, scan_items, now = Collection(4), Collection(99), None
+        for r in rows:
+            if r.kind == "done" or r.scan_id != now:
+                for k, x in scan_items.items.items():
+                    plain.put(k, *x)
+                plain.end_scan()
+                scan_items, now = Collection(99), r.scan_id
+            if r.kind == "hand":
+                scan_items.put(r.item_key, r.confidence, r.text_length, r)
+        maps, scalars, out = (Map(), Map(), Map()), None, []
+        while rows:
+            cut = rng.randint(1, 8)
+            brought, rows = rows[:cut], rows[cut:]
+            maps[0].touched = set()
+            session = Session(*maps, scalars, cap=4)
+            for r in brought:
+                session.take(r)
+            out += session.ended()
+            scalars = session.scalars()
+        held = {}
+        for _, op, key, pos, s, *_ in out:
+            if op == "put":
+                held[key] = (pos, s)
+            elif op == "drop":
+                del held[key]
+        assert sorted(held, key=held.get) == list(plain.items)
+        assert {k: s for k, (_, s) in held.items()} == {k: x[2].seq for k, x in plain.items.items()}
+        assert session.counts == [sum(x[2].metrics >> i & 1 for x in plain.items.values()) for i in range(6)]
+        assert len(maps[1]) == len(held) and not maps[2]
+
+
+def test_the_mode_of_the_counts(spark, tmp_path):
+    texts = ["Gala apples\n1 kg\n$4", "Milk 1 l $3", "Oil 2 l $9", "Salad 300 cal $5", "Soup 200 cal $4", "Pie 12 inch pizza $9", "Thing $3"]
+    rows = [(s, i, "hand", "", 1, t) for s in range(1, 8) for i, t in enumerate(texts[: s])] + [(s, 99, "done", "", 1, None) for s in range(1, 8)]
+    found, _ = streamed(spark, tmp_path, rows)
+    want = {r["session_id"]: r["mode"] for r in smart_mode(with_metrics(collected(analyze(spark.createDataFrame(rows, SCHEMA))))).collect()}
+    assert {r["session_id"]: r["smart"] for r in found} == want
 
 
 def test_oldest_insertions_go_after_each_scan():
     held = Collection(cap=3)
-    for scan, keys in enumerate(("abcd", "a", "bx")):
+    for keys in ("abcd", "a", "bx"):
         for k in keys:
-            held.see(scan, k, 0.5, 1, k)
-    held.end_scan()
+            held.put(k, 0.5, 1, k)
+        held.end_scan()
     assert list(held.items) == ["a", "b", "x"]
 
 
-def test_state_survives_a_round_trip():
-    session = Session()
-    session.take(pd.Series({"kind": "passive", "scan_id": 1, "item_key": "k", "confidence": 0.5, "text_length": 3, "seq": 7, "item": "{}"}))
-    assert Session(*session.state()).state() == session.state()
+def written(stream, tmp_path):
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("cuts", [[99], [2, 4], [1, 2, 3, 4, 5]])
+def test_debounce_stream_gaps(spark, tmp_path, cuts):
+    """Pauses of 500 ms go on, longer ones end; an event of the second session keeps time going."""
+    start, at, rows = datetime(2024, 1, 1), 0, []
+    for i, gap in enumerate((0, 100, 499, 500, 501)):
+        at += gap
+        rows.append((1, i, start + timedelta(milliseconds=at), "event"))
+    rows.append((2, 9, start + timedelta(seconds=60), "event"))
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string")
+    batch = sum((F.col("seq") >= c).cast("int") for c in cuts)
+    found = written(passive_scans(in_batches(df, batch, len(cuts) + 1, files=1), 500_000), tmp_path)
+    assert sorted((r["session_id"], r["n_events"]) for r in found.collect()) == [(1, 1), (1, 4)]
+
+
+def test_debounce_while_all_is_scanned(spark, tmp_path):
+    """What was due before a scan-all runs, events during it make nothing due, and its end calls off what still is."""
+    start = datetime(2024, 1, 1)
+    said = [(0, "event"), (300, "start"), (400, "event"), (2000, "stop"), (3000, "event"), (3100, "start"), (3200, "stop"), (9000, "event"), (60_000, "event")]
+    rows = [(1, i, start + timedelta(milliseconds=at), kind) for i, (at, kind) in enumerate(said)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string")
+    found = written(passive_scans(in_batches(df, F.floor(F.col("seq") / 3), 3, files=1), 500_000), tmp_path)
+    first = df.agg(F.min(F.unix_micros("ts"))).first()[0]
+    assert sorted((r["first_us"] - first, r["last_us"] - first, r["n_events"]) for r in found.collect()) == [(0, 0, 1), (9_000_000, 9_000_000, 1)]
+
+
+def test_scan_all_stream(spark, tmp_path):
+    sizes = [(1, i + 1, n, True) for i, n in enumerate([3, 5, 5, 5, 5, 5, 5, 5])] + [(2, i, 3 + i, i < 2) for i in range(4)] + [(3, i, i, None) for i in range(1, 120)]
+    df = spark.createDataFrame(sizes, "session_id long, step int, collected int, acted boolean")
+    found = written(scan_all_stops(in_batches(df, F.least(F.floor(F.col("step") / 3), F.lit(9)), 10, files=1)), tmp_path)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stop_of_scan_all(df).collect())) == [(1, 7, 5, 5), (2, 2, 5, 0), (3, 90, 90, 0)]
 
 
 def test_debounce_gaps(spark):
