@@ -16,7 +16,7 @@ from gramwise.functions import analyze, calories, canonical_name, choose_price,
 from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
 from gramwise.shared import scratch_dir
-from gramwise.sources import best_scrollable, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, table
+from gramwise.sources import best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, OWN_PACKAGE, SEEN, SESSION_PARTS
 from gramwise.streaming import collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
 
@@ -156,6 +156,37 @@ def scroll_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_scrollable(screen_nodes(spark, sf_dir))
 
 
+@query
+def wide_scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of more nodes than a walk visits."""
+    return node_candidates(wide_nodes(spark, sf_dir)).select("scan_id", "seq", "raw_text")
+
+
+@query
+def wide_scroll_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_scrollable(wide_nodes(spark, sf_dir))
+
+
+@query
+def crowded_card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of more nodes and more text than is read."""
+    return node_candidates(crowded_nodes(spark, sf_dir)).select("scan_id", "raw_text")
+
+
+@query
+def long_item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names longer than what is taken of them, in UTF-16 units."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    text = F.concat(F.repeat(F.concat(F.when(F.col("p_partkey") % 2 == 0, "😀").otherwise("x"), "p_name", F.lit("-")), F.lit(30)), F.lit("\n$"), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
+    return part.select(F.col("p_partkey").alias("seq"), item_name(normalize(text)).alias("name"))
+
+
+@query
+def badge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of more items than a badge shows."""
+    return badge(listings(spark, sf_dir).withColumn("session_id", F.col("scan_id")))
+
+
 @query
 def node_scan_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screen trees from end to end: candidates, parsing, noise, fold, automatic mode and rank, by scan."""
@@ -470,6 +501,20 @@ SQL = {
             SELECT DISTINCT session_id * 4 + scan_id AS scan_id, -1 AS node_id, 0 AS o, 400 * 800 * 1.4::DOUBLE * 1.35::DOUBLE AS score FROM x
             UNION ALL SELECT session_id * 4 + scan_id, seq * 64, 1 + seq % 8000, CAST(300 * (length(raw_text) * 3) AS DOUBLE) * CASE WHEN length(raw_text) * 3 > 300 * 0.55::DOUBLE THEN 1.4::DOUBLE ELSE 1.0 END FROM x WHERE seq % 7 = 0)
         SELECT scan_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, o) AS r FROM n) WHERE r = 1""",
+    "wide_scan_texts": """SELECT o_orderkey % 2 AS scan_id, seq + 1 AS seq, 'Green tea ' || o_orderkey || ' g $' || (o_orderkey % 90 + 1) AS raw_text
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS seq FROM orders) WHERE seq < 5000""",
+    "wide_scroll_targets": """WITH n AS (SELECT o_orderkey, o_orderkey % 9973 + 1 AS height, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS seq FROM orders),
+        s AS (SELECT *, 10 * height * CASE WHEN height > 5.5 THEN 1.4::DOUBLE ELSE 1.0 END AS score FROM n WHERE seq < 4000 AND o_orderkey % 3 = 0)
+        SELECT o_orderkey % 2 AS scan_id, o_orderkey AS node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY score DESC, seq) AS r FROM s) WHERE r = 1""",
+    # A card, its price, then lines: 100 nodes, or all before 1,200 signs of text are met.
+    "crowded_card_texts": """WITH n AS (SELECT DISTINCT l_suppkey AS s, l_orderkey * 8 + l_linenumber AS k FROM lineitem),
+        t AS (SELECT s, k, CASE WHEN s % 2 = 0 THEN 'w' || k ELSE 'a line that says more of order ' || k || ' and what it holds' END AS line FROM n UNION ALL SELECT DISTINCT s, 0, '$' || s FROM n),
+        c AS (SELECT *, row_number() OVER w + 1 AS n, sum(length(line) + 1) OVER w - length(line) - 1 AS before FROM t WINDOW w AS (PARTITION BY s ORDER BY k ROWS UNBOUNDED PRECEDING))
+        SELECT s // 4 AS scan_id, left(string_agg(line, chr(10) ORDER BY k), 1200) AS raw_text FROM c WHERE n <= 100 AND before < 1200 GROUP BY s""",
+    # A sign beyond the first 65,536 is two units, and half a sign isn't taken.
+    "long_item_names": """SELECT seq, CASE WHEN seq % 2 = 1 THEN left(name, 120) ELSE list_aggregate(list_transform(list_filter(range(1, 121), lambda i: i + length(regexp_replace(left(name, CAST(i AS INT)), '[^😀]', '', 'g')) <= 120), lambda i: substr(name, i, 1)), 'string_agg', '') END AS name
+        FROM (SELECT p_partkey AS seq, repeat(CASE WHEN p_partkey % 2 = 0 THEN '😀' ELSE 'x' END || p_name || '-', 30) AS name FROM part)""",
+    "badge_limit": _TRUTH + "SELECT scan_id AS session_id, least(count(*), 999) AS badge FROM x GROUP BY scan_id",
     "node_scan_ranked": _rank_sql("SMART", "session_id, rank, CAST(spot AS INT) AS place, name, price, metric, metric_label, mode", source="e", ctes=_NODES),
     "ocr_scan_items": _TRUTH + """SELECT o.session_id * 4 + o.scan_id AS scan_id, CAST(row_number() OVER (PARTITION BY o.session_id, o.scan_id ORDER BY o.born) - 1 AS INT) AS place, m.seq AS block_no, m.name, m.price, m.kind, m.confidence
         FROM o JOIN m ON m.session_id = o.session_id AND m.seq = o.held.seq""",

@@ -105,6 +105,40 @@ def screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(cards).unionByName(leaves)
 
 
+NODE = ("scan_id", "node_id", "parent_id", "child_ord", "text", "content_desc", "class_name", "l", "t", "r", "b", "scrollable")
+
+
+def _node(scan, node, parent, child_ord, text, class_name: str, r, b, scrollable) -> list[Column]:
+    values = (scan, node, parent, child_ord, text, None, class_name, 0, 0, r, b, scrollable)
+    types = ("long", "long", "long", "int", "string", "string", "string", "int", "int", "int", "int", "boolean")
+    return [(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(c) for v, t, c in zip(values, types, NODE, strict=True)]
+
+
+def wide_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trees, each of a root and a child for each order with its own price, every third of which scrolls: more than a walk
+    visits."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("Green tea "), key.cast("string"), F.lit(" g $"), (key % 90 + 1).cast("string"))
+    leaves = orders.select(*_node(key % 2, key, -1, key, text, "ui.Text", 10, key % 9973 + 1, key % 3 == 0))
+    return spark.range(2).select(*_node(F.col("id"), -1, None, 0, None, "ui.Frame", 4, 4, False)).unionByName(leaves)
+
+
+def crowded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of four cards each, one for each supplier: a short text with the price, then a line for each line item: short ones
+    of even suppliers, long ones of odd. A card has more nodes, and of these more text, than is read."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_orderkey", "l_linenumber").distinct()
+    s, key = F.col("s"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    line = F.when(s % 2 == 0, F.concat(F.lit("w"), key.cast("string"))).otherwise(F.concat(F.lit("a line that says more of order "), key.cast("string"), F.lit(" and what it holds")))
+    scan, card = F.floor(s / 4), s * 10_000_000_000
+    lines = items.select(*_node(scan, card + 2 + key, card, key, line, "ui.Text", 90, 20, False))
+    own = items.select("s").distinct()
+    cards = own.select(*_node(scan, card, -1, s % 4, None, "ui.CardItem", 300, 100, False))
+    prices = own.select(*_node(scan, card + 1, card, 0, F.concat(F.lit("$"), s.cast("string")), "ui.Text", 90, 20, False))
+    roots = own.select(scan.alias("k")).distinct().select(*_node(F.col("k"), -1, None, 0, None, "ui.Frame", 4, 4, False))
+    return roots.unionByName(cards).unionByName(prices).unionByName(lines)
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scan_id, block_no, line_no, line_text): a block of recognised lines for each listing."""
     rows = listings(spark, sf_dir)

@@ -1,21 +1,22 @@
 """Candidate texts from screen trees and from recognised lines.
 
-A tree is a relation of nodes. Depth and place are found by doubling the levels looked up, ancestors and descendants by joins on the
-parent; the limits on nodes and signs are window filters, as they decide the result.
+A tree is a relation of nodes. In the order of a breadth-first walk the children of a node stand side by side, and so do all
+nodes so many levels below it: numbers in that order make ancestors and subtrees a few ranges. They are found from three
+numbers of each node, a scan at a time; texts stay in the tables and are joined to what the walks meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gramwise.functions import analyze, fixed
 from gramwise.functions.text import has_price, normalize, prices, take, trim, units
 from gramwise.operators.dedupe import fold
-from gramwise.shared import checkpoint
-
-#: Rounds of `placed`: each doubles the levels looked up. Deeper nodes come after more nodes than a walk visits, and so do
-#: those below a node that it visits.
-ROUNDS = (fixed.VISITED + fixed.SUBTREE_NODES).bit_length()
+from gramwise.shared import materialise
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -24,21 +25,110 @@ def own_text(text: Column, description: Column) -> Column:
     return trim(F.concat_ws("\n", filled(text), F.when(~F.coalesce(description.eqNullSafe(text), F.lit(False)), filled(description))))
 
 
-def placed(nodes: DataFrame) -> DataFrame:
-    """Adds depth and path (the child numbers from the root): in this order a breadth-first walk meets the nodes.
-
-    Every node knows the path below some node above it, the parent at first; each round puts that one's own path before
-    it. Nodes without a way to a root are left out.
+class Tree:
+    """The nodes of one scan that can be reached from a root, numbered in the order of a breadth-first walk: roots and children
+    by child_ord, then by node_id. An id that a scan repeats counts once."""
+
+    def __init__(self, ids: np.ndarray, parents: np.ndarray, is_root: np.ndarray, child_ord: np.ndarray):
+        own, first = np.unique(ids, return_index=True)
+        above, is_root, child_ord = parents[first], is_root[first], child_ord[first]
+        up = np.minimum(np.searchsorted(own, above), len(own) - 1)
+        up = np.where(~is_root & (own[up] == above), up, np.where(is_root, -1, -2))
+        by_parent = np.lexsort((own, child_ord, up))
+        n_children = np.bincount(up[up >= 0], minlength=len(own))
+        start = np.searchsorted(up[by_parent], np.arange(len(own)))
+        level, levels = by_parent[up[by_parent] == -1], []
+        self.roots = len(level)
+        while len(level):
+            levels.append(level)
+            n = n_children[level]
+            level = by_parent[np.repeat(start[level], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.concatenate(levels) if levels else np.zeros(0, np.int64)
+        self.ids, self.rows = own[order], first[order]
+        n = n_children[order]
+        self.stop = self.roots + np.cumsum(n)  # children of node i: start[i] to stop[i]
+        self.start = self.stop - n
+        place = np.full(len(own), -1)
+        place[order] = np.arange(len(order))
+        above = up[order]
+        self.up = np.where(above >= 0, place[above], -1)
+
+    def ancestors(self, nodes: np.ndarray, most: int) -> np.ndarray:
+        """A row for each node: its parent, the parent's parent and so on, -1 above a root."""
+        out, now = [], nodes
+        for _ in range(most):
+            now = np.where(now >= 0, self.up[now], -1)
+            out.append(now)
+        return np.column_stack(out) if out else np.zeros((len(nodes), 0), np.int64)
+
+    def below(self, node: int, most: int) -> np.ndarray:
+        """The first nodes that a walk from node meets, itself included: a range for each level."""
+        low, high, out, n = node, node + 1, [], 0
+        while low < high and n < most:
+            out.append(np.arange(low, min(high, low + most - n)))
+            n += len(out[-1])
+            low, high = int(self.start[low]), int(self.stop[high - 1])
+        return np.concatenate(out)
+
+
+def reachable(nodes: DataFrame) -> DataFrame:
+    """Without children that no walk gets to, after more children of their parent than are ever visited: a list of millions of
+    rows is short work. Only parents that have so many are looked at."""
+    most = fixed.VISITED + fixed.SUBTREE_NODES
+    wide = nodes.where("parent_id is not null").groupBy("scan_id", "parent_id").count().where(F.col("count") > most).select("scan_id", "parent_id")
+    if not wide.take(1):
+        return nodes
+    of_wide = nodes.join(wide, ["scan_id", "parent_id"], "left_semi")
+    first = of_wide.withColumn("_n", F.row_number().over(W.partitionBy("scan_id", "parent_id").orderBy("child_ord", "node_id"))).where(F.col("_n") <= most).drop("_n")
+    return nodes.join(wide, ["scan_id", "parent_id"], "left_anti").unionByName(first.select(*nodes.columns))
+
+
+def walked(nodes: DataFrame) -> DataFrame:
+    """(scan_id, node_id, seq, ups, below) from (scan_id, node_id, parent_id, child_ord, seed, size): seq numbers the nodes in
+    the order of a walk. Of seeds that a walk visits, ups has up to CLIMB ancestors, the parent first. Of those ancestors,
+    below has the nodes of which their texts are made, in order: walks end at SUBTREE_NODES nodes, or at SUBTREE_UNITS of
+    size and one for each text before a node; nodes of size 0 have no text to use.
+
+    A task holds four numbers of each node of one scan. Nodes without a way to a root are left out.
     """
-    step = F.array(F.struct(F.col("child_ord").alias("o"), F.col("node_id").alias("i")))
-    now = nodes.withColumns({"_up": F.col("parent_id"), "path": step})
-    for _ in range(ROUNDS):
-        above = now.select("scan_id", F.col("node_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_above"))
-        joined = now.where("_up is not null").join(above, ["scan_id", "_up"]).withColumns({"path": F.concat("_above", "path"), "_up": F.col("_next")})
-        now = checkpoint(now.where("_up is null").unionByName(joined.select(*now.columns)))
-        if not now.where("_up is not null").take(1):
-            break
-    return now.where("_up is null").drop("_up").withColumn("depth", F.size("path") - 1)
+    names = ["node_id", "parent_id", "child_ord", "seed", "size"]
+    schema = "scan_id bigint, node_id bigint, seq bigint, ups array<bigint>, below array<bigint>"
+
+    def walk(scan: int, table: pa.Table) -> pa.RecordBatch:
+        ids, parents, child_ord, seed, size = (table.column(c) for c in names)
+        tree = Tree(ids.to_numpy(), parents.fill_null(0).to_numpy(), parents.is_null().to_numpy(), child_ord.to_numpy())
+        n = len(tree.ids)
+        size, seed = size.to_numpy()[tree.rows], seed.to_numpy()[tree.rows]
+        seeds = np.flatnonzero(seed[: fixed.VISITED])
+        ups = tree.ancestors(seeds, fixed.CLIMB)
+        above, below = [None] * n, [None] * n
+        for node, row in zip(seeds.tolist(), ups, strict=True):
+            above[node] = tree.ids[row[row >= 0]].tolist()
+        for node in np.unique(ups[ups >= 0]).tolist():
+            met = tree.below(node, fixed.SUBTREE_NODES)
+            taken = np.where(size[met] > 0, size[met] + 1, 0)
+            met = met[(np.cumsum(taken) - taken < fixed.SUBTREE_UNITS) & (taken > 0)]
+            below[node] = tree.ids[met].tolist()
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, scan)), pa.array(tree.ids), pa.array(np.arange(1, n + 1)), pa.array(above, longs), pa.array(below, longs)], ["scan_id", "node_id", "seq", "ups", "below"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            scans = batch.column("scan_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(scans[1:] != scans[:-1]) + 1).tolist(), len(scans)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low < high:
+                    if held and scans[low] != now:
+                        yield walk(now, pa.Table.from_batches(held))
+                        held = []
+                    now = int(scans[low])
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield walk(now, pa.Table.from_batches(held))
+
+    numbers = nodes.where("scan_id is not null and node_id is not null").select(F.col("scan_id").cast("long"), *[F.col(c).cast("long") for c in names[:2]], F.coalesce(F.col("child_ord").cast("long"), F.lit(0)).alias("child_ord"), "seed", F.col("size").cast("long"))
+    return numbers.repartition("scan_id").sortWithinPartitions("scan_id", "node_id", "parent_id", "child_ord").mapInArrow(run, schema)
 
 
 def score(text: Column, class_name: Column, width: Column, height: Column) -> Column:
@@ -52,34 +142,23 @@ def score(text: Column, class_name: Column, width: Column, height: Column) -> Co
     return by_length + by_prices + by_class + F.when((width > fixed.CARD_BOUNDS[0]) & (height > fixed.CARD_BOUNDS[1]), fixed.SCORE_BOUNDS).otherwise(0.0)
 
 
-def subtree_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(scan_id, node_id, text) of the wanted (scan_id, node_id): the texts below, breadth first, within the limits."""
-    # Pairs of a wanted node and each node below it: a node's path holds all that stand above it. What is as many levels
-    # below as the walk visits nodes isn't met.
-    nearest = F.slice(F.reverse(F.transform("path", lambda x: x["i"])), 1, fixed.SUBTREE_NODES)
-    above = nodes.select("scan_id", "depth", "path", "own", F.explode(nearest).alias("node_id"))
-    pairs = above.join(wanted, ["scan_id", "node_id"], "left_semi")
-    order = W.partitionBy("scan_id", "node_id").orderBy("depth", "path")
-    used = (F.length("own") > 0) & (units(F.col("own")) < fixed.OWN_MOST)
-    pairs = pairs.withColumns({"n": F.row_number().over(order), "before": F.coalesce(F.sum(F.when(used, units(F.col("own")) + 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    kept = pairs.where((F.col("n") <= fixed.SUBTREE_NODES) & (F.col("before") < fixed.SUBTREE_UNITS) & used)
-    lines = kept.groupBy("scan_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("lines"))
-    text = take(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), fixed.SUBTREE_UNITS)
-    return lines.select("scan_id", "node_id", text.alias("text"))
-
-
 def node_candidates(nodes: DataFrame) -> DataFrame:
-    """(scan_id, seq, raw_text): the best text at or above each node with a price, each text once, in order of first sight."""
-    tree = placed(nodes).withColumn("own", own_text(F.col("text"), F.col("content_desc")))
-    walk = W.partitionBy("scan_id").orderBy("depth", "path")
-    tree = tree.withColumn("seq", F.row_number().over(walk))
-    seeds = tree.where((F.col("seq") <= fixed.VISITED) & has_price(F.col("own")))
-    size = (F.col("r") - F.col("l"), F.col("b") - F.col("t"))
-    own = seeds.select("scan_id", "seq", F.lit(0).alias("up"), F.col("own").alias("text"), score(F.col("own"), F.col("class_name"), *size).alias("score"))
-    ups = seeds.select("scan_id", "seq", F.posexplode(F.slice(F.reverse(F.transform("path", lambda x: x["i"])), 2, fixed.CLIMB)).alias("up", "node_id"))
-    texts = subtree_texts(tree.select("scan_id", "depth", "path", "own"), ups.select("scan_id", "node_id").distinct())
-    shapes = tree.select("scan_id", "node_id", "class_name", "l", "t", "r", "b")
-    scored = texts.join(shapes, ["scan_id", "node_id"]).where(has_price(F.col("text"))).select("scan_id", "node_id", "text", score(F.col("text"), F.col("class_name"), *size).alias("score"))
+    """(scan_id, seq, raw_text): the best text at or above each node with a price, each text once, in order of first sight.
+
+    Ids are unique in a scan."""
+    tree = reachable(nodes).withColumn("own", own_text(F.col("text"), F.col("content_desc")))
+    size = F.when((F.length("own") > 0) & (units(F.col("own")) < fixed.OWN_MOST), units(F.col("own"))).otherwise(0)
+    walks = walked(tree.select("scan_id", "node_id", "parent_id", "child_ord", has_price(F.col("own")).alias("seed"), size.alias("size")))
+    tree = materialise(tree.select("scan_id", "node_id", "own", "class_name", (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h")).join(walks, ["scan_id", "node_id"]), "tree")
+    box = (F.col("w"), F.col("h"))
+    seeds = tree.where("ups is not null")
+    own = seeds.select("scan_id", "seq", F.lit(0).alias("up"), F.col("own").alias("text"), score(F.col("own"), F.col("class_name"), *box).alias("score"))
+    ups = seeds.select("scan_id", "seq", F.posexplode("ups").alias("up", "node_id"))
+    met = tree.where("below is not null").select("scan_id", F.col("node_id").alias("top"), F.posexplode("below").alias("n", "node_id"))
+    lines = met.join(tree.select("scan_id", "node_id", "own"), ["scan_id", "node_id"]).groupBy("scan_id", "top").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("lines"))
+    text = take(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), fixed.SUBTREE_UNITS)
+    texts = lines.select("scan_id", F.col("top").alias("node_id"), text.alias("text")).where(has_price(F.col("text")))
+    scored = texts.join(tree.select("scan_id", "node_id", "class_name", "w", "h"), ["scan_id", "node_id"]).select("scan_id", "node_id", "text", score(F.col("text"), F.col("class_name"), *box).alias("score"))
     climbed = ups.join(scored, ["scan_id", "node_id"]).select("scan_id", "seq", (F.col("up") + 1).alias("up"), "text", "score")
     best = own.unionByName(climbed).groupBy("scan_id", "seq").agg(F.max(F.struct("score", (-F.col("up")).alias("near"), "text")).alias("best"))
     good = best.select("scan_id", "seq", F.col("best.text").alias("raw_text")).where(units(F.col("raw_text")).between(*fixed.CANDIDATE_LENGTH))
@@ -88,8 +167,9 @@ def node_candidates(nodes: DataFrame) -> DataFrame:
 
 def best_scrollable(nodes: DataFrame) -> DataFrame:
     """(scan_id, node_id, score): the scrollable node that is largest, tall and named like a list; the first of equals."""
-    walk = W.partitionBy("scan_id").orderBy("depth", "path")
-    tree = placed(nodes).withColumn("seq", F.row_number().over(walk)).where(F.col("seq") <= fixed.SCROLL_VISITED).where("scrollable")
+    nodes = reachable(nodes)
+    walks = walked(nodes.select("scan_id", "node_id", "parent_id", "child_ord", F.lit(False).alias("seed"), F.lit(0).alias("size"))).where(F.col("seq") <= fixed.SCROLL_VISITED).select("scan_id", "node_id", "seq")
+    tree = nodes.where("scrollable").join(walks, ["scan_id", "node_id"])
     width, height = (F.col("r") - F.col("l")).cast("double"), (F.col("b") - F.col("t")).cast("double")
     value = width * height * F.when(height > width * fixed.TALL, fixed.TALL_FACTOR).otherwise(1.0)
     value = value * F.when(F.lower(F.coalesce("class_name", F.lit(""))).rlike(fixed.SCROLL_CLASS), fixed.SCROLL_FACTOR).otherwise(1.0)

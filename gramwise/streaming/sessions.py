@@ -57,14 +57,15 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, seq long", "kind string")
+        self.waiting = handle.getListState("waiting", "us long, seq long, kind string")
         self.due = handle.getValueState("due", "first long, last long, n long, scanning boolean, timer long")
 
-    def _advance(self, key, now_ms: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, now_ms: int, new: list[tuple]) -> pd.DataFrame:
         first, last, n, scanning, timer = self.due.get() or (0, 0, 0, False, 0)
-        passed = sorted((us, seq, kind) for (us, seq), (kind,) in self.waiting.iterator() if us < now_ms * 1000)
+        rows = sorted([*self.waiting.get(), *new]) if self.waiting.exists() else sorted(new)
+        passed = sum(us < now_ms * 1000 for us, *_ in rows)
         out = []
-        for us, seq, kind in passed:
+        for us, _, kind in rows[:passed]:
             if n and us - last > self.gap:
                 out.append((key[0], first, last, n))
                 n = 0
@@ -74,31 +75,31 @@ class Debounce(StatefulProcessor):
                 scanning = True
             elif kind == "stop":
                 scanning, n = False, 0
-            self.waiting.removeKey((us, seq))
         if n and now_ms * 1000 > last + self.gap:
             out.append((key[0], first, last, n))
             n = 0
-        self.due.update((first, last, n, scanning, timer))
-        yield pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"]).astype("int64")
+        rest = rows[passed:]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        # The timer is at the first time at which something may be over; then the watermark has passed it.
+        times = [us for us, *_ in rest[:1]] + ([last] if n else [])
+        at = (min(times) + self.gap) // 1000 + 1 if times else 0
+        if at != timer:
+            if timer > now_ms:
+                self.handle.deleteTimer(timer)
+            if at:
+                self.handle.registerTimer(at)
+        self.due.update((first, last, n, scanning, at))
+        return pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"]).astype("int64")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = 0
-        for part in rows:
-            for us, seq, kind in zip(part["us"].tolist(), part["seq"].tolist(), part["kind"].tolist(), strict=True):
-                self.waiting.updateValue((us, seq), (kind,))
-                latest = max(latest, us)
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-        *state, timer = self.due.get()
-        at = (latest + self.gap) // 1000 + 1
-        if at > timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(at)
-            self.due.update((*state, at))
+        new = [x for part in rows for x in zip(part["us"].tolist(), part["seq"].tolist(), part["kind"].tolist(), strict=True)]
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-        self.due.update((*self.due.get()[:-1], 0))
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
 
     def close(self) -> None:
         pass

@@ -1,5 +1,11 @@
+import random
+import time
+
+import numpy as np
+
 from gramwise.functions import analyze
 from gramwise.sources import best_scrollable, drop_noise, node_candidates, ocr_candidates
+from gramwise.sources.screen import Tree, reachable
 
 NODES = "scan_id long, node_id long, parent_id long, child_ord int, text string, content_desc string, class_name string, l int, t int, r int, b int, scrollable boolean"
 
@@ -27,6 +33,56 @@ def test_deep_trees_are_whole(spark):
     assert best_scrollable(spark.createDataFrame(rows, NODES).coalesce(1)).first()["node_id"] == 66
 
 
+def test_a_chain_of_thousands(spark):
+    """The price at the bottom of 4,000 levels has seven ancestors, and a walk from the root meets it."""
+    chain = [(s, k, k - 1 if k else None, 0, "Tea $6" if k == 3999 else f"n{k}", None, "x", 0, 0, 10, 10, k == 3998) for s in (1, 2) for k in range(4000)]
+    start = time.time()
+    assert [r["node_id"] for r in best_scrollable(spark.createDataFrame(chain, NODES)).collect()] == [3998, 3998]
+    found = node_candidates(spark.createDataFrame(chain, NODES)).collect()
+    assert [(r["seq"], r["raw_text"]) for r in found] == [(4000, "n3998\nTea $6")] * 2
+    assert time.time() - start < 60
+
+
+def walk(children, node):
+    queue = [node]
+    for n in queue:
+        queue += children.get(n, [])
+    return queue
+
+
+def test_trees_against_walks():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        ids = rng.sample(range(100), n)
+        rows = [(i, None if k == 0 or rng.random() < 0.05 else rng.choice(ids[:k] if rng.random() < 0.95 else range(200, 300)), rng.randint(0, 3)) for k, i in enumerate(ids)]
+        rng.shuffle(rows)
+        children = {}
+        for i, p, o in sorted(rows, key=lambda r: (r[2], r[0])):
+            children.setdefault(p, []).append(i)
+        order = [x for x in walk(children, None) if x is not None]
+        a = np.array
+        tree = Tree(a([r[0] for r in rows]), a([r[1] or 0 for r in rows]), a([r[1] is None for r in rows]), a([r[2] for r in rows]))
+        assert tree.ids.tolist() == order
+        up = {i: p for i, p, _ in rows}
+        for k, i in enumerate(order):
+            for most in (1, 3, 99):
+                assert tree.ids[tree.below(k, most)].tolist() == walk(children, i)[:most]
+            line = [i]
+            while up[line[-1]] is not None and len(line) < 5:
+                line.append(up[line[-1]])
+            row = tree.ancestors(a([k]), 4)[0]
+            assert tree.ids[row[row >= 0]].tolist() == line[1:]
+
+
+def test_wide_parents_lose_what_no_walk_gets_to(spark):
+    rows = [(1, 1, None, 0, None, None, "x", 0, 0, 10, 10, False)] + [(1, k, 1, k, f"Tea {k} g $6", None, "x", 0, 0, 1, 1, False) for k in range(2, 6000)]
+    nodes = spark.createDataFrame(rows, NODES).repartition(3)
+    assert reachable(nodes).count() == 5101
+    found = node_candidates(nodes).collect()
+    assert len(found) == 4999 and max(r["seq"] for r in found) == 5000
+
+
 def test_nodes_without_a_root_are_left_out(spark):
     rows = [(1, 1, None, 0, "Tea $6", None, "x", 0, 0, 10, 10, False), (1, 2, 9, 0, "Pears $3", None, "x", 0, 0, 10, 10, False), (1, 3, 4, 0, "Plums $2", None, "x", 0, 0, 1, 1, False), (1, 4, 3, 0, None, None, "x", 0, 0, 1, 1, False)]
     assert [r["raw_text"] for r in node_candidates(spark.createDataFrame(rows, NODES)).collect()] == ["Tea $6"]
