@@ -194,9 +194,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return loss, w[0] / scale, w[1] - w[0] * mid / scale
 
 
+def _col(name: str):
+    return F.col(f"`{name}`")
+
+
+def fitting(names: list[str], sizes: list[int], room: int) -> list[str]:
+    """The first names whose sizes fit the room together; one that doesn't fit what is left is passed over. If none fits, the
+    smallest is taken."""
+    out = []
+    for name, size in zip(names, sizes, strict=True):
+        if size <= room:
+            out.append(name)
+            room -= size
+    return out or names[:1] and [min(zip(sizes, names, strict=True))[1]]
+
+
 def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(_id, _toxic, _fold) of the ids to learn from. An id with several labels is toxic if one of them says so."""
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
+    marked = labels.where(_col(id_col).isNotNull() & _col(label_col).isNotNull()).groupBy(_col(id_col).alias("_id")).agg(F.max(_col(label_col).cast("int")).alias("_toxic"))
     return marked.withColumn("_fold", crc_mod(F.col("_id"), FOLDS)).where("_fold != 0 and _toxic in (0, 1)")
 
 
@@ -204,22 +219,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from rows of docs that labels marks and whose crc32(id) mod 5 is not 0.
 
     Of these, remainders 1 to 3 are counted and remainder 4 sets the share of toxic words and the logistic. Of each class
-    as many are taken, in the order of a hash of their ids, as fit ROWS and SAMPLE_BYTES; texts are taken whole. Of equal
-    texts one counts, and a word once in each text. Null ids and labels are left out.
+    ROWS are taken, in the order of a hash of their ids, and of their texts those that fit SAMPLE_BYTES together: one that
+    is too long is passed over, and if all are, the shortest is taken. Texts are taken whole. Of equal texts one counts, the
+    toxic one with the smallest id, of rows that repeat an id one, and a word once in each text. Null ids and labels are
+    left out.
     """
     marked = labelled(labels, id_col, label_col)
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = marked.where("_toxic = 1").orderBy(*order).limit(ROWS).unionByName(marked.where("_toxic = 0").orderBy(*order).limit(ROWS))
     chosen = materialise(chosen, "labelled")
     # At most 2 * ROWS rows of three numbers: this may always be sent.
-    sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").dropDuplicates(["text"])
-    sample = materialise(sample.select("_toxic", "_fold", F.xxhash64("_id").alias("_hash"), F.octet_length("text").alias("_size"), "text"), "sample")
-    sizes = sample.select("_toxic", "_hash", "_size").toPandas().sort_values("_hash")  # three numbers of each of at most 2 * ROWS rows
-    fits = F.lit(False)
-    for label, own in sizes.groupby("_toxic"):
-        own = own[own["_size"].cumsum() <= SAMPLE_BYTES]
-        fits = fits | ((F.col("_toxic") == int(label)) & (F.col("_hash") <= int(own["_hash"].max()))) if len(own) else fits
-    sample = sample.where(fits)
+    found = docs.select(_col(id_col).alias("_id"), F.coalesce(_col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    # One text of an id; of equal texts the toxic one with the smallest id. So there are no more rows than ids.
+    of_id = found.groupBy("_id", "_toxic", "_fold").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")).alias("x")).select("_id", "_toxic", "_fold", "x.*")
+    sample = of_id.groupBy("digest", "text").agg(F.min(F.struct((-F.col("_toxic")).alias("clean"), "_id", "_fold")).alias("x"))
+    sample = materialise(sample.select((-F.col("x.clean")).alias("_toxic"), "x._fold", F.xxhash64("x._id").alias("_hash"), "digest", F.octet_length("text").alias("_size"), "text"), "sample")
+    sizes = sample.select("_toxic", "_hash", "digest", "_size").toPandas().sort_values(["_hash", "digest"])  # a few numbers of each of at most 2 * ROWS rows
+    kept = [x for _, own in sizes.groupby("_toxic") for x in fitting(own["digest"].tolist(), own["_size"].tolist(), SAMPLE_BYTES)]
+    # As many digests at most.
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in kept], "digest string")), "digest", "left_semi")
 
     def count(batches):
         for batch in batches:
@@ -260,9 +278,10 @@ def ratios(docs: DataFrame, model: Model, id_col: str, text_col: str = "text", s
         for batch in batches:
             for part in slices(batch, "text"):
                 found = np.atleast_2d(sent.value.ratio(part.column(1), shares))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], [id_col, *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], ["_id", *names])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{n} double' for n in names)}")
+    found = docs.select(_col(id_col).alias("_id"), _col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, {', '.join(f'{n} double' for n in names)}")
+    return found.withColumnRenamed("_id", id_col)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -275,7 +294,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col, text_col, label_col)
     exponent = F.lit(model.slope) * F.col("ratio") + F.lit(model.shift)
     scored = ratios(docs, model, id_col, text_col).withColumn("score", 1 / (1 + F.exp(-exponent)))
-    return scored.select(id_col, (crc_mod(F.col(id_col), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(_col(id_col), (crc_mod(_col(id_col), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +309,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, f"c{at}"):
                 yield part.filter(pa.array(sent.value.exponent(part.column(at)) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

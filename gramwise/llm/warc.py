@@ -39,8 +39,9 @@ def records(pages: DataFrame, files: int) -> DataFrame:
     """(page_id, url, file, place, warc): pages are dealt to files by page_id, null ids by a digest of what they hold.
     place gives the order within a file."""
     digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", "url", "html").cast("binary")), 1, 8), 16, 10).cast("long")
-    file = F.pmod(F.coalesce(F.col("page_id").cast("long"), digest), F.lit(files)).cast("long")
-    return pages.select("page_id", "url", file.alias("file"), F.col("page_id").cast("long").alias("place"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("warc"))
+    number = F.col("page_id").try_cast("long")  # ids that are no whole numbers are dealt as null ones
+    file = F.pmod(F.coalesce(number, digest), F.lit(files)).cast("long")
+    return pages.select("page_id", "url", file.alias("file"), number.alias("place"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("warc"))
 
 
 def write_warc(rows: DataFrame, folder: str) -> None:
@@ -50,30 +51,39 @@ def write_warc(rows: DataFrame, folder: str) -> None:
 
 
 def _split(content: bytes):
-    """(begin, end) of each record. One whose length is wrong ends where the next begins."""
+    """(begin, end, whole) of each record. One whose header is cut or names no length, and one whose length is wrong, ends
+    where the next begins, or with the file; whole says that the header could be read."""
     gap, at = GAP.encode(), 0
     while at < len(content):
-        body = content.index(gap, at) + len(gap)
-        size = re.search(rb"\r\nContent-Length: (\d+)", content[at:body])
+        after = content.find(HEAD, at + 1)
+        after = len(content) if after < 0 else after
+        body = content.find(gap, at, after)
+        size = re.search(rb"\r\nContent-Length: (\d{1,18})(?=\r\n)", content[at : body + 2]) if body >= 0 and content.startswith(HEAD, at) else None
+        if not size:
+            yield at, after, False
+            at = after
+            continue
+        body += len(gap)
         end = body + int(size[1]) + len(gap)
-        if content[end - len(gap) : end] != gap or (end < len(content) and not content.startswith(HEAD, end)):
-            following = content.find(gap + HEAD, body - len(gap))
-            end = len(content) if following < 0 else following + len(gap)
-        yield at, end
+        whole = end <= len(content) and content[end - len(gap) : end] == gap
+        if not whole or not (end == len(content) or content.startswith(HEAD, end) or after >= end):
+            end = after
+        yield at, end, True
         at = end
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """(path, offset, length, record_id, url, html, sha256) of every record below a folder; a file at a time fits a task."""
+    """(path, offset, length, record_id, url, html, sha256) of every record below a folder; a file at a time fits a task.
+    Whatever the files hold is cut into records; the id of one whose header can't be read is null."""
 
     def parse(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 out = []
-                for at, end in _split(content):
+                for at, end, whole in _split(content):
                     head, _, body = content[at:end].partition(GAP.encode())
-                    fields = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n") if ": " in line)
-                    out.append((path, at, end - at, fields.get("WARC-Record-ID", ""), fields.get("WARC-Target-URI", ""), body.removesuffix(GAP.encode()).decode(errors="replace"), hashlib.sha256(content[at:end]).hexdigest()))
+                    fields = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n") if ": " in line) if whole else {}
+                    out.append((path, at, end - at, fields.get("WARC-Record-ID"), fields.get("WARC-Target-URI", ""), body.removesuffix(GAP.encode()).decode(errors="replace"), hashlib.sha256(content[at:end]).hexdigest()))
                 if out:
                     yield pd.DataFrame(out, columns=["path", "offset", "length", "record_id", "url", "html", "sha256"])
 
@@ -89,7 +99,7 @@ def catalogue(rows: DataFrame) -> DataFrame:
 
 
 def file_catalogue(spark, folder: str) -> DataFrame:
-    """The same from WARC files as write_warc leaves them, page_id being the record id."""
+    """The same from WARC files as write_warc leaves them, page_id being the record id, null where it can't be read."""
     rows = read_warc(spark, folder).select(F.col("record_id").alias("page_id"), F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "path", "offset", "length", "sha256")
     order = W.partitionBy("file").orderBy("path", "offset")
     return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("record_no"), "offset", "length", "sha256")
@@ -185,6 +195,15 @@ def compare(one: DataFrame, other: DataFrame) -> DataFrame:
     return marked.where("bad is null").select(*names, F.lit("ok").alias("status")).unionByName(found)
 
 
+def compare_files(spark, one: str, other: str) -> DataFrame:
+    """`compare` of the WARC files of two folders. A record of the second that can't be read counts as the one that stands at its
+    place in the first, if the second hasn't that elsewhere: it is corrupt, truncated or extended, and else extra."""
+    first, second = materialise(file_catalogue(spark, one), "first"), materialise(file_catalogue(spark, other), "second")
+    here = first.join(second.where("page_id is not null").select("page_id"), "page_id", "left_anti").select("file", "record_no", F.col("page_id").alias("_id"))
+    named = second.join(here, ["file", "record_no"], "left").withColumn("page_id", F.coalesce("page_id", "_id")).select(*second.columns)
+    return compare(first, named)
+
+
 def audit(pages: DataFrame, replica=damage) -> DataFrame:
     """(page_id, file, record_no, offset, length, sha256, status) for every record of pages, and for those that the second
     copy alone has.

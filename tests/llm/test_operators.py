@@ -384,6 +384,69 @@ def statuses(one, other):
     return found
 
 
+def test_a_long_labelled_text_costs_no_class(spark):
+    """A toxic text longer than all that is learned from is passed over, wherever it stands; ids with a dot in their name, rows
+    that repeat an id, and equal texts with unlike labels count by rule."""
+    good, bad = "the garden is warm and the river runs along the quiet town", "zorgfang vexkrull drubnak"
+    rows = [(i, f"{good} {i}" + (f" {bad} {i}" if i % 2 else "")) for i in range(400)]
+    labels = [(i, i % 2) for i in range(400)]
+    rows += [(i, f"{bad} " * (toxicity.SAMPLE_BYTES // 20)) for i in (401,)] + [(7, "again"), (7, "again"), (402, "again")]
+    labels += [(401, 1), (402, 0)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, text string")
+    marked = spark.createDataFrame(labels, "`doc.id` long, toxic int")
+    got = toxicity.score(docs, marked, "doc.id").collect()
+    held = [r for r in got if r["held_out"] and r["doc.id"] < 400]
+    assert len(held) > 50 and all(r["predicted"] == r["doc.id"] % 2 for r in held)
+    assert len(got) == len(rows)
+
+
+def test_what_fits():
+    assert toxicity.fitting(["a", "b", "c", "d"], [3, 9, 4, 1], 8) == ["a", "c", "d"]
+    assert toxicity.fitting(["a", "b"], [30, 20], 8) == ["b"] and toxicity.fitting([], [], 8) == []
+
+
+def test_damaged_warc_files(spark, tmp_path):
+    """Headers cut or overwritten, files cut short, a length that is no number: each is one bad record, the others are ok."""
+    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>" * (i % 5 + 1)) for i in range(60)]
+    made = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"), 6)
+    one, other = tmp_path / "one", tmp_path / "other"
+    for folder in (one, other):
+        warc.write_warc(made, str(folder))
+    assert {r["status"] for r in warc.compare_files(spark, str(one), str(other)).collect()} == {"ok"}
+    before = {(r["file"], r["record_no"]): r for r in warc.file_catalogue(spark, str(other)).collect()}
+    changes = {0: lambda b: b[:40], 1: lambda b: b"#" * 60 + b[60:], 2: lambda b: b.replace(b"Content-Length: ", b"Content-Length: x"), 3: lambda b: b.replace(b"\r\n\r\n", b"\r\n##", 1), 4: lambda b: b[:-3]}
+    hit = {}
+    for n, change in changes.items():
+        (path,) = (other / f"file={n}").glob("*.txt")
+        raw = path.read_bytes()
+        at = before[n, 4]
+        end = at["offset"] + at["length"]
+        path.write_bytes(raw[: at["offset"]] + change(raw[at["offset"] : end]) + raw[end:])
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        hit[n] = at["page_id"]
+    (path,) = (other / "file=5").glob("*.txt")
+    path.write_bytes(path.read_bytes()[:-200])
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    found = warc.compare_files(spark, str(one), str(other)).collect()
+    bad = {r["page_id"]: r["status"] for r in found if r["status"] not in ("ok", "displaced")}
+    assert {n: bad.get(i) for n, i in hit.items()} == {0: "truncated", 1: "corrupt", 2: "extended", 3: "corrupt", 4: "truncated"}
+    assert all(r["file"] == 5 for r in found if r["page_id"] in bad and r["page_id"] not in hit.values()) and len(bad) > 5
+    assert "extra" not in bad.values()
+
+
+def test_splitting_bytes_of_any_kind():
+    rng = np.random.default_rng(6)
+    whole = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" for _ in range(4))
+    for raw in (b"", b"\r\n\r\n", b"WARC/1.1", whole, whole[:-1], whole[5:], *(rng.integers(0, 256, 300).astype(np.uint8).tobytes() for _ in range(20)), *(bytes(b ^ (255 * (rng.random() < 0.02)) for b in whole) for _ in range(50))):
+        parts = list(warc._split(raw))
+        assert [a for a, _, _ in parts] == [0, *(e for _, e, _ in parts)][: len(parts)] and (parts[-1][1] if parts else 0) == len(raw)
+
+
+def test_ids_that_are_no_numbers(spark):
+    pages = spark.createDataFrame([("a", "u", "x"), ("b", None, "y"), ("7", "u", None), (None, "u", "x")], "page_id string, url string, html string")
+    assert sorted((str(r["page_id"]), r["status"]) for r in warc.audit(pages, replica=lambda x: x).collect()) == [("7", "ok"), ("None", "ok"), ("a", "ok"), ("b", "ok")]
+
+
 def test_warc_files_and_audit(spark, tmp_path):
     rows = [(i, f"http://a/{i}", f"<p>page {i} ü\r\n\r\nmore</p>") for i in range(6000)] + [(None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
