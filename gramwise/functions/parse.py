@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gramwise.functions import fixed
-from gramwise.functions.text import choose_price, found, item_name, let, normalize, number, prices
+from gramwise.functions.text import choose_price, found, item_name, let, normalize, number, once, prices
 
 PROMOTION = "struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>"
 
@@ -124,7 +124,8 @@ def portion(text: Column) -> Column:
     count = F.regexp_extract(t, fixed.FOOD_UNITS, 1).try_cast("double")
     # All words that say something of a portion, found at once; then they are tested in order.
     said = F.regexp_extract_all(t, F.lit(fixed.PORTION_WORDS), F.lit(0))
-    return let(F.struct(said.alias("said"), count.alias("count")), lambda x: _portion(x["said"], x["count"]))
+    # Most texts say nothing of it: for them nothing is tested.
+    return let(F.struct(said.alias("said"), count.alias("count")), lambda x: F.when((F.size(x["said"]) > 0) | x["count"].isNotNull(), _portion(x["said"], x["count"])))
 
 
 def _portion(said: Column, count: Column) -> Column:
@@ -151,20 +152,25 @@ def _portion(said: Column, count: Column) -> Column:
     return F.when(points.isNotNull(), F.struct(points.alias("points"), sure.alias("confidence"), basis.alias("basis")))
 
 
+@once
+def _parsed() -> tuple[Column, dict[str, Column], Column, Column]:
+    """Of raw_text, normalised: its price; then of it, _price and _lower: what analyze adds."""
+    t, low, price = F.col("raw_text"), F.col("_lower"), let(prices(F.col("raw_text")), lambda every: choose_price(F.col("raw_text"), every))
+    sure = F.lit(fixed.SURE) + F.coalesce(fixed.SURE_QUANTITY * F.col("quantity.confidence"), F.lit(0.0))
+    sure = sure + F.when(F.col("calories").isNotNull(), fixed.SURE_CALORIES).otherwise(0.0)
+    sure = sure + F.when(F.col("promotion.type") != "none", fixed.SURE_PROMOTION).otherwise(0.0)
+    found_ = {"price": F.col("_price.amount"), "currency": F.col("_price.currency"), "name": item_name(t), "quantity": quantity(low), "calories": calories(t), "portion": portion(low)}
+    return price, found_, promotion(low, F.col("price")), F.least(sure, F.lit(fixed.SURE_MOST))
+
+
 def analyze(listings: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Adds name, price, currency, quantity, calories, portion, promotion and confidence; raw_text becomes normalised.
 
     Rows without a usable price go before the costlier parsing.
     """
+    price, found_, offer, sure = _parsed()
     cheap = listings.where(F.col(text_col).rlike(fixed.PRICE)).withColumn("raw_text", normalize(F.col(text_col)))
-    t = F.col("raw_text")
     # A generator rather than a filter: it drops rows without a price, and the parse isn't pushed below and done again.
-    price = let(prices(t), lambda every: choose_price(t, every))
-    priced = cheap.select("*", F.explode(F.filter(F.array(price), lambda p: p.isNotNull())).alias("_price")).withColumn("_lower", F.lower(t))
-    low = F.col("_lower")
-    out = priced.withColumns({"price": F.col("_price.amount"), "currency": F.col("_price.currency"), "name": item_name(t), "quantity": quantity(low), "calories": calories(t), "portion": portion(low)})
-    out = out.withColumn("promotion", promotion(low, F.col("price")))
-    sure = F.lit(fixed.SURE) + F.coalesce(fixed.SURE_QUANTITY * F.col("quantity.confidence"), F.lit(0.0))
-    sure = sure + F.when(F.col("calories").isNotNull(), fixed.SURE_CALORIES).otherwise(0.0)
-    sure = sure + F.when(F.col("promotion.type") != "none", fixed.SURE_PROMOTION).otherwise(0.0)
-    return out.withColumn("confidence", F.least(sure, F.lit(fixed.SURE_MOST))).drop("_price", "_lower")
+    priced = cheap.select("*", F.explode(F.filter(F.array(price), lambda p: p.isNotNull())).alias("_price")).withColumn("_lower", F.lower("raw_text"))
+    out = priced.withColumns(found_).withColumn("promotion", offer)
+    return out.withColumn("confidence", sure).drop("_price", "_lower")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from gramwise.functions import fixed
@@ -9,6 +13,19 @@ from gramwise.functions import fixed
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def once[T](build: Callable[[], T]) -> Callable[[], T]:
+    """build() done once for each JVM: a column as large as a parse is thousands of calls to it."""
+    made: list = []
+
+    @wraps(build)
+    def get() -> T:
+        if not made or made[0] is not SparkContext._gateway:
+            made[:] = [SparkContext._gateway, build()]
+        return made[1]
+
+    return get
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value worked out once, however often use names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gramwise.functions import fixed
 from gramwise.functions.text import fixed_point, money
+from gramwise.operators.numbering import numbered
 
 #: Modes in the order that settles ties, with the metric's column, whether less is better, digits and ending of the label.
 MODES = {
@@ -47,9 +48,13 @@ def automatic_mode(counts: list[int]) -> str:
     return list(MODES)[-best[1]]
 
 
-def rank(items: DataFrame, mode: str | None = "SMART") -> DataFrame:
+def rank(items: DataFrame, mode: str | None = "SMART", spread: bool = False) -> DataFrame:
     """Adds mode (with None, each row names its own in that column), metric, metric_label and rank 1..n by session: items with
-    the metric first, the best first; the others by price; ties in the order in which the items came."""
+    the metric first, the best first; the others by price; ties in the order in which the items came.
+
+    A session is ranked by one task: what is collected is at most `fixed.KEPT` items, what one scan saw not many more. With
+    spread, sessions of any size are ranked by ranges of their order, over all tasks.
+    """
     items = with_metrics(items)
     if mode == "SMART":
         items = items.join(smart_mode(items), "session_id")
@@ -63,8 +68,10 @@ def rank(items: DataFrame, mode: str | None = "SMART") -> DataFrame:
         key = F.when(own, value if less else -value).otherwise(key)
         label = F.when(own & value.isNotNull(), F.concat(said, F.lit(ending))).otherwise(label)
     ranked = items.withColumns({"metric": metric, "metric_label": label, "_key": key})
-    order = W.partitionBy("session_id").orderBy(F.col("_key").asc_nulls_last(), F.when(F.col("metric").isNull(), F.col("price")), "place")
-    return ranked.withColumn("rank", F.row_number().over(order)).drop("_key")
+    order = [F.col("_key").asc_nulls_last(), F.when(F.col("metric").isNull(), F.col("price")).asc(), F.col("place").asc()]
+    if spread:
+        return numbered(ranked, ["session_id"], order, "rank").drop("_key").withColumn("rank", F.col("rank").cast("int"))
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("session_id").orderBy(*order))).drop("_key")
 
 
 def display_rows(ranked: DataFrame, top: int = fixed.SHOWN) -> DataFrame:

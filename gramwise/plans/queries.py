@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gramwise.functions import analyze, calories, canonical_name, choose_price, fixed, item_name, normalize, portion, prices, promotion, quantity
 from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
+from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
 from gramwise.sources import best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, OWN_PACKAGE, SEEN, SESSION_PARTS
@@ -121,6 +122,28 @@ for _mode in ("MASS", "VOLUME", "CALORIE", "PIZZA", "UNIT", "PORTION", "SMART"):
     QUERIES[f"rank_{_mode.lower()}"] = _ranked(_mode)
 
 
+@query
+def rank_one_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings as one session, which no cap holds down: ranked over all tasks."""
+    items = _items(spark, sf_dir).withColumns({"session_id": F.lit(0).cast("long"), "place": F.col("seq")})
+    return rank(items, "MASS", spread=True).select("session_id", "rank", "seq", "name", "price", "metric", "metric_label", "mode")
+
+
+@query
+def sql_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of each session, asked for in SQL."""
+    register_views(spark, listings(spark, sf_dir), "CALORIE")
+    return spark.sql("SELECT r.session_id, r.rank, r.name, r.metric_label, b.badge, i.calories FROM ranked r JOIN badges b USING (session_id) JOIN items i ON i.seq = r.seq WHERE r.rank <= 10")
+
+
+@query
+def sql_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of texts, in SQL."""
+    register_functions(spark)
+    listings(spark, sf_dir).createOrReplaceTempView("listing_texts")
+    return spark.sql("SELECT seq, normalized_text(concat('  ', raw_text, ' ')) AS t, canonical_name(substring_index(raw_text, '\\n', 1)) AS canonical, has_price(raw_text) AS priced FROM listing_texts WHERE instr(raw_text, '\\n') > 0")
+
+
 @query
 def top60_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display_rows(rank(collected(_items(spark, sf_dir)), "MASS"))
@@ -489,6 +512,9 @@ SQL = {
     "metric_values": _TRUTH + "SELECT seq, kg AS price_per_kg, litre AS price_per_l, cpd AS calories_per_dollar, apd AS pizza_area_per_dollar, unit AS price_per_unit, ppd AS portion_points_per_dollar FROM m",
     "smart_modes": _TRUTH + ", " + _smart("d") + "SELECT session_id, mode FROM g",
     **{f"rank_{m.lower()}": _rank_sql(m) for m in (*_MODES, "SMART")},
+    "rank_one_session": _rank_sql("MASS", source="(SELECT * EXCLUDE (session_id), CAST(0 AS BIGINT) AS session_id, seq AS spot FROM m)"),
+    "sql_ranked": _rank_sql("CALORIE", "session_id, rank, name, metric_label, badge, cal AS calories", "rank <= 10", source="(SELECT *, least(count(*) OVER (PARTITION BY session_id), 999) AS badge FROM d)"),
+    "sql_text_functions": _TRUTH + "SELECT seq, raw_text AS t, CASE v WHEN 22 THEN p_name || ' party' ELSE trim(regexp_replace(regexp_replace(lower(split_part(raw_text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) END AS canonical, true AS priced FROM x WHERE contains(raw_text, chr(10))",
     "top60_rows": _rank_sql("MASS", _SHOWN, "rank <= 60"),
     "badges": _TRUTH + "SELECT session_id, least(count(*), 999) AS badge FROM d GROUP BY session_id",
     "fifo_cap": _TRUTH + "SELECT session_id, CAST(spot AS INT) AS place, name FROM d QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY spot DESC) <= 100",
