@@ -17,9 +17,12 @@ from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
 from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
-from gramwise.sources import best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, table, wide_nodes
-from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, OWN_PACKAGE, SEEN, SESSION_PARTS
-from gramwise.streaming import collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
+from gramwise.sources import best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
+from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, GROUPS, OWN_PACKAGE, PHASES, SEEN, SESSION_PARTS
+from gramwise.streaming import collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, seen, stop_of_scan_all, with_ends
+
+#: The pause after which a scan runs in queries over events, in microseconds: events are hours apart.
+PAUSE = 6 * 3_600_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,22 +251,35 @@ def shown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timed(rows: DataFrame, gap_us: int) -> DataFrame:
-    """Rows of (session_id, seq, ts, kind) by days as a stream through the debounce; a last row of no session lets all pauses pass."""
-    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("seq"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
-    week = F.when(F.col("session_id") == -1, 5).otherwise(F.floor(F.dayofmonth("ts") / 7)).cast("int")
-    return _streamed(passive_scans(in_batches(rows.unionByName(end), week, 6), gap_us))
+    """Rows of (session_id, seq, ts, kind) by weeks as a stream through the debounce. Two more batches of rows of no session, enough
+    for all files of a batch, let all pauses pass: the first takes the watermark on, with the second what was due runs."""
+    last, k = rows.agg(F.max("ts").alias("ts")), F.col("k")
+    ends = last.select("ts", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(F.lit(-1).cast("long").alias("session_id"), k.cast("long").alias("seq"), (F.col("ts") + (F.floor(k / 4) + 1) * F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
+    week = F.when(F.col("session_id") == -1, F.floor(F.col("seq") / 4) + 5).otherwise(F.floor(F.dayofmonth("ts") / 7)).cast("int")
+    return passive_scans(in_batches(rows.unionByName(ends), week, 7), gap_us)
 
 
 @query
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`debounce_scans` by timers, as a stream."""
-    return _timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), 6 * 3_600_000_000)
+    return _streamed(_timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), PAUSE))
 
 
 @query
 def passive_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while all is being scanned now and then."""
-    return _timed(scan_all_events(spark, sf_dir), 6 * 3_600_000_000)
+    return _streamed(_timed(scan_all_events(spark, sf_dir), PAUSE))
+
+
+@query
+def events_to_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream from events to collections: pauses let passive scans run, these see what is on screen that day, and a session
+    keeps its last hundred items; what went may come back."""
+    scans = _timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), PAUSE)
+    scans = scans.withColumns({"grp": F.col("session_id") % GROUPS, "phase": F.floor(F.col("last_us") / 86_400_000_000) % PHASES})
+    what = with_ends(screens(spark, sf_dir), ["grp", "phase"])
+    found = collections(_streamed(collect_stream(seen(scans, what, ["grp", "phase"]), cap=100)))
+    return found.where("place is not null").select("session_id", "place", "seq", "item_key")
 
 
 @query
@@ -558,6 +574,24 @@ SQL = {
         r AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM c)
         SELECT session_id, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM r GROUP BY session_id, run""",
     "passive_scan_stream": _PASSIVE,
+    # Scan after scan: what is held stays or is replaced where it stands, what is new follows, and the last hundred stay.
+    "events_to_collection": _TRUTH.replace("WITH b AS", "WITH RECURSIVE b AS", 1) + """, ev AS (SELECT user_id AS session_id, epoch_us(ts) AS us FROM events),
+        gaps AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id ORDER BY us) > 21600000000 THEN 1 ELSE 0 END AS g FROM ev),
+        runs AS (SELECT *, sum(g) OVER (PARTITION BY session_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+        scans AS (SELECT session_id, last_us, row_number() OVER (PARTITION BY session_id ORDER BY last_us) AS step, session_id % 5 AS grp, last_us // 86400000000 % 12 AS phase
+                  FROM (SELECT session_id, run, max(us) AS last_us FROM runs GROUP BY ALL)),
+        own AS (SELECT p_partkey % 5 AS grp, p_partkey // 5 % 12 AS phase, item_key, min(p_partkey) AS born,
+                       list_reduce(list({'k': item_key, 'c': confidence, 'n': length(raw_text), 'seq': p_partkey} ORDER BY p_partkey), lambda a, b: CASE WHEN b.c > a.c OR b.n > a.n THEN b ELSE a END) AS held
+                FROM m WHERE scan_id = 1 AND more = '' AND v <> 27 GROUP BY ALL),
+        what AS (SELECT grp, phase, list(held ORDER BY born) AS items FROM own GROUP BY ALL),
+        todo AS (SELECT session_id, step, list_transform(items, lambda x: {'k': x.k, 'c': x.c, 'n': x.n, 'seq': last_us // 1000 * 1000000 + x.seq}) AS items FROM scans JOIN what USING (grp, phase)),
+        kept AS (SELECT session_id, step, items[-100:] AS held FROM todo WHERE step = 1
+                 UNION ALL
+                 SELECT session_id, step, (list_transform(held, lambda h: coalesce(list_filter(items, lambda x: x.k = h.k AND (x.c > h.c OR x.n > h.n))[1], h))
+                                           || list_filter(items, lambda x: NOT list_contains(list_transform(held, lambda h: h.k), x.k)))[-100:]
+                 FROM (SELECT t.session_id, t.step, t.items, k.held FROM kept k JOIN todo t ON t.session_id = k.session_id AND t.step = k.step + 1)),
+        ends AS (SELECT session_id, held FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step DESC) AS back FROM kept) WHERE back = 1)
+        SELECT session_id, CAST(i AS INT) AS place, held[i + 1].seq AS seq, held[i + 1].k AS item_key FROM (SELECT *, unnest(range(len(held))) AS i FROM ends)""",
     "stale_stop": """WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step,
             CAST(row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) = 1 AS INT) AS new FROM events),
         c AS (SELECT *, sum(new) OVER w AS collected, step - max(CASE WHEN new = 1 THEN step END) OVER w AS stale FROM e WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING))

@@ -105,6 +105,18 @@ def screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(cards).unionByName(leaves)
 
 
+#: Groups of sessions that see the same, and the days after which what they see comes again.
+GROUPS, PHASES = 5, 12
+
+
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, phase, place, raw_text): what a group of sessions has on screen on a day, from part."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    key = F.col("p_partkey")
+    text = F.get(F.array(*map(form, FORMS)), (key % len(FORMS)).cast("int"))
+    return part.select((key % GROUPS).alias("grp"), (F.floor(key / GROUPS) % PHASES).alias("phase"), key.cast("int").alias("place"), text.alias("raw_text"))
+
+
 NODE = ("scan_id", "node_id", "parent_id", "child_ord", "text", "content_desc", "class_name", "l", "t", "r", "b", "scrollable")
 
 

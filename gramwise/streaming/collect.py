@@ -29,6 +29,8 @@ CHANGES = "session_id long, step long, op string, item_key string, pos long, seq
 #: Scans of a screen tree by themselves, of a scan-all, by hand; and of recognised lines, whose sums and fees stay.
 SCANS, OCR = ("passive", "all", "hand"), "ocr"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Places on a screen, the last of which is its end.
+PLACES = 1_000_000
 SCALARS = ("package string, scanning boolean, due boolean, mode string, kind string, scan_id long, counted boolean, opened long, first long, next long, step long, " + ", ".join(f"n{i} long" for i in range(len(MODES))))
 HELD = "place long, confidence double, length int, metrics int, seq long, item string"
 
@@ -59,7 +61,7 @@ class Kept:
         return {k: v for k, v in self.now.items() if v is not None}
 
     def write(self) -> None:
-        if self.cleared:
+        if self.cleared and self.state.exists():
             self.state.clear()
         for key in self.changed:
             if self.now[key] is not None:
@@ -89,6 +91,7 @@ class Session:
         if row.kind in SCANS or row.kind == OCR:
             if self.kind != row.kind or self.scan_id != row.scan_id:
                 self.end_scan()
+                self.open.clear()
                 self.kind, self.scan_id = row.kind, int(row.scan_id)
                 self.counted = row.kind in ("hand", OCR) or (self.scanning if row.kind == "all" else self.due or not self.scanning)
                 self.due = self.due and row.kind != "passive"
@@ -168,20 +171,24 @@ class Session:
 
 
 class Collecting(StatefulProcessor):
+    def __init__(self, cap: int):
+        self.cap = cap
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.scalars = handle.getValueState("scalars", SCALARS)
         self.maps = [handle.getMapState(n, k, v) for n, k, v in (("items", "item_key string", HELD), ("order", "pos long", "item_key string"), ("open", "item_key string", HELD))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        session = Session(*self.maps, self.scalars.get())
+        session = Session(*self.maps, self.scalars.get(), self.cap)
         batch = sorted((row for part in rows for row in part.itertuples(index=False)), key=lambda r: r.seq)
         for row in batch:
             session.take(row)
         out = session.ended()
         self.scalars.update(session.scalars())
-        names = [c.split()[0] for c in CHANGES.split(", ")]
-        frame = pd.DataFrame([(key[0], *x) for x in out], columns=names)
-        yield frame.astype({"pos": "Int64", "seq": "Int64", "size": "Int64"})
+        # Whole numbers with nulls among them must not become floats on the way: places in time are beyond those.
+        fields = [c.split() for c in CHANGES.split(", ")]
+        columns = zip(*((key[0], *x) for x in out), strict=True)
+        yield pd.DataFrame({name: pd.array(x, "Int64" if kind == "long" else "object") for (name, kind), x in zip(fields, columns, strict=True)})
 
     def close(self) -> None:
         pass
@@ -194,19 +201,17 @@ def metrics_had(items: DataFrame) -> Column:
 
 
 def prepared(rows: DataFrame, own_package: str) -> DataFrame:
-    """Analysed items and control rows from (session_id, seq, kind, named, scan_id, raw_text)."""
+    """Analysed items and control rows from (session_id, seq, kind, named, scan_id, raw_text), in one pass: what gives the rows
+    may be stateful itself. Control rows are parsed as a price, of which nothing is kept."""
     is_item = F.col("kind").isin(*SCANS, OCR)
-    control = rows.where(~is_item)
     foreign = (F.length(trim(F.coalesce("named", F.lit("")))) > 0) & (F.col("named") != own_package)
-    control = control.withColumn("kind", F.when((F.col("kind") == "event") & ~foreign, "touch").otherwise(F.col("kind")))
-    items = with_metrics(drop_noise(analyze(rows.where(is_item)), F.col("kind") != OCR))
-    item = F.to_json(F.struct(*FIELDS))
-    items = items.select("session_id", "seq", "kind", "named", "scan_id", item_key().alias("item_key"), "confidence", units(F.col("raw_text")).alias("text_length"), metrics_had(items).alias("metrics"), item.alias("item"))
-    none = {"item_key": "string", "confidence": "double", "text_length": "int", "metrics": "int", "item": "string"}
-    return items.unionByName(control.select("session_id", "seq", "kind", "named", "scan_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
+    kind = F.when((F.col("kind") == "event") & ~foreign, "touch").otherwise(F.col("kind"))
+    items = with_metrics(drop_noise(analyze(rows.withColumns({"kind": kind, "raw_text": F.when(is_item, F.col("raw_text")).otherwise("$1")})), F.col("kind").isin(*SCANS)))
+    own = {"item_key": item_key(), "confidence": F.col("confidence"), "text_length": units(F.col("raw_text")), "metrics": metrics_had(items), "item": F.to_json(F.struct(*FIELDS))}
+    return items.select("session_id", "seq", "kind", "named", "scan_id", *[F.when(is_item, c).alias(name) for name, c in own.items()])
 
 
-def collect_stream(rows: DataFrame, own_package: str = "") -> DataFrame:
+def collect_stream(rows: DataFrame, own_package: str = "", cap: int = fixed.KEPT) -> DataFrame:
     """The changes (CHANGES) of each session's collection, from a stream of (session_id, seq, kind, named, scan_id, raw_text).
 
     kind: items are of a scan, passive, all (of a scan-all), hand or ocr. Control rows are event (named: the package on
@@ -215,7 +220,23 @@ def collect_stream(rows: DataFrame, own_package: str = "") -> DataFrame:
     batch, which the source's limits bound. State is kept in RocksDB, which this sets for the session's queries.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return prepared(rows, own_package).groupBy("session_id").transformWithStateInPandas(Collecting(), CHANGES, "append", "None")
+    return prepared(rows, own_package).groupBy("session_id").transformWithStateInPandas(Collecting(cap), CHANGES, "append", "None")
+
+
+def seen(scans: DataFrame, screens: DataFrame, on: list[str]) -> DataFrame:
+    """Rows for collect_stream of a stream of passive scans (session_id, last_us and the columns `on`) and a table of what is to be
+    seen (`on`, place, raw_text): each scan has the rows of screens that it joins, in the order of place, and its end.
+
+    The end of a scan is a row of screens too (`with_ends`), so that the stream isn't read twice.
+    """
+    rows = scans.join(screens, on)
+    seq = F.floor(F.col("last_us") / 1000) * PLACES + F.col("place")
+    return rows.select("session_id", seq.alias("seq"), F.when(F.col("place") == PLACES - 1, "done").otherwise("passive").alias("kind"), F.lit("").alias("named"), F.col("last_us").alias("scan_id"), "raw_text")
+
+
+def with_ends(screens: DataFrame, on: list[str]) -> DataFrame:
+    ends = screens.select(*on).distinct().withColumns({"place": F.lit(PLACES - 1), "raw_text": F.lit(None).cast("string")})
+    return screens.select(*on, "place", "raw_text").unionByName(ends)
 
 
 def collections(changes: DataFrame) -> DataFrame:

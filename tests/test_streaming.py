@@ -100,6 +100,9 @@ class Map(dict):
         self.touched.add(key)
         self[key] = value
 
+    def exists(self):
+        return bool(self)
+
     def removeKey(self, key):
         self.touched.add(key)
         self.pop(key, None)
