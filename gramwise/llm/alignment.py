@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gramwise.llm.common import id_kind, materialise, slices, with_row_ids
 
-#: Bytes of a range, of the text that a slice holds, ranges composed at once, and words that a lexicon keeps.
-RANGE, SLICE, FAN, LEXICON = 64 << 10, 4 << 20, 64, 400_000
+#: Bytes of a range, of the text that a slice holds, ranges composed at once, words that a lexicon keeps, and words that are
+#: encoded at once.
+RANGE, SLICE, FAN, LEXICON, AT_ONCE = 64 << 10, 4 << 20, 64, 400_000, 20_000
 #: A space at which both tokenizers begin anew.
 CUT = re.compile(rb"(?<=[^\x00-\x20])(?<!\xc2\x85)(?<!\xc2\xa0)(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80) ")
 #: Ids of the second tokenizer are below this.
@@ -176,8 +177,8 @@ class Lexicon:
         if len(self.at) + len(words) > LEXICON:
             self.clear()
         new = [w for w in words if w not in self.at]
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), AT_ONCE):
+            self._learn(new[i : i + AT_ONCE])
         return np.fromiter((self.at[w] for w in words), np.int64, len(words))
 
     def _learn(self, new: list[str]) -> None:
