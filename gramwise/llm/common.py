@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -64,6 +67,13 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers stay for later stages, and theirs counts there."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cut a batch into runs of rows whose column holds about `most` bytes; one long text makes a run of its own.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import crc_mod, materialise, slices
+from gramwise.llm.common import crc_mod, give_back, materialise, slices
 from gramwise.llm.tokens import BASES, Rolling, mix, words
 
 U = np.uint64
@@ -311,6 +311,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch, f"c{at}"):
                 yield part.filter(pa.array(sent.value.exponent(part.column(at)) < 0))
+                give_back()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
