@@ -100,6 +100,12 @@ def prices(normalized: Column) -> Column:
     return F.filter(every, lambda p: p["amount"] > 0)
 
 
+def count_prices(normalized: Column) -> Column:
+    """How many `prices` finds, without where and in what currency."""
+    every = F.transform(F.regexp_extract_all(normalized, F.lit(fixed.PRICE), F.lit(0)), lambda m: number(F.regexp_extract(m, fixed.PRICE_NUMBER, 0)))
+    return F.size(F.filter(every, lambda n: n > 0))
+
+
 def has_price(c: Column) -> Column:
     return c.rlike(fixed.PRICE)
 

@@ -57,10 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Dealt anew where the scan has fewer partitions than there are cores, as small files give: parsing is the costly part."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+#: Rows of a task that parses.
+TASK_ROWS = 25_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Dealt anew by a key, as parsing is the costly part: into as many tasks as there are cores, more for large tables. A small
+    file, or one of few row groups, is read by few tasks, whatever its number of rows. That number is in the file's footer."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), key)
 
 
 def form(text: str) -> Column:
@@ -71,10 +76,18 @@ def form(text: str) -> Column:
     return F.concat(*[known[x[1:-1]].cast("string") if x[0] == "{" else F.lit(x) for x in pieces])
 
 
+def form_of(key: Column) -> Column:
+    """The text of a part by its key. Only its own form is put together, not all of which one is then taken."""
+    out, v = F.lit(None).cast("string"), (key % len(FORMS)).cast("int")
+    for k, text in reversed(list(enumerate(FORMS))):
+        out = F.when(v == k, form(text)).otherwise(out)
+    return out
+
+
 def listings_of(part: DataFrame) -> DataFrame:
     """(session_id, scan_id, seq, source_package, raw_text) from part: rows in the order of scans and their places."""
-    text = F.get(F.array(*map(form, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
     key = F.col("p_partkey")
+    text = form_of(key)
     seen = [F.when(key % every == 0, F.struct(F.lit(scan).cast("long").alias("scan"), F.lit(place).alias("place"), F.lit(more).alias("after"))) for scan, place, every, more in SEEN]
     rows = part.select("p_partkey", text.alias("text"), F.explode(F.array_compact(F.array(*seen))).alias("s"))
     return rows.select(
@@ -87,7 +100,7 @@ def listings_of(part: DataFrame) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings_of(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")))
+    return listings_of(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey"))
 
 
 def screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +126,7 @@ def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, phase, place, raw_text): what a group of sessions has on screen on a day, from part."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     key = F.col("p_partkey")
-    text = F.get(F.array(*map(form, FORMS)), (key % len(FORMS)).cast("int"))
+    text = form_of(key)
     return part.select((key % GROUPS).alias("grp"), (F.floor(key / GROUPS) % PHASES).alias("phase"), key.cast("int").alias("place"), text.alias("raw_text"))
 
 
@@ -188,7 +201,7 @@ def recorded(part: DataFrame) -> DataFrame:
     key, at = F.col("p_partkey"), F.col("p_partkey") % SESSION_PARTS
     row = lambda kind, place, named="", text=None: F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("named"), F.lit(place).alias("place"), (F.lit(None).cast("string") if text is None else text).alias("text"))
     before = [F.when(at == place, row(kind, -1, named)) for place, kind, named in RECORDED]
-    text = F.get(F.array(*map(form, FORMS)), (key % len(FORMS)).cast("int"))
+    text = form_of(key)
     kind = F.get(F.array(*map(F.lit, SCAN_KINDS)), (F.floor(at / SCAN_PARTS) % len(SCAN_KINDS)).cast("int"))
     items = [row(kind, 0, text=text), F.when(key % 7 == 0, row(kind, 1, text=F.concat(text, F.lit(" ."))))]
     done = F.when(at % SCAN_PARTS == SCAN_PARTS - 1, row("done", 2))

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gramwise.functions import analyze, fixed
-from gramwise.functions.text import has_price, normalize, prices, take, trim, units
+from gramwise.functions.text import count_prices, has_price, let, normalize, take, trim, units
 from gramwise.operators.dedupe import fold
-from gramwise.shared import materialise
+from gramwise.shared import materialise, release
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -25,6 +25,10 @@ def own_text(text: Column, description: Column) -> Column:
     return trim(F.concat_ws("\n", filled(text), F.when(~F.coalesce(description.eqNullSafe(text), F.lit(False)), filled(description))))
 
 
+#: Nodes whose subtrees are walked at once.
+SLICE = 16_384
+
+
 class Tree:
     """The nodes of one scan that can be reached from a root, numbered in the order of a breadth-first walk: roots and children
     by child_ord, then by node_id. An id that a scan repeats counts once."""
@@ -62,13 +66,23 @@ class Tree:
         return np.column_stack(out) if out else np.zeros((len(nodes), 0), np.int64)
 
     def below(self, node: int, most: int) -> np.ndarray:
-        """The first nodes that a walk from node meets, itself included: a range for each level."""
-        low, high, out, n = node, node + 1, [], 0
-        while low < high and n < most:
-            out.append(np.arange(low, min(high, low + most - n)))
-            n += len(out[-1])
-            low, high = int(self.start[low]), int(self.stop[high - 1])
-        return np.concatenate(out)
+        """The first nodes that a walk from node meets, itself included."""
+        return self.all_below(np.array([node]), most)[1]
+
+    def all_below(self, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of each of the nodes, one after the other: places in nodes, and what is met. A range for each level."""
+        at, low, high, room, levels = np.arange(len(nodes)), nodes, nodes + 1, np.full(len(nodes), most), []
+        while len(at):
+            n = np.minimum(high - low, room)
+            levels.append((np.repeat(at, n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())))
+            low, high, room = self.start[low], self.stop[high - 1], room - n
+            on = (low < high) & (room > 0)
+            at, low, high, room = at[on], low[on], high[on], room[on]
+        if not levels:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, met = (np.concatenate(x) for x in zip(*levels, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], met[order]
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
@@ -83,6 +97,13 @@ def reachable(nodes: DataFrame) -> DataFrame:
     return nodes.join(wide, ["scan_id", "parent_id"], "left_anti").unionByName(first.select(*nodes.columns))
 
 
+def lists(n: int, places: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """n lists, null but at the places (in order), which have so many of the values each."""
+    each, null = np.zeros(n, np.int64), np.ones(n, bool)
+    each[places], null[places] = sizes, False
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(values, pa.int64()), mask=pa.array(null))
+
+
 def walked(nodes: DataFrame) -> DataFrame:
     """(scan_id, node_id, seq, ups, below) from (scan_id, node_id, parent_id, child_ord, seed, size): seq numbers the nodes in
     the order of a walk. Of seeds that a walk visits, ups has up to CLIMB ancestors, the parent first. Of those ancestors,
@@ -101,16 +122,22 @@ def walked(nodes: DataFrame) -> DataFrame:
         size, seed = size.to_numpy()[tree.rows], seed.to_numpy()[tree.rows]
         seeds = np.flatnonzero(seed[: fixed.VISITED])
         ups = tree.ancestors(seeds, fixed.CLIMB)
-        above, below = [None] * n, [None] * n
-        for node, row in zip(seeds.tolist(), ups, strict=True):
-            above[node] = tree.ids[row[row >= 0]].tolist()
-        for node in np.unique(ups[ups >= 0]).tolist():
-            met = tree.below(node, fixed.SUBTREE_NODES)
+        own = ups >= 0
+        above = lists(n, seeds, own.sum(axis=1), tree.ids[ups[own]])
+        tops = np.unique(ups[own])
+        n_below, ids = [], []
+        for k in range(0, len(tops), SLICE):
+            part = tops[k : k + SLICE]
+            at, met = tree.all_below(part, fixed.SUBTREE_NODES)
             taken = np.where(size[met] > 0, size[met] + 1, 0)
-            met = met[(np.cumsum(taken) - taken < fixed.SUBTREE_UNITS) & (taken > 0)]
-            below[node] = tree.ids[met].tolist()
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, scan)), pa.array(tree.ids), pa.array(np.arange(1, n + 1)), pa.array(above, longs), pa.array(below, longs)], ["scan_id", "node_id", "seq", "ups", "below"])
+            before = np.cumsum(taken) - taken
+            before -= before[np.searchsorted(at, np.arange(len(part)))][at]
+            good = (before < fixed.SUBTREE_UNITS) & (taken > 0)
+            n_below.append(np.bincount(at[good], minlength=len(part)))
+            ids.append(tree.ids[met[good]])
+        none = np.zeros(0, np.int64)
+        below = lists(n, tops, np.concatenate([none, *n_below]), np.concatenate([none, *ids]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, scan)), pa.array(tree.ids), pa.array(np.arange(1, n + 1)), above, below], ["scan_id", "node_id", "seq", "ups", "below"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -131,13 +158,18 @@ def walked(nodes: DataFrame) -> DataFrame:
     return numbers.repartition("scan_id").sortWithinPartitions("scan_id", "node_id", "parent_id", "child_ord").mapInArrow(run, schema)
 
 
+def apart(one: DataFrame, two: DataFrame, *keys: str) -> DataFrame:
+    """A join of sides that both grow with the input. What comes out of Python or of a table counts by what went in or by its
+    file, which is small beside its rows: left to itself Spark sends such a side through the driver."""
+    return one.hint("merge").join(two.hint("merge"), list(keys))
+
+
 def score(text: Column, class_name: Column, width: Column, height: Column) -> Column:
     """How much a text looks like one product's card."""
-    n, count = units(text), F.size(prices(normalize(text)))
     (low, high, good), (most, fair), bad = fixed.SCORE_LENGTH
-    by_length = F.when(n.between(low, high), good).when(n <= most, fair).otherwise(bad)
+    by_length = let(units(text), lambda n: F.when(n.between(low, high), good).when(n <= most, fair).otherwise(bad))
     (one, best), (few, some), others = fixed.SCORE_PRICES
-    by_prices = F.when(count == one, best).when(count.between(one, few), some).otherwise(others)
+    by_prices = let(count_prices(normalize(text)), lambda n: F.when(n == one, best).when(n.between(one, few), some).otherwise(others))
     by_class = F.when(F.lower(F.coalesce(class_name, F.lit(""))).rlike(fixed.CARD_CLASS), fixed.SCORE_CLASS).otherwise(0.0)
     return by_length + by_prices + by_class + F.when((width > fixed.CARD_BOUNDS[0]) & (height > fixed.CARD_BOUNDS[1]), fixed.SCORE_BOUNDS).otherwise(0.0)
 
@@ -146,20 +178,24 @@ def node_candidates(nodes: DataFrame) -> DataFrame:
     """(scan_id, seq, raw_text): the best text at or above each node with a price, each text once, in order of first sight.
 
     Ids are unique in a scan."""
-    tree = reachable(nodes).withColumn("own", own_text(F.col("text"), F.col("content_desc")))
-    size = F.when((F.length("own") > 0) & (units(F.col("own")) < fixed.OWN_MOST), units(F.col("own"))).otherwise(0)
-    walks = walked(tree.select("scan_id", "node_id", "parent_id", "child_ord", has_price(F.col("own")).alias("seed"), size.alias("size")))
-    tree = materialise(tree.select("scan_id", "node_id", "own", "class_name", (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h")).join(walks, ["scan_id", "node_id"]), "tree")
     box = (F.col("w"), F.col("h"))
+    numbers = nodes.select("scan_id", "node_id", "parent_id", "child_ord", own_text(F.col("text"), F.col("content_desc")).alias("own"), "class_name", (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h"))
+    size = let(units(F.col("own")), lambda n: F.when((n > 0) & (n < fixed.OWN_MOST), n).otherwise(0))
+    nodes = materialise(numbers.select("*", has_price(F.col("own")).alias("seed"), size.alias("size")), "nodes")
+    reached = reachable(nodes)
+    walks = walked(reached.select("scan_id", "node_id", "parent_id", "child_ord", "seed", "size"))
+    tree = materialise(apart(reached.select("scan_id", "node_id", "own", "class_name", "w", "h"), walks, "scan_id", "node_id"), "tree")
+    release(nodes)
     seeds = tree.where("ups is not null")
     own = seeds.select("scan_id", "seq", F.lit(0).alias("up"), F.col("own").alias("text"), score(F.col("own"), F.col("class_name"), *box).alias("score"))
     ups = seeds.select("scan_id", "seq", F.posexplode("ups").alias("up", "node_id"))
     met = tree.where("below is not null").select("scan_id", F.col("node_id").alias("top"), F.posexplode("below").alias("n", "node_id"))
-    lines = met.join(tree.select("scan_id", "node_id", "own"), ["scan_id", "node_id"]).groupBy("scan_id", "top").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("lines"))
-    text = take(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), fixed.SUBTREE_UNITS)
-    texts = lines.select("scan_id", F.col("top").alias("node_id"), text.alias("text")).where(has_price(F.col("text")))
-    scored = texts.join(tree.select("scan_id", "node_id", "class_name", "w", "h"), ["scan_id", "node_id"]).select("scan_id", "node_id", "text", score(F.col("text"), F.col("class_name"), *box).alias("score"))
-    climbed = ups.join(scored, ["scan_id", "node_id"]).select("scan_id", "seq", (F.col("up") + 1).alias("up"), "text", "score")
+    lines = apart(met, tree.select("scan_id", "node_id", "own"), "scan_id", "node_id").groupBy("scan_id", "top").agg(F.array_sort(F.collect_list(F.struct("n", "own"))).alias("lines"))
+    text = let(F.array_join(F.array_distinct(F.transform("lines", lambda x: x["own"])), "\n"), lambda c: take(c, fixed.SUBTREE_UNITS))
+    # A generator, as in analyze: a filter would be pushed below and the text made twice.
+    texts = lines.select("scan_id", F.col("top").alias("node_id"), F.explode(F.filter(F.array(text), has_price)).alias("text"))
+    scored = apart(texts, tree.select("scan_id", "node_id", "class_name", "w", "h"), "scan_id", "node_id").select("scan_id", "node_id", "text", score(F.col("text"), F.col("class_name"), *box).alias("score"))
+    climbed = apart(ups, scored, "scan_id", "node_id").select("scan_id", "seq", (F.col("up") + 1).alias("up"), "text", "score")
     best = own.unionByName(climbed).groupBy("scan_id", "seq").agg(F.max(F.struct("score", (-F.col("up")).alias("near"), "text")).alias("best"))
     good = best.select("scan_id", "seq", F.col("best.text").alias("raw_text")).where(units(F.col("raw_text")).between(*fixed.CANDIDATE_LENGTH))
     return good.groupBy("scan_id", "raw_text").agg(F.min("seq").alias("seq")).select("scan_id", "seq", "raw_text")
@@ -169,7 +205,7 @@ def best_scrollable(nodes: DataFrame) -> DataFrame:
     """(scan_id, node_id, score): the scrollable node that is largest, tall and named like a list; the first of equals."""
     nodes = reachable(nodes)
     walks = walked(nodes.select("scan_id", "node_id", "parent_id", "child_ord", F.lit(False).alias("seed"), F.lit(0).alias("size"))).where(F.col("seq") <= fixed.SCROLL_VISITED).select("scan_id", "node_id", "seq")
-    tree = nodes.where("scrollable").join(walks, ["scan_id", "node_id"])
+    tree = apart(nodes.where("scrollable"), walks, "scan_id", "node_id")
     width, height = (F.col("r") - F.col("l")).cast("double"), (F.col("b") - F.col("t")).cast("double")
     value = width * height * F.when(height > width * fixed.TALL, fixed.TALL_FACTOR).otherwise(1.0)
     value = value * F.when(F.lower(F.coalesce("class_name", F.lit(""))).rlike(fixed.SCROLL_CLASS), fixed.SCROLL_FACTOR).otherwise(1.0)

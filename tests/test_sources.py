@@ -108,3 +108,24 @@ def test_ocr_context_is_clipped(spark):
 def test_noise(spark):
     df = spark.createDataFrame([(1, "Subtotal $20.00"), (2, "Subtotal 500 g $20.00"), (3, "Tea $5")], "seq long, raw_text string")
     assert sorted(r["seq"] for r in drop_noise(analyze(df)).collect()) == [2, 3]
+
+
+def test_no_side_of_a_tree_goes_through_the_driver(spark):
+    """Sides that grow with the input are shuffled, however small they look before they are read."""
+    rows = [(s, k, 0 if k else None, k, f"Tea {k} g $6", None, "x", 0, 0, 10, 10, True) for s in range(20) for k in range(9)]
+    nodes = spark.createDataFrame(rows, NODES)
+    for found in (node_candidates(nodes), best_scrollable(nodes)):
+        assert found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subtrees_of_many_nodes_at_once():
+    rng = np.random.default_rng(3)
+    ids = np.arange(300)
+    parents = np.array([0, *(int(rng.integers(max(0, i - 20), i)) for i in range(1, 300))])
+    tree = Tree(ids, parents, ids == 0, np.zeros(300, np.int64))
+    for most in (1, 7, 100):
+        at, met = tree.all_below(np.arange(300), most)
+        assert all((met[at == k] == tree.below(k, most)).all() for k in range(300))
+        children = {k: [c for c in range(300) if tree.up[c] == k] for k in range(300)}
+        assert all(met[at == k].tolist() == walk(children, k)[:most] for k in range(300))
