@@ -56,13 +56,13 @@ class Debounce(StatefulProcessor):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, seq long, kind string")
-        self.due = handle.getValueState("due", "first long, last long, n long, scanning boolean, timer long")
+        # Each call to state or timers takes a millisecond or two, so all that is kept of a session is one value.
+        self.handle, self.done = handle, {}
+        self.due = handle.getValueState("due", "first long, last long, n long, scanning boolean, timer long, us array<long>, seq array<long>, kind array<string>")
 
-    def _advance(self, key, now_ms: int, new: list[tuple]) -> pd.DataFrame:
-        first, last, n, scanning, timer = self.due.get() or (0, 0, 0, False, 0)
-        rows = sorted([*self.waiting.get(), *new]) if self.waiting.exists() else sorted(new)
+    def _advance(self, key, now_ms: int, new: list[tuple]) -> Iterator[pd.DataFrame]:
+        first, last, n, scanning, timer, *waiting = self.due.get() or (0, 0, 0, False, 0, [], [], [])
+        rows = sorted([*zip(*waiting, strict=True), *new])
         passed = sum(us < now_ms * 1000 for us, *_ in rows)
         out = []
         for us, _, kind in rows[:passed]:
@@ -79,10 +79,6 @@ class Debounce(StatefulProcessor):
             out.append((key[0], first, last, n))
             n = 0
         rest = rows[passed:]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
         # The timer is at the first time at which something may be over; then the watermark has passed it.
         times = [us for us, *_ in rest[:1]] + ([last] if n else [])
         at = (min(times) + self.gap) // 1000 + 1 if times else 0
@@ -91,15 +87,20 @@ class Debounce(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if at:
                 self.handle.registerTimer(at)
-        self.due.update((first, last, n, scanning, at))
-        return pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"]).astype("int64")
+        self.due.update((first, last, n, scanning, at, *([x[i] for x in rest] for i in range(3))))
+        self.done[key[0]] = now_ms
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"], dtype="int64")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [x for part in rows for x in zip(part["us"].tolist(), part["seq"].tolist(), part["kind"].tolist(), strict=True)]
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        # Rows that came in this batch have taken the session as far already.
+        if self.done.get(key[0]) != now_ms:
+            yield from self._advance(key, now_ms, [])
 
     def close(self) -> None:
         pass
