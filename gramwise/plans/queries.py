@@ -19,7 +19,8 @@ from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
 from gramwise.sources import best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, GROUPS, OWN_PACKAGE, PHASES, SEEN, SESSION_PARTS
-from gramwise.streaming import collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, seen, stop_of_scan_all, with_ends
+from gramwise.streaming import collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.streaming.collect import LOOKED_UP
 
 #: The pause after which a scan runs in queries over events, in microseconds: events are hours apart.
 PAUSE = 6 * 3_600_000_000
@@ -277,8 +278,11 @@ def events_to_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     keeps its last hundred items; what went may come back."""
     scans = _timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), PAUSE)
     scans = scans.withColumns({"grp": F.col("session_id") % GROUPS, "phase": F.floor(F.col("last_us") / 86_400_000_000) % PHASES})
-    what = with_ends(screens(spark, sf_dir), ["grp", "phase"])
-    found = collections(_streamed(collect_stream(seen(scans, what, ["grp", "phase"]), cap=100)))
+    what, on, cap = screens(spark, sf_dir), ["grp", "phase"], 100
+    items = screen_items(what, on, cap)
+    if items.count() <= LOOKED_UP:
+        return looked(_streamed(look_stream(scans, items, on, cap)), items).select("session_id", "place", "seq", "item_key")
+    found = collections(_streamed(collect_stream(seen(scans, with_ends(what, on), on), cap=cap)))
     return found.where("place is not null").select("session_id", "place", "seq", "item_key")
 
 

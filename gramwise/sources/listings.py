@@ -124,7 +124,7 @@ GROUPS, PHASES = 5, 12
 
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, phase, place, raw_text): what a group of sessions has on screen on a day, from part."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey")
     key = F.col("p_partkey")
     text = form_of(key)
     return part.select((key % GROUPS).alias("grp"), (F.floor(key / GROUPS) % PHASES).alias("phase"), key.cast("int").alias("place"), text.alias("raw_text"))

@@ -1,4 +1,4 @@
-from gramwise.streaming.collect import Session, collect_stream, collections, display, seen, with_ends
+from gramwise.streaming.collect import Session, collect_stream, collections, display, look_stream, looked, screen_items, seen, with_ends
 from gramwise.streaming.sessions import debounced, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
 
-__all__ = ["Session", "collect_stream", "collections", "debounced", "display", "package_sessions", "passive_scans", "scan_all_stops", "seen", "stop_of_scan_all", "with_ends"]
+__all__ = ["Session", "collect_stream", "collections", "debounced", "display", "look_stream", "looked", "package_sessions", "passive_scans", "scan_all_stops", "screen_items", "seen", "stop_of_scan_all", "with_ends"]

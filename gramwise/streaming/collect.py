@@ -19,8 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gramwise.functions import analyze, fixed
 from gramwise.functions.text import trim, units
-from gramwise.operators.dedupe import item_key
+from gramwise.operators.dedupe import Collection, fold, item_key
 from gramwise.operators.rank import MODES, automatic_mode, display_rows, rank, shown, with_metrics
+from gramwise.shared import materialise
 from gramwise.sources.screen import drop_noise
 
 ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
@@ -239,6 +240,73 @@ def with_ends(screens: DataFrame, on: list[str]) -> DataFrame:
     return screens.select(*on, "place", "raw_text").unionByName(ends)
 
 
+#: Items of screens that a task looks up at most; with more, scans are joined to their rows.
+LOOKED_UP = 200_000
+LOOK = "session_id long, step long, smart string, screen array<int>, item array<int>, us array<long>"
+
+
+def screen_items(screens: DataFrame, on: list[str], cap: int) -> DataFrame:
+    """(screen, `on`, item, item_key, confidence, text_length, metrics, place) of (`on`, place, raw_text): each screen is parsed and
+    folded once, as every scan of it would be, and its last 2 * cap items are numbered backwards.
+
+    No others matter to a session that keeps cap keys: of so many, cap at least are new to it, and these alone stay.
+    """
+    rows = drop_noise(analyze(screens.select(*on, F.col("place").alias("at"), "raw_text")))
+    items = fold(with_metrics(rows), on, ["at"])
+    last = items.select(*on, "item_key", "confidence", units(F.col("raw_text")).alias("text_length"), metrics_had(items).alias("metrics"), F.col("at").alias("_at"), "place")
+    last = last.join(last.groupBy(*on).agg(F.max("place").alias("_last")), on).withColumn("item", F.col("_last") - F.col("place")).where(F.col("item") < 2 * cap)
+    known = last.select(*on).distinct().select(*on, F.row_number().over(W.orderBy(*on)).alias("screen"))
+    return materialise(last.drop("_last", "place").withColumnRenamed("_at", "place").join(F.broadcast(known), on), "screens")
+
+
+class Looking(StatefulProcessor):
+    """A session's collection of what known screens show: the items it holds are numbers of a screen and an item of it."""
+
+    def __init__(self, screens: dict[int, list[tuple]], cap: int):
+        self.screens, self.cap = screens, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = {(screen, item[4]): item for screen, items in self.screens.items() for item in items}
+        self.held = handle.getValueState("held", "step long, screen array<int>, item array<int>, us array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        step, *held = self.held.get() or (0, (), (), ())
+        now = Collection(self.cap)
+        for screen, item, us in zip(*held, strict=True):
+            name, sure, length, *_ = self.items[screen, item]
+            now.put(name, sure, length, (screen, item, us))
+        for us, screen in sorted(x for part in rows for x in zip(part["last_us"].tolist(), part["screen"].tolist(), strict=True)):
+            for name, sure, length, _, item in self.screens[screen]:
+                now.put(name, sure, length, (screen, item, us))
+            now.end_scan()
+        held = [list(x) for x in zip(*(x[2] for x in now.items.values()), strict=True)] or [[], [], []]
+        had = [self.items[screen, item][3] for screen, item in zip(*held[:2], strict=True)]
+        smart = automatic_mode([sum(m >> i & 1 for m in had) for i in range(len(MODES))])
+        self.held.update((step + 1, *held))
+        yield pd.DataFrame({"session_id": [key[0]], "step": [step + 1], "smart": [smart], "screen": [held[0]], "item": [held[1]], "us": [held[2]]})
+
+    def close(self) -> None:
+        pass
+
+
+def look_stream(scans: DataFrame, items: DataFrame, on: list[str], cap: int = fixed.KEPT) -> DataFrame:
+    """What each session holds after each batch (LOOK), from a stream of passive scans (session_id, last_us and the columns `on`) and
+    `screen_items`. Scans go to their sessions as they are; what they see is with the tasks, so it must be LOOKED_UP at most."""
+    scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    screens: dict[int, list[tuple]] = {}
+    for r in items.select("screen", "item", "item_key", "confidence", "text_length", "metrics").orderBy("screen", F.desc("item")).collect():
+        screens.setdefault(r["screen"], []).append((r["item_key"], r["confidence"], r["text_length"], r["metrics"], r["item"]))
+    numbers = F.broadcast(items.select(*on, "screen").distinct())
+    return scans.join(numbers, on).select("session_id", "last_us", "screen").groupBy("session_id").transformWithStateInPandas(Looking(screens, cap), LOOK, "append", "None")
+
+
+def looked(states: DataFrame, items: DataFrame) -> DataFrame:
+    """(session_id, place, seq, item_key, smart) of what `look_stream` wrote: what each session has after all of it."""
+    last = states.groupBy("session_id").agg(F.max_by(F.struct("smart", F.arrays_zip("screen", "item", "us").alias("held")), "step").alias("s"))
+    held = last.select("session_id", "s.smart", F.posexplode("s.held").alias("place", "h")).select("session_id", "place", "smart", "h.*")
+    return held.join(F.broadcast(items.select("screen", "item", "item_key", F.col("place").alias("_at"))), ["screen", "item"]).select("session_id", "place", (F.floor(F.col("us") / 1000) * PLACES + F.col("_at")).alias("seq"), "item_key", "smart")
+
+
 def collections(changes: DataFrame) -> DataFrame:
     """(session_id, place, seq, item_key, mode, smart, item) of changes: what each session has after all of them, in the order of
     insertion; a session without items gives a row with a null place."""

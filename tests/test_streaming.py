@@ -12,7 +12,7 @@ from gramwise.functions import analyze, fixed
 from gramwise.operators import collected, smart_mode, with_metrics
 from gramwise.operators.dedupe import Collection
 from gramwise.sources import in_batches
-from gramwise.streaming import Session, collect_stream, collections, debounced, display, package_sessions, passive_scans, scan_all_stops, stop_of_scan_all
+from gramwise.streaming import Session, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
 
 SCHEMA = "session_id long, seq long, kind string, named string, scan_id long, raw_text string"
 
@@ -233,3 +233,20 @@ def test_scan_all_stops(spark):
     assert stop_of_scan_all(acted).first()["step"] == 2
     long = spark.range(1, 120).select(F.lit(1).cast("long").alias("session_id"), F.col("id").cast("int").alias("step"), F.col("id").cast("int").alias("collected"))
     assert stop_of_scan_all(long).first()["step"] == 90
+
+
+def test_known_screens_are_looked_up(spark, tmp_path):
+    """Scans of screens with more than twice what is kept leave what their rows one by one leave, and no text is parsed for
+    each scan."""
+    texts = [(g, k, f"Tea {k // 2 * (g + 1)} g $6" + " ." * (k % 2)) for g, n in ((0, 40), (1, 9), (2, 14)) for k in range(n)]
+    what = spark.createDataFrame(texts, "grp long, place int, raw_text string")
+    rng = random.Random(5)
+    scans = spark.createDataFrame([(s, i * 1_000_000, rng.randrange(3)) for s in range(4) for i in range(7)], "session_id long, last_us long, grp long")
+    batch = (F.col("last_us") >= 3_000_000).cast("int")
+    items = screen_items(what, ["grp"], 5)
+    assert items.groupBy("grp").count().agg(F.max("count")).first()[0] == 10
+    got = looked(written(look_stream(in_batches(scans, batch, 2, files=1), items, ["grp"], 5), tmp_path / "look"), items)
+    rows = seen(in_batches(scans, batch, 2, files=1), with_ends(what, ["grp"]), ["grp"])
+    want = collections(written(collect_stream(rows, cap=5), tmp_path / "rows"))
+    pick = lambda df: sorted(map(tuple, df.select("session_id", "place", "seq", "item_key", "smart").collect()))
+    assert pick(got) == pick(want) and len(pick(got)) == 20
