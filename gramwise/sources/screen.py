@@ -89,11 +89,17 @@ def reachable(nodes: DataFrame) -> DataFrame:
     """Without children that no walk gets to, after more children of their parent than are ever visited: a list of millions of
     rows is short work. Only parents that have so many are looked at."""
     most = fixed.VISITED + fixed.SUBTREE_NODES
-    wide = nodes.where("parent_id is not null").groupBy("scan_id", "parent_id").count().where(F.col("count") > most).select("scan_id", "parent_id")
+    wide = nodes.where("parent_id is not null").groupBy("scan_id", "parent_id").count().where(F.col("count") > most)
     if not wide.take(1):
         return nodes
-    of_wide = nodes.join(wide, ["scan_id", "parent_id"], "left_semi")
-    first = of_wide.withColumn("_n", F.row_number().over(W.partitionBy("scan_id", "parent_id").orderBy("child_ord", "node_id"))).where(F.col("_n") <= most).drop("_n")
+    # The first children are among the first of each of some parts of them, as many parts as leave tasks of one size twice: the
+    # root of how many times too many there are. The order is the same in both, so nothing is decided otherwise.
+    parts = F.ceil(F.sqrt(F.col("count") / most)).cast("long")
+    of_wide = nodes.join(wide.select("scan_id", "parent_id", parts.alias("_parts")), ["scan_id", "parent_id"]).withColumn("_part", F.pmod(F.xxhash64("node_id"), "_parts"))
+    wide = wide.select("scan_id", "parent_id")
+    order, first = ("child_ord", "node_id"), of_wide
+    for by in (("scan_id", "parent_id", "_part"), ("scan_id", "parent_id")):
+        first = first.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
     return nodes.join(wide, ["scan_id", "parent_id"], "left_anti").unionByName(first.select(*nodes.columns))
 
 
