@@ -203,7 +203,7 @@ def crowded_card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def long_item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names longer than what is taken of them, in UTF-16 units."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), "p_partkey")
     text = F.concat(F.repeat(F.concat(F.when(F.col("p_partkey") % 2 == 0, "😀").otherwise("x"), "p_name", F.lit("-")), F.lit(30)), F.lit("\n$"), F.col("p_retailprice").cast("decimal(10,2)").cast("string"))
     return part.select(F.col("p_partkey").alias("seq"), item_name(normalize(text)).alias("name"))
 

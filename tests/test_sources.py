@@ -4,6 +4,7 @@ import time
 import numpy as np
 
 from gramwise.functions import analyze
+from gramwise.plans import QUERIES
 from gramwise.sources import best_scrollable, drop_noise, node_candidates, ocr_candidates
 from gramwise.sources.screen import Tree, reachable
 
@@ -129,3 +130,17 @@ def test_subtrees_of_many_nodes_at_once():
         assert all((met[at == k] == tree.below(k, most)).all() for k in range(300))
         children = {k: [c for c in range(300) if tree.up[c] == k] for k in range(300)}
         assert all(met[at == k].tolist() == walk(children, k)[:most] for k in range(300))
+
+
+def test_a_wide_parent_is_no_task_of_its_own(spark):
+    """The first children are told from parts of all of them."""
+    nodes = spark.range(60_000).selectExpr("0L scan_id", "id node_id", "if(id = 0, null, 0L) parent_id", "int(60000 - id) child_ord")
+    found = reachable(nodes)
+    assert found.where("node_id >= 54900").count() == 5100 and found.count() == 5101
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parsing_is_dealt_over_tasks(spark, tmp_path):
+    """One row group is read by one task, but not parsed by one."""
+    spark.range(60_000).selectExpr("id p_partkey", "'tea' p_name", "5.0 p_retailprice", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["long_item_names"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
