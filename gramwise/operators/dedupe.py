@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gramwise.functions import fixed
 from gramwise.functions.text import canonical_name, fixed_point, let, units
 from gramwise.operators.numbering import numbered
-from gramwise.shared import materialise
+from gramwise.shared import apart, materialise, small
 
 LARGEST_INT = 2147483647
 #: Rows of a key that are folded at once, and summaries that are composed at once.
@@ -80,6 +80,7 @@ def survivors(rows: DataFrame, keys: list[str], order: list[str], run: int = RUN
     fold_list = F.aggregate(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), head, lambda a, x: F.when(_beats(x, a), x).otherwise(a))
     if not many.take(1):
         return ended(listed(rows), head["at"], fold_list)
+    many = small(many)
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     few = ended(listed(rows.join(many, same, "left_anti")), head["at"], fold_list)
     hot = numbered(rows.join(many, same, "left_semi"), keys, [F.col(c) for c in order], "_n")
@@ -93,7 +94,7 @@ def survivors(rows: DataFrame, keys: list[str], order: list[str], run: int = RUN
     whole = F.get("s", F.lit(0))
     # The first record is the first item of all.
     firsts = hot.where("_n = 1").select(*keys, F.struct(*order).alias("first"))
-    merged = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], whole["out"].alias("_last")).join(firsts, same)
+    merged = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], whole["out"].alias("_last")).hint("merge").join(firsts.hint("merge"), same)
     return few.unionByName(merged.select(*keys, "first", "_last.c", "_last.n", "_last._row"))
 
 
@@ -112,7 +113,7 @@ def fold(items: DataFrame, group: list[str], order: list[str], run: int = RUN, f
     rows = _keyed(items)
     left = survivors(_narrow(rows, *group, *order), [*group, "item_key"], order, run, fan)
     left = numbered(left.select(*group, "first", "_row"), group, [F.col("first")], "_n")
-    return rows.join(left.select("_row", (F.col("_n") - 1).cast("int").alias("place")), "_row").select(*items.columns, "item_key", "place")
+    return apart(rows, left.select("_row", (F.col("_n") - 1).cast("int").alias("place")), "_row").select(*items.columns, "item_key", "place")
 
 
 class Collection:
@@ -165,7 +166,7 @@ def collected(items: DataFrame, cap: int = fixed.KEPT, run: int = RUN, fan: int
             held.end_scan()
             yield _placed(list(enumerate(x[2] for x in held.items.values())))
 
-    return rows.join(steps.mapInArrow(read, "_row bigint, place int"), "_row").select(*items.columns, "item_key", "place")
+    return apart(rows, steps.mapInArrow(read, "_row bigint, place int"), "_row").select(*items.columns, "item_key", "place")
 
 
 def _placed(out: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gramwise.shared import materialise
+from gramwise.shared import materialise, small
 
 
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "n") -> DataFrame:
@@ -21,6 +21,7 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "
     runs = placed.groupBy(*[f"`{g}`" for g in group], "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(W.partitionBy(*[f"`{g}`" for g in group]).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_first", before.alias("_before"))
+    runs = small(materialise(runs, "runs"))
     same = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))

@@ -8,10 +8,12 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folders to remove when the driver ends.
 _FOLDERS: set[str] = set()
+#: Rows that a small side may have to be sent to every executor.
+BROADCAST_ROWS = 200_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where tables that were written stand.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -77,3 +79,14 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         if path := _PATHS.pop(df, None):
             remove(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def apart(one: DataFrame, two: DataFrame, *keys: str) -> DataFrame:
+    """A join of sides that both grow with the input. What comes out of Python or of a table counts by what went in or by its
+    file, which is small beside its rows: left to itself Spark sends such a side through the driver."""
+    return one.hint("merge").join(two.hint("merge"), list(keys))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting: df should be materialised and narrow. Larger sides are shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

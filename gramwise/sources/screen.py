@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gramwise.functions import analyze, fixed
 from gramwise.functions.text import count_prices, has_price, let, normalize, take, trim, units
 from gramwise.operators.dedupe import fold
-from gramwise.shared import materialise, release
+from gramwise.shared import apart, materialise, release
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -164,12 +164,6 @@ def walked(nodes: DataFrame) -> DataFrame:
     return numbers.repartition("scan_id").sortWithinPartitions("scan_id", "node_id", "parent_id", "child_ord").mapInArrow(run, schema)
 
 
-def apart(one: DataFrame, two: DataFrame, *keys: str) -> DataFrame:
-    """A join of sides that both grow with the input. What comes out of Python or of a table counts by what went in or by its
-    file, which is small beside its rows: left to itself Spark sends such a side through the driver."""
-    return one.hint("merge").join(two.hint("merge"), list(keys))
-
-
 def score(text: Column, class_name: Column, width: Column, height: Column) -> Column:
     """How much a text looks like one product's card."""
     (low, high, good), (most, fair), bad = fixed.SCORE_LENGTH

@@ -88,3 +88,12 @@ def test_numbers(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 4 * 0).otherwise(F.when(F.col("id") % 7 > 0, F.col("id") % 50)).alias("g"), (F.col("id") * 7919 % 5003).alias("o")).repartition(6)
     want = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("o")).cast("long"))
     assert sorted(map(str, numbered(df, ["g"], [F.col("o")]).collect())) == sorted(map(str, want.collect()))
+
+
+def test_folds_send_nothing_that_grows_through_the_driver(spark):
+    """Written tables are small beside their rows: joins of rows by their numbers are shuffled whatever the files' size."""
+    rows = items(spark, rows_of(random.Random(5), 300))
+    for df in (fold(rows, ["session_id"], ["seq"]), collected(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "_row" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
