@@ -99,8 +99,13 @@ def survivors(rows: DataFrame, keys: list[str], order: list[str], run: int = RUN
 
 
 def _keyed(items: DataFrame) -> DataFrame:
-    """Items with item_key and _row, a number of the row, written once: parsing isn't done again."""
-    return materialise(items.select("*", item_key().alias("item_key"), F.monotonically_increasing_id().alias("_row")), "items")
+    """Items with item_key (their own, if they come with it) and _row, a number of the row, written once: parsing isn't done again."""
+    key = F.col("item_key") if "item_key" in items.columns else item_key()
+    return materialise(items.select(*_plain(items), key.alias("item_key"), F.monotonically_increasing_id().alias("_row")), "items")
+
+
+def _plain(items: DataFrame) -> list[str]:
+    return [c for c in items.columns if c != "item_key"]
 
 
 def _narrow(rows: DataFrame, *names: str) -> DataFrame:
@@ -113,7 +118,7 @@ def fold(items: DataFrame, group: list[str], order: list[str], run: int = RUN, f
     rows = _keyed(items)
     left = survivors(_narrow(rows, *group, *order), [*group, "item_key"], order, run, fan)
     left = numbered(left.select(*group, "first", "_row"), group, [F.col("first")], "_n")
-    return apart(rows, left.select("_row", (F.col("_n") - 1).cast("int").alias("place")), "_row").select(*items.columns, "item_key", "place")
+    return apart(rows, left.select("_row", (F.col("_n") - 1).cast("int").alias("place")), "_row").select(*_plain(items), "item_key", "place")
 
 
 class Collection:
@@ -166,7 +171,7 @@ def collected(items: DataFrame, cap: int = fixed.KEPT, run: int = RUN, fan: int
             held.end_scan()
             yield _placed(list(enumerate(x[2] for x in held.items.values())))
 
-    return apart(rows, steps.mapInArrow(read, "_row bigint, place int"), "_row").select(*items.columns, "item_key", "place")
+    return apart(rows, steps.mapInArrow(read, "_row bigint, place int"), "_row").select(*_plain(items), "item_key", "place")
 
 
 def _placed(out: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gramwise.functions import analyze, canonical_name, normalize
 from gramwise.functions.text import has_price
 from gramwise.operators import badge, collected, display_rows, rank, with_metrics
+from gramwise.sources import analysed
 
 #: Functions of one text, as the expressions of the library; Spark inlines them.
 FUNCTIONS = {"normalized_text": (normalize, "STRING"), "canonical_name": (canonical_name, "STRING"), "has_price": (has_price, "BOOLEAN")}
@@ -29,9 +30,8 @@ def register_views(spark: SparkSession, source: str | DataFrame, mode: str = "SM
     of the listings at the time of this call: they are folded and written for it.
     """
     rows = spark.table(source) if isinstance(source, str) else source
-    items = analyze(rows)
-    with_metrics(items).createOrReplaceTempView("items")
-    own = collected(items)
+    with_metrics(analyze(rows)).createOrReplaceTempView("items")
+    own = collected(analysed(rows))
     own.createOrReplaceTempView("collected")
     ranked = rank(own, mode)
     ranked.createOrReplaceTempView("ranked")

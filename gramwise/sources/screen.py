@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gramwise.functions import analyze, fixed
+from gramwise.functions import fixed
 from gramwise.functions.text import count_prices, has_price, let, normalize, take, trim, units
 from gramwise.operators.dedupe import fold
 from gramwise.shared import apart, materialise, release
+from gramwise.sources.texts import analysed
 
 
 def own_text(text: Column, description: Column) -> Column:
@@ -236,11 +237,11 @@ def drop_noise(items: DataFrame, from_tree: Column | bool = True) -> DataFrame:
 
 def node_items(nodes: DataFrame) -> DataFrame:
     """A scan of screen trees from end to end: the items of each scan after the fold, without noise, with item_key and place."""
-    items = drop_noise(analyze(node_candidates(nodes)))
+    items = drop_noise(analysed(node_candidates(nodes)))
     return fold(items, ["scan_id"], ["seq"])
 
 
 def ocr_items(lines: DataFrame) -> DataFrame:
     """The same of recognised lines; noise stays."""
     texts = ocr_candidates(lines).withColumnRenamed("place", "line")
-    return fold(analyze(texts), ["scan_id"], ["block_no", "line"])
+    return fold(analysed(texts), ["scan_id"], ["block_no", "line"])

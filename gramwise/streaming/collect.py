@@ -23,6 +23,7 @@ from gramwise.operators.dedupe import Collection, fold, item_key
 from gramwise.operators.rank import MODES, automatic_mode, display_rows, rank, shown, with_metrics
 from gramwise.shared import materialise
 from gramwise.sources.screen import drop_noise
+from gramwise.sources.texts import analysed
 
 ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
 FIELDS = ("name", "raw_text", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence")
@@ -251,7 +252,7 @@ def screen_items(screens: DataFrame, on: list[str], cap: int) -> DataFrame:
 
     No others matter to a session that keeps cap keys: of so many, cap at least are new to it, and these alone stay.
     """
-    rows = drop_noise(analyze(screens.select(*on, F.col("place").alias("at"), "raw_text")))
+    rows = drop_noise(analysed(screens.select(*on, F.col("place").alias("at"), "raw_text")))
     items = fold(with_metrics(rows), on, ["at"])
     last = items.select(*on, "item_key", "confidence", units(F.col("raw_text")).alias("text_length"), metrics_had(items).alias("metrics"), F.col("at").alias("_at"), "place")
     last = last.join(last.groupBy(*on).agg(F.max("place").alias("_last")), on).withColumn("item", F.col("_last") - F.col("place")).where(F.col("item") < 2 * cap)

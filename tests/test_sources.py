@@ -4,8 +4,9 @@ import time
 import numpy as np
 
 from gramwise.functions import analyze
+from gramwise.operators import item_key
 from gramwise.plans import QUERIES
-from gramwise.sources import best_scrollable, drop_noise, node_candidates, ocr_candidates
+from gramwise.sources import best_scrollable, drop_noise, node_candidates, ocr_candidates, texts
 from gramwise.sources.screen import Tree, reachable
 
 NODES = "scan_id long, node_id long, parent_id long, child_ord int, text string, content_desc string, class_name string, l int, t int, r int, b int, scrollable boolean"
@@ -144,3 +145,20 @@ def test_parsing_is_dealt_over_tasks(spark, tmp_path):
     """One row group is read by one task, but not parsed by one."""
     spark.range(60_000).selectExpr("id p_partkey", "'tea' p_name", "5.0 p_retailprice", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert QUERIES["long_item_names"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_a_text_is_parsed_once_however_often_it_is_seen(spark, monkeypatch):
+    seen = []
+
+    def counted(rows):
+        seen.append(rows.count())
+        return analyze(rows)
+
+    monkeypatch.setattr(texts, "analyze", counted)
+    rows = spark.createDataFrame([(i, ("Gala apples\n1 kg\n$4.49", "no price", None, "Pears  \t$3", "Pears $3")[i % 5]) for i in range(200)], "seq long, raw_text string")
+    order = ["seq", "raw_text", "name", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence", "item_key"]
+    got, want = texts.analysed(rows), analyze(rows).withColumn("item_key", item_key())
+    assert got.columns == want.select("seq", "raw_text", *[c for c in want.columns if c not in ("seq", "raw_text")]).columns
+    assert seen == [3]
+    assert sorted(map(str, got.select(order).collect())) == sorted(map(str, want.select(order).collect()))
+    assert got.count() == 120
