@@ -17,7 +17,7 @@ from gramwise.functions.text import fixed_point, let
 from gramwise.operators import badge, collected, display_rows, fold, keep_last, rank, smart_mode, with_metrics
 from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
-from gramwise.sources import analysed, best_scrollable, crowded_nodes, dealt, drop_noise, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
+from gramwise.sources import analysed, best_scrollable, crowded_nodes, dealt, drop_noise, files_of, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, GROUPS, OWN_PACKAGE, PHASES, SEEN, SESSION_PARTS
 from gramwise.streaming import collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
 from gramwise.streaming.collect import LOOKED_UP
@@ -237,7 +237,8 @@ def _streamed(stream: DataFrame) -> DataFrame:
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recorded screens streamed through the collection, in batches that split scans."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    stream = in_batches(part, F.floor(F.col("p_partkey") % SESSION_PARTS / BATCH_PARTS), BATCHES)
+    batch = F.floor(F.col("p_partkey") % SESSION_PARTS / BATCH_PARTS)
+    stream = in_batches(part, batch, BATCHES, files_of(part, batch, spark.sparkContext.defaultParallelism))
     return collections(_streamed(collect_stream(recorded(stream), OWN_PACKAGE)))
 
 

@@ -216,7 +216,19 @@ def recorded(part: DataFrame) -> DataFrame:
     )
 
 
-def in_batches(df: DataFrame, batch: Column, count: int, files: int = 2) -> DataFrame:
+#: Files that a batch has at least, and rows of each for there to be more of them.
+FILES, FILE_ROWS = 2, 1_000
+
+
+def files_of(df: DataFrame, batch: Column, tasks: int) -> int:
+    """Files for the batches of `in_batches`: a file is read and parsed by one task, so as many as there are cores, more for large
+    tables. All batches have as many, so that none is read with another; the least one settles how many it can fill."""
+    rows = [r["count"] for r in df.groupBy(batch.alias("batch")).count().collect()]
+    wanted = max(tasks, -(-max(rows, default=0) // TASK_ROWS))
+    return max(FILES, min(wanted, min(rows, default=0) // FILE_ROWS))
+
+
+def in_batches(df: DataFrame, batch: Column, count: int, files: int = FILES) -> DataFrame:
     """df as a stream of `count` batches and no more, batch k of the rows where batch is k: written to the shared folder file by
     file, as a source would leave them."""
     spark = df.sparkSession

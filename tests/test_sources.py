@@ -2,11 +2,12 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gramwise.functions import analyze
 from gramwise.operators import item_key
 from gramwise.plans import QUERIES
-from gramwise.sources import best_scrollable, drop_noise, node_candidates, ocr_candidates, texts
+from gramwise.sources import best_scrollable, drop_noise, files_of, in_batches, node_candidates, ocr_candidates, texts
 from gramwise.sources.screen import Tree, reachable
 
 NODES = "scan_id long, node_id long, parent_id long, child_ord int, text string, content_desc string, class_name string, l int, t int, r int, b int, scrollable boolean"
@@ -162,3 +163,15 @@ def test_a_text_is_parsed_once_however_often_it_is_seen(spark, monkeypatch):
     assert seen == [3]
     assert sorted(map(str, got.select(order).collect())) == sorted(map(str, want.select(order).collect()))
     assert got.count() == 120
+
+
+def test_a_large_batch_is_read_by_many_tasks(spark):
+    """And a small one by as many as can be sure of rows: batches of unequal numbers of files would be mixed."""
+    batch = F.floor(F.col("id") / 20_000)
+    large = spark.range(40_000)
+    files = files_of(large, batch, 6)
+    assert (files, files_of(spark.range(20_010), batch, 6)) == (6, 2)
+    stream = in_batches(large, batch, 2, files)
+    query = stream.writeStream.format("noop").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [20_000, 20_000]
