@@ -4,9 +4,11 @@ Texts are cut into blocks of a few megabytes, which are written once, as numbers
 longer n-grams once and sends each bucket the hashes and counts of what it has met, packed, far fewer than tokens. A
 bucket is chosen by the hash of the whole n-gram, so the followers of a common word are spread over all of them. It adds
 the blocks up and answers each in the order of its question; of the blocks that met an n-gram in training, the first owns
-it. Owners then send each n-gram's discounted count and its lower order's to the bucket of its context, where they are
-added up in turn: a context has one entry for each block at most, and none if one block alone has it. Then every token
-is scored in its block, recursively: the n-gram if it was met often enough, else the backoff of its context times the
+it. Owners then send each n-gram's count and its lower order's to the bucket of its context, where they are added up in
+turn, as whole numbers that any order of adding leaves alike and few bytes hold: counts that are discounted by how many
+there are of each. A context has one entry for each block at most, and none if one block alone has it. A bucket's sums are
+written once, with what each block asks of them; they are sent to one half of the blocks after the other, as every block
+that asks gets a copy. There every token is scored in its block, recursively: the n-gram if it was met often enough, else the backoff of its context times the
 lower order.
 """
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import crc_mod, id_kind, materialise, slices, with_row_ids
+from gramwise.llm.common import crc_mod, id_kind, materialise, release, slices, with_row_ids
 from gramwise.llm.tokens import word_hashes, words
 
 U = np.uint64
@@ -30,6 +32,8 @@ LARGE, LEAST = 5, 1
 #: Bytes of text in a block, and blocks for each bucket on average.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 8
 FOLDS, HELD_OUT = 7, 2
+#: Parts of the blocks, of which one at a time is scored.
+HALVES = 2
 #: A slot is a bucket and, in its last bits, an order.
 ORDERS = 3
 
@@ -44,9 +48,10 @@ def unsqueeze(data: bytes) -> bytes:
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers by planes of bytes, without the planes that are all zero."""
-    rows = np.ascontiguousarray(values, U).view(np.uint8).reshape(-1, 8)
-    n = int(np.max(np.flatnonzero(rows.any(0)), initial=-1)) + 1
-    return squeeze(bytes([n]) + rows[:, :n].T.tobytes() if n else bytes([0]) + len(values).to_bytes(8, "little"))
+    flat = np.ascontiguousarray(values, U).ravel()
+    n = -(-int(flat.max(initial=0)).bit_length() // 8)
+    planes = [(flat >> U(8 * i)).astype(np.uint8).tobytes() for i in range(n)]
+    return squeeze(b"".join([bytes([n]), *planes]) if n else bytes([0]) + len(flat).to_bytes(8, "little"))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -55,9 +60,11 @@ def unpack(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(int.from_bytes(data[1:9], "little"), U)
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(n, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :n] = planes.T
-    return out.view(U).ravel()
+    out = np.zeros(planes.shape[1], U)
+    rows = out.view(np.uint8).reshape(-1, 8)
+    for i, plane in enumerate(planes):
+        rows[:, i] = plane
+    return out
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -69,18 +76,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=U)
 
 
-def pack_doubles(values: np.ndarray) -> bytes:
-    """Doubles of which many are equal: each once, and which one stands where."""
-    own, which = np.unique(values, return_inverse=True)
-    kind = np.uint8 if len(own) <= 1 << 8 else np.uint16 if len(own) <= 1 << 16 else np.uint32
-    return squeeze(len(own).to_bytes(8, "little") + own.tobytes() + which.astype(kind).tobytes())
+def tallies(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places, the counts over LARGE added up, and how many are 1, 2 .. LARGE: a row each."""
+    large = counts > LARGE
+    return np.bincount(np.where(large, 0, counts) * n + at, np.where(large, counts, 1), (LARGE + 1) * n).astype(np.int64).reshape(LARGE + 1, n)
 
 
-def unpack_doubles(data: bytes) -> np.ndarray:
-    data = unsqueeze(data)
-    n = int.from_bytes(data[:8], "little")
-    kind = np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
-    return np.frombuffer(data, np.float64, n, 8)[np.frombuffer(data, kind, offset=8 + 8 * n)]
+def unpack_tallies(data: list[bytes]) -> np.ndarray:
+    """Tallies of counts and of lower orders' counts, those of all parts side by side."""
+    return np.concatenate([np.zeros((2, LARGE + 1, 0), np.int64), *[unpack(x).astype(np.int64).reshape(2, LARGE + 1, -1) for x in data]], axis=2)
 
 
 def frozen(batch: pa.RecordBatch) -> bytes:
@@ -131,17 +135,14 @@ class Level:
 
     def above(self, words_: Level, places: np.ndarray) -> Level:
         """The n-grams of the next order that end at these places."""
-        code, back = np.unique(self.at[places - 1].astype(np.int64) * max(len(words_.key), 1) + words_.at[places], return_inverse=True)
-        ctx, w = code // max(len(words_.key), 1), code % max(len(words_.key), 1)
-        low = np.empty(len(code), np.int64)
-        low[back] = self.at[places]
-        key = mixed(self.key[ctx], words_.key[w])
-        order = np.argsort(key)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        hashes = mixed(self.key[self.at[places - 1]], words_.key[words_.at[places]])
+        order = np.argsort(hashes)
+        hashes, places = hashes[order], places[order]
+        new = np.concatenate((np.ones(min(len(hashes), 1), bool), hashes[1:] != hashes[:-1]))
         at = np.full(len(self.at), -1, np.int64)
-        at[places] = rank[back]
-        return Level(key[order], at, ctx[order], low[order])
+        at[places] = np.cumsum(new) - 1
+        first = places[new]
+        return Level(hashes[new], at, self.at[first - 1], self.at[first])
 
     def buckets(self, bits: int):
         """(bucket, range of n-grams) for each bucket that has some."""
@@ -201,7 +202,7 @@ def _slot(bucket: int, order: int) -> int:
 
 
 def _packed(out: list[tuple], fields: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     named = [f.split() for f in fields.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, (_, t) in enumerate(named)], [c for c, _ in named])
 
@@ -276,22 +277,44 @@ def _add_up(asked: DataFrame, orders: int) -> DataFrame:
 
 
 def _weigh(parts: DataFrame) -> DataFrame:
-    """(slot, block, mass, low) as packed doubles, added up for each context by its number, in the order of each block's
-    question."""
-    fields = "slot int, block long, mass binary, low binary"
+    """(slot, half, t, blocks, u): tallies added up for each context by its number, and what each block of a half asks of
+    them."""
+    fields = "slot int, half int, t binary, blocks array<long>, u array<binary>"
 
     def run(batches):
         for table in grouped(batches, "slot"):
-            numbers = [unpack_sorted(x).astype(np.int64) for x in table.column("u").to_pylist()]
-            cuts, at = np.cumsum([0, *map(len, numbers)]), np.concatenate(numbers)
-            del numbers
-            mass, low = (np.bincount(at, np.concatenate([unpack_doubles(x) for x in table.column(c).to_pylist()]))[at] for c in ("mass", "low"))
-            slot = table.column("slot")[0].as_py()
-            yield _packed([(slot, block, pack_doubles(mass[a:b]), pack_doubles(low[a:b])) for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)], fields)
+            at = np.concatenate([unpack_sorted(x).astype(np.int64) for x in table.column("u").to_pylist()])
+            t = unpack_tallies(table.column("t").to_pylist()).reshape(2 * (LARGE + 1), -1)
+            sums = np.empty((len(t), int(at.max()) + 1), np.int64)
+            for row, to in zip(t, sums, strict=True):
+                some = np.flatnonzero(row)  # few have counts of each kind
+                to[:] = np.bincount(at[some], row[some], len(to))
+            del at, t
+            slot, data, half, out = table.column("slot")[0].as_py(), pack(sums), table.column("half").to_numpy(), []
+            for k in np.unique(half).tolist():
+                mine = table.filter(pa.array(half == k))
+                out.append((slot, k, data, mine.column("block").to_pylist(), mine.column("u").to_pylist()))
+            yield _packed(out, fields)
 
     return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
 
 
+def _tell(weighed: DataFrame) -> DataFrame:
+    """(slot, block, t): the tallies for which each block asks, in the order of its question."""
+    fields = "slot int, block long, t binary"
+
+    def run(batches):
+        for batch in batches:
+            for slot, t, blocks, u in zip(*(batch.column(c) for c in ("slot", "t", "blocks", "u")), strict=True):
+                sums = unpack_tallies([t.as_py()])
+                out = [(slot.as_py(), block, pack(sums[:, :, unpack_sorted(x).astype(np.int64)])) for block, x in zip(blocks.as_py(), u.as_py(), strict=True)]
+                yield _packed(out, fields)
+                del sums, out
+                pa.default_memory_pool().release_unused()
+
+    return weighed.select("slot", "t", "blocks", "u").mapInArrow(run, fields)
+
+
 def _read(table: pa.Table, k: int, column: str) -> list[bytes]:
     """What the slots of an order answered, in order of bucket."""
     slot = table.column("slot").to_numpy()
@@ -331,7 +354,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     bits = max(0, (-(-size // BLOCK_BYTES) // BLOCKS_A_BUCKET).bit_length())
     # The longest n-grams are most of all: what was shuffled for the others is gone before they are asked for.
     asked = [x for x in (range(1, order), range(order, order + 1)) if x]
-    found = reduce(DataFrame.unionByName, [materialise(_add_up(_ask(blocks, bits, x), order), "katz") for x in asked])
+    added = [materialise(_add_up(_ask(blocks, bits, x), order), "katz") for x in asked]
+    found = reduce(DataFrame.unionByName, added)
     met = found.where("kind = 'n'").groupBy((F.col("slot") % (1 << ORDERS)).alias("k"), "h").agg(F.sum("c").alias("c")).collect()  # LARGE + 3 rows an order
     met = {(r["k"], r["h"]): r["c"] for r in met}
     tables = []  # by order, the discounted counts up to LARGE
@@ -356,7 +380,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             said = table.filter(pa.array(turn == 1))
             both = [np.concatenate([np.zeros(0, U), *map(unpack, _read(said, k, "a"))]).astype(np.int64) for k in range(1, order + 1)]
             self.c = [x >> 2 for x in both]
-            self.parts, self.asks, self.numbers = [], [], []
+            self.own, self.asks, self.numbers = [], [], []
             for k in range(1, order):
                 up, level, c = self.b.levels[k], self.b.levels[k - 1], self.c[k - 1]
                 has = np.zeros(len(c), bool)
@@ -367,17 +391,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 number = np.full(len(c), -1, np.int64)
                 number[common] = np.concatenate([np.zeros(0, U), *map(unpack_sorted, _read(said, k, "o"))])
                 self.numbers.append(number)
-                mine = np.flatnonzero((both[k] & 1 == 1) & (self.c[k] >= least))
-                # Lower orders' discounted counts; contexts multiply them with their own scale.
-                self.parts.append([np.bincount(up.ctx[mine], x, len(level.key)).astype(float) for x in (shrunk(self.c[k][mine], k + 1), shrunk(c[up.low[mine]], k))])
+                self.own.append(np.flatnonzero((both[k] & 1 == 1) & (self.c[k] >= least)))
+
+        def given(self, k: int) -> np.ndarray:
+            """What the block's own n-grams of order k + 1 give to their contexts: tallies of their counts and of the next
+            lower order's."""
+            up, c, mine = self.b.levels[k], self.c[k - 1], self.own[k - 1]
+            return np.stack([tallies(up.ctx[mine], x, len(c)) for x in (self.c[k][mine], c[up.low[mine]])])
 
     def share(table: pa.Table) -> pa.Table:
         x, out = Counted(table), []
         block = table.column("block")[0].as_py()
-        for k, (asked, parts, number) in enumerate(zip(x.asks, x.parts, x.numbers, strict=True), 1):
+        for k, (asked, number) in enumerate(zip(x.asks, x.numbers, strict=True), 1):
+            parts, number, upto = x.given(k)[:, :, asked], number[asked].astype(U), np.concatenate(([0], np.cumsum(asked)))
             for bucket, u in x.b.levels[k - 1].buckets(bits):
-                if asked[u].any():
-                    out.append((_slot(bucket, k), block, pack_sorted(number[u][asked[u]].astype(U)), *[pack_doubles(p[u][asked[u]]) for p in parts]))
+                a, b = upto[u.start], upto[u.stop]
+                if a < b:
+                    out.append((_slot(bucket, k), block, pack_sorted(number[a:b]), pack(parts[:, :, a:b])))
         return pa.Table.from_batches([_packed(out, shared)])
 
     def run(table: pa.Table, weights: pa.Table) -> pa.Table:
@@ -385,10 +415,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         b, c = x.b, x.c
         p = np.where(c[0] > 0, shrunk(c[0], 1) / n_all if n_tokens else 0.0, unknown)
         log, scale = np.zeros(len(b.row)), None
-        for k, (asked, parts) in enumerate(zip(x.asks, x.parts, strict=True), 1):
-            up, below = b.levels[k], scale
-            mass, low = parts
-            mass[asked], low[asked] = (np.concatenate([np.zeros(0), *map(unpack_doubles, _read(weights, k, y))]) for y in ("mass", "low"))
+        for k, asked in enumerate(x.asks, 1):
+            up, below, parts = b.levels[k], scale, x.given(k)
+            parts[:, :, asked] = unpack_tallies(_read(weights, k, "t"))
+            # Discounted; lower orders' counts as they are, contexts multiply them with their own scale.
+            mass, low = (np.append(1.0, tables[y][1:]) @ part for y, part in zip((k, k - 1), parts, strict=True))
             some = mass > 0
             total = np.maximum(c[k - 1], 1)
             # 1 / count, less where discounts would leave no mass for the rest.
@@ -407,11 +438,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         values = [b.rows.column("id").combine_chunks(), ~train, stop - b.first, said[2].astype(np.int64), np.full(len(stop), n_tokens), said[1], said[0]]
         return pa.table([y if isinstance(y, pa.Array) else pa.array(y) for y in values], names)
 
-    shared = "slot int, block long, u binary, mass binary, low binary"
+    shared = "slot int, block long, u binary, t binary"
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     texts = blocks.select("block", F.lit(0).alias("turn"), F.lit(0).alias("slot"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("o"))
     answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "slot", "a", "o")
-    # Dealt by block once; both uses below read that exchange.
-    base = texts.unionByName(answers).repartition("block").groupBy("block")
-    weights = _weigh(base.applyInArrow(share, shared))
-    return base.cogroup(weights.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    base, half = texts.unionByName(answers), F.pmod(F.xxhash64("block"), F.lit(HALVES)).cast("int")
+    weighed = materialise(_weigh(base.groupBy("block").applyInArrow(share, shared).withColumn("half", half)), "sums")
+    done = []
+    for k in range(HALVES):
+        told = _tell(weighed.where(F.col("half") == k))
+        done.append(materialise(base.where(half == k).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "scores"))
+    release(blocks, weighed, *added)
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("id", id_col)

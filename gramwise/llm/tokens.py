@@ -43,7 +43,7 @@ def word_hashes(flat: pa.Array, seed: int = 0) -> np.ndarray:
     if not len(flat):
         return np.zeros(0, U)
     coded = flat.dictionary_encode()
-    own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
+    own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_numpy(zero_copy_only=False)), U, len(coded.dictionary))
     return own[coded.indices.to_numpy()]
 
 

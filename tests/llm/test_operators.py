@@ -3,6 +3,7 @@
 import functools
 import json
 import math
+import os
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -253,6 +254,32 @@ def test_katz_trigrams(spark, sample_df, sample, monkeypatch):
     assert {r["doc_id"]: r["score"] for r in op7_katz(spark, "/root/testdata/sf0.001").collect()} == pytest.approx(want)
 
 
+def test_katz_writes_sums_once(spark):
+    """What many blocks ask of a slot is added up exactly and written once for each half of them, not for each block; all get
+    it in the order of their question."""
+    rng = np.random.default_rng(7)
+    given = rng.integers(1, 1 << 40, (20, 2, katz.LARGE + 1, 500))
+    asked = [np.sort(rng.choice(600, 500, replace=False)) for _ in range(20)]
+    rows = [(9, k, k % 2, bytearray(katz.pack_sorted(u.astype(np.uint64))), bytearray(katz.pack(g))) for k, (u, g) in enumerate(zip(asked, given, strict=True))]
+    weighed = katz._weigh(spark.createDataFrame(rows, "slot int, block long, half int, u binary, t binary")).cache()
+    assert sorted((r["half"], len(r["blocks"])) for r in weighed.collect()) == [(0, 10), (1, 10)]
+    want = np.zeros((2, katz.LARGE + 1, 600), np.int64)
+    for u, g in zip(asked, given, strict=True):
+        want[:, :, u] += g
+    told = {r["block"]: katz.unpack_tallies([r["t"]]) for r in katz._tell(weighed).collect()}
+    assert sorted(told) == list(range(20)) and all((told[k] == want[:, :, u]).all() for k, u in enumerate(asked))
+
+
+def test_katz_leaves_scores_only(spark, sample_df):
+    """Blocks, counts and sums are gone once texts are scored."""
+    from gramwise.shared import scratch_dir
+
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = katz.score(sample_df, order=3, least=1)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"scores", "rows"} and rows.count() == sample_df.count()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
