@@ -2,6 +2,7 @@
 
 CURRENCY_SIGN = r"(?:CA\$|C\$|US\$|A\$|[$€£₹৳])"
 PRICE = r"(?iu)(?:\b(?:CA\$|C\$|US\$|A\$)|[$€£₹৳])\s*\d{1,5}(?:[.,]\d{1,2})?|\b\d{1,5}(?:[.,]\d{1,2})?\s*(?:CAD|USD|EUR|GBP|INR|BDT)\b"
+CURRENCY_CODE = r"(?i)[0-9]\s*(?:CAD|USD|EUR|GBP|INR|BDT)"
 PRICE_NUMBER = r"\d{1,5}(?:[.,]\d{1,2})?"
 CALORIES = r"(?iu)\b(\d{2,5}(?:[.,]\d+)?)\s*(?:k?cal(?:ories?)?)\b"
 THOUSANDS = r"^\d{1,3}(?:,\d{3})+(?:\.\d+)?$"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 from gramwise.functions import fixed
 
 BLANK = r"[\s\x1c-\x1f]"
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def once[T](build: Callable[[], T]) -> Callable[[], T]:
@@ -110,6 +111,12 @@ def has_price(c: Column) -> Column:
     return c.rlike(fixed.PRICE)
 
 
+def may_have_price(c: Column) -> Column:
+    """False of most texts without a price: those in ASCII with neither a dollar sign nor a currency's code
+    after a digit. Quick."""
+    return (F.octet_length(c) > F.length(c)) | F.contains(c, F.lit("$")) | c.rlike(fixed.CURRENCY_CODE)
+
+
 def choose_price(text: Column, every: Column) -> Column:
     """The price that counts: of a bundle, else one named current, else the least that is no saving where a sale is
     hinted at, else the first. Null without prices."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gramwise.functions import fixed
-from gramwise.functions.text import count_prices, has_price, let, normalize, take, trim, units
+from gramwise.functions.text import NOT_BLANK, count_prices, has_price, let, may_have_price, normalize, take, trim, units
 from gramwise.operators.dedupe import fold
 from gramwise.shared import apart, materialise, release
 from gramwise.sources.texts import analysed
@@ -22,7 +22,7 @@ from gramwise.sources.texts import analysed
 
 def own_text(text: Column, description: Column) -> Column:
     """The text, and on a new line the description if it says something else."""
-    filled = lambda c: F.when(F.length(trim(F.coalesce(c, F.lit("")))) > 0, c)
+    filled = lambda c: F.when(c.rlike(NOT_BLANK), c)
     return trim(F.concat_ws("\n", filled(text), F.when(~F.coalesce(description.eqNullSafe(text), F.lit(False)), filled(description))))
 
 
@@ -111,13 +111,14 @@ def lists(n: int, places: np.ndarray, sizes: np.ndarray, values: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(values, pa.int64()), mask=pa.array(null))
 
 
-def walked(nodes: DataFrame) -> DataFrame:
+def walked(nodes: DataFrame, every: bool = True) -> DataFrame:
     """(scan_id, node_id, seq, ups, below) from (scan_id, node_id, parent_id, child_ord, seed, size): seq numbers the nodes in
     the order of a walk. Of seeds that a walk visits, ups has up to CLIMB ancestors, the parent first. Of those ancestors,
     below has the nodes of which their texts are made, in order: walks end at SUBTREE_NODES nodes, or at SUBTREE_UNITS of
     size and one for each text before a node; nodes of size 0 have no text to use.
 
-    A task holds four numbers of each node of one scan. Nodes without a way to a root are left out.
+    A task holds four numbers of each node of one scan. Nodes without a way to a root are left out; so are, unless every
+    node is wanted, those that have no ups and no below and are in none: most of a screen with more than walks meet.
     """
     names = ["node_id", "parent_id", "child_ord", "seed", "size"]
     schema = "scan_id bigint, node_id bigint, seq bigint, ups array<bigint>, below array<bigint>"
@@ -132,6 +133,8 @@ def walked(nodes: DataFrame) -> DataFrame:
         own = ups >= 0
         above = lists(n, seeds, own.sum(axis=1), tree.ids[ups[own]])
         tops = np.unique(ups[own])
+        used = np.zeros(n, bool)
+        used[seeds] = used[tops] = True
         n_below, ids = [], []
         for k in range(0, len(tops), SLICE):
             part = tops[k : k + SLICE]
@@ -142,9 +145,11 @@ def walked(nodes: DataFrame) -> DataFrame:
             good = (before < fixed.SUBTREE_UNITS) & (taken > 0)
             n_below.append(np.bincount(at[good], minlength=len(part)))
             ids.append(tree.ids[met[good]])
+            used[met[good]] = True
         none = np.zeros(0, np.int64)
         below = lists(n, tops, np.concatenate([none, *n_below]), np.concatenate([none, *ids]))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, scan)), pa.array(tree.ids), pa.array(np.arange(1, n + 1)), above, below], ["scan_id", "node_id", "seq", "ups", "below"])
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(n, scan)), pa.array(tree.ids), pa.array(np.arange(1, n + 1)), above, below], ["scan_id", "node_id", "seq", "ups", "below"])
+        return out if every else out.take(pa.array(np.flatnonzero(used)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -181,10 +186,10 @@ def node_candidates(nodes: DataFrame) -> DataFrame:
     Ids are unique in a scan."""
     box = (F.col("w"), F.col("h"))
     numbers = nodes.select("scan_id", "node_id", "parent_id", "child_ord", own_text(F.col("text"), F.col("content_desc")).alias("own"), "class_name", (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h"))
-    size = let(units(F.col("own")), lambda n: F.when((n > 0) & (n < fixed.OWN_MOST), n).otherwise(0))
-    nodes = materialise(numbers.select("*", has_price(F.col("own")).alias("seed"), size.alias("size")), "nodes")
+    size = F.when(units(F.col("own")).between(1, fixed.OWN_MOST - 1), units(F.col("own"))).otherwise(0)
+    nodes = materialise(numbers.select("*", (may_have_price(F.col("own")) & has_price(F.col("own"))).alias("seed"), size.alias("size")), "nodes")
     reached = reachable(nodes)
-    walks = walked(reached.select("scan_id", "node_id", "parent_id", "child_ord", "seed", "size"))
+    walks = walked(reached.select("scan_id", "node_id", "parent_id", "child_ord", "seed", "size"), every=False)
     tree = materialise(apart(reached.select("scan_id", "node_id", "own", "class_name", "w", "h"), walks, "scan_id", "node_id"), "tree")
     release(nodes)
     seeds = tree.where("ups is not null")

@@ -5,10 +5,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gramwise.functions import analyze
+from gramwise.functions.text import has_price, may_have_price
 from gramwise.operators import item_key
 from gramwise.plans import QUERIES
 from gramwise.sources import best_scrollable, drop_noise, files_of, in_batches, node_candidates, ocr_candidates, texts
-from gramwise.sources.screen import Tree, reachable
+from gramwise.sources.screen import Tree, reachable, walked
 
 NODES = "scan_id long, node_id long, parent_id long, child_ord int, text string, content_desc string, class_name string, l int, t int, r int, b int, scrollable boolean"
 
@@ -142,6 +143,23 @@ def test_a_wide_parent_is_no_task_of_its_own(spark):
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_walks_leave_what_they_meet(spark):
+    """Of a card with 3,000 lines, only those of which its text is made are joined to their texts; all are numbered if wanted."""
+    lines = [(1, 2 + k, 1, k, k == 0, 10) for k in range(3000)]
+    nodes = spark.createDataFrame([(1, 0, None, 0, False, 0), (1, 1, 0, 0, False, 0), *lines], "scan_id long, node_id long, parent_id long, child_ord int, seed boolean, size int")
+    used = {r["node_id"]: r for r in walked(nodes, every=False).collect()}
+    every = {r["node_id"]: r for r in walked(nodes).collect()}
+    assert len(every) == 3002 and used == {i: every[i] for i in range(101)}
+
+
+def test_prices_are_looked_for_where_one_may_be(spark):
+    """The quick test lets every text with a price through, and few others."""
+    rows = [("tea $5",), ("5 cad",), ("12.50\tUsD",), ("3 EUR",), ("5 U\u017fD",), ("\u20b9 5",), ("CA$5",), ("w123456",), ("a line of order 77 and what it holds",), ("USD 5",), ("",), ("5\nInr",)]
+    got = spark.createDataFrame(rows, "t string").select("t", has_price(F.col("t")).alias("has"), may_have_price(F.col("t")).alias("may")).collect()
+    assert all(r["may"] for r in got if r["has"]) and [r["t"] for r in got if r["has"]] == [rows[k][0] for k in (0, 1, 2, 3, 4, 5, 6, 11)]
+    assert not any(r["may"] for r in got if r["t"] in ("w123456", "a line of order 77 and what it holds", "USD 5", ""))
+
+
 def test_parsing_is_dealt_over_tasks(spark, tmp_path):
     """One row group is read by one task, but not parsed by one."""
     spark.range(60_000).selectExpr("id p_partkey", "'tea' p_name", "5.0 p_retailprice", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
