@@ -6,7 +6,8 @@ bucket is chosen by the hash of the whole n-gram, so the followers of a common w
 the blocks up and answers each in the order of its question; of the blocks that met an n-gram in training, the first owns
 it. Owners then send each n-gram's count and its lower order's to the bucket of its context, where they are added up in
 turn, as whole numbers that any order of adding leaves alike and few bytes hold: counts that are discounted by how many
-there are of each. A context has one entry for each block at most, and none if one block alone has it. A bucket's sums are
+there are of each. It adds up one range of hashes after another, and one block's tallies after another, so that a task holds
+little more than the hashes and counts it was sent. A context has one entry for each block at most, and none if one block alone has it. A bucket's sums are
 written once, with what each block asks of them; they are sent to one half of the blocks after the other, as every block
 that asks gets a copy. There every token is scored in its block, recursively: the n-gram if it was met often enough, else the backoff of its context times the
 lower order.
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gramwise.llm.common import crc_mod, id_kind, materialise, release, slices, with_row_ids
+from gramwise.llm.common import crc_mod, give_back, id_kind, materialise, release, slices, with_row_ids
 from gramwise.llm.tokens import word_hashes, words
 
 U = np.uint64
@@ -32,6 +33,8 @@ LARGE, LEAST = 5, 1
 #: Bytes of text in a block, and blocks for each bucket on average.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 3 << 20, 8
 FOLDS, HELD_OUT = 7, 2
+#: N-grams that a bucket adds up at a time, as met in its blocks.
+RANGE = 1 << 18
 #: Parts of the blocks, of which one at a time is scored.
 HALVES = 2
 #: A slot is a bucket and, in its last bits, an order.
@@ -50,7 +53,8 @@ def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers by planes of bytes, without the planes that are all zero."""
     flat = np.ascontiguousarray(values, U).ravel()
     n = -(-int(flat.max(initial=0)).bit_length() // 8)
-    planes = [(flat >> U(8 * i)).astype(np.uint8).tobytes() for i in range(n)]
+    rows = flat.view(np.uint8).reshape(-1, 8)
+    planes = [rows[:, i].tobytes() for i in range(n)]
     return squeeze(b"".join([bytes([n]), *planes]) if n else bytes([0]) + len(flat).to_bytes(8, "little"))
 
 
@@ -78,13 +82,20 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def tallies(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """For each of n places, the counts over LARGE added up, and how many are 1, 2 .. LARGE: a row each."""
-    large = counts > LARGE
-    return np.bincount(np.where(large, 0, counts) * n + at, np.where(large, counts, 1), (LARGE + 1) * n).astype(np.int64).reshape(LARGE + 1, n)
+    large, out = counts > LARGE, np.empty((LARGE + 1, n), np.int64)
+    out[0] = np.bincount(at[large], counts[large], n)
+    for r in range(1, LARGE + 1):
+        out[r] = np.bincount(at[counts == r], minlength=n)
+    return out
 
 
 def unpack_tallies(data: list[bytes]) -> np.ndarray:
     """Tallies of counts and of lower orders' counts, those of all parts side by side."""
-    return np.concatenate([np.zeros((2, LARGE + 1, 0), np.int64), *[unpack(x).astype(np.int64).reshape(2, LARGE + 1, -1) for x in data]], axis=2)
+    return np.concatenate([np.zeros((2, LARGE + 1, 0), np.int64), *map(unpack_tally, data)], axis=2)
+
+
+def unpack_tally(data: bytes) -> np.ndarray:
+    return unpack(data).view(np.int64).reshape(2, LARGE + 1, -1)
 
 
 def frozen(batch: pa.RecordBatch) -> bytes:
@@ -98,9 +109,16 @@ def thawed(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def grouped(batches, column: str):
-    """The rows of each value of a column, one table at a time; batches come sorted by it. Freed memory goes back."""
+def grouped(batches, column: str, made):
+    """What is made of the rows of each value of a column, one table at a time; batches come sorted by it. Freed memory goes
+    back."""
     held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return made(table)
+
     for batch in batches:
         keys = batch.column(batch.schema.get_field_index(column)).to_numpy()
         if not len(keys):
@@ -108,13 +126,19 @@ def grouped(batches, column: str):
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if held and held[-1].column(held[-1].schema.get_field_index(column))[0].as_py() != keys[a]:
-                table, held = pa.Table.from_batches(held), []
-                yield table
-                del table
-                pa.default_memory_pool().release_unused()
+                yield done()
+                give_back()
             held.append(batch.slice(a, b - a))
+        del batch, keys
     if held:
-        yield pa.Table.from_batches(held)
+        yield done()
+    give_back()
+
+
+def then_give_back(out: pa.Table) -> pa.Table:
+    """out, once the memory that was freed on the way goes back."""
+    give_back()
+    return out
 
 
 def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -233,9 +257,10 @@ def _ask(blocks: DataFrame, bits: int, orders: range) -> DataFrame:
                     level = b.levels[k - 1]
                     count = np.bincount(level.at[train & (level.at >= 0)], minlength=len(level.key))
                     out += [(_slot(bucket, k), block, pack_sorted(level.key[u]), pack(count[u])) for bucket, u in level.buckets(bits)]
-                yield _packed(out, fields)
-                del b, out
-                pa.default_memory_pool().release_unused()
+                out = _packed(out, fields)
+                del b, train, level, count
+                give_back()
+                yield out
 
     return blocks.select("block", "data").mapInArrow(run, fields)
 
@@ -246,13 +271,22 @@ def _add_up(asked: DataFrame, orders: int) -> DataFrame:
     them (r). o numbers, in the order of their hashes, those that other blocks have too, if they are contexts."""
     fields = "kind string, slot int, block long, h long, c long, a binary, o binary"
 
-    def run(batches):
-        for table in grouped(batches, "slot"):
-            slot = table.column("slot")[0].as_py()
-            keys = [unpack_sorted(x) for x in table.column("u").to_pylist()]
-            cuts = np.cumsum([0, *map(len, keys)])
-            key, m = np.concatenate(keys), np.concatenate([unpack(x) for x in table.column("n").to_pylist()]).astype(np.int64)
-            del keys
+    def added(table: pa.Table) -> pa.RecordBatch:
+        slot = table.column("slot")[0].as_py()
+        first_order, top = slot % (1 << ORDERS) == 1, slot % (1 << ORDERS) == orders
+        keys = [unpack_sorted(x.as_py()) for x in table.column("u")]
+        said = [unpack(x.as_py()).view(np.int64) for x in table.column("n")]  # counts; a range that is done has the answers
+        numbers: list[list[np.ndarray]] = [[] for _ in keys]
+        least, most = min(int(x[0]) for x in keys), max(int(x[-1]) for x in keys)
+        n = -(-sum(map(len, keys)) // RANGE)
+        edges = np.array([least + (most - least) * j // n for j in range(1, n)], U)
+        cuts = np.array([[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in keys])
+        types = total = common = 0
+        met = np.zeros(LARGE + 2, np.int64)
+        for a, b in zip(cuts.T[:-1], cuts.T[1:], strict=True):
+            if not (b > a).any():
+                continue
+            key, m = (np.concatenate([x[i:j] for x, i, j in zip(xs, a, b, strict=True)]) for xs in (keys, said))
             order = np.argsort(key, kind="stable")
             key, m = key[order], m[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -263,17 +297,22 @@ def _add_up(asked: DataFrame, orders: int) -> DataFrame:
             answer = np.empty(len(key), np.int64)
             answer[order] = np.repeat(sums * 4 + 2 * (size == 1), size) + owns
             number = np.empty(len(key), np.int64)
-            number[order] = np.repeat(np.where(size > 1, np.cumsum(size > 1) - 1, -1), size)
-            top = slot % (1 << ORDERS) == orders
-            real = sums[(sums > 0) & (key[first] != START)] if slot % (1 << ORDERS) == 1 else sums[sums > 0]
-            met = np.bincount(real[real <= LARGE + 1], minlength=LARGE + 2)
-            out = [("n", slot, None, h, c, None, None) for h, c in [(-1, len(real)), (0, int(real.sum())), *list(enumerate(met.tolist()))[1:]]]
-            for block, a, b in zip(table.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True):
-                own = number[a:b]
-                out.append(("r", slot, block, None, None, pack(answer[a:b]), None if top else pack_sorted(own[own >= 0].astype(U))))
-            yield _packed(out, fields)
-
-    return asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
+            number[order] = np.repeat(np.where(size > 1, np.cumsum(size > 1) - 1 + common, -1), size)
+            real = sums[(sums > 0) & (key[first] != START)] if first_order else sums[sums > 0]
+            types, total, common = types + len(real), total + int(real.sum()), common + int((size > 1).sum())
+            met += np.bincount(real[real <= LARGE + 1], minlength=LARGE + 2)
+            at = 0
+            for x, mine, i, j in zip(said, numbers, a, b, strict=True):
+                x[i:j], own, at = answer[at : at + j - i], number[at : at + j - i], at + j - i
+                if not top:
+                    mine.append(own[own >= 0].astype(U))
+        del keys
+        out = [("n", slot, None, h, c, None, None) for h, c in [(-1, types), (0, total), *list(enumerate(met.tolist()))[1:]]]
+        for block, x, mine in zip(table.column("block").to_pylist(), said, numbers, strict=True):
+            out.append(("r", slot, block, None, None, pack(x), None if top else pack_sorted(np.concatenate(mine))))
+        return _packed(out, fields)
+
+    return asked.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda batches: grouped(batches, "slot", added), fields)
 
 
 def _weigh(parts: DataFrame) -> DataFrame:
@@ -281,22 +320,18 @@ def _weigh(parts: DataFrame) -> DataFrame:
     them."""
     fields = "slot int, half int, t binary, blocks array<long>, u array<binary>"
 
-    def run(batches):
-        for table in grouped(batches, "slot"):
-            at = np.concatenate([unpack_sorted(x).astype(np.int64) for x in table.column("u").to_pylist()])
-            t = unpack_tallies(table.column("t").to_pylist()).reshape(2 * (LARGE + 1), -1)
-            sums = np.empty((len(t), int(at.max()) + 1), np.int64)
-            for row, to in zip(t, sums, strict=True):
-                some = np.flatnonzero(row)  # few have counts of each kind
-                to[:] = np.bincount(at[some], row[some], len(to))
-            del at, t
-            slot, data, half, out = table.column("slot")[0].as_py(), pack(sums), table.column("half").to_numpy(), []
-            for k in np.unique(half).tolist():
-                mine = table.filter(pa.array(half == k))
-                out.append((slot, k, data, mine.column("block").to_pylist(), mine.column("u").to_pylist()))
-            yield _packed(out, fields)
-
-    return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, fields)
+    def added(table: pa.Table) -> pa.RecordBatch:
+        asked = [unpack_sorted(x.as_py()).astype(np.int64) for x in table.column("u")]
+        sums = np.zeros((2, LARGE + 1, 1 + max(int(x[-1]) for x in asked)), np.int64)
+        for at, t in zip(asked, table.column("t"), strict=True):  # a block asks once for a number
+            sums[:, :, at] += unpack_tally(t.as_py())
+        slot, data, half, out = table.column("slot")[0].as_py(), pack(sums), table.column("half").to_numpy(), []
+        for k in np.unique(half).tolist():
+            mine = table.filter(pa.array(half == k))
+            out.append((slot, k, data, mine.column("block").to_pylist(), mine.column("u").to_pylist()))
+        return _packed(out, fields)
+
+    return parts.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda batches: grouped(batches, "slot", added), fields)
 
 
 def _tell(weighed: DataFrame) -> DataFrame:
@@ -306,11 +341,12 @@ def _tell(weighed: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for slot, t, blocks, u in zip(*(batch.column(c) for c in ("slot", "t", "blocks", "u")), strict=True):
-                sums = unpack_tallies([t.as_py()])
+                sums = unpack_tally(t.as_py())
                 out = [(slot.as_py(), block, pack(sums[:, :, unpack_sorted(x).astype(np.int64)])) for block, x in zip(blocks.as_py(), u.as_py(), strict=True)]
-                yield _packed(out, fields)
-                del sums, out
-                pa.default_memory_pool().release_unused()
+                out = _packed(out, fields)
+                del sums
+                give_back()
+                yield out
 
     return weighed.select("slot", "t", "blocks", "u").mapInArrow(run, fields)
 
@@ -397,7 +433,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             """What the block's own n-grams of order k + 1 give to their contexts: tallies of their counts and of the next
             lower order's."""
             up, c, mine = self.b.levels[k], self.c[k - 1], self.own[k - 1]
-            return np.stack([tallies(up.ctx[mine], x, len(c)) for x in (self.c[k][mine], c[up.low[mine]])])
+            out = np.empty((2, LARGE + 1, len(c)), np.int64)
+            for part, x in zip(out, (self.c[k][mine], c[up.low[mine]]), strict=True):
+                part[:] = tallies(up.ctx[mine], x, len(c))
+            return out
 
     def share(table: pa.Table) -> pa.Table:
         x, out = Counted(table), []
@@ -417,7 +456,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         log, scale = np.zeros(len(b.row)), None
         for k, asked in enumerate(x.asks, 1):
             up, below, parts = b.levels[k], scale, x.given(k)
-            parts[:, :, asked] = unpack_tallies(_read(weights, k, "t"))
+            places, at = np.flatnonzero(asked), 0
+            for t in map(unpack_tally, _read(weights, k, "t")):
+                parts[:, :, places[at : at + t.shape[2]]] = t
+                at += t.shape[2]
+            assert at == len(places)
             # Discounted; lower orders' counts as they are, contexts multiply them with their own scale.
             mass, low = (np.append(1.0, tables[y][1:]) @ part for y, part in zip((k, k - 1), parts, strict=True))
             some = mass > 0
@@ -443,10 +486,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     texts = blocks.select("block", F.lit(0).alias("turn"), F.lit(0).alias("slot"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("o"))
     answers = found.where("kind = 'r'").select("block", F.lit(1).alias("turn"), "slot", "a", "o")
     base, half = texts.unionByName(answers), F.pmod(F.xxhash64("block"), F.lit(HALVES)).cast("int")
-    weighed = materialise(_weigh(base.groupBy("block").applyInArrow(share, shared).withColumn("half", half)), "sums")
+    weighed = materialise(_weigh(base.groupBy("block").applyInArrow(lambda table: then_give_back(share(table)), shared).withColumn("half", half)), "sums")
     done = []
     for k in range(HALVES):
         told = _tell(weighed.where(F.col("half") == k))
-        done.append(materialise(base.where(half == k).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "scores"))
+        done.append(materialise(base.where(half == k).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda table, weights: then_give_back(run(table, weights)), schema), "scores"))
     release(blocks, weighed, *added)
     return reduce(DataFrame.unionByName, done).withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -270,6 +271,61 @@ def test_katz_writes_sums_once(spark):
     assert sorted(told) == list(range(20)) and all((told[k] == want[:, :, u]).all() for k, u in enumerate(asked))
 
 
+class Seized:
+    """Stands for rows that are dealt by slot; keeps what a task does with them."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def slot_of_trigrams(blocks=8, n=100_000):
+    """(a slot's questions by block, {hash: counts by block}): half of a block's trigrams are in other blocks too."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(3, 1 << 63, n, dtype=np.uint64)
+    met, out = defaultdict(dict), []
+    for block in range(blocks):
+        u = np.unique(np.concatenate((rng.choice(pool, n // 2, replace=False), rng.integers(3, 1 << 63, n // 2, dtype=np.uint64))))
+        m = rng.integers(0, 4, len(u)).astype(np.uint64)
+        for h, c in zip(u.tolist(), m.tolist(), strict=True):
+            met[h][block] = c
+        out.append((3, block, katz.pack_sorted(u), katz.pack(m)))
+    return katz._packed(out, "slot int, block long, u binary, n binary"), met
+
+
+def test_katz_adds_up_by_ranges(monkeypatch):
+    """Answers, numbers and totals are the same however many ranges a slot's n-grams are added up in."""
+    monkeypatch.setattr(katz, "RANGE", 700, raising=False)
+    batch, met = slot_of_trigrams(4, 2000)
+    batch = batch.set_column(0, "slot", pa.array([2] * 4, pa.int32()))  # of an order that has numbers
+    (got,) = katz._add_up(Seized(), 3)([batch])
+    rows = got.to_pylist()
+    sums = {h: sum(x.values()) for h, x in met.items()}
+    real = Counter(c for c in sums.values() if c)
+    assert {r["h"]: r["c"] for r in rows if r["kind"] == "n"} == {-1: real.total(), 0: sum(sums.values())} | {k: real[k] for k in range(1, katz.LARGE + 2)}
+    number = {h: k for k, h in enumerate(h for h in sorted(met) if len(met[h]) > 1)}
+    for r in (r for r in rows if r["kind"] == "r"):
+        mine = [h for h in sorted(met) if r["block"] in met[h]]
+        owner = {h: min((b for b, c in met[h].items() if c), default=None) for h in mine}
+        assert katz.unpack(r["a"]).tolist() == [sums[h] * 4 + 2 * (len(met[h]) == 1) + (owner[h] == r["block"]) for h in mine]
+        assert katz.unpack_sorted(r["o"]).tolist() == [number[h] for h in mine if h in number]
+
+
+def test_katz_memory_of_a_slot():
+    """Adding up takes little more than a slot's hashes and counts: 57 bytes an n-gram at most, where it took 77; tallies
+    little more than their sums."""
+    batch, _ = slot_of_trigrams()
+    peak = lambda f: (tracemalloc.start(), f(), tracemalloc.get_traced_memory()[1], tracemalloc.stop())[2]
+    assert peak(lambda: list(katz._add_up(Seized(), 3)([batch]))) < 57 * sum(len(katz.unpack(x.as_py())) for x in batch.column("n"))
+    at, t = np.arange(20_000, dtype=np.uint64), np.ones((2, katz.LARGE + 1, 20_000), np.uint64)
+    asked = [(1, k, 0, katz.pack_sorted(at), katz.pack(t)) for k in range(20)]
+    assert peak(lambda: list(katz._weigh(Seized())([katz._packed(asked, "slot int, block long, half int, u binary, t binary")]))) < 10 * t.nbytes
+
+
 def test_katz_leaves_scores_only(spark, sample_df):
     """Blocks, counts and sums are gone once texts are scored."""
     from gramwise.shared import scratch_dir
