@@ -19,7 +19,7 @@ from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
 from gramwise.sources import analysed, best_scrollable, crowded_nodes, dealt, drop_noise, files_of, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, GROUPS, OWN_PACKAGE, PHASES, SEEN, SESSION_PARTS
-from gramwise.streaming import collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.streaming import buckets_of, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
 from gramwise.streaming.collect import LOOKED_UP
 
 #: The pause after which a scan runs in queries over events, in microseconds: events are hours apart.
@@ -252,37 +252,41 @@ def shown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display(_collections(spark, sf_dir)).select("session_id", "rank", "title", "metric_text")
 
 
-def _timed(rows: DataFrame, gap_us: int) -> DataFrame:
+def _timed(rows: DataFrame, gap_us: int, buckets: int) -> DataFrame:
     """Rows of (session_id, seq, ts, kind) by weeks as a stream through the debounce. Two more batches of rows of no session, enough
     for all files of a batch, let all pauses pass: the first takes the watermark on, with the second what was due runs."""
     last, k = rows.agg(F.max("ts").alias("ts")), F.col("k")
     ends = last.select("ts", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(F.lit(-1).cast("long").alias("session_id"), k.cast("long").alias("seq"), (F.col("ts") + (F.floor(k / 4) + 1) * F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
     week = F.when(F.col("session_id") == -1, F.floor(F.col("seq") / 4) + 5).otherwise(F.floor(F.dayofmonth("ts") / 7)).cast("int")
-    return passive_scans(in_batches(rows.unionByName(ends), week, 7), gap_us)
+    return passive_scans(in_batches(rows.unionByName(ends), week, 7), gap_us, buckets=buckets)
 
 
 @query
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`debounce_scans` by timers, as a stream."""
-    return _streamed(_timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), PAUSE))
+    events = scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event"))
+    return _streamed(_timed(events, PAUSE, buckets_of(events)))
 
 
 @query
 def passive_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while all is being scanned now and then."""
-    return _streamed(_timed(scan_all_events(spark, sf_dir), PAUSE))
+    events = scan_all_events(spark, sf_dir)
+    return _streamed(_timed(events, PAUSE, buckets_of(events)))
 
 
 @query
 def events_to_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream from events to collections: pauses let passive scans run, these see what is on screen that day, and a session
     keeps its last hundred items; what went may come back."""
-    scans = _timed(scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event")), PAUSE)
+    events = scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event"))
+    buckets = buckets_of(events)
+    scans = _timed(events, PAUSE, buckets)
     scans = scans.withColumns({"grp": F.col("session_id") % GROUPS, "phase": F.floor(F.col("last_us") / 86_400_000_000) % PHASES})
     what, on, cap = screens(spark, sf_dir), ["grp", "phase"], 100
     items = screen_items(what, on, cap)
     if items.count() <= LOOKED_UP:
-        return looked(_streamed(look_stream(scans, items, on, cap)), items).select("session_id", "place", "seq", "item_key")
+        return looked(_streamed(look_stream(scans, items, on, cap, buckets)), items).select("session_id", "place", "seq", "item_key")
     found = collections(_streamed(collect_stream(seen(scans, with_ends(what, on), on), cap=cap)))
     return found.where("place is not null").select("session_id", "place", "seq", "item_key")
 

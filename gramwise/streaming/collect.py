@@ -12,7 +12,10 @@ it, with the mode that the counts give. `collections` makes of them what each se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +27,7 @@ from gramwise.operators.rank import MODES, automatic_mode, display_rows, rank, s
 from gramwise.shared import materialise
 from gramwise.sources.screen import drop_noise
 from gramwise.sources.texts import analysed
+from gramwise.streaming.buckets import BUCKETS, in_buckets, session_id
 
 ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
 FIELDS = ("name", "raw_text", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence")
@@ -243,7 +247,11 @@ def with_ends(screens: DataFrame, on: list[str]) -> DataFrame:
 
 #: Items of screens that a task looks up at most; with more, scans are joined to their rows.
 LOOKED_UP = 200_000
-LOOK = "session_id long, step long, smart string, screen array<int>, item array<int>, us array<long>"
+LOOK = "session_id long, step long, smart string, place array<int>, screen array<int>, item array<int>, n array<int>, us array<long>"
+#: Items that a session holds one after the other as a scan brought them: n items of a screen, from one on backwards in number.
+RUNS = np.dtype([("session_id", "i8"), ("screen", "i4"), ("item", "i4"), ("n", "i4"), ("us", "i8")])
+#: Runs that a task remembers at most of what scans have left.
+REMEMBERED = 200_000
 
 
 def screen_items(screens: DataFrame, on: list[str], cap: int) -> DataFrame:
@@ -261,50 +269,91 @@ def screen_items(screens: DataFrame, on: list[str], cap: int) -> DataFrame:
 
 
 class Looking(StatefulProcessor):
-    """A session's collection of what known screens show: the items it holds are numbers of a screen and an item of it."""
+    """The collections of a bucket's sessions of what known screens show. What a session holds are runs of a screen's items, each
+    with the time of its scan. What a scan makes of runs doesn't depend on times, so it is remembered: sessions hold the same
+    again and again."""
 
     def __init__(self, screens: dict[int, list[tuple]], cap: int):
         self.screens, self.cap = screens, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = {(screen, item[4]): item for screen, items in self.screens.items() for item in items}
-        self.held = handle.getValueState("held", "step long, screen array<int>, item array<int>, us array<long>")
+        self.moves, self.modes, self.remembered = {}, {}, 0
+        self.held = handle.getValueState("held", "step long, runs binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step, *held = self.held.get() or (0, (), (), ())
+    def _move(self, runs: tuple, screen: int) -> tuple[tuple, tuple]:
+        """The runs (screen, item, n) that a scan of the screen leaves, and which of those before each was part of; -1: the scan's."""
         now = Collection(self.cap)
-        for screen, item, us in zip(*held, strict=True):
-            name, sure, length, *_ = self.items[screen, item]
-            now.put(name, sure, length, (screen, item, us))
-        for us, screen in sorted(x for part in rows for x in zip(part["last_us"].tolist(), part["screen"].tolist(), strict=True)):
-            for name, sure, length, _, item in self.screens[screen]:
-                now.put(name, sure, length, (screen, item, us))
-            now.end_scan()
-        held = [list(x) for x in zip(*(x[2] for x in now.items.values()), strict=True)] or [[], [], []]
-        had = [self.items[screen, item][3] for screen, item in zip(*held[:2], strict=True)]
-        smart = automatic_mode([sum(m >> i & 1 for m in had) for i in range(len(MODES))])
-        self.held.update((step + 1, *held))
-        yield pd.DataFrame({"session_id": [key[0]], "step": [step + 1], "smart": [smart], "screen": [held[0]], "item": [held[1]], "us": [held[2]]})
+        for at, (shown, first, n) in enumerate(runs):
+            for item in range(first, first - n, -1):
+                name, sure, length, *_ = self.items[shown, item]
+                now.put(name, sure, length, (at, shown, item))
+        for name, sure, length, _, item in self.screens[screen]:
+            now.put(name, sure, length, (-1, screen, item))
+        now.end_scan()
+        left = []
+        for at, shown, item in (x[2] for x in now.items.values()):
+            if left and left[-1][0] == at and left[-1][2] - left[-1][3] == item:
+                left[-1][3] += 1
+            else:
+                left.append([at, shown, item, 1])
+        return tuple((shown, item, n) for _, shown, item, n in left), tuple(at for at, *_ in left)
+
+    def _moved(self, runs: tuple, screen: int) -> tuple[tuple, tuple]:
+        move = self.moves.get((runs, screen))
+        if move is None:
+            if self.remembered > REMEMBERED:
+                self.moves, self.modes, self.remembered = {}, {}, 0
+            move = self.moves[runs, screen] = self._move(runs, screen)
+            self.remembered += len(runs) + len(move[0])
+        return move
+
+    def _smart(self, runs: tuple) -> str:
+        if runs not in self.modes:
+            had = [self.items[shown, item][3] for shown, first, n in runs for item in range(first, first - n, -1)]
+            self.modes[runs] = automatic_mode([sum(m >> i & 1 for m in had) for i in range(len(MODES))])
+        return self.modes[runs]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        step, held = self.held.get() or (0, b"")
+        now = {}
+        for session, every in groupby(np.frombuffer(held, RUNS).tolist(), itemgetter(0)):
+            every = list(every)
+            now[session] = tuple(x[1:4] for x in every), [x[4] for x in every]
+        changed = {}
+        for us, screen, session in sorted(x for part in rows for x in zip(*(part[c].tolist() for c in ("last_us", "screen", "session_id")), strict=True)):
+            runs, times = now.get(session, ((), ()))
+            runs, came = self._moved(runs, screen)
+            now[session] = changed[session] = runs, [us if at < 0 else times[at] for at in came]
+        every = [(session, *run, us) for session, (runs, times) in now.items() for run, us in zip(runs, times, strict=True)]
+        self.held.update((step + 1, np.array(every, RUNS).tobytes()))
+        out = []
+        for session, (runs, times) in changed.items():
+            screen, item, n = zip(*runs, strict=True)
+            out.append((session, step + 1, self._smart(runs), list(accumulate(n[:-1], initial=0)), screen, item, n, times))
+        yield pd.DataFrame(out, columns=["session_id", "step", "smart", "place", "screen", "item", "n", "us"])
 
     def close(self) -> None:
         pass
 
 
-def look_stream(scans: DataFrame, items: DataFrame, on: list[str], cap: int = fixed.KEPT) -> DataFrame:
-    """What each session holds after each batch (LOOK), from a stream of passive scans (session_id, last_us and the columns `on`) and
-    `screen_items`. Scans go to their sessions as they are; what they see is with the tasks, so it must be LOOKED_UP at most."""
+def look_stream(scans: DataFrame, items: DataFrame, on: list[str], cap: int = fixed.KEPT, buckets: int = BUCKETS) -> DataFrame:
+    """What each session holds after each batch that scans for it (LOOK), from a stream of passive scans (session_id, last_us and the
+    columns `on`) and `screen_items`. Scans go to their sessions as they are; what they see is with the tasks, so it must be
+    LOOKED_UP at most. A task holds the scans of one batch of a bucket of sessions, and what these keep."""
     scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     screens: dict[int, list[tuple]] = {}
     for r in items.select("screen", "item", "item_key", "confidence", "text_length", "metrics").orderBy("screen", F.desc("item")).collect():
         screens.setdefault(r["screen"], []).append((r["item_key"], r["confidence"], r["text_length"], r["metrics"], r["item"]))
     numbers = F.broadcast(items.select(*on, "screen").distinct())
-    return scans.join(numbers, on).select("session_id", "last_us", "screen").groupBy("session_id").transformWithStateInPandas(Looking(screens, cap), LOOK, "append", "None")
+    return in_buckets(scans.join(numbers, on), buckets).select("bucket", "session_id", "last_us", "screen").groupBy("bucket").transformWithStateInPandas(Looking(screens, cap), LOOK, "append", "None")
 
 
 def looked(states: DataFrame, items: DataFrame) -> DataFrame:
     """(session_id, place, seq, item_key, smart) of what `look_stream` wrote: what each session has after all of it."""
-    last = states.groupBy("session_id").agg(F.max_by(F.struct("smart", F.arrays_zip("screen", "item", "us").alias("held")), "step").alias("s"))
-    held = last.select("session_id", "s.smart", F.posexplode("s.held").alias("place", "h")).select("session_id", "place", "smart", "h.*")
+    last = states.groupBy("session_id").agg(F.max_by(F.struct("smart", F.arrays_zip("place", "screen", "item", "n", "us").alias("runs")), "step").alias("s"))
+    runs = last.select(session_id(), "s.smart", F.explode("s.runs").alias("r"))
+    held = runs.select("session_id", "smart", "r.*", F.explode(F.sequence(F.lit(0), F.col("r.n") - 1)).alias("k")).withColumns({"place": F.col("place") + F.col("k"), "item": F.col("item") - F.col("k")})
     return held.join(F.broadcast(items.select("screen", "item", "item_key", F.col("place").alias("_at"))), ["screen", "item"]).select("session_id", "place", (F.floor(F.col("us") / 1000) * PLACES + F.col("_at")).alias("seq"), "item_key", "smart")
 
 

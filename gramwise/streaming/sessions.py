@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gramwise.functions import fixed
 from gramwise.functions.text import trim
+from gramwise.streaming.buckets import BUCKETS, in_buckets, session_id
 from gramwise.streaming.collect import ROCKS
 
 
@@ -44,61 +46,81 @@ def stop_of_scan_all(sizes: DataFrame, steps: int = fixed.STEPS, stale: int = fi
     return first.select("session_id", "at.*")
 
 
+#: Rows that the watermark hasn't passed, and what is open of a session: the first and last of so many events, and whether all is
+#: being scanned.
+WAITING = np.dtype([("session_id", "i8"), ("us", "i8"), ("seq", "i8"), ("kind", "i1")])
+OPEN = np.dtype([("session_id", "i8"), ("first", "i8"), ("last", "i8"), ("n", "i8"), ("scanning", "?")])
+#: Kinds by their number, in the order in which rows of one time and seq count.
+EVENT, START, STOP = 1, 2, 3
+
+
 class Debounce(StatefulProcessor):
-    """A session's passive scans: each runs when no event has come for longer than gap.
+    """The passive scans of a bucket's sessions: each runs when no event of its session has come for longer than gap.
 
     An event cancels what is due and sets its own time; while all is being scanned events are ignored, and what was due before
     still runs; the end of a scan-all calls it off. Rows wait in state until the watermark has passed them, so they count in
-    the order of their time however they came.
+    the order of their time however they came. A bucket's timer is that of its first session.
     """
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Each call to state or timers takes a millisecond or two, so all that is kept of a session is one value.
         self.handle, self.done = handle, {}
-        self.due = handle.getValueState("due", "first long, last long, n long, scanning boolean, timer long, us array<long>, seq array<long>, kind array<string>")
-
-    def _advance(self, key, now_ms: int, new: list[tuple]) -> Iterator[pd.DataFrame]:
-        first, last, n, scanning, timer, *waiting = self.due.get() or (0, 0, 0, False, 0, [], [], [])
-        rows = sorted([*zip(*waiting, strict=True), *new])
-        passed = sum(us < now_ms * 1000 for us, *_ in rows)
+        self.due = handle.getValueState("due", "timer long, opened binary, waiting binary")
+
+    def _advance(self, key, now_ms: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        timer, opened, waiting = self.due.get() or (0, b"", b"")
+        rows = np.concatenate([np.frombuffer(waiting, WAITING), *new])
+        passed = rows["us"] < now_ms * 1000
+        rest, rows = rows[~passed], rows[passed]
+        rows = rows[np.lexsort((rows["kind"], rows["seq"], rows["us"]))]
+        sessions = {session: x for session, *x in np.frombuffer(opened, OPEN).tolist()}
         out = []
-        for us, _, kind in rows[:passed]:
+        for session, us, _, kind in rows.tolist():
+            first, last, n, scanning = sessions.get(session, (0, 0, 0, False))
             if n and us - last > self.gap:
-                out.append((key[0], first, last, n))
+                out.append((session, first, last, n))
                 n = 0
-            if kind == "event" and not scanning:
+            if kind == EVENT and not scanning:
                 first, last, n = us if not n else first, us, n + 1
-            elif kind == "start":
+            elif kind == START:
                 scanning = True
-            elif kind == "stop":
+            elif kind == STOP:
                 scanning, n = False, 0
-        if n and now_ms * 1000 > last + self.gap:
-            out.append((key[0], first, last, n))
-            n = 0
-        rest = rows[passed:]
+            sessions[session] = first, last, n, scanning
+        still = []
+        for session, (first, last, n, scanning) in sessions.items():
+            if n and now_ms * 1000 > last + self.gap:
+                out.append((session, first, last, n))
+                n = 0
+            if n or scanning:
+                still.append((session, first, last, n, scanning))
+        still = np.array(still, OPEN)
         # The timer is at the first time at which something may be over; then the watermark has passed it.
-        times = [us for us, *_ in rest[:1]] + ([last] if n else [])
-        at = (min(times) + self.gap) // 1000 + 1 if times else 0
+        times = np.concatenate([rest["us"], still["last"][still["n"] > 0]])
+        at = (int(times.min()) + self.gap) // 1000 + 1 if len(times) else 0
         if at != timer:
             if timer > now_ms:
                 self.handle.deleteTimer(timer)
             if at:
                 self.handle.registerTimer(at)
-        self.due.update((first, last, n, scanning, at, *([x[i] for x in rest] for i in range(3))))
+        self.due.update((at, still.tobytes(), rest.tobytes()))
         self.done[key[0]] = now_ms
         if out:
             yield pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"], dtype="int64")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [x for part in rows for x in zip(part["us"].tolist(), part["seq"].tolist(), part["kind"].tolist(), strict=True)]
+        new = []
+        for part in rows:
+            new.append(np.empty(len(part), WAITING))
+            for name in WAITING.names:
+                new[-1][name] = part[name]
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
-        # Rows that came in this batch have taken the session as far already.
+        # Rows that came in this batch have taken the bucket as far already.
         if self.done.get(key[0]) != now_ms:
             yield from self._advance(key, now_ms, [])
 
@@ -106,12 +128,15 @@ class Debounce(StatefulProcessor):
         pass
 
 
-def passive_scans(rows: DataFrame, gap_us: int = 500_000, late: str = "0 seconds") -> DataFrame:
+def passive_scans(rows: DataFrame, gap_us: int = 500_000, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(session_id, first_us, last_us, n_events) of each passive scan, as a stream in append mode, from a stream of (session_id, seq,
-    ts, kind): event, start or stop (of a scan-all). Rows that come later than `late` after others are lost, as Spark's are."""
+    ts, kind): event, start or stop (of a scan-all). Rows that come later than `late` after others are lost, as Spark's are.
+    A task holds the rows of one batch of a bucket of sessions, and those of the last that wait."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = rows.withWatermark("ts", late).select("session_id", "seq", "ts", "kind", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("session_id").transformWithStateInPandas(Debounce(gap_us), "session_id long, first_us long, last_us long, n_events long", "append", "EventTime")
+    kind = F.when(F.col("kind") == "event", EVENT).when(F.col("kind") == "start", START).when(F.col("kind") == "stop", STOP).otherwise(0)
+    timed = in_buckets(rows.withWatermark("ts", late), buckets).select("bucket", "session_id", "seq", "ts", kind.alias("kind"), F.unix_micros("ts").alias("us"))
+    scans = timed.groupBy("bucket").transformWithStateInPandas(Debounce(gap_us), "session_id long, first_us long, last_us long, n_events long", "append", "EventTime")
+    return scans.select(session_id(), "first_us", "last_us", "n_events")
 
 
 class ScanAll(StatefulProcessor):

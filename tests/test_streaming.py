@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from gramwise.functions import analyze, fixed
 from gramwise.operators import collected, smart_mode, with_metrics
 from gramwise.operators.dedupe import Collection
 from gramwise.sources import in_batches
-from gramwise.streaming import Session, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.streaming import Session, collect, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.streaming.collect import Looking
+from gramwise.streaming.sessions import Debounce
 
 SCHEMA = "session_id long, seq long, kind string, named string, scan_id long, raw_text string"
 
@@ -250,3 +253,115 @@ def test_known_screens_are_looked_up(spark, tmp_path):
     want = collections(written(collect_stream(rows, cap=5), tmp_path / "rows"))
     pick = lambda df: sorted(map(tuple, df.select("session_id", "place", "seq", "item_key", "smart").collect()))
     assert pick(got) == pick(want) and len(pick(got)) == 20
+
+
+class Handle:
+    """One value in state and timers, with the calls that are made to them."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def plain_scans(rows, gap):
+    """(first, last, n) of one session's rows (us, seq, kind), all of them being past."""
+    out, first, last, n, scanning = [], 0, 0, 0, False
+    for us, _, kind in [*sorted(rows), (10**18, 0, "end")]:
+        if n and us - last > gap:
+            out.append((first, last, n))
+            n = 0
+        if kind == "event" and not scanning:
+            first, last, n = us if not n else first, us, n + 1
+        elif kind in ("start", "stop"):
+            scanning, n = kind == "start", n if kind == "start" else 0
+    return out
+
+
+def test_a_bucket_of_sessions_is_one_call_to_state():
+    """However many sessions a batch has, the debounce reads and writes one value and sets one timer; each session has the scans of
+    its own rows, whichever batch brings them and whenever the bucket is called."""
+    rng, gap = random.Random(3), 3_000
+    number = {"event": 1, "start": 2, "stop": 3, "other": 0}
+    rows = [(s, rng.randrange(200_000) // 7 * 7, seq, rng.choice(["event"] * 6 + ["start", "stop", "other"])) for seq in range(6_000) for s in (rng.randrange(400),)]
+    handle = Handle()
+    debounce = Debounce(gap)
+    debounce.init(handle)
+    found, ends = [], [0, 40_000, 90_000, 140_000, 200_000, 10**9, 10**9]
+    for low, high in zip(ends, ends[1:], strict=False):
+        brought = pd.DataFrame([(s, us, seq, number[kind]) for s, us, seq, kind in rows if low <= us < high], columns=["session_id", "us", "seq", "kind"])
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda low=low: low // 1000)
+        handle.calls = 0
+        found += debounce.handleInputRows((0,), iter([brought[:50], brought[50:]]), clock)
+        assert handle.calls <= 4 and len(handle.timers - set(range(low // 1000 + 1))) <= 1
+        assert not list(debounce.handleExpiredTimer((0,), clock, None))
+    got = sorted(tuple(r) for part in found for r in part.itertuples(index=False))
+    want = sorted((s, *scan) for s in range(400) for scan in plain_scans([x[1:] for x in rows if x[0] == s], gap))
+    assert got == want and len(got) > 400
+    assert handle.value[1:] != (b"", b"") and len(handle.value[2]) == 0
+
+
+def test_what_a_scan_leaves_is_remembered():
+    """A bucket's sessions are read and written at once; each holds what a plain collection holds, as runs; what a screen makes of
+    the same runs is worked out once, and what is remembered is bounded."""
+    rng = random.Random(4)
+    screens = {k: [(rng.choice("abcdefghijklmnop") if k > 1 else f"{k}-{i}", rng.choice([0.7, 0.8, 0.9]), rng.randint(1, 3), rng.randrange(64), i) for i in reversed(range(n))] for k, n in enumerate((12, 14, 3, 6, 9))}
+    screens = {k: list({x[0]: x for x in items}.values()) for k, items in screens.items()}
+    scans = [(s, i * 10 + rng.randrange(9), rng.choice([0, 1] if s < 200 else list(screens))) for s in range(300) for i in range(12)]
+    want = {}
+    for s, us, screen in scans:
+        now = want.setdefault(s, Collection(5))
+        for name, sure, length, _, item in screens[screen]:
+            now.put(name, sure, length, (screen, item, us))
+        now.end_scan()
+    for most in (collect.REMEMBERED, 50):
+        collect.REMEMBERED, before = most, collect.REMEMBERED
+        try:
+            handle, looking, got = Handle(), Looking(screens, 5), {}
+            looking.init(handle)
+            for low in (0, 40, 80):
+                brought = pd.DataFrame([x for x in scans if low <= x[1] < low + 40], columns=["session_id", "last_us", "screen"]).sample(frac=1, random_state=low)
+                handle.calls = 0
+                for r in pd.concat(looking.handleInputRows((0,), iter([brought[:90], brought[90:]]), None)).itertuples(index=False):
+                    assert list(r.place) == [sum(r.n[:i]) for i in range(len(r.n))]
+                    got[r.session_id] = [(screen, item - i, us) for screen, item, n, us in zip(r.screen, r.item, r.n, r.us, strict=True) for i in range(n)]
+                assert handle.calls == 2
+                assert looking.remembered <= most + 12
+            assert got == {s: [x[2] for x in now.items.values()] for s, now in want.items()}
+            assert most == 50 or len([1 for (_, screen) in looking.moves if screen < 2]) < 600
+        finally:
+            collect.REMEMBERED = before
+
+
+def test_sessions_of_a_bucket_in_a_stream(spark, tmp_path):
+    """A stream of many sessions, one without an id, has as many values in state as buckets."""
+    start, rng = datetime(2024, 1, 1), random.Random(6)
+    rows = [(s or None, i, start + timedelta(milliseconds=rng.randrange(20_000) + 20_000 * (i // 4)), "event") for s in range(90) for i in range(12)]
+    rows += [(10**18, 99, start + timedelta(days=k), "stop") for k in (1, 2)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string")
+    batch = F.when(F.col("seq") == 99, F.dayofmonth("ts") + 1).otherwise(F.floor(F.col("seq") / 4)).cast("int")
+    stream = passive_scans(in_batches(df, batch, 5, files=1), 500_000, buckets=3)
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    want = debounced(df.where("seq < 99").withColumn("event_id", F.col("seq"))).select("session_id", F.unix_micros("first_ts"), F.unix_micros("last_ts"), "n_events")
+    pick = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert pick(got) == pick(want) and any(r["session_id"] is None for r in got.collect())
