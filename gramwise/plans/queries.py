@@ -19,7 +19,7 @@ from gramwise.plans.sql import register_functions, register_views
 from gramwise.shared import scratch_dir
 from gramwise.sources import analysed, best_scrollable, crowded_nodes, dealt, drop_noise, files_of, in_batches, listings, node_candidates, node_items, ocr_candidates, ocr_context, ocr_items, ocr_lines, recorded, scan_all_events, scan_events, scan_sizes, screen_nodes, screens, table, wide_nodes
 from gramwise.sources.listings import BATCH_PARTS, BATCHES, FORMS, GROUPS, OWN_PACKAGE, PHASES, SEEN, SESSION_PARTS
-from gramwise.streaming import buckets_of, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.streaming import buckets_of, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, tasks_of, with_ends
 from gramwise.streaming.collect import LOOKED_UP
 
 #: The pause after which a scan runs in queries over events, in microseconds: events are hours apart.
@@ -227,11 +227,19 @@ def ocr_scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_items(ocr_lines(spark, sf_dir)).select("scan_id", "place", "block_no", "name", "price", F.col("quantity.kind").alias("kind"), "confidence")
 
 
-def _streamed(stream: DataFrame) -> DataFrame:
-    """All that a stream in append mode writes, after it has read what there is."""
-    folder = f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+def _streamed(stream: DataFrame, buckets: int | None = None) -> DataFrame:
+    """All that a stream in append mode writes, after it has read what there is. Where its state is in buckets, these settle its
+    tasks: a stream takes the setting that it is started with."""
+    spark, partitions = stream.sparkSession, "spark.sql.shuffle.partitions"
+    folder, before = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}", spark.conf.get(partitions)
+    if buckets:
+        spark.conf.set(partitions, tasks_of(buckets, spark))
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+    finally:
+        spark.conf.set(partitions, before)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,24 +263,28 @@ def shown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _timed(rows: DataFrame, gap_us: int, buckets: int) -> DataFrame:
     """Rows of (session_id, seq, ts, kind) by weeks as a stream through the debounce. Two more batches of rows of no session, enough
     for all files of a batch, let all pauses pass: the first takes the watermark on, with the second what was due runs."""
-    last, k = rows.agg(F.max("ts").alias("ts")), F.col("k")
-    ends = last.select("ts", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(F.lit(-1).cast("long").alias("session_id"), k.cast("long").alias("seq"), (F.col("ts") + (F.floor(k / 4) + 1) * F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
-    week = F.when(F.col("session_id") == -1, F.floor(F.col("seq") / 4) + 5).otherwise(F.floor(F.dayofmonth("ts") / 7)).cast("int")
-    return passive_scans(in_batches(rows.unionByName(ends), week, 7), gap_us, buckets=buckets)
+    of_week = F.floor(F.dayofmonth("ts") / 7).cast("int")
+    files = files_of(rows, of_week, rows.sparkSession.sparkContext.defaultParallelism, parsed=False)
+    last, k, each = rows.agg(F.max(F.unix_micros("ts"))).first()[0], F.col("id"), 2 * files
+    ends = rows.sparkSession.range(0, 2 * each, 1, 1).select(F.lit(-1).cast("long").alias("session_id"), k.alias("seq"), (F.timestamp_micros(F.lit(last)) + (F.floor(k / each) + 1) * F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("stop").alias("kind"))
+    week = F.when(F.col("session_id") == -1, F.floor(F.col("seq") / each).cast("int") + 5).otherwise(of_week)
+    return passive_scans(in_batches(rows.unionByName(ends), week, 7, files), gap_us, buckets=buckets)
 
 
 @query
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`debounce_scans` by timers, as a stream."""
     events = scan_all_events(spark, sf_dir).withColumn("kind", F.lit("event"))
-    return _streamed(_timed(events, PAUSE, buckets_of(events)))
+    buckets = buckets_of(events)
+    return _streamed(_timed(events, PAUSE, buckets), buckets)
 
 
 @query
 def passive_scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while all is being scanned now and then."""
     events = scan_all_events(spark, sf_dir)
-    return _streamed(_timed(events, PAUSE, buckets_of(events)))
+    buckets = buckets_of(events)
+    return _streamed(_timed(events, PAUSE, buckets), buckets)
 
 
 @query
@@ -286,7 +298,7 @@ def events_to_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     what, on, cap = screens(spark, sf_dir), ["grp", "phase"], 100
     items = screen_items(what, on, cap)
     if items.count() <= LOOKED_UP:
-        return looked(_streamed(look_stream(scans, items, on, cap, buckets)), items).select("session_id", "place", "seq", "item_key")
+        return looked(_streamed(look_stream(scans, items, on, cap, buckets), buckets), items).select("session_id", "place", "seq", "item_key")
     found = collections(_streamed(collect_stream(seen(scans, with_ends(what, on), on), cap=cap)))
     return found.where("place is not null").select("session_id", "place", "seq", "item_key")
 

@@ -220,11 +220,11 @@ def recorded(part: DataFrame) -> DataFrame:
 FILES, FILE_ROWS = 2, 1_000
 
 
-def files_of(df: DataFrame, batch: Column, tasks: int) -> int:
-    """Files for the batches of `in_batches`: a file is read and parsed by one task, so as many as there are cores, more for large
-    tables. All batches have as many, so that none is read with another; the least one settles how many it can fill."""
+def files_of(df: DataFrame, batch: Column, tasks: int, parsed: bool = True) -> int:
+    """Files for the batches of `in_batches`: a file is read by one task, so as many as there are cores, more for large tables
+    that are parsed. All batches have as many, so that none is read with another; the least one settles how many it can fill."""
     rows = [r["count"] for r in df.groupBy(batch.alias("batch")).count().collect()]
-    wanted = max(tasks, -(-max(rows, default=0) // TASK_ROWS))
+    wanted = max(tasks, -(-max(rows, default=0) // TASK_ROWS)) if parsed else tasks
     return max(FILES, min(wanted, min(rows, default=0) // FILE_ROWS))
 
 

@@ -3,12 +3,14 @@ made for some hundreds of sessions at once. A bucket's state is one value, in wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Buckets of a stream unless it says otherwise; a stream that goes on from its checkpoint must have as many as before.
 BUCKETS = 64
 #: Rows that a bucket has over all of a stream whose number of rows is known.
 BUCKET_ROWS = 16_384
+#: Buckets of a task: state is opened and written anew by each task of each batch, which costs far more than the rows of a few.
+TASK_BUCKETS = 256
 #: Stands for a session without an id, as whole numbers with nulls among them would become floats.
 NO_SESSION = -(2**63)
 
@@ -18,6 +20,11 @@ def buckets_of(rows: DataFrame) -> int:
     return max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BUCKET_ROWS))
 
 
+def tasks_of(buckets: int, spark: SparkSession) -> int:
+    """Tasks that share the buckets: one for each core, more for many buckets, but no more than shuffles have."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-buckets // TASK_BUCKETS)))
+
+
 def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
     """Adds bucket, by session_id, which becomes a number in any case."""
     return rows.withColumns({"bucket": F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"), "session_id": F.coalesce(F.col("session_id").cast("long"), F.lit(NO_SESSION))})

@@ -3,6 +3,7 @@ hand-made rows, in batches of any cut."""
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 from types import SimpleNamespace
 
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from gramwise.functions import analyze, fixed
 from gramwise.operators import collected, smart_mode, with_metrics
 from gramwise.operators.dedupe import Collection
-from gramwise.sources import in_batches
-from gramwise.streaming import Session, collect, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, with_ends
+from gramwise.plans.queries import PAUSE, _streamed, _timed
+from gramwise.sources import files_of, in_batches, scan_all_events
+from gramwise.streaming import Session, collect, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, tasks_of, with_ends
+from gramwise.streaming.buckets import TASK_BUCKETS
 from gramwise.streaming.collect import Looking
 from gramwise.streaming.sessions import Debounce
 
@@ -365,3 +368,20 @@ def test_sessions_of_a_bucket_in_a_stream(spark, tmp_path):
     want = debounced(df.where("seq < 99").withColumn("event_id", F.col("seq"))).select("session_id", F.unix_micros("first_ts"), F.unix_micros("last_ts"), "n_events")
     pick = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert pick(got) == pick(want) and any(r["session_id"] is None for r in got.collect())
+
+
+def test_a_stream_of_buckets_has_tasks_for_cores(spark):
+    """Shuffles may have many partitions; a stream whose state is in a few buckets has as many as there are cores, and the setting
+    stays as it was. Files of a batch are as many as there are cores, too, where its rows fill them."""
+    rows = scan_all_events(spark, "/root/testdata/sf0.01")
+    assert files_of(rows, F.floor(F.dayofmonth("ts") / 16), 3, parsed=False) == 3
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "40")
+    try:
+        assert tasks_of(4, spark) == 4 and tasks_of(TASK_BUCKETS * 9 + 1, spark) == 10 and tasks_of(TASK_BUCKETS * 99, spark) == 40
+        out = _streamed(_timed(rows, PAUSE, 16), 16)
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    folder = Path(out.inputFiles()[0].removeprefix("file:")).parent.parent
+    assert len([x for x in (folder / "checkpoint/state/0").iterdir() if x.name.isdigit()]) == 4
