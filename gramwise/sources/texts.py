@@ -14,7 +14,9 @@ from gramwise.sources.listings import dealt
 def analysed(rows: DataFrame) -> DataFrame:
     """`analyze` of a table of rows with raw_text, and item_key: what is on screen is seen again and again, so each distinct text
     is parsed once, and rows are joined to what is found. Rows and what is found are written, so that neither is made twice."""
-    rows = materialise(rows.where(has_price(F.col("raw_text"))).withColumnRenamed("raw_text", "_text"), "rows")
+    # A generator, as in analyze: a filter would be pushed below and the text made twice.
+    priced = F.explode(F.filter(F.array("raw_text"), has_price)).alias("_text")
+    rows = materialise(rows.select(*[priced if c == "raw_text" else F.col(f"`{c}`") for c in rows.columns]), "rows")
     texts = materialise(rows.select("_text").distinct(), "texts")
     found = materialise(analyze(dealt(texts, "_text").withColumn("raw_text", F.col("_text"))).withColumn("item_key", item_key()), "found")
     release(texts)

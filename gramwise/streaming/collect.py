@@ -27,7 +27,7 @@ from gramwise.operators.rank import MODES, automatic_mode, display_rows, rank, s
 from gramwise.shared import materialise
 from gramwise.sources.screen import drop_noise
 from gramwise.sources.texts import analysed
-from gramwise.streaming.buckets import BUCKETS, in_buckets, session_id
+from gramwise.streaming.buckets import BUCKETS, in_buckets, packed, session_id
 
 ITEM = "name string, raw_text string, price double, currency string, quantity struct<kind:string,amount_base:double,display:string,confidence:double,diameter_in:double>, calories double, portion struct<points:double,confidence:double,basis:string>, promotion struct<type:string,label:string,received_multiplier:double,min_paid_units:int,effective_price:double>, confidence double"
 FIELDS = ("name", "raw_text", "price", "currency", "quantity", "calories", "portion", "promotion", "confidence")
@@ -250,6 +250,8 @@ LOOKED_UP = 200_000
 LOOK = "session_id long, step long, smart string, place array<int>, screen array<int>, item array<int>, n array<int>, us array<long>"
 #: Items that a session holds one after the other as a scan brought them: n items of a screen, from one on backwards in number.
 RUNS = np.dtype([("session_id", "i8"), ("screen", "i4"), ("item", "i4"), ("n", "i4"), ("us", "i8")])
+#: Scans on their way to their sessions.
+SEEN = np.dtype([("session_id", "i8"), ("us", "i8"), ("screen", "i4")])
 #: Runs that a task remembers at most of what scans have left.
 REMEMBERED = 200_000
 
@@ -321,7 +323,8 @@ class Looking(StatefulProcessor):
             every = list(every)
             now[session] = tuple(x[1:4] for x in every), [x[4] for x in every]
         changed = {}
-        for us, screen, session in sorted(x for part in rows for x in zip(*(part[c].tolist() for c in ("last_us", "screen", "session_id")), strict=True)):
+        scans = np.concatenate([np.frombuffer(x, SEEN) for part in rows for x in part["rows"]])
+        for session, us, screen in scans[np.lexsort((scans["screen"], scans["us"]))].tolist():
             runs, times = now.get(session, ((), ()))
             runs, came = self._moved(runs, screen)
             now[session] = changed[session] = runs, [us if at < 0 else times[at] for at in came]
@@ -346,7 +349,8 @@ def look_stream(scans: DataFrame, items: DataFrame, on: list[str], cap: int = fi
     for r in items.select("screen", "item", "item_key", "confidence", "text_length", "metrics").orderBy("screen", F.desc("item")).collect():
         screens.setdefault(r["screen"], []).append((r["item_key"], r["confidence"], r["text_length"], r["metrics"], r["item"]))
     numbers = F.broadcast(items.select(*on, "screen").distinct())
-    return in_buckets(scans.join(numbers, on), buckets).select("bucket", "session_id", "last_us", "screen").groupBy("bucket").transformWithStateInPandas(Looking(screens, cap), LOOK, "append", "None")
+    known = in_buckets(scans.join(numbers, on), buckets).withColumnRenamed("last_us", "us")
+    return packed(known, SEEN).select("bucket", "rows").groupBy("bucket").transformWithStateInPandas(Looking(screens, cap), LOOK, "append", "None")
 
 
 def looked(states: DataFrame, items: DataFrame) -> DataFrame:

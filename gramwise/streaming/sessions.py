@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gramwise.functions import fixed
 from gramwise.functions.text import trim
-from gramwise.streaming.buckets import BUCKETS, in_buckets, session_id
+from gramwise.streaming.buckets import BUCKETS, in_buckets, packed, session_id
 from gramwise.streaming.collect import ROCKS
 
 
@@ -59,7 +59,8 @@ class Debounce(StatefulProcessor):
 
     An event cancels what is due and sets its own time; while all is being scanned events are ignored, and what was due before
     still runs; the end of a scan-all calls it off. Rows wait in state until the watermark has passed them, so they count in
-    the order of their time however they came. A bucket's timer is that of its first session.
+    the order of their time however they came. A bucket's timer is that of its first session. What comes so late that the bucket
+    has been taken past it is lost.
     """
 
     def __init__(self, gap_us: int):
@@ -67,11 +68,12 @@ class Debounce(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.done = handle, {}
-        self.due = handle.getValueState("due", "timer long, opened binary, waiting binary")
+        self.due = handle.getValueState("due", "timer long, past long, opened binary, waiting binary")
 
     def _advance(self, key, now_ms: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        timer, opened, waiting = self.due.get() or (0, b"", b"")
-        rows = np.concatenate([np.frombuffer(waiting, WAITING), *new])
+        timer, past, opened, waiting = self.due.get() or (0, None, b"", b"")
+        new = np.concatenate([np.zeros(0, WAITING), *new])
+        rows = np.concatenate([np.frombuffer(waiting, WAITING), new if past is None else new[new["us"] > past * 1000]])
         passed = rows["us"] < now_ms * 1000
         rest, rows = rows[~passed], rows[passed]
         rows = rows[np.lexsort((rows["kind"], rows["seq"], rows["us"]))]
@@ -105,17 +107,13 @@ class Debounce(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if at:
                 self.handle.registerTimer(at)
-        self.due.update((at, still.tobytes(), rest.tobytes()))
+        self.due.update((at, now_ms, still.tobytes(), rest.tobytes()))
         self.done[key[0]] = now_ms
         if out:
             yield pd.DataFrame(out, columns=["session_id", "first_us", "last_us", "n_events"], dtype="int64")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for part in rows:
-            new.append(np.empty(len(part), WAITING))
-            for name in WAITING.names:
-                new[-1][name] = part[name]
+        new = [np.frombuffer(x, WAITING) for part in rows for x in part["rows"]]
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -130,11 +128,14 @@ class Debounce(StatefulProcessor):
 
 def passive_scans(rows: DataFrame, gap_us: int = 500_000, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(session_id, first_us, last_us, n_events) of each passive scan, as a stream in append mode, from a stream of (session_id, seq,
-    ts, kind): event, start or stop (of a scan-all). Rows that come later than `late` after others are lost, as Spark's are.
-    A task holds the rows of one batch of a bucket of sessions, and those of the last that wait."""
+    ts, kind): event, start or stop (of a scan-all). Rows that come later than `late` after others are lost, as Spark's are, where
+    their bucket has been taken past them; rows without a time count for nothing. A task holds the rows of one batch of a bucket
+    of sessions, and those of the last that wait."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = F.when(F.col("kind") == "event", EVENT).when(F.col("kind") == "start", START).when(F.col("kind") == "stop", STOP).otherwise(0)
-    timed = in_buckets(rows.withWatermark("ts", late), buckets).select("bucket", "session_id", "seq", "ts", kind.alias("kind"), F.unix_micros("ts").alias("us"))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(0))
+    timed = in_buckets(rows.where("ts is not null"), buckets).select("bucket", "session_id", F.unix_micros("ts").alias("us"), seq.alias("seq"), kind.alias("kind"))
+    timed = packed(timed, WAITING).select("bucket", "rows", F.timestamp_micros("us").alias("ts")).withWatermark("ts", late)
     scans = timed.groupBy("bucket").transformWithStateInPandas(Debounce(gap_us), "session_id long, first_us long, last_us long, n_events long", "append", "EventTime")
     return scans.select(session_id(), "first_us", "last_us", "n_events")
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from gramwise.plans.queries import PAUSE, _streamed, _timed
 from gramwise.sources import files_of, in_batches, scan_all_events
 from gramwise.streaming import Session, collect, collect_stream, collections, debounced, display, look_stream, looked, package_sessions, passive_scans, scan_all_stops, screen_items, seen, stop_of_scan_all, tasks_of, with_ends
 from gramwise.streaming.buckets import TASK_BUCKETS
-from gramwise.streaming.collect import Looking
-from gramwise.streaming.sessions import Debounce
+from gramwise.streaming.collect import SEEN, Looking
+from gramwise.streaming.sessions import WAITING, Debounce
 
 SCHEMA = "session_id long, seq long, kind string, named string, scan_id long, raw_text string"
 
@@ -284,6 +285,11 @@ class Handle:
         self.timers.remove(at)
 
 
+def packs(rows, kinds):
+    """Rows as a bucket's call gets them."""
+    return pd.DataFrame({"rows": [np.array(part, kinds).tobytes() for part in (rows[:50], rows[50:]) if part]})
+
+
 def plain_scans(rows, gap):
     """(first, last, n) of one session's rows (us, seq, kind), all of them being past."""
     out, first, last, n, scanning = [], 0, 0, 0, False
@@ -309,16 +315,16 @@ def test_a_bucket_of_sessions_is_one_call_to_state():
     debounce.init(handle)
     found, ends = [], [0, 40_000, 90_000, 140_000, 200_000, 10**9, 10**9]
     for low, high in zip(ends, ends[1:], strict=False):
-        brought = pd.DataFrame([(s, us, seq, number[kind]) for s, us, seq, kind in rows if low <= us < high], columns=["session_id", "us", "seq", "kind"])
+        brought = packs([(s, us, seq, number[kind]) for s, us, seq, kind in rows if low <= us < high], WAITING)
         clock = SimpleNamespace(getCurrentWatermarkInMs=lambda low=low: low // 1000)
         handle.calls = 0
-        found += debounce.handleInputRows((0,), iter([brought[:50], brought[50:]]), clock)
+        found += debounce.handleInputRows((0,), iter([brought[:1], brought[1:]]), clock)
         assert handle.calls <= 4 and len(handle.timers - set(range(low // 1000 + 1))) <= 1
         assert not list(debounce.handleExpiredTimer((0,), clock, None))
     got = sorted(tuple(r) for part in found for r in part.itertuples(index=False))
     want = sorted((s, *scan) for s in range(400) for scan in plain_scans([x[1:] for x in rows if x[0] == s], gap))
     assert got == want and len(got) > 400
-    assert handle.value[1:] != (b"", b"") and len(handle.value[2]) == 0
+    assert handle.value[2] and not handle.value[3]
 
 
 def test_what_a_scan_leaves_is_remembered():
@@ -340,9 +346,10 @@ def test_what_a_scan_leaves_is_remembered():
             handle, looking, got = Handle(), Looking(screens, 5), {}
             looking.init(handle)
             for low in (0, 40, 80):
-                brought = pd.DataFrame([x for x in scans if low <= x[1] < low + 40], columns=["session_id", "last_us", "screen"]).sample(frac=1, random_state=low)
+                brought = [x for x in scans if low <= x[1] < low + 40]
+                brought = packs(rng.sample(brought, len(brought)), SEEN)
                 handle.calls = 0
-                for r in pd.concat(looking.handleInputRows((0,), iter([brought[:90], brought[90:]]), None)).itertuples(index=False):
+                for r in pd.concat(looking.handleInputRows((0,), iter([brought[:1], brought[1:]]), None)).itertuples(index=False):
                     assert list(r.place) == [sum(r.n[:i]) for i in range(len(r.n))]
                     got[r.session_id] = [(screen, item - i, us) for screen, item, n, us in zip(r.screen, r.item, r.n, r.us, strict=True) for i in range(n)]
                 assert handle.calls == 2
